@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from .blobledger import op7_blobledger
+from .bpetree import op3_bpetree
 from .seedextend import op5_seedextend
 from .simhash import op8_simhash
+from .winnowing import op6_winnowing
 
 
 def queries() -> dict:
-    found = [op5_seedextend, op8_simhash]
+    found = [op3_bpetree, op5_seedextend, op6_winnowing, op7_blobledger, op8_simhash]
     return {f.__name__: f for f in found}
 
 
