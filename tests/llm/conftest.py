@@ -42,3 +42,26 @@ def rows():
 @pytest.fixture(scope="session")
 def docs(spark, rows):
     return spark.createDataFrame([(i, t, "extra") for i, t in rows], "doc_id long, text string, component_id string").repartition(5).cache()
+
+
+@pytest.fixture(scope="session")
+def same_as_sql():
+    """Compare a query's rows with DuckDB SQL over views, as multisets."""
+    import duckdb
+
+    def compare(df, sql, **tables):
+        con = duckdb.connect()
+        for name, t in tables.items():
+            con.register(name, t.toArrow())
+        want = con.execute(sql).to_arrow_table()
+        got = df.toArrow()
+        assert sorted(got.column_names) == sorted(want.column_names)
+        names = sorted(got.column_names)
+        key = lambda r: tuple((r[c] is None, str(r[c])) for c in names)
+        a, b = sorted(got.to_pylist(), key=key), sorted(want.to_pylist(), key=key)
+        assert len(a) == len(b)
+        for x, y in zip(a, b, strict=True):
+            assert x == y
+        return len(a)
+
+    return compare
