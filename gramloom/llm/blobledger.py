@@ -86,6 +86,21 @@ def report(paths: DataFrame, ledger: DataFrame, rules: int = RULES_VERSION) -> D
     return found.select("path", "blob", *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS], F.coalesce("spans", F.lit("")).alias("spans"))
 
 
+def redact(text: str | None, spans: str) -> str | None:
+    """The text with every span overwritten by ``<kind>``; spans that lie in an earlier one go with it."""
+    if text is None:
+        return None
+    out, at = [], 0
+    for span in spans.split(","):
+        kind, start, end = span.split(":")
+        if int(end) <= at:
+            continue
+        if int(start) >= at:
+            out += [text[at : int(start)], f"<{kind}>"]
+        at = int(end)
+    return "".join([*out, text[at:]])
+
+
 def op7_blobledger(spark, sf_dir: str) -> DataFrame:
     """Digest of a first ``scan`` and ``report`` over the whole ``documents`` table (an empty ledger: all blobs are unseen)."""
     paths = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("path"), "text")

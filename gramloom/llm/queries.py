@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from . import perspectives, ruleledger
 from .blobledger import op7_blobledger
 from .bpetree import op3_bpetree
+from .perspectives import op9_perspectives
+from .ruleledger import op1_ruleledger
 from .seedextend import op5_seedextend
 from .simhash import op8_simhash
 from .winnowing import op6_winnowing
 
 
 def queries() -> dict:
-    found = [op3_bpetree, op5_seedextend, op6_winnowing, op7_blobledger, op8_simhash]
+    found = [op1_ruleledger, op3_bpetree, op5_seedextend, op6_winnowing, op7_blobledger, op8_simhash, op9_perspectives]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_ruleledger": ruleledger.ORACLE_SQL,
+        "op9_perspectives": perspectives.ORACLE_SQL,
+    }

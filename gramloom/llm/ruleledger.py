@@ -15,6 +15,7 @@ null ids and repeated rows pass through, one ledger row each.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,15 +25,15 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 
-#: Rules in bit order: name and when it fails, over the measurements.
-RULES: list[tuple[str, str]] = [
-    ("too_few_words", "n_words < 50"),
-    ("repeated_words", "100 * n_repeat_words > 50 * n_words"),
-    ("symbols", "10 * n_symbols > n_words"),
-    ("word_length", "word_chars < 2 * n_words or word_chars > 14 * n_words"),
-    ("repeated_lines", "10 * n_dup_lines > 5 * n_lines"),
-    ("upper_case", "10 * n_upper > 5 * word_chars"),
-    ("same_neighbours", "100 * n_same_next > 20 * n_words"),
+#: Rules in bit order: name, and when it fails over the measurements.
+RULES: list[tuple[str, Callable]] = [
+    ("too_few_words", lambda m: m["n_words"] < 50),
+    ("repeated_words", lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"]),
+    ("symbols", lambda m: 10 * m["n_symbols"] > m["n_words"]),
+    ("word_length", lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 14 * m["n_words"])),
+    ("repeated_lines", lambda m: 10 * m["n_dup_lines"] > 5 * m["n_lines"]),
+    ("upper_case", lambda m: 10 * m["n_upper"] > 5 * m["word_chars"]),
+    ("same_neighbours", lambda m: 100 * m["n_same_next"] > 20 * m["n_words"]),
 ]
 BIT = {name: 1 << k for k, (name, _) in enumerate(RULES)}
 #: Versioned policies: masks of the rules that reject.
@@ -90,16 +91,26 @@ def measures(text: Column) -> Column:
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_same_next"]
 
 
+def failures(m) -> Column:
+    """Bit ``k`` is set when rule ``k`` fails; ``m`` gives a measurement's column by name."""
+    bits = [F.when(fails(m), F.lit(1 << k)).otherwise(F.lit(0)) for k, (_, fails) in enumerate(RULES)]
+    return reduce(lambda a, b: a.bitwiseOR(b), bits).cast("long")
+
+
 def ledger(docs: DataFrame) -> DataFrame:
     """``doc_id``, the measurements, and ``failed``: one bit for each rule."""
     measured = docs.select("doc_id", measures(F.col("text").cast("string")).alias("m")).select("doc_id", *[F.col(f"m.{c}").alias(c) for c in MEASURES])
-    bits = [F.when(F.expr(fails), F.lit(1 << k)).otherwise(F.lit(0)) for k, (_, fails) in enumerate(RULES)]
-    return measured.withColumn("failed", reduce(lambda a, b: a.bitwiseOR(b), bits).cast("long"))
+    return measured.withColumn("failed", failures({c: F.col(c) for c in MEASURES}))
 
 
-def verdict(policy: str = "v1") -> Column:
+def verdict(policy: str = "v1", failed: Column | None = None) -> Column:
     """Whether the policy keeps a ledger row."""
-    return F.col("failed").bitwiseAND(F.lit(POLICIES[policy])) == 0
+    return (F.col("failed") if failed is None else failed).bitwiseAND(F.lit(POLICIES[policy])) == 0
+
+
+def keeps(text: Column, policy: str = "v1") -> Column:
+    """The verdict on a text as one expression, for use in a filter."""
+    return let(measures(text.cast("string")), lambda m: verdict(policy, failures(m)))
 
 
 def apply_policy(rows: DataFrame, policy: str = "v1") -> DataFrame:
