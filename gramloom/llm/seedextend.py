@@ -17,7 +17,7 @@ Bitmaps only thin the work: results are exact when they are full.  No pairs
 are formed: every occurrence is compared with the earliest one by ordering.
 
 Seeds and whole extensions are compared by 64-bit hashes; the windows of one
-seed by 48 further bits of their own hash.
+seed by 40 further bits of their own hash.
 
 Defined results: null text has no words; rows with a null doc_id are returned
 unchanged and are nobody's partner; doc_id is the identity of a document (rows
@@ -35,12 +35,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import materialize, spread
-from .textscan import NOT_SPACE, U, bitmap, chunks, id_slots, is_set, kgrams, mix, slots_of, sliding, winnow, words
+from .textscan import NOT_SPACE, R, U, bitmap, chunks, id_slots, is_set, kgrams, mix, slots_of, sliding, winnow, words
 
 WINDOW = 20
 GRAM = 8
 REACH = WINDOW - GRAM
-SPAN_BYTES = 6
+SPAN_BYTES = 5
 BITS = 28
 DOC_BITS = 24
 
@@ -57,6 +57,39 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return doc[at], at, grams[at], h, first
 
 
+NAMES = ["seed", "code", "doc_id", "place", "spans"]
+
+
+class Earliest:
+    """The earliest holder of each code that a task has met."""
+
+    def __init__(self):
+        self.code, self.doc, self.pos = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def later(self, code: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        """Which of these have an earlier holder here, among themselves or before."""
+        old = len(self.code)
+        code, doc, pos = np.concatenate([self.code, code]), np.concatenate([self.doc, doc]), np.concatenate([self.pos, pos])
+        order = np.lexsort((pos, doc, code))
+        code, doc, pos = code[order], doc[order], pos[order]
+        head = np.concatenate([[True], code[1:] != code[:-1]]) if len(code) else np.zeros(0, bool)
+        lead = np.flatnonzero(head)[np.cumsum(head) - 1]
+        late = np.empty(len(code), dtype=bool)
+        late[order] = (doc != doc[lead]) | (pos != pos[lead])
+        self.code, self.doc, self.pos = code[head], doc[head], pos[head]
+        return late[old:]
+
+
+def joined_ranges(number: np.ndarray, doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc_id, start, stop) with overlapping or touching ranges of one document joined; input in order of document and start."""
+    if not len(doc):
+        return number[doc], start, stop
+    far = np.maximum.accumulate(doc * (1 << 40) + stop)
+    fresh = np.concatenate([[True], doc[1:] * (1 << 40) + start[1:] > far[:-1]])
+    last = np.concatenate([np.flatnonzero(fresh)[1:] - 1, [len(doc) - 1]])
+    return number[doc[fresh]], start[fresh], far[last] & ((1 << 40) - 1)
+
+
 def repeats(docs: DataFrame, spark) -> DataFrame:
     """``doc_id, start, stop``: word ranges to remove (ranges may overlap, stop exclusive)."""
 
@@ -68,6 +101,7 @@ def repeats(docs: DataFrame, spark) -> DataFrame:
     seen = spark.sparkContext.broadcast(bitmap(docs, slots, BITS, twice=True))
 
     def seeds(batches):
+        first_seen = Earliest()
         for ids, texts in chunks(batches):
             pairs = [(i, t) for i, t in zip(ids, texts, strict=True) if i is not None]
             if not pairs:
@@ -80,28 +114,28 @@ def repeats(docs: DataFrame, spark) -> DataFrame:
                 continue
             left = np.minimum(at - first[doc], REACH)
             right = np.minimum(first[doc + 1] - at - GRAM, REACH)
-            step = np.arange(REACH)
-            before = np.where(step[None, :] >= REACH - left[:, None], h[np.maximum(at[:, None] - REACH + step, 0)], U(0))
-            after = np.where(step[None, :] < right[:, None], h[np.minimum(at[:, None] + GRAM + step, len(h) - 1)], U(0))
-            around = np.concatenate([before, after], axis=1)
             code = seed.copy()
-            for j in range(2 * REACH):
-                code = mix(code * U(31) + around[:, j])
+            for j in range(REACH):
+                code = mix(code * R + np.where(j < left, h[np.maximum(at - 1 - j, 0)], U(0)))
+                code = mix(code * R + np.where(j < right, h[np.minimum(at + GRAM + j, len(h) - 1)], U(1)))
             code = mix(code + (left * 64 + right).astype(np.uint64))
             pos = at - first[doc]
-            order = np.lexsort((pos, number[doc], code))
-            later = np.zeros(len(order), dtype=bool)
-            own, prior = order[1:], order[:-1]
-            later[own] = (code[own] == code[prior]) & ((number[doc[own]] != number[doc[prior]]) | (pos[own] != pos[prior]))
-            # a later holder in this task is settled: it travels under its own code, to no one's partition in particular
-            key = np.where(later, mix(number[doc].view(np.uint64) * U(1000003) + pos.astype(np.uint64)), seed)
+            later = first_seen.later(code, number[doc], pos)
+            yield from rows(*joined_ranges(number, doc[later], (pos - left)[later], (pos + GRAM + right)[later]))
+            doc, at, seed, code, pos, left, right = (x[~later] for x in (doc, at, seed, code, pos, left, right))
             start = np.clip(at[:, None] - np.arange(REACH + 1)[None, :], 0, max(0, len(h) - WINDOW))
-            spans = kgrams(h, WINDOW)[start].view(np.uint8).reshape(len(at), REACH + 1, 8)[:, :, 8 - SPAN_BYTES :]
-            yield pa.RecordBatch.from_pydict({
-                "seed": pa.array(key.view(np.int64)), "code": pa.array(code.view(np.int64)), "doc_id": pa.array(number[doc]),
-                "place": pa.array(pos * 4096 + left * 64 + right),
-                "spans": pa.array([None if x else spans[i].tobytes() for i, x in enumerate(later.tolist())], pa.binary()),
-            })
+            spans = kgrams(h, WINDOW)[start].view(np.uint8).reshape(len(at), REACH + 1, 8)[:, :, 8 - SPAN_BYTES :].tobytes()
+            size = (REACH + 1) * SPAN_BYTES
+            yield pa.RecordBatch.from_arrays([
+                pa.array(seed.view(np.int64)), pa.array(code.view(np.int64)), pa.array(number[doc]), pa.array(pos * 4096 + left * 64 + right),
+                pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.arange(0, (len(at) + 1) * size, size, dtype=np.int32)), pa.py_buffer(spans)]),
+            ], names=NAMES)
+
+    def rows(doc, start, stop):
+        """Settled ranges (place: start, code: stop, no spans) travel with keys of their own, so they crowd no seed's partition."""
+        if len(doc):
+            key = mix(doc.view(np.uint64) * R + start.astype(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(stop), pa.array(doc), pa.array(start), pa.nulls(len(doc), pa.binary())], names=NAMES)
 
     found = docs.mapInArrow(seeds, "seed long, code long, doc_id long, place long, spans binary")
     settled = F.col("spans").isNull()
@@ -109,11 +143,11 @@ def repeats(docs: DataFrame, spark) -> DataFrame:
         found.withColumn("n", F.rank().over(Window.partitionBy("seed", "code").orderBy("doc_id", "place")))
         .withColumn("mixed", F.min("code").over(Window.partitionBy("seed")) < F.max("code").over(Window.partitionBy("seed")))
         .where(settled | (F.col("n") > 1) | F.col("mixed"))
-        .select("seed", "doc_id", (settled | (F.col("n") > 1)).alias("later"), F.when(F.col("n") == 1, F.col("spans")).alias("spans"),
+        .select("seed", "doc_id", F.when(settled, F.col("place")).alias("start"), F.when(settled, F.col("code")).alias("stop"), (settled | (F.col("n") > 1)).alias("later"), F.when(F.col("n") == 1, F.col("spans")).alias("spans"),
                 F.expr("place div 4096").alias("pos"), F.expr("place div 64 % 64").alias("l"), F.expr("place % 64").alias("r"))
     )
     ranked = materialize(ranked, "seeds")
-    whole = ranked.where("later").select("doc_id", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + GRAM + F.col("r")).alias("stop"))
+    whole = ranked.where("later").select("doc_id", F.coalesce("start", F.col("pos") - F.col("l")).alias("start"), F.coalesce("stop", F.col("pos") + GRAM + F.col("r")).alias("stop"))
     back = F.explode(F.sequence(F.lit(0), F.lit(REACH))).alias("back")
     spans = ranked.where("not later").select("seed", "spans", "doc_id", "pos", "l", "r", back).where((F.col("back") <= F.col("l")) & (REACH - F.col("back") <= F.col("r")))
     own = F.col("spans").substr(F.col("back") * SPAN_BYTES + 1, F.lit(SPAN_BYTES))

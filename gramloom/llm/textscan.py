@@ -16,8 +16,8 @@ U = np.uint64
 R = U(0x9E3779B97F4A7C15 | 1)
 R_INV = U(pow(int(R), -1, 1 << 64))
 BYTE_HASH = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
-SEGMENT = 1 << 20
-CHUNK_BYTES = 4 << 20
+SEGMENT = 1 << 18
+CHUNK_BYTES = 1 << 20
 
 
 def byte_class(excluded: list[tuple[int, int]]) -> np.ndarray:
