@@ -6,6 +6,8 @@ from . import perspectives, ruleledger
 from .blobledger import op7_blobledger
 from .bpetree import op3_bpetree
 from .perspectives import op9_perspectives
+from .pitmanyor import op4_pitmanyor
+from .puquality import op10_puquality
 from .ruleledger import op1_ruleledger
 from .seedextend import op5_seedextend
 from .simhash import op8_simhash
@@ -13,7 +15,7 @@ from .winnowing import op6_winnowing
 
 
 def queries() -> dict:
-    found = [op1_ruleledger, op3_bpetree, op5_seedextend, op6_winnowing, op7_blobledger, op8_simhash, op9_perspectives]
+    found = [op1_ruleledger, op3_bpetree, op4_pitmanyor, op5_seedextend, op6_winnowing, op7_blobledger, op8_simhash, op9_perspectives, op10_puquality]
     return {f.__name__: f for f in found}
 
 
