@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import perspectives, ruleledger
 from .blobledger import op7_blobledger
 from .bpetree import op3_bpetree
+from .bwtmerge import op2_bwtmerge
 from .perspectives import op9_perspectives
 from .pitmanyor import op4_pitmanyor
 from .puquality import op10_puquality
@@ -15,7 +16,7 @@ from .winnowing import op6_winnowing
 
 
 def queries() -> dict:
-    found = [op1_ruleledger, op3_bpetree, op4_pitmanyor, op5_seedextend, op6_winnowing, op7_blobledger, op8_simhash, op9_perspectives, op10_puquality]
+    found = [op1_ruleledger, op2_bwtmerge, op3_bpetree, op4_pitmanyor, op5_seedextend, op6_winnowing, op7_blobledger, op8_simhash, op9_perspectives, op10_puquality]
     return {f.__name__: f for f in found}
 
 

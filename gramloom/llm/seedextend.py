@@ -34,15 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import apply_ranges
 from .scratch import materialize, spread
-from .textscan import NOT_SPACE, R, U, bitmap, chunks, id_slots, is_set, kgrams, mix, slots_of, sliding, winnow, words
+from .textscan import NOT_SPACE, R, U, bitmap, chunks, is_set, kgrams, mix, slots_of, winnow, words
 
 WINDOW = 20
 GRAM = 8
 REACH = WINDOW - GRAM
 SPAN_BYTES = 5
 BITS = 28
-DOC_BITS = 24
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -171,49 +171,6 @@ def cut(raw: bytes, ranges: list | None) -> tuple[int, int, str]:
     return len(found), len(found) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 
 
-def apply_ranges(docs: DataFrame, ranges: DataFrame, cut_row, schema: str, bits: int = DOC_BITS) -> DataFrame:
-    """Cut every document of ``docs(doc_id, text)`` by its ranges; texts without any stay out of the join."""
-    spark = docs.sparkSession
-    ranges = materialize(ranges, "ranges")
-
-    def slots(batches):
-        for batch in batches:
-            yield id_slots(batch.column(0).to_numpy(zero_copy_only=False), bits)
-
-    touched = spark.sparkContext.broadcast(bitmap(ranges.select("doc_id"), slots, bits, twice=False))
-
-    def mask(batch):
-        ids = batch.column(0)
-        here = is_set(touched.value, id_slots(ids.fill_null(0).to_numpy(zero_copy_only=False), bits))
-        return here & ids.is_valid().to_numpy(zero_copy_only=False)
-
-    def result(ids, rows):
-        names = [x.split()[0] for x in schema.split(",")]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(list(c)) for c in zip(*rows, strict=True))], names=names)
-
-    def untouched(batches):
-        for batch in batches:
-            batch = batch.filter(pa.array(~mask(batch)))
-            for ids, texts in chunks(iter([batch])):
-                yield result(ids, [cut_row(t, None) for t in texts])
-
-    def candidates(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(mask(batch)))
-
-    def joined(batches):
-        for batch in batches:
-            ranges_ = batch.column(2).to_pylist()
-            at = 0
-            for ids, texts in chunks(iter([batch])):
-                yield result(ids, [cut_row(t, r) for t, r in zip(texts, ranges_[at : at + len(ids)], strict=True)])
-                at += len(ids)
-
-    per_doc = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    some = docs.mapInArrow(candidates, "doc_id long, text string").join(per_doc, "doc_id", "left").select("doc_id", "text", "ranges")
-    return docs.mapInArrow(untouched, schema).union(some.mapInArrow(joined, schema))
-
-
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` after removal of every later 20-word repeat."""
     docs = spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))

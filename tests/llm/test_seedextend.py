@@ -1,6 +1,6 @@
 import hashlib
 
-from gramloom.llm import seedextend
+from gramloom.llm import ranges, seedextend
 
 
 def brute(rows, w=20):
@@ -28,7 +28,7 @@ def test_against_brute_force(docs, rows):
 
 def test_full_bitmaps_change_nothing(docs, rows, monkeypatch):
     monkeypatch.setattr(seedextend, "BITS", 10)
-    monkeypatch.setattr(seedextend, "DOC_BITS", 9)
+    monkeypatch.setattr(ranges, "DOC_BITS", 9)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in seedextend.drop_repeats(docs).collect()}
     assert got == brute(rows)
 
