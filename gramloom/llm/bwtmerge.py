@@ -47,6 +47,7 @@ GRAM = 32
 SPACING = 48
 PERIOD = 16
 BITS = 28
+CHUNK = 1 << 18
 REST = LENGTH - GRAM
 _PIECE = np.dtype([("h", "<u2"), ("n", "<u2"), ("lo", "<u4"), ("cover", "<u8")])
 
@@ -161,7 +162,7 @@ def shards(docs: DataFrame, seen) -> DataFrame:
 
     def run(batches):
         suffixes, bare = Met(), Met()
-        for ids, texts in chunks(batches):
+        for ids, texts in chunks(batches, CHUNK):
             pairs = [(i, t) for i, t in zip(ids, texts, strict=True) if i is not None and len(t) >= LENGTH]
             if not pairs:
                 continue
@@ -261,7 +262,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
 
     def slots(batches):
-        for ids, texts in chunks(batches):
+        for ids, texts in chunks(batches, CHUNK):
             p = Parse([t for i, t in zip(ids, texts, strict=True) if i is not None and len(t) >= LENGTH])
             yield np.concatenate([slots_of(p.phrase, BITS), slots_of(p.windows(p.bare), BITS)])
 

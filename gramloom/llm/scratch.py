@@ -30,8 +30,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+TEXTS_PER_BATCH = 1000
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy per-row work a task per core when the input has fewer splits than cores."""
+    """Ready a table of texts for per-row work in Python.
+
+    It gets a task per core when the input has fewer splits than cores, and the
+    session's Arrow batches are held to ``TEXTS_PER_BATCH`` rows: a batch of the
+    default 10,000 texts would have no useful bound in bytes.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, TEXTS_PER_BATCH + 1):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS_PER_BATCH)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
