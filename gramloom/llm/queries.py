@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import perspectives, ruleledger
+from . import perspectives, ruleledger, seedextend, winnowing
 from .blobledger import op7_blobledger
 from .bpetree import op3_bpetree
 from .bwtmerge import op2_bwtmerge
@@ -23,5 +23,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ruleledger": ruleledger.ORACLE_SQL,
+        "op5_seedextend": seedextend.ORACLE_SQL,
+        "op6_winnowing": winnowing.ORACLE_SQL,
         "op9_perspectives": perspectives.ORACLE_SQL,
     }
