@@ -70,8 +70,8 @@ class Parse:
         raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
         n = self.n = len(raw)
         self.total = running(BYTE_HASH[raw])
-        doc_at = np.repeat(np.arange(len(texts)), np.diff(self.edge))
-        grams = span_hashes(self.total, np.arange(max(0, n - GRAM + 1)), np.arange(GRAM, n + 1) if n >= GRAM else np.zeros(0, np.int64))
+        doc_at = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(self.edge))
+        grams = (self.total[GRAM:] - self.total[: max(0, n + 1 - GRAM)]) * powers(max(0, n + 1 - GRAM), R_INV, "down")
         at = np.flatnonzero(grams < U((1 << 64) // SPACING))
         at = at[at + GRAM <= self.edge[doc_at[at] + 1]]
         shape = raw[at[:, None] + np.arange(GRAM)[None, :]]
@@ -79,7 +79,7 @@ class Parse:
         for q in range(1, PERIOD + 1):
             periodic |= (shape[:, q:] == shape[:, :-q]).all(axis=1)
         self.at = at = at[~periodic]
-        self.doc = doc = doc_at[at]
+        self.doc = doc = doc_at[at].astype(np.int64)
         head = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(at) else np.zeros(0, bool)
         tail = np.append(head[1:], True) if len(at) else head
         begin, end = self.edge[doc], self.edge[doc + 1]
@@ -91,13 +91,13 @@ class Parse:
         self.following = np.where(tail, np.iinfo(np.int64).max // 2, following)
         self.low = np.where(head, begin, np.concatenate([[0], at[:-1]]) + 1) if len(at) else at
         self.high = np.minimum(at, end - LENGTH)
-        count = np.zeros(n + 1, dtype=np.int64)
+        count = np.zeros(n + 1, dtype=np.int32)
         count[at + 1] = 1
-        count = np.cumsum(count)
-        starts = np.arange(max(0, n - LENGTH + 1))
-        inside = doc_at[starts] == doc_at[starts + LENGTH - 1] if n >= LENGTH else np.zeros(0, bool)
-        self.bare = np.flatnonzero(inside & (count[starts + REST + 1] - count[starts] <= 1))
-        self.bare_doc = doc_at[self.bare]
+        count = np.cumsum(count, dtype=np.int32)
+        m = max(0, n - LENGTH + 1)  # starts
+        inside = doc_at[:m] == doc_at[LENGTH - 1 : LENGTH - 1 + m]
+        self.bare = np.flatnonzero(inside & (count[REST + 1 : REST + 1 + m] - count[:m] <= 1))
+        self.bare_doc = doc_at[self.bare].astype(np.int64)
 
     def windows(self, s: np.ndarray) -> np.ndarray:
         return span_hashes(self.total, s, s + LENGTH)

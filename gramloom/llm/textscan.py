@@ -137,6 +137,7 @@ def slots_of(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 BUCKET_BITS = 6
+HELD_SLOTS = 1 << 20
 
 
 def bitmap(rows: DataFrame, slots: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], bits: int, twice: bool) -> np.ndarray:
@@ -152,12 +153,24 @@ def bitmap(rows: DataFrame, slots: Callable[[Iterator[pa.RecordBatch]], Iterator
     span = 1 << low
 
     def emit(batches):
+        held, size = [], 0
         for found in slots(batches):
-            s, n = np.unique(found, return_counts=True)
-            for b, lo, hi in cut(s):
-                part = s[lo:hi] & np.uint32(span - 1)
-                again = part[n[lo:hi] > 1] if twice else part[:0]
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "once": pa.array([part.tobytes()], pa.binary()), "again": pa.array([again.tobytes()], pa.binary())})
+            held.append(found)
+            size += len(found)
+            if size >= HELD_SLOTS:
+                yield sent_together(np.concatenate(held))
+                held, size = [], 0
+        if size:
+            yield sent_together(np.concatenate(held))
+
+    def sent_together(found):
+        s, n = np.unique(found, return_counts=True)
+        rows = []
+        for b, lo, hi in cut(s):
+            part = s[lo:hi] & np.uint32(span - 1)
+            rows.append((b, part.tobytes(), part[n[lo:hi] > 1].tobytes() if twice else b""))
+        b, once, again = zip(*rows, strict=True)
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(b, pa.int32()), "once": pa.array(once, pa.binary()), "again": pa.array(again, pa.binary())})
 
     def cut(s):
         edge = np.searchsorted(s, (np.arange((1 << BUCKET_BITS) + 1, dtype=np.uint64) << U(low)))
