@@ -20,6 +20,11 @@ def ieee_div(a: Column, b: Column) -> Column:
     return F.when(b == 0, by_zero).otherwise(a / F.when(b == 0, F.lit(1.0)).otherwise(b))
 
 
+def bind(value: Column, body) -> Column:
+    """``body`` of ``value``, evaluated once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 @dataclass(frozen=True)
 class Scalars:
     """Operations on columns of one scalar type."""

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import Scalars, ieee_div
+from ..functions.scalars import Scalars, bind
 from ..plans.strategy import small
 from ..types import DimensionMismatch, Vector
 
@@ -64,11 +64,11 @@ def scal_into(alpha, x: Vector, result: Vector) -> Vector:
 def axpby(alpha, x: Vector, beta, y: Vector) -> Vector:
     """alpha * x + beta * y over the shared prefix; alpha = 0 does not read x."""
     _same_type(x, y)
+    s, n = y.s, min(x.n, y.n)
     if alpha == 0:
-        return scal(beta, y)
+        return _keep_tail(y, scal(beta, y.prefix(n)).cells(), n)
     if alpha == 1 and beta == 0:
         return copy(x, y)
-    s, n = y.s, min(x.n, y.n)
     both = x.prefix(n).cells("x").join(y.prefix(n).cells("y"), "i", "full")
     value = s.add(s.scale(alpha, s.or_zero(F.col("x"))), s.scale(beta, s.or_zero(F.col("y"))))
     return _keep_tail(y, both.select("i", value.alias("v")), n)
@@ -160,40 +160,52 @@ def cabs1(v: Column) -> Column:
 
 def rotg(a: Column, b: Column) -> Column:
     """Plane rotation of two reals: struct r, z, c, s."""
-    a, b = a.cast("double"), b.cast("double")
-    zero = F.lit(0.0)
-    scale = F.abs(a) + F.abs(b)
-    safe = F.when(scale == 0, F.lit(1.0)).otherwise(scale)
-    lead = F.when(F.abs(b) > F.abs(a), b).otherwise(a)
-    size = safe * F.sqrt((a / safe) * (a / safe) + (b / safe) * (b / safe))
-    r = F.when(scale == 0, zero).otherwise(F.when(lead < 0, -size).otherwise(size))
-    over = F.when(scale == 0, F.lit(1.0)).otherwise(r)
-    c = F.when(scale == 0, F.lit(1.0)).otherwise(a / over)
-    s = F.when(scale == 0, zero).otherwise(b / over)
-    z = F.when(scale == 0, zero).when(F.abs(a) > F.abs(b), s).when(a != 0, over / F.when(a == 0, F.lit(1.0)).otherwise(a)).otherwise(F.lit(1.0))
-    return F.struct(r.alias("r"), z.alias("z"), c.alias("c"), s.alias("s"))
+    zero, one = F.lit(0.0), F.lit(1.0)
+    cells = F.struct(a.cast("double").alias("a"), b.cast("double").alias("b"))
+
+    def sized(v):
+        scale = F.abs(v["a"]) + F.abs(v["b"])
+        return F.struct(v["a"].alias("a"), v["b"].alias("b"), (scale == 0).alias("none"), F.when(scale == 0, one).otherwise(scale).alias("scale"))
+
+    def turned(v):
+        a, b, scale = v["a"], v["b"], v["scale"]
+        size = scale * F.sqrt((a / scale) * (a / scale) + (b / scale) * (b / scale))
+        lead = F.when(F.abs(b) > F.abs(a), b).otherwise(a)
+        return F.struct(a.alias("a"), b.alias("b"), v["none"].alias("none"), F.when(v["none"], one).when(lead < 0, -size).otherwise(size).alias("r"))
+
+    def told(v):
+        a, b, r, none = v["a"], v["b"], v["r"], v["none"]
+        z = F.when(none, zero).when(F.abs(a) > F.abs(b), b / r).when(a != 0, r / F.when(a == 0, one).otherwise(a)).otherwise(one)
+        return F.struct(F.when(none, zero).otherwise(r).alias("r"), z.alias("z"), F.when(none, one).otherwise(a / r).alias("c"), F.when(none, zero).otherwise(b / r).alias("s"))
+
+    return bind(cells, lambda v: bind(sized(v), lambda w: bind(turned(w), told)))
 
 
 def rotg_complex(a: Column, b: Column) -> Column:
     """Plane rotation of two complex values: struct a (new), c (real), s."""
     k = Scalars("z")
-    a, b = k.wide(a), k.wide(b)
-    size = k.abs2(a)
-    scale = size + k.abs2(b)
-    norm = scale * F.sqrt(ieee_div(size, scale) * ieee_div(size, scale) + ieee_div(k.abs2(b), scale) * ieee_div(k.abs2(b), scale))
-    unit = k.div(a, k.pair(size, F.lit(0.0)))
-    none = size == 0
-    pick = lambda x, y: k.pair(F.when(none, x["re"]).otherwise(y["re"]), F.when(none, x["im"]).otherwise(y["im"]))
-    return F.struct(
-        pick(b, k.mul(unit, k.pair(norm, F.lit(0.0)))).alias("a"),
-        F.when(none, F.lit(0.0)).otherwise(ieee_div(size, norm)).alias("c"),
-        pick(k.lit(1), k.div(k.mul(unit, k.conj(b)), k.pair(norm, F.lit(0.0)))).alias("s"),
-    )
+    zero = F.lit(0.0)
+
+    def sized(v):
+        return F.struct(v["a"].alias("a"), v["b"].alias("b"), k.abs2(v["a"]).alias("size"), (k.abs2(v["a"]) + k.abs2(v["b"])).alias("scale"), k.abs2(v["b"]).alias("other"))
+
+    def turned(v):
+        norm = v["scale"] * F.sqrt((v["size"] / v["scale"]) * (v["size"] / v["scale"]) + (v["other"] / v["scale"]) * (v["other"] / v["scale"]))
+        unit = k.pair(v["a"]["re"] / v["size"], v["a"]["im"] / v["size"])
+        return F.struct(v["b"].alias("b"), v["size"].alias("size"), norm.alias("norm"), unit.alias("unit"))
+
+    def told(v):
+        s = bind(k.mul(v["unit"], k.conj(v["b"])), lambda p: k.pair(p["re"] / v["norm"], p["im"] / v["norm"]))
+        return F.struct(k.mul(v["unit"], k.pair(v["norm"], zero)).alias("a"), (v["size"] / v["norm"]).alias("c"), s.alias("s"))
+
+    whole = F.struct(k.wide(a).alias("a"), k.wide(b).alias("b"))
+    none = lambda v: F.struct(v["b"].alias("a"), zero.alias("c"), k.lit(1).alias("s"))
+    return bind(whole, lambda v: bind(sized(v), lambda w: F.when(w["size"] == 0, none(w)).otherwise(bind(turned(w), told))))
 
 
 def rot(x: Vector, y: Vector, c: float, s: float) -> tuple[Vector, Vector]:
     """x' = c x + s y, y' = c y - s x, over the shared prefix."""
-    return axpby(s, y, c, x) if s else scal(c, x), axpby(-s, x, c, y) if s else scal(c, y)
+    return axpby(s, y, c, x), axpby(-s, x, c, y)
 
 
 def rotm(x: Vector, y: Vector, param: list[float]) -> tuple[Vector, Vector]:

@@ -15,7 +15,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.strategy import small
+from ..functions.scalars import bind
 from ..types import DIAG, SIDE, TRANS, UPLO, DimensionMismatch, Matrix, Vector, flag
 from .level1 import _same_type
 from .level3 import product
@@ -34,14 +34,19 @@ def _fold(t: DataFrame, b: DataFrame, lower: bool, unit: bool, n: int, s) -> Dat
     flat = sides.join(table).select("j", pick.alias("rows"), given.alias("b"))
     none = F.array(s.lit(0)).getItem(F.lit(0))
 
-    def step(x, r):
-        row = F.coalesce(F.get("rows", r), F.array().cast(f"array<struct<k:int,v:{'struct<re:double,im:double>' if s.is_complex else 'double'}>>"))
+    cell = "struct<re:double,im:double>" if s.is_complex else "double"
+
+    def solved_by(x, r, row):
         known = F.aggregate(F.filter(row, lambda c: c["k"] < r), s.lit(0), lambda acc, c: s.add(acc, s.mul(c["v"], F.get(x, c["k"]))))
         value = s.sub(F.get("b", r), known)
-        if not unit:
-            pivot = s.or_zero(F.get(F.filter(row, lambda c: c["k"] == r), F.lit(0))["v"])
-            value = s.div(value, pivot)
-        return F.concat(x, F.array(value))
+        if unit:
+            return value
+        pivot = s.or_zero(F.get(F.filter(row, lambda c: c["k"] == r), F.lit(0))["v"])
+        return bind(F.struct(value.alias("v"), pivot.alias("p")), lambda q: s.div(q["v"], q["p"]))
+
+    def step(x, r):
+        row = F.coalesce(F.get("rows", r), F.array().cast(f"array<struct<k:int,v:{cell}>>"))
+        return F.concat(x, F.array(bind(row, lambda w: solved_by(x, r, w))))
 
     empty = F.slice(F.array(none), 1, 0)
     solved = flat.select("j", F.posexplode(F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), empty, step)).alias("r", "v"))

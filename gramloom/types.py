@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +69,16 @@ def _checked(v: Column, s: Scalars) -> Column:
     return s.wide(F.when(there, v).otherwise(F.raise_error(F.lit("NULL cell in a vector or matrix"))))
 
 
+def _local(spark: SparkSession, index: dict, values: list, s: Scalars) -> DataFrame:
+    """Driver values as a local relation, without Python workers."""
+    real = pa.float32() if s.real_type == "float" else pa.float64()
+    if s.is_complex:
+        v = pa.StructArray.from_arrays([pa.array([complex(x).real for x in values], real), pa.array([complex(x).imag for x in values], real)], names=["re", "im"])
+    else:
+        v = pa.array([float(x) for x in values], real)
+    return spark.createDataFrame(pa.table({**{k: pa.array(list(x), pa.int64()) for k, x in index.items()}, "v": v}))
+
+
 @dataclass(frozen=True)
 class Vector:
     df: DataFrame
@@ -95,9 +106,8 @@ class Vector:
 
     @classmethod
     def from_values(cls, spark: SparkSession, values: Iterable, dtype: str = "d") -> Vector:
-        s, values = Scalars(dtype), list(values)
-        cell = lambda x: (complex(x).real, complex(x).imag) if s.is_complex else float(x)
-        return cls(spark.createDataFrame([(i, cell(x)) for i, x in enumerate(values)], f"i long, v {s.sql_type}"), len(values), dtype)
+        values = list(values)
+        return cls(_local(spark, {"i": range(len(values))}, values, Scalars(dtype)), len(values), dtype)
 
     def cells(self, name: str = "v") -> DataFrame:
         """``(i, name)`` in double precision."""
@@ -165,10 +175,9 @@ class Matrix:
 
     @classmethod
     def from_values(cls, spark: SparkSession, rows: list[list], dtype: str = "d", n: int | None = None) -> Matrix:
-        s = Scalars(dtype)
-        cell = lambda x: (complex(x).real, complex(x).imag) if s.is_complex else float(x)
-        cells = [(i, j, cell(x)) for i, r in enumerate(rows) for j, x in enumerate(r)]
-        return cls(spark.createDataFrame(cells, f"i long, j long, v {s.sql_type}"), len(rows), len(rows[0]) if rows else n or 0, dtype)
+        at = [(i, j) for i, r in enumerate(rows) for j in range(len(r))]
+        df = _local(spark, {"i": [i for i, _ in at], "j": [j for _, j in at]}, [x for r in rows for x in r], Scalars(dtype))
+        return cls(df, len(rows), len(rows[0]) if rows else n or 0, dtype)
 
     def cells(self, name: str = "v") -> DataFrame:
         return self.df.select("i", "j", self.s.wide(F.col("v")).alias(name))

@@ -2,6 +2,7 @@ import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ def rand(rng, *shape, dtype="d"):
 
 
 def buf(spark, values):
-    return spark.createDataFrame(list(enumerate(map(float, values))), "pos long, v double")
+    return spark.createDataFrame(pa.table({"pos": list(range(len(values))), "v": list(map(float, values))}))
 
 
 def value(df):
@@ -82,6 +83,8 @@ def test_level1(spark):
     assert math.isnan(value(l1.nrm2(vec(spark, [NAN, math.inf])))) and value(l1.nrm2(vec(spark, []))) == 0 and value(l1.nrm2(vec(spark, [0, 0]))) == 0
     p, q = l1.rot(x, vec(spark, [4, 5, 6]), 0.0, 1.0)
     assert (p.to_list(), q.to_list()) == ([4, 5, 6], [-1, -2, -3])
+    assert l1.axpby(0, vec(spark, [NAN]), 3, y).to_list() == [12, 5, 6, 9]
+    assert [v.to_list() for v in l1.rot(vec(spark, [1]), y, 2.0, 0.0)] == [[2], [8, 5, 6, 9]]
     p, q = l1.rotm(x, vec(spark, [4, 5, 6]), [0, 9, 2, 3, 9])
     assert (p.to_list(), q.to_list()) == ([13, 17, 21], [6, 9, 12])
     with pytest.raises(DimensionMismatch):
