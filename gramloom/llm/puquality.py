@@ -13,9 +13,10 @@ above makes the bracket negative on P-like texts and stops the fit early, so
 ``CAUTION`` times the estimate is used.
 
 Statistics come from whole texts, in one vectorised pass that also serves the
-scores.  Fitting takes at most ``SAMPLE`` positives and ``SAMPLE`` unlabelled
-rows, those of smallest id hash: a documented bound, so the driver holds a few
-megabytes at any size.  Everything else covers all rows.
+scores.  Fitting takes about ``SAMPLE`` positives and ``SAMPLE`` unlabelled rows
+at most, those below a cut of the id hash that follows from their count: a
+documented bound, so tasks send and the driver holds a few megabytes at any
+size.  Everything else covers all rows.
 
 Defined results: null or word-less texts are scored from zero statistics;
 without any trusted positive every score is 0.5; repeated rows get the same
@@ -163,8 +164,12 @@ class Model:
 def fit(table: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on ``table(doc_id, x)`` and ``labels(doc_id, quality)``, rows of fold 0 left out."""
     judged = labels.where((fold() != 0) & F.col("quality").isNotNull()).select("doc_id", "quality")
-    order = F.xxhash64("doc_id")
-    take = lambda df: np.array([r.x for r in df.orderBy(order).limit(sample).select("x").collect()], dtype=float).reshape(-1, len(FEATURES))
+
+    def take(df):
+        share = sample / max(1, df.count())
+        chosen = df if share >= 1 else df.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+        return np.asarray(chosen.select("x").toArrow().column(0).combine_chunks().flatten(), dtype=float).reshape(-1, len(FEATURES))
+
     training = table.where((fold() != 0) & F.col("doc_id").isNotNull())
     positives = take(training.join(judged.where("quality = 1").select("doc_id").distinct(), "doc_id"))
     return Model(positives, take(training))

@@ -1,6 +1,7 @@
 from pathlib import Path
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from gramloom.llm import puquality
 
@@ -32,6 +33,14 @@ def test_class_prior():
     assert 0.7 < puquality.class_prior(p, u) < 0.82
 
 
+def test_sample_is_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(puquality, "Model", lambda p, u: seen.append((len(p), len(u))))
+    table = spark.range(4000).select("id", F.array(*[F.lit(0.5).cast("float")] * len(puquality.FEATURES)).alias("x")).withColumnRenamed("id", "doc_id")
+    puquality.fit(table, spark.range(4000).selectExpr("id as doc_id", "1 as quality"), sample=500)
+    assert all(400 < n < 600 for n in seen[0])
+
+
 def test_odd_rows(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in puquality.classify(docs, labels).collect()} == {0.5}
