@@ -10,6 +10,7 @@ infinities and NaN, never an error.
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -53,6 +54,14 @@ def _fold(t: DataFrame, b: DataFrame, lower: bool, unit: bool, n: int, s) -> Dat
     return solved.select(at(F.col("r")).cast("long").alias("i"), "j", "v")
 
 
+def _cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint in the folder the cluster names; in one of our own only where none is set."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-gramloom-"))
+    return df.checkpoint()
+
+
 def _left(t: Matrix, b: Matrix, lower: bool, unit: bool) -> DataFrame:
     """``i, j, v`` of X with T X = B."""
     s, n = b.s, t.m
@@ -64,7 +73,7 @@ def _left(t: Matrix, b: Matrix, lower: bool, unit: bool) -> DataFrame:
         block = t.cells().where(here("i") & here("j")).select(F.col("i") - at, F.col("j") - at, "v").toDF("i", "j", "v")
         x = _fold(block, rest.where(here("i")).select((F.col("i") - at).alias("i"), "j", "v"), lower, unit, size, s).select((F.col("i") + at).alias("i"), "j", "v")
         if len(starts) > 1:
-            x = x.checkpoint() if x.sparkSession.sparkContext.getCheckpointDir() else x.persist()
+            x = _cut_lineage(x)
             beyond = (F.col("i") >= at + size) if lower else (F.col("i") < at)
             side = Matrix(t.df.where(here("j") & beyond), t.m, t.n, t.dtype)
             used = product(Matrix(side.df.select("i", "j", "v"), t.m, t.n, t.dtype), Matrix(x, t.n, b.n, "z" if s.is_complex else "d"), plan="join" if t.m * b.n > 1_000_000 else "broadcast")
