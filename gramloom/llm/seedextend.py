@@ -2,11 +2,12 @@
 
 Seeds are winnowed anchors: of every run of 13 consecutive 8-word grams inside
 one document, the one with the smallest hash.  A 20-word window holds 13 such
-grams, so two equal windows share an anchor.  Around an anchor, a match extends
-at most 12 words to the left and to the right; anchors of one seed whose full
-extensions agree match in every window, so only the first of them goes on.
-Where the extensions of a seed differ, each of its 13 windows is joined with
-the earliest holder of the same window.  Runs of windows that also start
+grams, so two equal windows share an anchor, their smallest.  Around an anchor, a
+match extends over the windows of which it is the smallest, at most 12 words to
+the left and to the right; anchors of one seed whose full extensions agree match
+in every such window, so only the first of them goes on.  Where the extensions
+of a seed differ, each of its windows is joined with the earliest holder of the
+same window.  Runs of windows that also start
 earlier form the maximal repeats and are removed; the earliest copy stays.
 
 Scale: a fixed-size bitmap of anchor hashes met twice drops unique anchors
@@ -36,25 +37,34 @@ from pyspark.sql import functions as F
 
 from .ranges import apply_ranges
 from .scratch import materialize, spread
-from .textscan import NOT_SPACE, R, U, bitmap, chunks, is_set, kgrams, mix, slots_of, winnow, words
+from .textscan import NOT_SPACE, R, U, bitmap, chunks, is_set, kgrams, lows, mix, slots_of, winnow, words
 
 WINDOW = 20
 GRAM = 8
 REACH = WINDOW - GRAM
 SPAN_BYTES = 5
-BITS = 28
+BITS = 29
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document index, word position, gram hash) of anchors, with all word hashes and each document's first word index."""
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(document index, word position, gram hash) of anchors, with all word hashes, each document's first word index and the windows' minima."""
     starts, _, h = words(b"\n".join(texts), NOT_SPACE)
     edge = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     first = np.searchsorted(starts, edge)
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
     grams = kgrams(h, GRAM)
     valid = doc[: max(0, len(h) - WINDOW + 1)] == doc[WINDOW - 1 :] if len(h) >= WINDOW else np.zeros(0, dtype=bool)
-    at = winnow(grams, valid, REACH + 1)
-    return doc[at], at, grams[at], h, first
+    low = lows(grams, valid, REACH + 1)
+    at = winnow(grams, valid, REACH + 1, low)
+    return doc[at], at, grams[at], h, first, low
+
+
+def reach(at: np.ndarray, seed: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words to the left and right of each anchor's gram that its own windows take: those of which it is the minimum, a run of starts."""
+    start = at[:, None] - np.arange(REACH + 1)[None, :]
+    own = (start >= 0) & (start < len(low)) & (low[np.clip(start, 0, len(low) - 1)] == seed[:, None])
+    nearest = own.argmax(axis=1)
+    return nearest + own.sum(axis=1) - 1, REACH - nearest
 
 
 NAMES = ["seed", "code", "doc_id", "place", "spans"]
@@ -107,13 +117,12 @@ def repeats(docs: DataFrame, spark) -> DataFrame:
             if not pairs:
                 continue
             number = np.array([i for i, _ in pairs], dtype=np.int64)
-            doc, at, seed, h, first = anchors([t for _, t in pairs])
+            doc, at, seed, h, first, low = anchors([t for _, t in pairs])
             hit = is_set(seen.value, slots_of(seed, BITS))
             doc, at, seed = doc[hit], at[hit], seed[hit]
             if not len(at):
                 continue
-            left = np.minimum(at - first[doc], REACH)
-            right = np.minimum(first[doc + 1] - at - GRAM, REACH)
+            left, right = reach(at, seed, low)
             code = seed.copy()
             for j in range(REACH):
                 code = mix(code * R + np.where(j < left, h[np.maximum(at - 1 - j, 0)], U(0)))
@@ -123,12 +132,13 @@ def repeats(docs: DataFrame, spark) -> DataFrame:
             later = first_seen.later(code, number[doc], pos)
             yield from rows(*joined_ranges(number, doc[later], (pos - left)[later], (pos + GRAM + right)[later]))
             doc, at, seed, code, pos, left, right = (x[~later] for x in (doc, at, seed, code, pos, left, right))
-            start = np.clip(at[:, None] - np.arange(REACH + 1)[None, :], 0, max(0, len(h) - WINDOW))
-            spans = kgrams(h, WINDOW)[start].view(np.uint8).reshape(len(at), REACH + 1, 8)[:, :, 8 - SPAN_BYTES :].tobytes()
-            size = (REACH + 1) * SPAN_BYTES
+            nearest, n = REACH - right, left + right - REACH + 1
+            own = np.repeat(at - nearest + np.cumsum(n) - n, n) - np.arange(n.sum())  # starts of the own windows, nearest first
+            spans = kgrams(h, WINDOW)[own].view(np.uint8).reshape(-1, 8)[:, 8 - SPAN_BYTES :].tobytes()
+            offsets = np.concatenate([[0], np.cumsum(n * SPAN_BYTES)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
                 pa.array(seed.view(np.int64)), pa.array(code.view(np.int64)), pa.array(number[doc]), pa.array(pos * 4096 + left * 64 + right),
-                pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.arange(0, (len(at) + 1) * size, size, dtype=np.int32)), pa.py_buffer(spans)]),
+                pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(spans)]),
             ], names=NAMES)
 
     def rows(doc, start, stop):
@@ -150,7 +160,7 @@ def repeats(docs: DataFrame, spark) -> DataFrame:
     whole = ranked.where("later").select("doc_id", F.coalesce("start", F.col("pos") - F.col("l")).alias("start"), F.coalesce("stop", F.col("pos") + GRAM + F.col("r")).alias("stop"))
     back = F.explode(F.sequence(F.lit(0), F.lit(REACH))).alias("back")
     spans = ranked.where("not later").select("seed", "spans", "doc_id", "pos", "l", "r", back).where((F.col("back") <= F.col("l")) & (REACH - F.col("back") <= F.col("r")))
-    own = F.col("spans").substr(F.col("back") * SPAN_BYTES + 1, F.lit(SPAN_BYTES))
+    own = F.col("spans").substr((F.col("back") + F.col("r") - REACH) * SPAN_BYTES + 1, F.lit(SPAN_BYTES))
     spans = spans.select(F.xxhash64("seed", "back", own).alias("span"), "doc_id", (F.col("pos") - F.col("back")).alias("start"))
     earliest = Window.partitionBy("span").orderBy("doc_id", "start")
     part = spans.withColumn("n", F.rank().over(earliest)).where("n > 1").select("doc_id", "start", (F.col("start") + WINDOW).alias("stop"))

@@ -97,7 +97,15 @@ def sliding(h: np.ndarray, w: int, op: np.ufunc) -> np.ndarray:
     return acc
 
 
-def winnow(grams: np.ndarray, valid: np.ndarray, w: int) -> np.ndarray:
+def lows(grams: np.ndarray, valid: np.ndarray, w: int) -> np.ndarray:
+    """Minimum of every window of w grams, 0 where it is not valid (crosses documents)."""
+    if len(grams) < w:
+        return np.zeros(0, dtype=np.uint64)
+    low = sliding(grams, w, np.minimum)
+    return np.where(valid[: len(low)], low, U(0))
+
+
+def winnow(grams: np.ndarray, valid: np.ndarray, w: int, low: np.ndarray | None = None) -> np.ndarray:
     """Positions whose hash is the minimum of some valid window of w grams (ties all kept).
 
     ``valid[s]`` says whether the window that starts at gram s lies in one document.
@@ -105,8 +113,7 @@ def winnow(grams: np.ndarray, valid: np.ndarray, w: int) -> np.ndarray:
     """
     if len(grams) < w or not valid.any():
         return np.zeros(0, dtype=np.int64)
-    low = sliding(grams, w, np.minimum)
-    low = np.where(valid[: len(low)], low, U(0))
+    low = lows(grams, valid, w) if low is None else low
     pad = np.zeros(w - 1, dtype=np.uint64)
     best = sliding(np.concatenate([pad, low, pad]), w, np.maximum)
     return np.flatnonzero(best == grams)
