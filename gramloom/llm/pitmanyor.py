@@ -1,54 +1,59 @@
 """Language-model scores from a hierarchical Pitman-Yor model.
 
-Tokens are lower-cased words and one end per text.  Frequent words (a share of
-1 / ``HOT`` of the training tokens or more, so at most ``HOT`` of them) are
-classes of their own; all others are the class RARE.  The model is
+Tokens are lower-cased words and one end per text.  The model is
 
-* a context restaurant for each preceding class, over classes;
-* one root restaurant over classes, the parent all contexts share: it seats one
-  customer for each table of theirs; its base is uniform over classes;
-* a restaurant over rare words for the words of class RARE; its base is uniform
-  over the rare types and one unseen type.
+* a context restaurant for each preceding word (or the beginning of a text),
+  over words: every observed (context, word) pair has its seats;
+* one root restaurant over words, the parent all contexts share: it seats one
+  customer for each table of theirs; its base is uniform over the training types
+  and one unseen type.
 
-``P(word | before) = P(class | class before) * P(word | class)``, and predictive
-probabilities are averaged over ``SAMPLES`` seating samples after a burn-in.
+Predictive probabilities are averaged over ``SAMPLES`` seating samples after a
+burn-in.  A context that training never met has no customers and gives the
+root's probability.
 
 Seating is sampled by blocked Gibbs in the table-indicator form: a quarter of a
 dish's customers leaves (which of them head tables is hypergeometric) and
 returns in blocks, each customer opening a table with the Chinese-restaurant
 odds of that moment.  Restaurants sample in parallel against their parent's
-last state; the root then samples against the tables they sent.
-
-Counts of all words grow with the corpus and stay distributed.  Frequent words
-and class pairs are bounded by constants and are broadcast.  Rare words meet
-their counts in buckets: each task packs its (word, text, count) triples by
-word hash, so a bucket is a small number of binary rows, no word of it is
-frequent, and partial sums go back to the block of texts they came from.
+last state; the root then samples against the tables they sent.  A pair met once
+always has one table, so only pairs met twice or more are sampled.
+
+Words, contexts and pairs grow with the corpus and stay in distributed tables:
+a sweep brings each pair the tables of its context and the root probability of
+its word by joins, salted for frequent words.  Texts meet the probabilities of
+their pairs in buckets: each task packs its (pair, text, count) triples by pair
+hash, so a bucket is a small number of binary rows, and partial sums go back to
+the block of texts they came from.  Pairs of two frequent words (a share of
+1 / ``HOT`` of the training tokens or more, so at most ``HOT`` words) are
+broadcast with the same probabilities and stay out of the buckets: a shortcut
+that does not change the model.
 
 Defined results: null text is the empty text, one end token; a null doc_id is
-held out; repeated rows count each time.  Words are told apart by 64-bit hashes.
+held out; repeated rows count each time.  Words and pairs are told apart by
+64-bit hashes.
 """
 
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import materialize, spread
-from .textscan import NOT_SPACE, U, chunks, mix, words
+from .textscan import NOT_SPACE, R, U, chunks, mix, words
 
 HOT = 4096
 SAMPLES = 3
 BURN_IN = 2
 DISCOUNT, STRENGTH = 0.75, 1.0
-RARE_DISCOUNT, RARE_STRENGTH = 0.5, 10.0
 ADDED = 0.1
 BUCKET_TOKENS = 2_000_000
 SEED = 20240607
+END, BEGIN = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
+SALTS = 64
 
 
 def held_out(doc_id) -> bool:
@@ -62,34 +67,51 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(start, edge))), h
 
 
-def _summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    u, back = np.unique(code, return_inverse=True)
-    return u, np.bincount(back, weights=n, minlength=len(u)).astype(np.int64)
+def sequence(n_texts: int, doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word before, word) of every token, ends included, in order of text."""
+    size = np.bincount(doc, minlength=n_texts)
+    stop = np.cumsum(size + 1) - 1
+    word = np.full(len(h) + n_texts, END)
+    inner = np.ones(len(word), dtype=bool)
+    inner[stop] = False
+    word[inner] = h
+    before = np.concatenate([[BEGIN], word[:-1]])[: len(word)]
+    before[stop - size] = BEGIN
+    return np.repeat(np.arange(n_texts), size + 1), before, word
+
+
+def pair_code(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(mix(before) * R + word)
 
 
-def _counted(docs: DataFrame, codes, room: int = 1 << 21) -> DataFrame:
-    """``code, c`` summed over all texts; tasks sum before they send. codes(texts) gives the codes of a chunk."""
+def _summed(u: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    _, first, back = np.unique(pair_code(u, w), return_index=True, return_inverse=True)
+    return u[first], w[first], np.bincount(back, weights=c, minlength=len(first)).astype(np.int64)
+
+
+def _pairs(docs: DataFrame, room: int = 1 << 20) -> DataFrame:
+    """``u, w, c``: training count of every pair of the texts, 0 where only held-out texts have it; tasks sum before they send."""
 
     def run(batches):
         held, total = [], 0
         for ids, texts in chunks(batches):
-            kept = [t for i, t in zip(ids, texts, strict=True) if not held_out(i)]
-            u, n = np.unique(codes(kept), return_counts=True)
-            held.append((u, n))
-            total += len(u)
+            where, u, w = sequence(len(texts), *tokens(texts))
+            learn = np.array([not held_out(i) for i in ids], dtype=np.int64)
+            held.append(_summed(u, w, learn[where]))
+            total += len(held[-1][0])
             if total > room:
-                u, n = _summed(*map(np.concatenate, zip(*held, strict=True)))
-                held, total = [(u, n)], len(u)
+                held = [_summed(*map(np.concatenate, zip(*held, strict=True)))]
+                total = len(held[0][0])
                 if total > room // 2:
-                    yield batch(u, n)
+                    yield batch(*held[0])
                     held, total = [], 0
         if held:
             yield batch(*_summed(*map(np.concatenate, zip(*held, strict=True))))
 
-    def batch(u, n):
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], names=["code", "c"])
+    def batch(u, w, c):
+        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(w.view(np.int64)), pa.array(c)], names=["u", "w", "c"])
 
-    return docs.mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
+    return docs.mapInArrow(run, "u long, w long, c long").groupBy("u", "w").agg(F.sum("c").alias("c"))
 
 
 SINGLY, BLOCKS = 24, 24
@@ -131,77 +153,146 @@ def resample(rng, c: np.ndarray, t: np.ndarray, odds: np.ndarray, discount: floa
     return np.minimum(add(rng, c - m, stay, m, odds, discount), c)
 
 
-def _sweep(sweep: int, shared):
-    """One Gibbs sweep over the context restaurants of a group."""
+def _large(batches, rows: int = 1 << 16):
+    """Arrow batches joined to tables of about ``rows`` rows."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
 
-    def run(_, table):
-        parent, opened = shared.value
-        table = table.sort_by([("u", "ascending"), ("w", "ascending")])
-        u, w, c, t, e = (table.column(x).to_numpy() for x in ("u", "w", "c", "t", "e"))
-        rng = np.random.default_rng([SEED, sweep, int(u[0])])
-        odds = (STRENGTH + DISCOUNT * opened[u]) * parent[w]
-        t = add(rng, np.zeros_like(c), np.zeros_like(t), c, odds, DISCOUNT) if sweep == 0 else resample(rng, c, t, odds, DISCOUNT)
-        kept = e + (c - DISCOUNT * t) if sweep >= BURN_IN else e
-        return pa.table({"u": u, "w": w, "c": c, "t": t, "e": kept})
+def _rng(sweep: int, *first):
+    return np.random.default_rng([SEED, sweep, *(int(x) & 0xFFFFFFFFFFFFFFFF for x in first)])
+
+
+def _sweep(sweep: int):
+    """One Gibbs sweep over the pairs of context restaurants."""
+
+    def run(batches):
+        for table in _large(batches):
+            table = table.sort_by([("u", "ascending"), ("w", "ascending")])
+            u, w, c, t, e, opened, parent = (table.column(x).to_numpy() for x in ("u", "w", "c", "t", "e", "opened", "p"))
+            rng, odds = _rng(sweep, u[0], w[0]), (STRENGTH + DISCOUNT * opened) * parent
+            t = add(rng, np.zeros_like(c), np.zeros_like(t), c, odds, DISCOUNT) if sweep == 0 else resample(rng, c, t, odds, DISCOUNT)
+            e = e + (c - DISCOUNT * t) / SAMPLES if sweep >= BURN_IN else e
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u, w, c, t, e)], names=["u", "w", "c", "t", "e"])
 
     return run
 
 
+def _root_sweep(sweep: int, odds: float):
+    """Tables of the root for the customers sent to it."""
+
+    def run(batches):
+        for table in _large(batches):
+            table = table.sort_by("w")
+            w, sent = table.column("w").to_numpy(), table.column("sent").to_numpy()
+            t = add(_rng(sweep, w[0]), np.zeros_like(sent), np.zeros_like(sent), sent, np.full(len(sent), odds), DISCOUNT)
+            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(sent), pa.array(t)], names=["w", "sent", "t_root"])
+
+    return run
+
+
+def _meet(rows: DataFrame, table: DataFrame, key: str, other: str, hot: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``table`` by ``key``; rows of a frequent word spread over ``SALTS`` keys."""
+    flag = F.broadcast(hot.select(F.col("code").alias(key), F.lit(True).alias("frequent")))
+    salt = F.when(F.col("frequent"), F.pmod(F.xxhash64(other), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    salts = F.explode(F.when(F.col("frequent"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))
+    left = rows.join(flag, key, "left").withColumn("salt", salt).drop("frequent")
+    right = table.join(flag, key, "left").withColumn("salt", salts).drop("frequent")
+    return left.join(right, [key, "salt"]).drop("salt")
+
+
+class Seats:
+    """Sampled seating of all restaurants, in distributed tables.
+
+    ``pairs(u, w, e)`` (e: averaged customers less discounted tables),
+    ``contexts(u, customers, o0 ..)`` and ``words(w, c, r0 ..)``: tables of a
+    context and root probability of a word in each sample.
+    """
+
+    def __init__(self, pairs: DataFrame, contexts: DataFrame, counts: DataFrame, hot: DataFrame, types: int):
+        k = types + 1
+        state = pairs.where("c > 1").select("u", "w", "c", F.lit(0).cast("long").alias("t"), F.lit(0.0).alias("e"))
+        samples, t_root = [], 0
+        for sweep in range(BURN_IN + SAMPLES):
+            if sweep == 0:
+                rows = state.withColumn("opened", F.lit(0).cast("long")).withColumn("p", F.lit(1.0 / k))
+            else:
+                rows = _meet(_meet(state, contexts.select("u", "opened"), "u", "w", hot), root.select("w", "p"), "w", "u", hot)  # noqa: F821
+            state = materialize(rows.select("u", "w", "c", "t", "e", "opened", "p").mapInArrow(_sweep(sweep), "u long, w long, c long, t long, e double"), "seating")
+            kept = [f"o{i}" for i in samples], [f"r{i}" for i in samples]
+            now = len(samples)
+            by_u = state.groupBy("u").agg(F.sum("t").alias("more"))
+            tables = F.col("once") + F.coalesce("more", F.lit(0))
+            extra = [tables.alias(f"o{now}")] if sweep >= BURN_IN else []
+            contexts = materialize(contexts.join(by_u, "u", "left").select("u", "customers", "once", tables.alias("opened"), *kept[0], *extra), "contexts")
+            by_w = state.groupBy("w").agg(F.sum("t").alias("more"))
+            sent = counts.join(by_w, "w", "left").select("w", (F.col("once") + F.coalesce("more", F.lit(0))).alias("sent"))
+            seated = materialize(sent.mapInArrow(_root_sweep(sweep, (STRENGTH + DISCOUNT * t_root) / k), "w long, sent long, t_root long"), "root")
+            customers, t_root = seated.agg(F.coalesce(F.sum("sent"), F.lit(0)), F.coalesce(F.sum("t_root"), F.lit(0))).first()
+            root = seated.select("w", ((F.col("sent") - DISCOUNT * F.col("t_root") + (STRENGTH + DISCOUNT * t_root) / k) / (STRENGTH + customers)).alias("p"))
+            if sweep >= BURN_IN:
+                counts = materialize(counts.join(root, "w").select("w", "c", "once", *kept[1], F.col("p").alias(f"r{now}")), "words")
+                samples.append(now)
+        few = pairs.where("c <= 1").select("u", "w", (F.col("c") * (1 - DISCOUNT)).alias("e"))
+        self.pairs, self.contexts, self.words = state.select("u", "w", "e").unionByName(few), contexts, counts
+
+    def log10(self, hot: DataFrame) -> DataFrame:
+        """``u, w, p, c``: log10 of the averaged P(w | u) of every pair of the texts, and the training count of w."""
+        scale = STRENGTH + F.col("customers")
+        back = sum((STRENGTH + DISCOUNT * F.col(f"o{k}")) * F.col(f"r{k}") for k in range(SAMPLES)) / SAMPLES
+        met = _meet(_meet(self.pairs, self.contexts.drop("once", "opened"), "u", "w", hot), self.words.drop("once"), "w", "u", hot)
+        return met.select("u", "w", F.log10((F.col("e") + back) / scale).alias("p"), "c")
+
+
 class Classes:
-    """Bounded part of the model: frequent words and class pairs."""
+    """The model as far as it concerns frequent words, for broadcast; all others are lumped as RARE."""
 
-    def __init__(self, hot: np.ndarray, hot_counts: np.ndarray):
+    def __init__(self, hot: np.ndarray, hot_counts: np.ndarray, ends: int):
         order = np.argsort(hot)
-        self.hot, self.hot_counts = hot[order], hot_counts[order]
+        self.hot = hot[order]
         self.rare, self.end, self.begin = len(hot), len(hot) + 1, len(hot) + 2
+        self.counts = np.append(hot_counts[order], [0, ends, 0])
 
     def of(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.hot):
-            return np.full(len(h), self.rare)
-        at = np.minimum(np.searchsorted(self.hot, h), len(self.hot) - 1)
-        return np.where(self.hot[at] == h, at, self.rare)
-
-    def sequence(self, n_texts: int, doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, class before, class) of every token, ends included, in order of text."""
-        size = np.bincount(doc, minlength=n_texts)
-        stop = np.cumsum(size + 1) - 1
-        cls = np.full(len(h) + n_texts, self.end)
-        word = np.ones(len(cls), dtype=bool)
-        word[stop] = False
-        cls[word] = self.of(h)
-        before = np.concatenate([[self.begin], cls[:-1]])[: len(cls)]
-        before[stop - size] = self.begin
-        return np.repeat(np.arange(n_texts), size + 1), before, cls
-
-    def seat(self, pairs: DataFrame) -> None:
-        """Sample the seating of all context restaurants in Spark, and of the root, SAMPLES times."""
-        k, spark = self.end + 1, pairs.sparkSession
-        root = np.full(k, 1.0 / k)
-        tables = np.zeros(k + 1)
-        state = pairs.select(F.expr(f"code div {k}").alias("u"), F.expr(f"code % {k}").alias("w"), "c", F.lit(0).cast("long").alias("t"), F.lit(0.0).alias("e"))
-        self.back, self.root = np.zeros((k + 1, SAMPLES)), np.zeros((k, SAMPLES))
-        t_root = np.zeros(k, dtype=np.int64)
-        parts = max(1, min(spark.sparkContext.defaultParallelism, k // 64))
-        for sweep in range(BURN_IN + SAMPLES):
-            shared = spark.sparkContext.broadcast((root, tables))
-
-            state = state.withColumn("part", F.pmod(F.xxhash64("u"), F.lit(parts)))
-            state = materialize(state.groupBy("part").applyInArrow(_sweep(sweep, shared), "u long, w long, c long, t long, e double"), "seating")
-            sums = lambda key: np.array(state.groupBy(key).agg(F.sum("t"), F.sum("c")).collect(), dtype=np.int64).reshape(-1, 3)  # noqa: B023, E731
-            tables, customers, sent = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k, dtype=np.int64)
-            by_u, by_w = sums("u"), sums("w")
-            tables[by_u[:, 0]], customers[by_u[:, 0]] = by_u[:, 1], by_u[:, 2]
-            sent[by_w[:, 0]] = by_w[:, 1]
-            rng = np.random.default_rng([SEED, sweep])
-            odds = np.full(k, (STRENGTH + DISCOUNT * t_root.sum()) / k)
-            t_root = add(rng, np.zeros(k), np.zeros(k), sent, odds, DISCOUNT)
-            root = (sent - DISCOUNT * t_root + (STRENGTH + DISCOUNT * t_root.sum()) / k) / (STRENGTH + sent.sum())
-            if sweep >= BURN_IN:
-                self.back[:, sweep - BURN_IN] = (STRENGTH + DISCOUNT * tables) / (STRENGTH + customers)
-                self.root[:, sweep - BURN_IN] = root
-        rows = state.select((F.col("u") * k + F.col("w")).alias("code"), "e").toPandas().sort_values("code")
-        self.pair, self.kept = rows["code"].to_numpy(np.int64), rows["e"].to_numpy(float) / SAMPLES
-        self.scale = STRENGTH + customers
+        found = np.full(len(h), self.rare)
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, h), len(self.hot) - 1)
+            found = np.where(self.hot[at] == h, at, self.rare)
+        return np.where(h == END, self.end, np.where(h == BEGIN, self.begin, found))
+
+    def codes(self) -> list[tuple[int, int]]:
+        """(hash, class) of everything but RARE."""
+        h = np.append(self.hot, [END, BEGIN])
+        return list(zip(h.view(np.int64).tolist(), self.of(h).tolist(), strict=True))
+
+    def seat(self, seats: Seats) -> None:
+        """Collect the seats of frequent words; those of all others are summed in Spark."""
+        k, spark = self.end + 1, seats.pairs.sparkSession
+        table = spark.createDataFrame(self.codes(), "code long, class long")
+
+        def lumped(df, *keys):
+            for key in keys:
+                df = df.join(F.broadcast(table.select(F.col("code").alias(key), F.col("class").alias(f"{key}_class"))), key, "left").withColumn(f"{key}_class", F.coalesce(f"{key}_class", F.lit(self.rare)))
+            return df.groupBy(*[f"{key}_class" for key in keys])
+
+        n, customers, opened, self.root = np.zeros(k + 1), np.zeros(k + 1), np.zeros((k + 1, SAMPLES)), np.zeros((k, SAMPLES))
+        for r in lumped(seats.contexts, "u").agg(F.count("*"), F.sum("customers"), *[F.sum(f"o{i}") for i in range(SAMPLES)]).collect():
+            n[r[0]], customers[r[0]], opened[r[0]] = r[1], r[2], r[3:]
+        for r in lumped(seats.words, "w").agg(*[F.sum(f"r{i}") for i in range(SAMPLES)]).where(F.col("w_class") != self.rare).collect():
+            self.root[r[0]] = r[1:]
+        self.root[self.rare] = 1 - self.root.sum(axis=0)
+        strength = STRENGTH * np.maximum(n, 1)
+        self.scale = strength + customers
+        self.back = (strength[:, None] + DISCOUNT * opened) / self.scale[:, None]
+        rows = lumped(seats.pairs, "u", "w").agg(F.sum("e").alias("e")).select((F.col("u_class") * k + F.col("w_class")).alias("code"), "e").toPandas().sort_values("code")
+        self.pair, self.kept = rows["code"].to_numpy(np.int64), rows["e"].to_numpy(float)
 
     def log10(self, before: np.ndarray, cls: np.ndarray) -> np.ndarray:
         """log10 of the averaged P(class | class before)."""
@@ -213,41 +304,6 @@ class Classes:
         return np.log10(p)
 
 
-def rare_seating(counts: DataFrame) -> tuple[DataFrame, np.ndarray, int, int]:
-    """``code, c, e`` of the rare words (e: averaged customers less discounted tables), tables of each sample, customers, types."""
-    n, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    base = 1.0 / (types + 1)
-
-    def sample(c, code, open_, first, count):
-        rng = np.random.default_rng([SEED, first, int(code[0] & 0xFFFFFFFF), len(code)])
-        odds = np.full(len(c), (RARE_STRENGTH + RARE_DISCOUNT * open_) * base)
-        t = add(rng, np.zeros_like(c), np.zeros_like(c), c, odds, RARE_DISCOUNT)
-        for _ in range(count):
-            yield t
-            t = resample(rng, c, t, odds, RARE_DISCOUNT)
-
-    def opened(batches):
-        for b in batches:
-            c, code = b.column(1).to_numpy(), b.column(0).to_numpy()
-            if len(c):
-                yield pa.RecordBatch.from_pydict({"t": pa.array([int(next(sample(c, code, types, 0, 1)).sum())], pa.int64())})
-
-    counts = counts.select("code", "c")
-    open_ = counts.mapInArrow(opened, "t long").agg(F.sum("t")).first()[0] or 0
-
-    def seated(batches):
-        for b in batches:
-            c, code = b.column(1).to_numpy(), b.column(0).to_numpy()
-            if len(c):
-                ts = list(sample(c, code, open_, 1, BURN_IN + SAMPLES))[BURN_IN:]
-                e = c - RARE_DISCOUNT * np.mean(ts, axis=0)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(e), *map(pa.array, ts)], names=["code", "c", "e", *(f"t{k}" for k in range(SAMPLES))])
-
-    rare = materialize(counts.mapInArrow(seated, "code long, c long, e double, " + ", ".join(f"t{k} long" for k in range(SAMPLES))), "rare")
-    sums = rare.agg(*[F.coalesce(F.sum(f"t{k}"), F.lit(0)) for k in range(SAMPLES)]).first()
-    return rare.select("code", "c", "e"), np.array(sums, dtype=float), n, types
-
-
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _HEAD = np.dtype([("doc", "<i8"), ("null", "?"), ("n", "<i8"), ("known", "<i8"), ("base", "<f8"), ("score", "<f8")])
 _WORD = np.dtype([("code", "<u8"), ("doc", "<u4"), ("n", "<u4")])
@@ -258,22 +314,19 @@ def score(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """Scores of every row of ``docs(doc_id, text)``; see ``RESULT``."""
     docs = spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     spark = docs.sparkSession
-    counts = materialize(_counted(docs, lambda texts: tokens(texts)[1]), "counts")
-    ends = docs.where(F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % 10 != 0).count()
-    n_words, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    total, vocabulary = n_words + ends, types + (ends > 0)
+    pairs = materialize(_pairs(docs), "pairs")
+    once = F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("once")
+    counts = materialize(pairs.groupBy("w").agg(F.sum("c").alias("c"), once), "counts")
+    contexts = materialize(pairs.groupBy("u").agg(F.sum("c").alias("customers"), once), "contexts")
+    total, vocabulary = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    end = F.col("w") == F.lit(int(END.view(np.int64)))
+    ends = counts.where(end).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     least = max(1, -(-total // hot))
-    frequent = counts.where(F.col("c") >= least).collect()  # at most `hot` rows
-    classes = Classes(np.array([r.code for r in frequent], dtype=np.int64).view(np.uint64), np.array([r.c for r in frequent], dtype=np.int64))
-    shared = spark.sparkContext.broadcast(classes)
-
-    def pair_codes(texts):
-        known = shared.value
-        _, before, cls = known.sequence(len(texts), *tokens(texts)) if texts else (0, np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return (before * (known.end + 1) + cls).astype(np.int64).view(np.uint64)
-
-    classes.seat(_counted(docs, pair_codes))
-    rare, opened, rare_customers, rare_types = rare_seating(counts.where(F.col("c") < least))
+    frequent = counts.where(~end & (F.col("c") >= least)).collect()  # at most `hot` rows
+    classes = Classes(np.array([r.w for r in frequent], dtype=np.int64).view(np.uint64), np.array([r.c for r in frequent], dtype=np.int64), ends)
+    codes = spark.createDataFrame(classes.codes(), "code long, class long")
+    seats = Seats(pairs, contexts, counts, codes, vocabulary)
+    classes.seat(seats)
     model = spark.sparkContext.broadcast(classes)
     buckets = max(1, -(-total // BUCKET_TOKENS))
     floor, log_base = total + ADDED * (vocabulary + 1), lambda c: np.log10((c + ADDED) / floor)
@@ -282,19 +335,19 @@ def score(docs: DataFrame, hot: int = HOT) -> DataFrame:
         known, block = model.value, TaskContext.get().partitionId() << 32
         for ids, texts in chunks(batches):
             block += 1
-            doc, h = tokens(texts)
-            where, before, cls = known.sequence(len(texts), doc, h)
-            count = np.append(known.hot_counts, [0, ends])[cls]
-            own = cls != known.rare
+            where, u, w = sequence(len(texts), *tokens(texts))
+            before, cls = known.of(u), known.of(w)
+            own = (before != known.rare) & (cls != known.rare)
+            here, count = where[own], known.counts[cls[own]]
             head = np.zeros(len(ids), dtype=_HEAD)
             head["doc"], head["null"] = [i or 0 for i in ids], [i is None for i in ids]
             head["n"] = np.bincount(where, minlength=len(ids))
-            head["known"] = np.bincount(where, weights=own & (count > 0), minlength=len(ids))
-            head["base"] = np.bincount(where, weights=np.where(own, log_base(count), 0), minlength=len(ids))
-            head["score"] = np.bincount(where, weights=known.log10(before, cls), minlength=len(ids))
-            rare_at = known.of(h) == known.rare
-            order = np.lexsort((doc[rare_at], h[rare_at]))
-            code, d = h[rare_at][order], doc[rare_at][order]
+            head["known"] = np.bincount(here, weights=count > 0, minlength=len(ids))
+            head["base"] = np.bincount(here, weights=log_base(count), minlength=len(ids))
+            head["score"] = np.bincount(here, weights=known.log10(before[own], cls[own]), minlength=len(ids))
+            code, d = pair_code(u[~own], w[~own]), where[~own]
+            order = np.lexsort((d, code))
+            code, d = code[order], d[order]
             fresh = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (d[1:] != d[:-1])])) if len(code) else np.zeros(0, np.int64)
             word = np.zeros(len(fresh), dtype=_WORD)
             word["code"], word["doc"], word["n"] = code[fresh], d[fresh], np.diff(np.append(fresh, len(code)))
@@ -309,22 +362,19 @@ def score(docs: DataFrame, hot: int = HOT) -> DataFrame:
     def look_up(_, texts, table):
         code = table.column("code").to_numpy().view(np.uint64)
         order = np.argsort(code)
-        code, c, e = code[order], table.column("c").to_numpy()[order], table.column("e").to_numpy()[order]
-        open_part = (RARE_STRENGTH + RARE_DISCOUNT * opened.mean()) / (rare_types + 1)
+        code, c, p = code[order], table.column("c").to_numpy()[order], table.column("p").to_numpy()[order]
         out = []
         for block, raw in zip(texts.column("block").to_pylist(), texts.column("words"), strict=True):
             if not raw.is_valid:
                 continue
             w = np.frombuffer(raw.as_buffer(), dtype=_WORD)
-            at = np.minimum(np.searchsorted(code, w["code"]), max(0, len(code) - 1))
-            hit = code[at] == w["code"] if len(code) else np.zeros(len(w), bool)
-            cw, ew = (np.where(hit, x[at], 0) if len(code) else np.zeros(len(w)) for x in (c, e))
+            at = np.searchsorted(code, w["code"])  # every pair of the texts is in the table
             docs_, back = np.unique(w["doc"], return_inverse=True)
             part = np.zeros(len(docs_), dtype=_PART)
             part["doc"] = docs_
-            part["known"] = np.bincount(back, weights=w["n"] * hit)
-            part["base"] = np.bincount(back, weights=w["n"] * log_base(cw))
-            part["score"] = np.bincount(back, weights=w["n"] * np.log10((ew + open_part) / (RARE_STRENGTH + rare_customers)))
+            part["known"] = np.bincount(back, weights=w["n"] * (c[at] > 0))
+            part["base"] = np.bincount(back, weights=w["n"] * log_base(c[at]))
+            part["score"] = np.bincount(back, weights=w["n"] * p[at])
             out.append((block, part.tobytes()))
         heads = texts.filter(texts.column("head").is_valid())
         return pa.table({"block": pa.array([b for b, _ in out] + heads.column("block").to_pylist(), pa.int64()), "part": pa.array([x for _, x in out] + [None] * len(heads), pa.binary()),
@@ -342,19 +392,21 @@ def score(docs: DataFrame, hot: int = HOT) -> DataFrame:
         return pa.table([ids, out, pa.array(head["n"]), pa.array(head["known"]), pa.array([total] * len(head), pa.int64()), pa.array(head["base"]), pa.array(head["score"])], names=[x.split()[0] for x in RESULT.split(", ")])
 
     packed = docs.mapInArrow(pack, "bucket long, block long, words binary, head binary")
-    bucket_of = _bucket_column(buckets)
-    found = packed.groupBy("bucket").cogroup(rare.select(bucket_of.alias("bucket"), "code", "c", "e").groupBy("bucket")).applyInArrow(look_up, "block long, part binary, head binary")
+    table = seats.log10(codes).mapInArrow(_bucketed(buckets), "bucket long, code long, p double, c long")
+    found = packed.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(look_up, "block long, part binary, head binary")
     return found.groupBy("block").applyInArrow(gather, RESULT)
 
 
-def _bucket_column(buckets: int):
-    """The bucket of a word, as ``pack`` computes it."""
+def _bucketed(buckets: int):
+    """The code and bucket of a pair, as ``pack`` computes them."""
 
-    @F.pandas_udf("long")
-    def run(code: pd.Series) -> pd.Series:
-        return pd.Series((mix(code.to_numpy(np.int64).view(np.uint64)) % U(buckets)).astype(np.int64))
+    def run(batches):
+        for b in batches:
+            u, w = (b.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+            code = pair_code(u, w)
+            yield pa.RecordBatch.from_arrays([pa.array((mix(code) % U(buckets)).astype(np.int64)), pa.array(code.view(np.int64)), b.column(2), b.column(3)], names=["bucket", "code", "p", "c"])
 
-    return run(F.col("code"))
+    return run
 
 
 def perplexity(scored: DataFrame) -> DataFrame:

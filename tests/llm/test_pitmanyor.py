@@ -62,3 +62,14 @@ def test_odd_tables(spark):
     assert pitmanyor.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one = pitmanyor.score(spark.createDataFrame([(None, "a b"), (None, None), (1, ""), (1, "a")], "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.held_out, r.n_tokens) for r in one) == [(0, True, 1), (0, True, 3), (1, False, 1), (1, False, 2)]
+
+
+def test_rare_words_have_context_restaurants_of_their_own(spark):
+    texts = [(i, f"the a{i % 60} b{i % 60} of the b{(i * 7 + 1) % 60}") for i in range(600)]
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    few, all_ = ({r.doc_id: r for r in pitmanyor.score(table, hot).collect()} for hot in (8, 4096))
+    share = sum(r.n_tokens for r in few.values())
+    # b follows a for certain: about a sixth of the tokens gains log10(60) over a model that lumps rare contexts
+    assert sum(r.score - r.base_score for r in few.values()) / share > 0.7
+    # the bound of the broadcast does not change the model, but for sampling
+    assert abs(sum(few[i].score - all_[i].score for i in few)) / share < 0.01
