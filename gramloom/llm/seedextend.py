@@ -17,8 +17,7 @@ second bitmap of affected documents keeps other texts out of the last join.
 Bitmaps only thin the work: results are exact when they are full.  No pairs
 are formed: every occurrence is compared with the earliest one by ordering.
 
-Seeds and whole extensions are compared by 64-bit hashes; the windows of one
-seed by 40 further bits of their own hash.
+Seeds, whole extensions and windows are compared by 64-bit hashes, each whole.
 
 Defined results: null text has no words; rows with a null doc_id are returned
 unchanged and are nobody's partner; doc_id is the identity of a document (rows
@@ -42,7 +41,7 @@ from .textscan import NOT_SPACE, R, U, bitmap, chunks, is_set, kgrams, lows, mix
 WINDOW = 20
 GRAM = 8
 REACH = WINDOW - GRAM
-SPAN_BYTES = 5
+SPAN_BYTES = 8
 BITS = 29
 
 
@@ -134,7 +133,7 @@ def repeats(docs: DataFrame, spark) -> DataFrame:
             doc, at, seed, code, pos, left, right = (x[~later] for x in (doc, at, seed, code, pos, left, right))
             nearest, n = REACH - right, left + right - REACH + 1
             own = np.repeat(at - nearest + np.cumsum(n) - n, n) - np.arange(n.sum())  # starts of the own windows, nearest first
-            spans = kgrams(h, WINDOW)[own].view(np.uint8).reshape(-1, 8)[:, 8 - SPAN_BYTES :].tobytes()
+            spans = kgrams(h, WINDOW)[own].tobytes()
             offsets = np.concatenate([[0], np.cumsum(n * SPAN_BYTES)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
                 pa.array(seed.view(np.int64)), pa.array(code.view(np.int64)), pa.array(number[doc]), pa.array(pos * 4096 + left * 64 + right),

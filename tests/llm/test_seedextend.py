@@ -38,3 +38,18 @@ def test_empty_and_null_ids(spark):
     t = " ".join(f"w{i}" for i in range(30))
     df = spark.createDataFrame([(None, t), (5, t), (9, t)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.n_removed) for r in seedextend.drop_repeats(df).collect()) == [(0, 0), (5, 0), (9, 30)]
+
+
+def test_windows_of_a_seed_are_compared_by_their_whole_hash(spark, monkeypatch):
+    real, window = seedextend.kgrams, seedextend.WINDOW
+
+    def alike(h, n):
+        """Window hashes that differ in their lowest 24 bits only."""
+        return real(h, n) if n != window else real(h, n) & type(real(h, n)[0])(0xFFFFFF)
+
+    monkeypatch.setattr(seedextend, "kgrams", alike)
+    phrase = [f"p{k}" for k in range(8)]
+    rows = [(i, " ".join([f"l{i}x{k}" for k in range(12)] + phrase + [f"r{i}x{k}" for k in range(12)])) for i in range(6)]
+    rows.append((6, rows[2][1] + " more"))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in seedextend.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
