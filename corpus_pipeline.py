@@ -4,8 +4,9 @@ Every stage reads what its predecessor wrote and its decisions take effect:
 quality rules drop rejected documents, SimHash keeps the smallest doc_id of each
 near-duplicate group, decontamination drops documents that hold a benchmark
 window, the secret scan overwrites secrets with a mark of their kind, and the
-last stage encodes the text that is left.  Rows with a null doc_id have no
-identity to keep them apart by: near-dedup lets them pass.
+last stage encodes the text that is left.  Every row gets its own verdict: a
+null or repeated doc_id is judged by its own text, and one row of a
+near-duplicate group stays.
 """
 
 from __future__ import annotations
@@ -26,17 +27,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each near-duplicate group."""
-    found = simhash.near_duplicates(docs)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    """One row of each near-duplicate group, of the smallest doc_id."""
+    return simhash.one_of_each(docs, COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark window."""
-    found = winnowing.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.where("n_hit > 0").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    """Rows without any benchmark window."""
+    carry = tuple(c for c in COLUMNS if c != "doc_id")
+    found = winnowing.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=carry)
+    return found.where("n_hit = 0").select(*[F.col(n).cast(t) for n, t in docs.select(*COLUMNS).dtypes])
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,6 +47,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def with_carried(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """``doc_id, text`` in the operators' types, and the other columns named in ``carry``."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[c for c in carry if c not in ("doc_id", "text")])
+
+
+def carried_schema(docs: DataFrame, carry: tuple[str, ...]) -> str:
+    kinds = dict(docs.dtypes)
+    return "".join(f", {name} {kinds[name]}" for name in carry)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows ``(v, component)`` for every end of an edge.
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import components, materialize, spread
+from .scratch import carried_schema, components, materialize, spread, with_carried
 from .textscan import chunks
 
 SEED = 42
@@ -58,15 +58,20 @@ def fingerprint(raw: bytes, shingle: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id, fp`` (signed 64-bit) of every row of ``docs(doc_id, text)``."""
+def fingerprints(docs: DataFrame, shingle: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, fp`` (signed 64-bit) of every row of ``docs(doc_id, text)``, and the row's columns named in ``carry``."""
+    docs = with_carried(docs, carry)
 
     def run(batches):
-        for ids, texts in chunks(batches):
-            fp = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "fp": pa.array(fp)})
+        for batch in batches:
+            at = 0
+            for ids, texts in chunks(iter([batch])):
+                fp = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
+                own = {name: batch.column(name).slice(at, len(ids)) for name in carry}
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "fp": pa.array(fp), **own})
+                at += len(ids)
 
-    return spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, "doc_id long, fp long")
+    return spread(docs).mapInArrow(run, "doc_id long, fp long" + carried_schema(docs, carry))
 
 
 def _rotated(fp: Column, start: int) -> Column:
@@ -111,6 +116,12 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataF
     """One row per document: ``doc_id, fp, component_id`` (smallest doc_id linked to it by any path)."""
     marked = materialize(fingerprints(docs, shingle), "fingerprints")
     classes = materialize(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    per_class = linked(classes, radius)
+    return marked.join(per_class, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def linked(classes: DataFrame, radius: int) -> DataFrame:
+    """``fp, component_id`` of every row of ``classes(fp, rep)``: the smallest ``rep`` linked to it by any path."""
     pairs = close_pairs(classes.select("fp"), radius)
     edges = (
         pairs.join(classes.select(F.col("fp").alias("fp_a"), F.col("rep").alias("a")), "fp_a")
@@ -118,8 +129,23 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataF
         .select("a", "b")
     )
     found = components(edges)
-    per_class = classes.join(found, classes.rep == found.v, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return marked.join(per_class, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return classes.join(found, classes.rep == found.v, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, columns: list[str], radius: int = 3, shingle: int = 3) -> DataFrame:
+    """``columns`` of one row of each near-duplicate group: of smallest doc_id (nulls last), whichever of its rows comes first.
+
+    Rows are told apart by a number written beside them, so null and repeated doc_ids link and go like any other.
+    """
+    carry = tuple(c for c in columns if c != "doc_id")
+    marked = materialize(fingerprints(docs, shingle, carry).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    classes = materialize(marked.groupBy("fp").agg(F.min("row").alias("rep"), first.alias("first")), "classes")
+    per_class = materialize(linked(classes.select("fp", "rep"), radius), "linked")
+    kept = classes.join(per_class, "fp").groupBy("component_id").agg(F.min("first").alias("first")).select("component_id", F.col("first.row").alias("kept"))
+    verdict = per_class.join(kept, "component_id").select("fp", "kept")
+    gone = marked.select("fp", "row").join(verdict, "fp").where("row <> kept").select(F.col("row").alias("gone"))
+    return marked.join(gone, F.col("row") == F.col("gone"), "left_anti").select(*[F.col(n).cast(t) for n, t in docs.select(*columns).dtypes])
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import spread
+from .scratch import carried_schema, spread, with_carried
 from .textscan import ALNUM, U, chunks, kgrams, sliding, winnow, words
 
 WINDOW = 10
@@ -128,28 +128,32 @@ def window_rows(span: np.ndarray) -> np.ndarray:
     return flat[:: span.shape[1]]
 
 
-def _result(ids, found):
+def _result(ids, found, own):
     a, b, c = zip(*found, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "items"])
+    return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(a, pa.int64()), "n_hit": pa.array(b, pa.int64()), "items": pa.array(c, pa.list_(pa.string())), **own})
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """``doc_id, n_words, n_hit, items`` of every row of ``docs(doc_id, text)``."""
-    docs = spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, n_words, n_hit, items`` of every row of ``docs(doc_id, text)``, and the row's columns named in ``carry``."""
+    docs = spread(with_carried(docs, carry))
+    schema = RESULT + carried_schema(docs, carry)
     rows = item_rows(benchmark)
     if rows.limit(broadcast_windows + 1).count() > broadcast_windows:
-        return _joined(docs, rows)
+        return _joined(docs, rows, carry, schema)
     table = rows.toPandas()
     known = docs.sparkSession.sparkContext.broadcast(Windows(table.item_id, table.length, table.window, table.seed))
 
     def run(batches):
-        for ids, texts in chunks(batches):
-            yield _result(ids, hits(texts, known.value))
+        for batch in batches:
+            at = 0
+            for ids, texts in chunks(iter([batch])):
+                yield _result(ids, hits(texts, known.value), {name: batch.column(name).slice(at, len(ids)) for name in carry})
+                at += len(ids)
 
-    return docs.mapInArrow(run, RESULT)
+    return docs.mapInArrow(run, schema)
 
 
-def _joined(docs: DataFrame, rows: DataFrame) -> DataFrame:
+def _joined(docs: DataFrame, rows: DataFrame, carry: tuple[str, ...], schema: str) -> DataFrame:
     """The way for benchmarks beyond the broadcast bound: fingerprints meet in a join, then each document gets the windows it shares seeds with."""
     docs = docs.withColumn("row", F.monotonically_increasing_id())
     lengths = [r.length for r in rows.select("length").distinct().collect()]  # ten values at most
@@ -177,11 +181,12 @@ def _joined(docs: DataFrame, rows: DataFrame) -> DataFrame:
                 cols = list(zip(*((w["item_id"], w["length"], w["window"], w["seed"]) for w in known or ()), strict=True)) or [[], [], [], []]
                 found += hits([t.as_buffer().to_pybytes() if t.is_valid else b""], Windows(*cols))
             if ids:
-                yield _result(ids, found)
+                yield _result(ids, found, {name: batch.column(name) for name in carry})
 
     shared = docs.select("doc_id", "text", "row").mapInArrow(seeds, "row long, seed long").join(rows, "seed").select("row", "item_id", "length", "window", "seed").distinct()
     known = shared.groupBy("row").agg(F.collect_list(F.struct("item_id", "length", "window", "seed")).alias("known"))
-    return docs.join(known, "row", "left").select("doc_id", "text", "known").mapInArrow(run, RESULT)
+    others = [c for c in carry if c not in ("doc_id", "text")]
+    return docs.join(known, "row", "left").select("doc_id", "text", "known", *others).mapInArrow(run, schema)
 
 
 def op6_winnowing(spark, sf_dir: str) -> DataFrame:

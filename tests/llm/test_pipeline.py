@@ -48,3 +48,16 @@ def test_stages_keep_the_columns_of_documents(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, none, str(tmp_path))
         assert out.dtypes == none.dtypes and out.count() == 0
+
+
+def test_each_row_gets_its_own_verdict(spark, tmp_path):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    spark.createDataFrame([(1, " ".join(a.split()[8:22]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    table = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    order = lambda df: sorted(((r.doc_id or 0, r.text, r.lang, r.source, r.n_chars) for r in df.collect()))
+    got = order(corpus_pipeline.decontaminate(spark, table([(None, a), (1, a), (1, b), (None, b), (2, c)]), str(tmp_path)))
+    assert got == [(i, t, "en", "s", len(t)) for i, t in [(0, b), (1, b), (2, c)]]
+    got = order(corpus_pipeline.near_dedup(spark, table([(None, a), (None, a), (None, b), (5, b), (5, b), (9, b), (7, c)]), str(tmp_path)))
+    assert got == [(i, t, "en", "s", len(t)) for i, t in [(0, a), (5, b), (7, c)]]
+    found = test_winnowing.winnowing.contamination(table([(None, a), (1, a), (1, b)]), spark.read.parquet(f"{tmp_path}/benchmark.parquet"), 0, ("text", "n_chars"))
+    assert sorted((r.n_hit, r.text, r.n_chars) for r in found.collect()) == [(0, b, len(b)), (14, a, len(a)), (14, a, len(a))]
