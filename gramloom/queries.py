@@ -21,6 +21,7 @@ from .types import Matrix, Vector
 
 N = 25
 SMALL = 8
+LARGE = 300  # more rows than a block of a solve
 LONG = 1 << 40  # indexes of the long vectors are order keys, below this
 
 
@@ -119,6 +120,17 @@ class Operands:
     def rhs(self) -> Matrix:
         return Matrix.of(self.b.cells().where(F.col("i") < SMALL), SMALL, N)
 
+    def whole_t(self, n: int = N) -> Matrix:
+        """Lower triangle with pivots 4 over all nations, or over customers by their keys modulo n."""
+        cells = self.a.cells() if n == N else self.table("customer").groupBy((F.col("c_custkey") % n).alias("i"), F.expr(f"(c_custkey div {n} * 53 + c_custkey % {n} * 7) % {n}").alias("j")).agg(F.count("*").cast("double").alias("v"))
+        below = cells.where("i > j").select("i", "j", (F.col("v") % 3).alias("v"))
+        return Matrix.of(below.unionByName(self.spark.range(n).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(4.0).alias("v"))), n, n)
+
+    @property
+    def large_x(self) -> Vector:
+        """Customers by key modulo LARGE."""
+        return Vector.of(self.table("customer").groupBy((F.col("c_custkey") % LARGE).alias("i")).agg(F.count("*").alias("v")), LARGE)
+
 
 #: Operands in SQL, all cells spelled out.
 SQL = """
@@ -287,6 +299,14 @@ Q: dict[str, tuple[Callable[[Operands], DataFrame], str | None]] = {
     "l3_trmm": (lambda o: l3.trmm("L", "L", "N", "N", 2, o.a, o.b).df, L1(f"SELECT i, j, 2 * v AS v FROM ({_mm('SELECT * FROM a WHERE i >= j', 'SELECT * FROM b')})")),
     "l3_trsm": (lambda o: solve.trsm("L", "L", "N", "N", 2, o.t, o.rhs).df, None),
     "l3_trsm_right": (lambda o: solve.trsm("R", "L", "T", "N", 1, o.t, Matrix(o.rhs.op("T").df, N, SMALL)).df, None),
+    # solves over the whole triangle of nations, and one of more than a block; no SQL, as sums are not exact: tests multiply back
+    "l2_trsv_whole": (lambda o: solve.trsv("L", "N", "N", o.whole_t(), o.x).df, None),
+    "l2_trsv_t_whole": (lambda o: solve.trsv("L", "T", "N", o.whole_t(), o.x).df, None),
+    "l2_tbsv_whole": (lambda o: solve.tbsv("L", "N", "N", 2, o.whole_t(), o.x).df, None),
+    "l2_tpsv_whole": (lambda o: solve.tpsv("L", "N", "N", layout.to_packed(o.whole_t(), "L"), o.x).df, None),
+    "l3_trsm_whole": (lambda o: solve.trsm("L", "L", "N", "N", 2, o.whole_t(), o.b).df, None),
+    "l3_trsm_right_whole": (lambda o: solve.trsm("R", "L", "T", "N", 1, o.whole_t(), o.b.op("T")).df, None),
+    "l2_trsv_blocks": (lambda o: solve.trsv("L", "N", "N", o.whole_t(LARGE), o.large_x).df, None),
     "l3_array_gram": (lambda o: l3.array_gram(o.table("embeddings"), "embedding", 64).select("i", "j", ((F.floor(F.col("v") * 1000 + 0.5) + 0) / 1000).alias("v")), None),
 }
 
