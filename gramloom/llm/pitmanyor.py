@@ -5,55 +5,58 @@ Tokens are lower-cased words and one end per text.  The model is
 * a context restaurant for each preceding word (or the beginning of a text),
   over words: every observed (context, word) pair has its seats;
 * one root restaurant over words, the parent all contexts share: it seats one
-  customer for each table of theirs; its base is uniform over the training types
-  and one unseen type.
+  customer for each table of theirs;
+* its base, uniform over the training types and one unseen type.
 
 Predictive probabilities are averaged over ``SAMPLES`` seating samples after a
 burn-in.  A context that training never met has no customers and gives the
-root's probability.
+root's probability.  Discounts follow from the counts of counts, n1 / (n1 + 2 n2),
+of pairs and of words.
 
 Seating is sampled by blocked Gibbs in the table-indicator form: a quarter of a
 dish's customers leaves (which of them head tables is hypergeometric) and
 returns in blocks, each customer opening a table with the Chinese-restaurant
 odds of that moment.  Restaurants sample in parallel against their parent's
 last state; the root then samples against the tables they sent.  A pair met once
-always has one table, so only pairs met twice or more are sampled.
-
-Words, contexts and pairs grow with the corpus and stay in distributed tables:
-a sweep brings each pair the tables of its context and the root probability of
-its word by joins, salted for frequent words.  Texts meet the probabilities of
-their pairs in buckets: each task packs its (pair, text, count) triples by pair
-hash, so a bucket is a small number of binary rows, and partial sums go back to
-the block of texts they came from.  Pairs of two frequent words (a share of
-1 / ``HOT`` of the training tokens or more, so at most ``HOT`` words) are
-broadcast with the same probabilities and stay out of the buckets: a shortcut
-that does not change the model.
+always has one table, so a context's tables and a word's customers at the root
+are its count less what its repeated pairs save: only pairs met twice are kept.
+
+Form.  Texts lie in written blocks.  Words and repeated pairs belong to owners
+by hash (see ``exchange``): an owner holds arrays of its own keys, sized by the
+input, so no table of words, contexts or pairs is broadcast, and a frequent word
+or context is one entry per block or owner.  Counting runs over ``ROUNDS`` ranges of owners,
+scoring over ``PARTS`` of the blocks, one after the other: constants that bound
+the disk in use, not the work.  In a sweep, owners of pairs tell owners of words
+what their pairs save, owners of words seat the root and answer with tables and
+probabilities.  To score, blocks ask owners for their distinct words and pairs.
+
+Random numbers are seeded by owner and sweep, and owners depend on the input
+alone, so scores do not depend on partitions or executors.
 
 Defined results: null text is the empty text, one end token; a null doc_id is
-held out; repeated rows count each time.  Words and pairs are told apart by
-64-bit hashes.
+held out; repeated rows count each time; texts of any length are one row of one
+block; extra columns are ignored.  Words and pairs are told apart by 64-bit
+hashes.
 """
 
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize, spread
-from .textscan import NOT_SPACE, R, U, chunks, mix, words
+from .exchange import BLOCK_BYTES, OWNER_BYTES, arrays, blocks, dealt, joined, owner, owners_of, packed, unpacked
+from .scratch import discard, materialize, spread
+from .textscan import NOT_SPACE, R, U, mix, words
 
-HOT = 4096
 SAMPLES = 3
 BURN_IN = 2
-DISCOUNT, STRENGTH = 0.75, 1.0
+STRENGTH = 1.0
 ADDED = 0.1
-BUCKET_TOKENS = 2_000_000
+ROUNDS, PARTS = 2, 3
 SEED = 20240607
 END, BEGIN = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
-SALTS = 64
 
 
 def held_out(doc_id) -> bool:
@@ -84,34 +87,79 @@ def pair_code(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(mix(before) * R + word)
 
 
-def _summed(u: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    _, first, back = np.unique(pair_code(u, w), return_index=True, return_inverse=True)
-    return u[first], w[first], np.bincount(back, weights=c, minlength=len(first)).astype(np.int64)
+def _heads(s: np.ndarray) -> np.ndarray:
+    """Places where a sorted array starts a new value."""
+    return np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+
+
+def _summed(codes: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(place of a first holder, sums of each count) by distinct code, in order of code."""
+    order = np.argsort(codes)
+    head = _heads(codes[order])
+    return order[head], *(np.add.reduceat(c[order], head) if len(head) else c[:0] for c in counts)
+
+
+def _read(batches):
+    """(ids, text index, word before, word) of every block."""
+    for block, ids, texts in unpacked(batches):
+        yield (block, ids, *sequence(len(texts), *tokens(texts)))
+
+
+def _send(schema: str, to: np.ndarray, **columns: np.ndarray):
+    rows = [{"owner": o, **{k: x[part] for k, x in columns.items()}} for o, part in dealt(to)]
+    return packed(schema, rows).to_batches() if rows else []
+
+
+def _learns(ids: list) -> np.ndarray:
+    return np.array([not held_out(i) for i in ids], dtype=np.int64)
 
 
-def _pairs(docs: DataFrame, room: int = 1 << 20) -> DataFrame:
-    """``u, w, c``: training count of every pair of the texts, 0 where only held-out texts have it; tasks sum before they send."""
+WORDS = "owner long, x binary, c binary, opened binary, kept binary"
+PAIRS = "owner long, u binary, w binary, c binary, t binary, told binary"
+_TOTALS = ", n long, types long, once long, twice long"
+
+
+def _word_owners(texts: DataFrame, owners: int) -> DataFrame:
+    """``WORDS`` and totals: every training word, and the beginning of texts, with its count."""
 
     def run(batches):
-        held, total = [], 0
-        for ids, texts in chunks(batches):
-            where, u, w = sequence(len(texts), *tokens(texts))
-            learn = np.array([not held_out(i) for i in ids], dtype=np.int64)
-            held.append(_summed(u, w, learn[where]))
-            total += len(held[-1][0])
-            if total > room:
-                held = [_summed(*map(np.concatenate, zip(*held, strict=True)))]
-                total = len(held[0][0])
-                if total > room // 2:
-                    yield batch(*held[0])
-                    held, total = [], 0
-        if held:
-            yield batch(*_summed(*map(np.concatenate, zip(*held, strict=True))))
-
-    def batch(u, w, c):
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(w.view(np.int64)), pa.array(c)], names=["u", "w", "c"])
-
-    return docs.mapInArrow(run, "u long, w long, c long").groupBy("u", "w").agg(F.sum("c").alias("c"))
+        for _, ids, where, _, w in _read(batches):
+            learn = _learns(ids)
+            first, c = _summed(w, learn[where])
+            x, c = np.append(w[first], BEGIN), np.append(c, learn.sum())
+            x, c = x[c > 0], c[c > 0]
+            yield from _send("owner long, x binary, c binary", owner(x, owners), x=x, c=c)
+
+    def own(key, table):
+        x = joined(table.column("x"), np.uint64)
+        first, c = _summed(x, joined(table.column("c"), np.int64))
+        x = x[first]
+        real = c[x != BEGIN]
+        none = np.zeros(0)
+        return packed(WORDS + _TOTALS, [{"owner": key[0].as_py(), "x": x, "c": c, "opened": none, "kept": none, "n": int(real.sum()), "types": len(real), "once": int((real == 1).sum()), "twice": int((real == 2).sum())}])
+
+    return materialize(texts.mapInArrow(run, "owner long, x binary, c binary").groupBy("owner").applyInArrow(own, WORDS + _TOTALS), "words")
+
+
+def _pair_owners(texts: DataFrame, owners: int, turn: int) -> DataFrame:
+    """``PAIRS`` and totals for the owners of one round: training pairs met twice, held-out texts included."""
+
+    def run(batches):
+        for _, ids, where, u, w in _read(batches):
+            code = pair_code(u, w)
+            mine = owner(code, owners) % ROUNDS == turn
+            code, u, w, learn = code[mine], u[mine], w[mine], _learns(ids)[where[mine]]
+            first, c, n = _summed(code, learn, np.ones_like(learn))
+            yield from _send("owner long, u binary, w binary, c binary", owner(code[first], owners), u=u[first], w=w[first], c=c * 2 + (n > c))
+
+    def own(key, table):
+        u, w, c = joined(table.column("u"), np.uint64), joined(table.column("w"), np.uint64), joined(table.column("c"), np.int64)
+        first, c, held = _summed(pair_code(u, w), c >> 1, c & 1)
+        kept = (c > 0) & (c + held > 1)
+        zero = np.zeros(int(kept.sum()), np.int64)
+        return packed(PAIRS + _TOTALS, [{"owner": key[0].as_py(), "u": u[first[kept]], "w": w[first[kept]], "c": c[kept], "t": zero, "told": zero, "once": int((c == 1).sum()), "twice": int((c == 2).sum())}])
+
+    return materialize(texts.mapInArrow(run, "owner long, u binary, w binary, c binary").groupBy("owner").applyInArrow(own, PAIRS + _TOTALS), "pairs")
 
 
 SINGLY, BLOCKS = 24, 24
@@ -153,260 +201,192 @@ def resample(rng, c: np.ndarray, t: np.ndarray, odds: np.ndarray, discount: floa
     return np.minimum(add(rng, c - m, stay, m, odds, discount), c)
 
 
-def _large(batches, rows: int = 1 << 16):
-    """Arrow batches joined to tables of about ``rows`` rows."""
-    held, n = [], 0
-    for b in batches:
-        held.append(b)
-        n += b.num_rows
-        if n >= rows:
-            yield pa.Table.from_batches(held)
-            held, n = [], 0
-    if n:
-        yield pa.Table.from_batches(held)
-
-
-def _rng(sweep: int, *first):
-    return np.random.default_rng([SEED, sweep, *(int(x) & 0xFFFFFFFFFFFFFFFF for x in first)])
-
+SEATED = PAIRS + ", src long, x binary, less_u binary, less_w binary"
+ANSWERED = WORDS + ", src long, sent long, tables long"
 
-def _sweep(sweep: int):
-    """One Gibbs sweep over the pairs of context restaurants."""
-
-    def run(batches):
-        for table in _large(batches):
-            table = table.sort_by([("u", "ascending"), ("w", "ascending")])
-            u, w, c, t, e, opened, parent = (table.column(x).to_numpy() for x in ("u", "w", "c", "t", "e", "opened", "p"))
-            rng, odds = _rng(sweep, u[0], w[0]), (STRENGTH + DISCOUNT * opened) * parent
-            t = add(rng, np.zeros_like(c), np.zeros_like(t), c, odds, DISCOUNT) if sweep == 0 else resample(rng, c, t, odds, DISCOUNT)
-            e = e + (c - DISCOUNT * t) / SAMPLES if sweep >= BURN_IN else e
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u, w, c, t, e)], names=["u", "w", "c", "t", "e"])
-
-    return run
 
+class Model:
+    """Seating of all restaurants: ``pairs`` (PAIRS) and ``words`` (WORDS, a row of ``opened`` and ``kept`` per sample).
 
-def _root_sweep(sweep: int, odds: float):
-    """Tables of the root for the customers sent to it."""
-
-    def run(batches):
-        for table in _large(batches):
-            table = table.sort_by("w")
-            w, sent = table.column("w").to_numpy(), table.column("sent").to_numpy()
-            t = add(_rng(sweep, w[0]), np.zeros_like(sent), np.zeros_like(sent), sent, np.full(len(sent), odds), DISCOUNT)
-            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(sent), pa.array(t)], names=["w", "sent", "t_root"])
-
-    return run
-
-
-def _meet(rows: DataFrame, table: DataFrame, key: str, other: str, hot: DataFrame) -> DataFrame:
-    """``rows`` with the columns of ``table`` by ``key``; rows of a frequent word spread over ``SALTS`` keys."""
-    flag = F.broadcast(hot.select(F.col("code").alias(key), F.lit(True).alias("frequent")))
-    salt = F.when(F.col("frequent"), F.pmod(F.xxhash64(other), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
-    salts = F.explode(F.when(F.col("frequent"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))
-    left = rows.join(flag, key, "left").withColumn("salt", salt).drop("frequent")
-    right = table.join(flag, key, "left").withColumn("salt", salts).drop("frequent")
-    return left.join(right, [key, "salt"]).drop("salt")
+    ``totals`` has the root's customers and tables of each sample.
+    """
 
+    def __init__(self, words_: DataFrame, pairs: DataFrame, owners: int):
+        self.words, self.pairs, self.owners, self.totals = words_, pairs, owners, []
+        count = lambda df: df.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "types", "once", "twice")]).first()
+        self.tokens, self.types, once, twice = count(words_)
+        discount = lambda once, twice: (once + 0.5) / (once + 2 * twice + 1)
+        self.root_discount, self.discount = discount(once, twice), discount(*count(pairs)[2:])
+        self.pairs, self.words = pairs.select(*[f.split()[0] for f in PAIRS.split(", ")]), words_.select(*[f.split()[0] for f in WORDS.split(", ")])
 
-class Seats:
-    """Sampled seating of all restaurants, in distributed tables.
+    def base(self, tables: int) -> float:
+        """What the root gives any type from its own base."""
+        return (STRENGTH + self.root_discount * tables) / (self.types + 1)
 
-    ``pairs(u, w, e)`` (e: averaged customers less discounted tables),
-    ``contexts(u, customers, o0 ..)`` and ``words(w, c, r0 ..)``: tables of a
-    context and root probability of a word in each sample.
-    """
-
-    def __init__(self, pairs: DataFrame, contexts: DataFrame, counts: DataFrame, hot: DataFrame, types: int):
-        k = types + 1
-        state = pairs.where("c > 1").select("u", "w", "c", F.lit(0).cast("long").alias("t"), F.lit(0.0).alias("e"))
-        samples, t_root = [], 0
+    def sample(self) -> None:
+        answers, sent, tables, old = None, 0, 0, []
         for sweep in range(BURN_IN + SAMPLES):
-            if sweep == 0:
-                rows = state.withColumn("opened", F.lit(0).cast("long")).withColumn("p", F.lit(1.0 / k))
-            else:
-                rows = _meet(_meet(state, contexts.select("u", "opened"), "u", "w", hot), root.select("w", "p"), "w", "u", hot)  # noqa: F821
-            state = materialize(rows.select("u", "w", "c", "t", "e", "opened", "p").mapInArrow(_sweep(sweep), "u long, w long, c long, t long, e double"), "seating")
-            kept = [f"o{i}" for i in samples], [f"r{i}" for i in samples]
-            now = len(samples)
-            by_u = state.groupBy("u").agg(F.sum("t").alias("more"))
-            tables = F.col("once") + F.coalesce("more", F.lit(0))
-            extra = [tables.alias(f"o{now}")] if sweep >= BURN_IN else []
-            contexts = materialize(contexts.join(by_u, "u", "left").select("u", "customers", "once", tables.alias("opened"), *kept[0], *extra), "contexts")
-            by_w = state.groupBy("w").agg(F.sum("t").alias("more"))
-            sent = counts.join(by_w, "w", "left").select("w", (F.col("once") + F.coalesce("more", F.lit(0))).alias("sent"))
-            seated = materialize(sent.mapInArrow(_root_sweep(sweep, (STRENGTH + DISCOUNT * t_root) / k), "w long, sent long, t_root long"), "root")
-            customers, t_root = seated.agg(F.coalesce(F.sum("sent"), F.lit(0)), F.coalesce(F.sum("t_root"), F.lit(0))).first()
-            root = seated.select("w", ((F.col("sent") - DISCOUNT * F.col("t_root") + (STRENGTH + DISCOUNT * t_root) / k) / (STRENGTH + customers)).alias("p"))
+            seated = materialize(self._seat(sweep, answers, sent, tables), "seated")
+            pairs, messages = seated.where("src is null").select(*self.pairs.columns), seated.where("src is not null").select("owner", "src", "x", "less_u", "less_w")
+            rooted = materialize(self._root(sweep, messages, tables), "rooted")
+            discard(*old)
+            old = [seated, rooted]
+            sent, tables = rooted.agg(F.coalesce(F.sum("sent"), F.lit(0)), F.coalesce(F.sum("tables"), F.lit(0))).first()
+            self.pairs, self.words = pairs, rooted.where("src is null").select(*self.words.columns)
+            answers = rooted.where("src is not null").select("owner", "src", "opened", "kept")
             if sweep >= BURN_IN:
-                counts = materialize(counts.join(root, "w").select("w", "c", "once", *kept[1], F.col("p").alias(f"r{now}")), "words")
-                samples.append(now)
-        few = pairs.where("c <= 1").select("u", "w", (F.col("c") * (1 - DISCOUNT)).alias("e"))
-        self.pairs, self.contexts, self.words = state.select("u", "w", "e").unionByName(few), contexts, counts
-
-    def log10(self, hot: DataFrame) -> DataFrame:
-        """``u, w, p, c``: log10 of the averaged P(w | u) of every pair of the texts, and the training count of w."""
-        scale = STRENGTH + F.col("customers")
-        back = sum((STRENGTH + DISCOUNT * F.col(f"o{k}")) * F.col(f"r{k}") for k in range(SAMPLES)) / SAMPLES
-        met = _meet(_meet(self.pairs, self.contexts.drop("once", "opened"), "u", "w", hot), self.words.drop("once"), "w", "u", hot)
-        return met.select("u", "w", F.log10((F.col("e") + back) / scale).alias("p"), "c")
-
-
-class Classes:
-    """The model as far as it concerns frequent words, for broadcast; all others are lumped as RARE."""
-
-    def __init__(self, hot: np.ndarray, hot_counts: np.ndarray, ends: int):
-        order = np.argsort(hot)
-        self.hot = hot[order]
-        self.rare, self.end, self.begin = len(hot), len(hot) + 1, len(hot) + 2
-        self.counts = np.append(hot_counts[order], [0, ends, 0])
-
-    def of(self, h: np.ndarray) -> np.ndarray:
-        found = np.full(len(h), self.rare)
-        if len(self.hot):
-            at = np.minimum(np.searchsorted(self.hot, h), len(self.hot) - 1)
-            found = np.where(self.hot[at] == h, at, self.rare)
-        return np.where(h == END, self.end, np.where(h == BEGIN, self.begin, found))
-
-    def codes(self) -> list[tuple[int, int]]:
-        """(hash, class) of everything but RARE."""
-        h = np.append(self.hot, [END, BEGIN])
-        return list(zip(h.view(np.int64).tolist(), self.of(h).tolist(), strict=True))
-
-    def seat(self, seats: Seats) -> None:
-        """Collect the seats of frequent words; those of all others are summed in Spark."""
-        k, spark = self.end + 1, seats.pairs.sparkSession
-        table = spark.createDataFrame(self.codes(), "code long, class long")
-
-        def lumped(df, *keys):
-            for key in keys:
-                df = df.join(F.broadcast(table.select(F.col("code").alias(key), F.col("class").alias(f"{key}_class"))), key, "left").withColumn(f"{key}_class", F.coalesce(f"{key}_class", F.lit(self.rare)))
-            return df.groupBy(*[f"{key}_class" for key in keys])
-
-        n, customers, opened, self.root = np.zeros(k + 1), np.zeros(k + 1), np.zeros((k + 1, SAMPLES)), np.zeros((k, SAMPLES))
-        for r in lumped(seats.contexts, "u").agg(F.count("*"), F.sum("customers"), *[F.sum(f"o{i}") for i in range(SAMPLES)]).collect():
-            n[r[0]], customers[r[0]], opened[r[0]] = r[1], r[2], r[3:]
-        for r in lumped(seats.words, "w").agg(*[F.sum(f"r{i}") for i in range(SAMPLES)]).where(F.col("w_class") != self.rare).collect():
-            self.root[r[0]] = r[1:]
-        self.root[self.rare] = 1 - self.root.sum(axis=0)
-        strength = STRENGTH * np.maximum(n, 1)
-        self.scale = strength + customers
-        self.back = (strength[:, None] + DISCOUNT * opened) / self.scale[:, None]
-        rows = lumped(seats.pairs, "u", "w").agg(F.sum("e").alias("e")).select((F.col("u_class") * k + F.col("w_class")).alias("code"), "e").toPandas().sort_values("code")
-        self.pair, self.kept = rows["code"].to_numpy(np.int64), rows["e"].to_numpy(float)
-
-    def log10(self, before: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        """log10 of the averaged P(class | class before)."""
-        code = before * (self.end + 1) + cls
-        p = (self.back[before] * self.root[cls]).mean(axis=1)
-        if len(self.pair):
-            at = np.minimum(np.searchsorted(self.pair, code), len(self.pair) - 1)
-            p = p + np.where(self.pair[at] == code, self.kept[at], 0) / self.scale[before]
-        return np.log10(p)
+                self.totals.append((sent, tables))
+        self.last = old
+
+    def _seat(self, sweep: int, answers: DataFrame | None, sent: int, tables: int) -> DataFrame:
+        """One Gibbs sweep over the pairs of context restaurants, and what they tell the owners of words."""
+        owners, discount, base, first = self.owners, self.discount, self.base(tables), answers is None
+
+        def run(key, mine, told_by):
+            rows = []
+            for number, u, w, c, t, told in zip(mine.column("owner").to_pylist(), *(arrays(mine.column(k), d) for k, d in (("u", np.uint64), ("w", np.uint64), ("c", np.int64), ("t", np.int64), ("told", np.int64))), strict=True):
+                x, back = np.unique(np.concatenate([u, w]), return_inverse=True)
+                at_u, at_w = back[: len(u)], back[len(u) :]
+                to = dealt(owner(x, owners))
+                opened, p = np.zeros(len(x)), np.full(len(x), base)
+                if told_by is not None:
+                    places, kept = dict(to), np.zeros(len(x))
+                    for src, o, k in zip(told_by.column("src").to_pylist(), arrays(told_by.column("opened"), float), arrays(told_by.column("kept"), float), strict=True):
+                        opened[places[src]], kept[places[src]] = o, k
+                    p = (kept + base) / (STRENGTH + sent)
+                rng, odds = np.random.default_rng([SEED, sweep, number]), (STRENGTH + discount * opened[at_u]) * p[at_w]
+                t = add(rng, np.zeros_like(c), np.zeros_like(c), c, odds, discount) if told_by is None else resample(rng, c, t, odds, discount)
+                rows.append({"owner": number, "u": u, "w": w, "c": c, "t": t, "told": told + t * (sweep >= BURN_IN)})
+                less_u, less_w = (np.bincount(at, weights=c - t, minlength=len(x)).astype(np.int64) for at in (at_u, at_w))
+                rows += [{"owner": o, "src": number, "x": x[part], "less_u": less_u[part], "less_w": less_w[part]} for o, part in to]
+            return packed(SEATED, rows)
+
+        mine = self.pairs.groupBy("owner")
+        return mine.applyInArrow(lambda key, own: run(key, own, None), SEATED) if first else mine.cogroup(answers.groupBy("owner")).applyInArrow(run, SEATED)
+
+    def _root(self, sweep: int, messages: DataFrame, tables: int) -> DataFrame:
+        """Seats of the root for the customers sent to it, and the answers to the owners of pairs."""
+        odds, discount = self.base(tables), self.root_discount
+
+        def run(key, mine, told):
+            rows = []
+            for number, x, c, old_opened, old_kept in zip(mine.column("owner").to_pylist(), *(arrays(mine.column(k), d) for k, d in (("x", np.uint64), ("c", np.int64), ("opened", float), ("kept", float))), strict=True):
+                opened, sent, places = np.where(x == END, 0, c), np.where(x == BEGIN, 0, c), []
+                for asked, less_u, less_w in zip(*(arrays(told.column(k), d) for k, d in (("x", np.uint64), ("less_u", np.int64), ("less_w", np.int64))), strict=True):
+                    places.append(np.searchsorted(x, asked))  # every training word is here
+                    opened[places[-1]] -= less_u
+                    sent[places[-1]] -= less_w
+                zero = np.zeros_like(sent)
+                t = add(np.random.default_rng([SEED, sweep, number, 1]), zero, zero, sent, np.full(len(sent), odds), discount)
+                kept = sent - discount * t
+                now = (np.concatenate([old_opened, opened]), np.concatenate([old_kept, kept])) if sweep >= BURN_IN else (old_opened, old_kept)
+                rows.append({"owner": number, "x": x, "c": c, "opened": now[0].astype(float), "kept": now[1], "sent": int(sent.sum()), "tables": int(t.sum())})
+                rows += [{"owner": src, "src": number, "opened": opened[at].astype(float), "kept": kept[at]} for src, at in zip(told.column("src").to_pylist(), places, strict=True)]
+            return packed(ANSWERED, rows)
+
+        return self.words.groupBy("owner").cogroup(messages.groupBy("owner")).applyInArrow(run, ANSWERED)
+
+    def shelves(self) -> DataFrame:
+        """``owner, code, value``: what owners answer when texts are scored; owners of words are numbered after those of pairs."""
+        owners, discount, schema = self.owners, self.discount, "owner long, code binary, value binary"
+
+        def of_pairs(batches):
+            for b in batches:
+                for o, u, w, c, told in zip(b.column("owner").to_pylist(), *(arrays(b.column(k), d) for k, d in (("u", np.uint64), ("w", np.uint64), ("c", np.int64), ("told", np.int64))), strict=True):
+                    yield from packed(schema, [{"owner": o, "code": pair_code(u, w), "value": c - discount * told / SAMPLES}]).to_batches()
+
+        def of_words(batches):
+            for b in batches:
+                for o, x, c, opened, kept in zip(b.column("owner").to_pylist(), *(arrays(b.column(k), d) for k, d in (("x", np.uint64), ("c", np.int64), ("opened", float), ("kept", float))), strict=True):
+                    value = np.concatenate([c[None, :].astype(float), opened.reshape(SAMPLES, -1), kept.reshape(SAMPLES, -1)]).T
+                    yield from packed(schema, [{"owner": o + owners, "code": x, "value": np.ascontiguousarray(value)}]).to_batches()
+
+        return self.pairs.mapInArrow(of_pairs, schema).union(self.words.mapInArrow(of_words, schema))
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-_HEAD = np.dtype([("doc", "<i8"), ("null", "?"), ("n", "<i8"), ("known", "<i8"), ("base", "<f8"), ("score", "<f8")])
-_WORD = np.dtype([("code", "<u8"), ("doc", "<u4"), ("n", "<u4")])
-_PART = np.dtype([("doc", "<u4"), ("known", "<u4"), ("base", "<f8"), ("score", "<f8")])
-
-
-def score(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """Scores of every row of ``docs(doc_id, text)``; see ``RESULT``."""
-    docs = spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    spark = docs.sparkSession
-    pairs = materialize(_pairs(docs), "pairs")
-    once = F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("once")
-    counts = materialize(pairs.groupBy("w").agg(F.sum("c").alias("c"), once), "counts")
-    contexts = materialize(pairs.groupBy("u").agg(F.sum("c").alias("customers"), once), "contexts")
-    total, vocabulary = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    end = F.col("w") == F.lit(int(END.view(np.int64)))
-    ends = counts.where(end).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    least = max(1, -(-total // hot))
-    frequent = counts.where(~end & (F.col("c") >= least)).collect()  # at most `hot` rows
-    classes = Classes(np.array([r.w for r in frequent], dtype=np.int64).view(np.uint64), np.array([r.c for r in frequent], dtype=np.int64), ends)
-    codes = spark.createDataFrame(classes.codes(), "code long, class long")
-    seats = Seats(pairs, contexts, counts, codes, vocabulary)
-    classes.seat(seats)
-    model = spark.sparkContext.broadcast(classes)
-    buckets = max(1, -(-total // BUCKET_TOKENS))
-    floor, log_base = total + ADDED * (vocabulary + 1), lambda c: np.log10((c + ADDED) / floor)
-
-    def pack(batches):
-        known, block = model.value, TaskContext.get().partitionId() << 32
-        for ids, texts in chunks(batches):
-            block += 1
-            where, u, w = sequence(len(texts), *tokens(texts))
-            before, cls = known.of(u), known.of(w)
-            own = (before != known.rare) & (cls != known.rare)
-            here, count = where[own], known.counts[cls[own]]
-            head = np.zeros(len(ids), dtype=_HEAD)
-            head["doc"], head["null"] = [i or 0 for i in ids], [i is None for i in ids]
-            head["n"] = np.bincount(where, minlength=len(ids))
-            head["known"] = np.bincount(here, weights=count > 0, minlength=len(ids))
-            head["base"] = np.bincount(here, weights=log_base(count), minlength=len(ids))
-            head["score"] = np.bincount(here, weights=known.log10(before[own], cls[own]), minlength=len(ids))
-            code, d = pair_code(u[~own], w[~own]), where[~own]
-            order = np.lexsort((d, code))
-            code, d = code[order], d[order]
-            fresh = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (d[1:] != d[:-1])])) if len(code) else np.zeros(0, np.int64)
-            word = np.zeros(len(fresh), dtype=_WORD)
-            word["code"], word["doc"], word["n"] = code[fresh], d[fresh], np.diff(np.append(fresh, len(code)))
-            to = (mix(word["code"]) % U(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            edge = np.searchsorted(to[order], np.arange(buckets + 1))
-            rows = [(b, word[order[edge[b] : edge[b + 1]]].tobytes()) for b in range(buckets) if edge[b + 1] > edge[b]]
-            rows.append((block % buckets, None))
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in rows], pa.int64()), "block": pa.array([block] * len(rows), pa.int64()),
-                                              "words": pa.array([x for _, x in rows], pa.binary()), "head": pa.array([None] * (len(rows) - 1) + [head.tobytes()], pa.binary())})
-
-    def look_up(_, texts, table):
-        code = table.column("code").to_numpy().view(np.uint64)
-        order = np.argsort(code)
-        code, c, p = code[order], table.column("c").to_numpy()[order], table.column("p").to_numpy()[order]
-        out = []
-        for block, raw in zip(texts.column("block").to_pylist(), texts.column("words"), strict=True):
-            if not raw.is_valid:
-                continue
-            w = np.frombuffer(raw.as_buffer(), dtype=_WORD)
-            at = np.searchsorted(code, w["code"])  # every pair of the texts is in the table
-            docs_, back = np.unique(w["doc"], return_inverse=True)
-            part = np.zeros(len(docs_), dtype=_PART)
-            part["doc"] = docs_
-            part["known"] = np.bincount(back, weights=w["n"] * (c[at] > 0))
-            part["base"] = np.bincount(back, weights=w["n"] * log_base(c[at]))
-            part["score"] = np.bincount(back, weights=w["n"] * p[at])
-            out.append((block, part.tobytes()))
-        heads = texts.filter(texts.column("head").is_valid())
-        return pa.table({"block": pa.array([b for b, _ in out] + heads.column("block").to_pylist(), pa.int64()), "part": pa.array([x for _, x in out] + [None] * len(heads), pa.binary()),
-                         "head": pa.array([None] * len(out) + heads.column("head").to_pylist(), pa.binary())})
-
-    def gather(_, table):
-        head = np.concatenate([np.frombuffer(x.as_buffer(), dtype=_HEAD) for x in table.column("head") if x.is_valid])
-        for x in table.column("part"):
-            if x.is_valid:
-                part = np.frombuffer(x.as_buffer(), dtype=_PART)
-                for name in ("known", "base", "score"):
-                    head[name][part["doc"]] += part[name].astype(head[name].dtype)
-        ids = pa.array(head["doc"], mask=head["null"])
-        out = pa.array([held_out(i) for i in ids.to_pylist()], pa.bool_())
-        return pa.table([ids, out, pa.array(head["n"]), pa.array(head["known"]), pa.array([total] * len(head), pa.int64()), pa.array(head["base"]), pa.array(head["score"])], names=[x.split()[0] for x in RESULT.split(", ")])
-
-    packed = docs.mapInArrow(pack, "bucket long, block long, words binary, head binary")
-    table = seats.log10(codes).mapInArrow(_bucketed(buckets), "bucket long, code long, p double, c long")
-    found = packed.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(look_up, "block long, part binary, head binary")
-    return found.groupBy("block").applyInArrow(gather, RESULT)
-
-
-def _bucketed(buckets: int):
-    """The code and bucket of a pair, as ``pack`` computes them."""
 
-    def run(batches):
-        for b in batches:
-            u, w = (b.column(k).to_numpy().view(np.uint64) for k in (0, 1))
-            code = pair_code(u, w)
-            yield pa.RecordBatch.from_arrays([pa.array((mix(code) % U(buckets)).astype(np.int64)), pa.array(code.view(np.int64)), b.column(2), b.column(3)], names=["bucket", "code", "p", "c"])
 
-    return run
+def _scored(texts: DataFrame, shelves: DataFrame, model: Model) -> DataFrame:
+    """Rows of ``RESULT`` for the texts of some blocks."""
+    owners, discount, total, types = model.owners, model.discount, model.tokens, model.types
+    base = np.array([model.base(t) for _, t in model.totals])
+    scale = np.array([STRENGTH + n for n, _ in model.totals])
+    log_base = lambda c: np.log10((c + ADDED) / (total + ADDED * (types + 1)))
+
+    def asked(u, w):
+        """Distinct words and pairs with the place of each token's, and the owners asked."""
+        x, back = np.unique(np.concatenate([u, w]), return_inverse=True)
+        code, at = np.unique(pair_code(u, w), return_inverse=True)
+        return x, back[: len(u)], back[len(u) :], code, at, dealt(owner(code, owners)), dealt(owner(x, owners))
+
+    def ask(batches):
+        for block, _, _, u, w in _read(batches):
+            x, _, _, code, _, pairs, words_ = asked(u, w)
+            rows = [{"owner": o, "block": block, "code": code[part]} for o, part in pairs] + [{"owner": o + owners, "block": block, "code": x[part]} for o, part in words_]
+            yield from packed("owner long, block long, code binary", rows).to_batches()
+
+    def answer(key, questions, shelf):
+        width = 1 if key[0].as_py() < owners else 1 + 2 * SAMPLES
+        code = joined(shelf.column("code"), np.uint64)
+        value = np.concatenate([joined(shelf.column("value"), float).reshape(-1, width), np.full((1, width), np.nan)])
+        rows = []
+        for block, wanted in zip(questions.column("block").to_pylist(), arrays(questions.column("code"), np.uint64), strict=True):
+            at = np.searchsorted(code, wanted)
+            at[at < len(code)] = np.where(code[at[at < len(code)]] == wanted[at < len(code)], at[at < len(code)], len(code))
+            rows.append({"owner": key[0].as_py(), "block": block, "value": value[at]})
+        return packed("owner long, block long, value binary", rows)
+
+    def score_block(key, mine, answers):
+        for _, ids, where, u, w in _read([mine]):
+            x, at_u, at_w, code, at, pairs, words_ = asked(u, w)
+            found = dict(zip(answers.column("owner").to_pylist(), arrays(answers.column("value"), float), strict=True))
+            seats, stat = np.full(len(code), np.nan), np.zeros((len(x), 1 + 2 * SAMPLES))
+            for o, part in pairs:
+                seats[part] = found[o]
+            for o, part in words_:
+                stat[part] = np.nan_to_num(found[o + owners].reshape(-1, 1 + 2 * SAMPLES))
+            c = np.where(x == BEGIN, 0, stat[:, 0])[at_w]
+            customers = np.where(x == END, 0, stat[:, 0])[at_u]
+            opened, root = stat[:, 1 : 1 + SAMPLES], (stat[:, 1 + SAMPLES :] + base) / scale
+            back = ((STRENGTH + discount * opened[at_u]) * root[at_w]).mean(axis=1)
+            learn = _learns(ids)
+            own = np.where(np.isnan(seats[at]), (1 - discount) * learn[where], seats[at])  # a training pair that no owner keeps is met once, here
+            p = np.log10((own + back) / (STRENGTH + customers))
+            sums = lambda v: pa.array(np.bincount(where, weights=v, minlength=len(ids)))
+            whole = lambda v: sums(v).cast(pa.int64())
+            columns = [pa.array(ids, pa.int64()), pa.array(learn == 0), whole(np.ones(len(where))), whole(c > 0), pa.array([total] * len(ids), pa.int64()), sums(log_base(c)), sums(p)]
+            return pa.table(columns, names=[f.split()[0] for f in RESULT.split(", ")])
+        return pa.table({f.split()[0]: pa.array([], {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}[f.split()[1]]) for f in RESULT.split(", ")})
+
+    questions = texts.mapInArrow(ask, "owner long, block long, code binary")
+    answers = questions.groupBy("owner").cogroup(shelves.groupBy("owner")).applyInArrow(answer, "owner long, block long, value binary")
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score_block, RESULT)
+
+
+def score(docs: DataFrame, each: int = OWNER_BYTES, block: int = BLOCK_BYTES) -> DataFrame:
+    """Scores of every row of ``docs(doc_id, text)``; see ``RESULT``.
+
+    ``block``: bytes of text in a block; ``each``: bytes for which there is an owner of words and of pairs.
+    """
+    texts = blocks(spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))), block)
+    owners = owners_of(texts, each)
+    counted = [_word_owners(texts, owners), *[_pair_owners(texts, owners, turn) for turn in range(ROUNDS)]]
+    pairs = counted[1]
+    for more in counted[2:]:
+        pairs = pairs.union(more)
+    model = Model(counted[0], pairs, owners)
+    model.sample()
+    discard(*counted)
+    shelves = materialize(model.shelves(), "shelves")
+    discard(*model.last)
+    part = F.pmod(F.xxhash64("block"), F.lit(PARTS))
+    scores = [materialize(_scored(texts.where(part == k), shelves, model), "scores") for k in range(PARTS)]
+    discard(texts, shelves)
+    found = scores[0]
+    for more in scores[1:]:
+        found = found.union(more)
+    return found
 
 
 def perplexity(scored: DataFrame) -> DataFrame:

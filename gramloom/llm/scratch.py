@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -10,39 +12,77 @@ from pyspark.sql import functions as F
 
 
 _own: dict[str, str] = {}
+_written: set[str] = set()
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a fresh one of our own only where unset."""
+    """The cluster's shared folder (``spark.checkpoint.dir``); a fresh one of our own only under a local master where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is unset: executors and driver need a folder they share")
         app = spark.sparkContext.applicationId
-        found = _own.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="spark-gramloom-")
+        found = _own.get(app) or "file://" + tempfile.mkdtemp(prefix="spark-gramloom-")
         _own[app] = found
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
+@contextlib.contextmanager
+def _shuffles_dropped(spark: SparkSession):
+    """While a table is written, its own shuffle files go as soon as it is complete; the caller's setting returns."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
+def materialize(df: DataFrame, name: str, **options) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The table stays until ``discard`` or the end of the driver's Python, which removes all that are left.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gramloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.add(path)
+    with _shuffles_dropped(spark):
+        df.write.options(**options).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``materialize`` that nothing reads any more."""
+    for table in tables:
+        _remove(table.sparkSession, table.written_to)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _written.discard(path)
 
 
-TEXTS_PER_BATCH = 1000
+@atexit.register
+def _remove_all() -> None:
+    spark = SparkSession.getActiveSession()
+    for path in list(_written) if spark is not None else []:
+        with contextlib.suppress(Exception):  # the session may be gone already
+            _remove(spark, path)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Ready a table of texts for per-row work in Python.
+    """A scanned table of texts with a task per core at least, for per-row work in Python.
 
-    It gets a task per core when the input has fewer splits than cores, and the
-    session's Arrow batches are held to ``TEXTS_PER_BATCH`` rows: a batch of the
-    default 10,000 texts would have no useful bound in bytes.
+    Arrow batches need no setting of ours: Spark bounds them in bytes
+    (``spark.sql.execution.arrow.maxBytesPerBatch``), so long texts come a few at a time.
     """
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, TEXTS_PER_BATCH + 1):
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS_PER_BATCH)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

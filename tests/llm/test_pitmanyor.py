@@ -12,9 +12,9 @@ def words(text):
     return (text or "").encode().lower().split()
 
 
-@pytest.mark.parametrize("hot", [4096, 40])
-def test_base_and_counts(docs, rows, hot):
-    got = {r.doc_id: r for r in pitmanyor.score(docs, hot).collect()}
+@pytest.mark.parametrize("each", [1 << 23, 4000])
+def test_base_and_counts(docs, rows, each):
+    got = {r.doc_id: r for r in pitmanyor.score(docs, each, each).collect()}
     learn = {i: zlib.crc32(str(i).encode()) % 10 != 0 for i, _ in rows}
     c = Counter(w for i, t in rows if learn[i] for w in [*words(t), None])
     n, v = sum(c.values()), len(c)
@@ -32,15 +32,116 @@ def test_better_than_unigrams_on_held_out_text(spark):
     assert held.perplexity < held.base_perplexity
 
 
-def test_probabilities_sum_to_one(spark, docs, monkeypatch):
-    seen = {}
-    seat = pitmanyor.Classes.seat
-    monkeypatch.setattr(pitmanyor.Classes, "seat", lambda self, pairs: (seat(self, pairs), seen.update(model=self)))
-    pitmanyor.score(docs, 40)
-    m = seen["model"]
-    cls = np.arange(m.end + 1)
-    for before in range(m.begin + 1):
-        assert np.sum(10 ** m.log10(np.full(len(cls), before), cls)) == pytest.approx(1, abs=1e-9)
+class Plain:
+    """The model of a captured seating in plain dictionaries."""
+
+    def __init__(self, model, texts):
+        arr = lambda raw, kind: np.frombuffer(raw, dtype=kind).tolist()
+        self.m, self.stat, self.seats, self.once = model, {}, {}, Counter()
+        for r in model.words.collect():
+            opened, kept = (np.array(arr(x, float)).reshape(pitmanyor.SAMPLES, -1) for x in (r.opened, r.kept))
+            self.stat |= {x: (c, opened[:, i], kept[:, i]) for i, (x, c) in enumerate(zip(arr(r.x, np.uint64), arr(r.c, np.int64), strict=True))}
+        for r in model.pairs.collect():
+            self.seats |= {(u, w): c - model.discount * told / pitmanyor.SAMPLES for u, w, c, told in zip(*(arr(x, k) for x, k in ((r.u, np.uint64), (r.w, np.uint64), (r.c, np.int64), (r.told, np.int64))), strict=True)}
+        for t in texts:
+            self.once.update(self.pairs(t))
+
+    def pairs(self, text):
+        _, u, w = pitmanyor.sequence(1, *pitmanyor.tokens([(text or "").encode()]))
+        return list(zip(u.tolist(), w.tolist(), strict=True))
+
+    def p(self, u, w):
+        m, none = self.m, (0, np.zeros(pitmanyor.SAMPLES), np.zeros(pitmanyor.SAMPLES))
+        of_u, of_w = self.stat.get(u, none), self.stat.get(w, none)
+        own = self.seats.get((u, w), (1 - m.discount) if self.once[u, w] == 1 else 0)
+        total = 0
+        for k, (sent, tables) in enumerate(m.totals):
+            root = (of_w[2][k] + (pitmanyor.STRENGTH + m.root_discount * tables) / (m.types + 1)) / (pitmanyor.STRENGTH + sent)
+            total += (pitmanyor.STRENGTH + m.discount * of_u[1][k]) * root / pitmanyor.SAMPLES
+        return (own + total) / (pitmanyor.STRENGTH + (0 if u == int(pitmanyor.END) else of_u[0]))
+
+
+def captured(monkeypatch, table, *args):
+    seen, shelves = {}, pitmanyor.Model.shelves
+
+    def keep(model):
+        seen["model"] = model
+        model.words, model.pairs = (model.words.sparkSession.createDataFrame(t.collect(), t.schema) for t in (model.words, model.pairs))
+        return shelves(model)
+
+    monkeypatch.setattr(pitmanyor.Model, "shelves", keep)
+    return seen, {r.doc_id: r for r in pitmanyor.score(table, *args).collect()}
+
+
+def test_score_equals_plain_arithmetic_and_sums_to_one(docs, rows, monkeypatch):
+    seen, got = captured(monkeypatch, docs, 4000, 9000)
+    plain = Plain(seen["model"], [t for i, t in rows if not pitmanyor.held_out(i)])
+    for i, t in rows:
+        assert got[i].score == pytest.approx(sum(math.log10(plain.p(u, w)) for u, w in plain.pairs(t)), rel=1e-9)
+    vocabulary = [x for x in plain.stat if x != int(pitmanyor.BEGIN)] + [12345]
+    assert len(vocabulary) == seen["model"].types + 1
+    for u in [*list(plain.stat)[:40], int(pitmanyor.BEGIN), 777]:
+        if u != int(pitmanyor.END):
+            assert sum(plain.p(u, w) for w in vocabulary) == pytest.approx(1, abs=1e-9)
+
+
+def test_close_to_a_plain_gibbs_sampler(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [(i, " ".join(f"w{min(int(rng.zipf(1.6)), 40)}" for _ in range(12))) for i in range(300)]
+    seen, got = captured(monkeypatch, spark.createDataFrame(texts, "doc_id long, text string"), 2000, 5000)
+    m, plain = seen["model"], Plain(seen["model"], [])
+    learn = [plain.pairs(t) for i, t in texts if not pitmanyor.held_out(i)]
+    rest, draw = {}, np.random.default_rng(1)  # restaurants: dish -> sizes of its tables; the root is None
+
+    def p(u, w):
+        seats = rest.get(u, {})
+        n, k, mine = sum(map(sum, seats.values())), sum(map(len, seats.values())), seats.get(w, [])
+        d, parent = (m.root_discount, 1 / (m.types + 1)) if u is None else (m.discount, p(None, w))
+        return (sum(mine) - d * len(mine) + (1 + d * k) * parent) / (1 + n)
+
+    def sit(u, w):
+        seats = rest.setdefault(u, {})
+        d, parent, k = (m.root_discount, 1 / (m.types + 1), sum(map(len, seats.values()))) if u is None else (m.discount, p(None, w), sum(map(len, seats.values())))
+        mine = seats.setdefault(w, [])
+        odds = np.array([n - d for n in mine] + [(1 + d * k) * parent])
+        at = draw.choice(len(odds), p=odds / odds.sum())
+        if at == len(mine):
+            mine.append(0)
+            if u is not None:
+                sit(None, w)
+        mine[at] += 1
+
+    def leave(u, w):
+        mine = rest[u][w]
+        at = draw.choice(len(mine), p=np.array(mine) / sum(mine))
+        mine[at] -= 1
+        if not mine[at]:
+            mine.pop(at)
+            if u is not None:
+                leave(None, w)
+
+    customers = [x for t in learn for x in t]
+    for u, w in customers:
+        sit(u, w)
+    samples = []
+    for _ in range(4):
+        for u, w in customers:
+            leave(u, w)
+            sit(u, w)
+        samples.append({x: p(*x) for i, t in texts for x in plain.pairs(t)})
+    want = sum(math.log10(np.mean([s[x] for s in samples])) for i, t in texts for x in plain.pairs(t))
+    assert sum(r.score for r in got.values()) == pytest.approx(want, rel=0.01)
+
+
+def test_same_scores_under_any_number_of_partitions(spark, docs):
+    def run(partitions):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        return sorted((r.doc_id, r.score) for r in pitmanyor.score(docs.repartition(partitions), 4000, 9000).collect())
+
+    try:
+        assert run(3) == run(8)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
 
 
 def test_tables_follow_the_restaurant_law():
@@ -66,10 +167,6 @@ def test_odd_tables(spark):
 
 def test_rare_words_have_context_restaurants_of_their_own(spark):
     texts = [(i, f"the a{i % 60} b{i % 60} of the b{(i * 7 + 1) % 60}") for i in range(600)]
-    table = spark.createDataFrame(texts, "doc_id long, text string")
-    few, all_ = ({r.doc_id: r for r in pitmanyor.score(table, hot).collect()} for hot in (8, 4096))
-    share = sum(r.n_tokens for r in few.values())
+    got = pitmanyor.score(spark.createDataFrame(texts, "doc_id long, text string")).collect()
     # b follows a for certain: about a sixth of the tokens gains log10(60) over a model that lumps rare contexts
-    assert sum(r.score - r.base_score for r in few.values()) / share > 0.7
-    # the bound of the broadcast does not change the model, but for sampling
-    assert abs(sum(few[i].score - all_[i].score for i in few)) / share < 0.01
+    assert sum(r.score - r.base_score for r in got) / sum(r.n_tokens for r in got) > 0.7
