@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from .scratch import materialize
 from .textscan import U
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 OWNER_BYTES = 8 << 20
-ROW_GROUP = 32 << 20
+ROW_GROUP = 16 << 20
 
 
 def blocks(docs: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
@@ -51,7 +51,7 @@ def blocks(docs: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
             yield row()
 
     found = docs.mapInArrow(run, "block long, n_bytes long, ids array<long>, sizes array<long>, texts binary")
-    return materialize(found, "blocks", **{"parquet.block.size": ROW_GROUP})
+    return materialize(found, "blocks", **{"parquet.block.size": ROW_GROUP, "compression": "zstd"})
 
 
 def owners_of(table: DataFrame, each: int = OWNER_BYTES) -> int:

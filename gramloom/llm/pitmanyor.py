@@ -54,7 +54,7 @@ SAMPLES = 3
 BURN_IN = 2
 STRENGTH = 1.0
 ADDED = 0.1
-ROUNDS, PARTS = 2, 3
+ROUNDS, PARTS = 2, 4
 SEED = 20240607
 END, BEGIN = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 
@@ -316,9 +316,11 @@ def _scored(texts: DataFrame, shelves: DataFrame, model: Model) -> DataFrame:
 
     def asked(u, w):
         """Distinct words and pairs with the place of each token's, and the owners asked."""
-        x, back = np.unique(np.concatenate([u, w]), return_inverse=True)
+        x, at_w = np.unique(w, return_inverse=True)
+        at_u = np.where(u == BEGIN, len(x), np.concatenate([[0], at_w[:-1]])[: len(u)])  # a context is the word before
+        x = np.append(x, BEGIN)
         code, at = np.unique(pair_code(u, w), return_inverse=True)
-        return x, back[: len(u)], back[len(u) :], code, at, dealt(owner(code, owners)), dealt(owner(x, owners))
+        return x, at_u, at_w, code, at, dealt(owner(code, owners)), dealt(owner(x, owners))
 
     def ask(batches):
         for block, _, _, u, w in _read(batches):
