@@ -65,3 +65,12 @@ def same_as_sql():
         return len(a)
 
     return compare
+
+
+@pytest.fixture
+def few_partitions(spark):
+    """For operators of many small jobs."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 2)
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -1,9 +1,14 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from gramloom.llm import bwtmerge, ranges
+from gramloom.llm import bwtmerge
+
+pytestmark = pytest.mark.usefixtures("few_partitions")
 
 
 def brute(rows, n=400):
@@ -39,30 +44,57 @@ def texts(seed):
     return [(7 * i, t) for i, t in enumerate(out)]
 
 
-def run(spark, rows, parts):
+def run(spark, rows, parts, *sizes):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
-    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in bwtmerge.drop_repeats(df).collect()}
+    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in bwtmerge.drop_repeats(df, *sizes).collect()}
 
 
-@pytest.mark.parametrize("seed,spacing", [(1, 48), (2, 12), (3, 48), (4, 5)])
-def test_against_brute_force(spark, seed, spacing, monkeypatch):
-    monkeypatch.setattr(bwtmerge, "SPACING", spacing)
+@pytest.mark.parametrize("seed,block,each", [(1, 1 << 22, 1 << 23), (2, 3000, 2000), (3, 1, 5000), (4, 9000, 1 << 20)])
+def test_against_brute_force(spark, seed, block, each):
     rows = texts(seed)
-    want = brute(rows)
-    got = run(spark, rows, 3 + seed)
-    assert {k: v[:3] for k, v in got.items()} == {k: v[:3] for k, v in want.items()}
-    assert got == want
+    assert run(spark, rows, 3 + seed, block, each) == brute(rows)
 
 
 def test_corpus(spark, rows):
     assert run(spark, rows, 6) == brute(rows)
 
 
-def test_full_bitmaps_change_nothing(spark, monkeypatch):
-    monkeypatch.setattr(bwtmerge, "BITS", 10)
-    monkeypatch.setattr(ranges, "DOC_BITS", 9)
-    rows = texts(9)
-    assert run(spark, rows, 4) == brute(rows)
+@pytest.mark.parametrize("column,value", [("place", 0), ("size", 1)])
+def test_the_interleave_decides(spark, column, value, monkeypatch):
+    """Without the places, or the sizes, that passes give to intervals the result is another."""
+    placed = bwtmerge.placed
+
+    def broken(key, asks):
+        t = placed(key, asks)
+        flat = pa.array([np.full(len(x.as_py()) // 8, value, np.int64).tobytes() for x in t.column(column)], pa.binary())
+        return t.set_column(t.schema.get_field_index(column), column, flat)
+
+    rng = random.Random(6)
+    parts = ["".join(rng.choice("abcdefghij ") for _ in range(130)) for _ in range(24)]
+    rows = texts(1) + [(1000 + i, "".join(rng.sample(parts, 24))) for i in range(60)]  # the same phrases in other orders
+    want = brute(rows)
+    assert run(spark, rows, 3, 3000, 2000) == want
+    monkeypatch.setattr(bwtmerge, "placed", broken)
+    assert run(spark, rows, 3, 3000, 2000) != want
+
+
+def test_suffix_order_is_sorted():
+    rng = np.random.default_rng(3)
+    symbol, text = rng.integers(0, 3, 200).astype(np.uint64), np.sort(rng.integers(0, 9, 200))
+    suffix = lambda i: symbol[i:][text[i:] == text[i]].tolist()
+    order = bwtmerge.suffix_order(symbol, text)
+    assert [suffix(i) for i in order] == sorted(suffix(i) for i in range(200))
+
+
+def test_long_text_clashing_columns_and_repeated_rows(spark):
+    rng = random.Random(8)
+    long = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(60_000))
+    rows = [(1, long), (2, "x" + long[1000:1500]), (3, "y" * 399), (4, long[:350] + "Q"), (4, long[:350] + "Q"), (6, "once " + long[5000:5399])]
+    df = spark.createDataFrame([(i, t, 1, "s", t) for i, t in rows], "doc_id int, text string, n_bytes int, start string, block string")
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in bwtmerge.drop_repeats(df, 100_000, 50_000).collect())
+    assert got == [(1, len(long), 500, 1), (2, 501, 500, 1), (3, 399, 0, 0), (4, 351, 0, 0), (4, 351, 0, 0), (6, 404, 0, 0)]
+    shared = {r.doc_id: r.shared_bytes for r in bwtmerge.drop_repeats(df).where(F.col("doc_id").isin(2, 3)).collect()}
+    assert 300 < shared[2] <= 500 and shared[3] == 0
 
 
 def test_empty_and_null_ids(spark):

@@ -7,6 +7,8 @@ import pytest
 
 from gramloom.llm import pitmanyor
 
+pytestmark = pytest.mark.usefixtures("few_partitions")
+
 
 def words(text):
     return (text or "").encode().lower().split()
