@@ -29,8 +29,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import carried_schema, components, materialize, spread, with_carried
-from .textscan import chunks
+from .scratch import carried_schema, components, discard, materialize, spread, with_carried
+from .textscan import NOT_SPACE, R, U, chunks, kgrams, mix, words
 
 SEED = 42
 SEGMENTS = 16
@@ -90,26 +90,26 @@ def chain_ok(diff: Column, radius: int) -> Column:
     return ok
 
 
-def close_pairs(fps: DataFrame, radius: int = 3, wide: int | None = None) -> DataFrame:
-    """Pairs ``fp_a < fp_b`` of distinct ``fps(fp)`` within ``radius`` differing bits, each once."""
+def close_pairs(fps: DataFrame, radius: int = 3, wide: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs ``fp_a < fp_b`` of distinct ``fps(fp)`` within ``radius`` differing bits, each once; with ``by``, of rows that agree in those columns."""
     zero = (SEGMENTS - 1) // radius  # chains up to here have budget 0
     if wide is None:
         bits = math.log2(max(2, fps.count())) + 2
         wide = max(0, min(zero, math.ceil((bits - zero * SEGMENT_BITS) / SEGMENT_BITS)))
     key_bits = (zero + wide) * SEGMENT_BITS
     starts = F.explode(F.array(*[F.struct(F.lit(s).alias("start"), _rotated(F.col("fp"), s).alias("ring")) for s in range(SEGMENTS)]))
-    rings = fps.select("fp", starts.alias("s")).select("fp", "s.start", "s.ring")
+    rings = fps.select(*by, "fp", starts.alias("s")).select(*by, "fp", "s.start", "s.ring")
     key = F.shiftrightunsigned("ring", 64 - key_bits)
-    left = rings.select(F.col("fp").alias("fp_a"), "start", F.col("ring").alias("ring_a"), key.alias("key"))
+    left = rings.select(*by, F.col("fp").alias("fp_a"), "start", F.col("ring").alias("ring_a"), key.alias("key"))
     if wide:
         flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(wide * SEGMENT_BITS)])
-        left = left.select("fp_a", "start", "ring_a", F.explode(F.transform(flips, lambda f: F.col("key").bitwiseXOR(f))).alias("key"))
-    right = rings.select(F.col("fp").alias("fp_b"), "start", F.col("ring").alias("ring_b"), key.alias("key"))
-    on = ["start", "key"]
+        left = left.select(*by, "fp_a", "start", "ring_a", F.explode(F.transform(flips, lambda f: F.col("key").bitwiseXOR(f))).alias("key"))
+    right = rings.select(*by, F.col("fp").alias("fp_b"), "start", F.col("ring").alias("ring_b"), key.alias("key"))
+    on = [*by, "start", "key"]
     a, b = left.alias("a"), right.alias("b")
     match = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on]
     differ = F.col("ring_a").bitwiseXOR(F.col("ring_b"))
-    return a.join(b, [*match, F.col("fp_a") < F.col("fp_b"), chain_ok(differ, radius)]).select("fp_a", "fp_b").distinct()
+    return a.join(b, [*match, F.col("fp_a") < F.col("fp_b"), chain_ok(differ, radius)]).select(*[f"a.{c}" for c in by], "fp_a", "fp_b").distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
@@ -132,19 +132,130 @@ def linked(classes: DataFrame, radius: int) -> DataFrame:
     return classes.join(found, classes.rep == found.v, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, columns: list[str], radius: int = 3, shingle: int = 3) -> DataFrame:
+def _texts_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(text index, hash) of all lower-cased words."""
+    start, _, h = words(b"\n".join(t.lower() for t in texts), NOT_SPACE)
+    edge = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    return np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(start, edge))), h
+
+
+def _distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    fresh = np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]) if len(doc) else np.zeros(0, bool)
+    return doc[fresh], h[fresh]
+
+
+def shingle_sets(doc: np.ndarray, h: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text index, hash) of the distinct shingles of every text; one of fewer words has its whole sequence."""
+    grams = kgrams(h, shingle)
+    inside = doc[: len(grams)] == doc[len(h) - len(grams) :]
+    lone, first, n = np.unique(doc, return_index=True, return_counts=True)
+    short = n < shingle
+    whole = [int(kgrams(h[a : a + k], k)[0] + U(k)) for a, k in zip(first[short], n[short], strict=True)]
+    return _distinct(np.concatenate([doc[: len(grams)][inside], lone[short]]), np.concatenate([grams[inside], np.array(whole, dtype=np.uint64)]))
+
+
+def _per_text(n: int, doc: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``values`` by text; ``doc`` is sorted."""
+    out = np.zeros((n, values.shape[1]), dtype=np.uint64 if values.dtype == np.uint64 else np.int64)
+    head = np.flatnonzero(np.diff(doc, prepend=-1))
+    if len(doc):
+        out[doc[head]] = np.add.reduceat(values, head, axis=0, dtype=out.dtype)
+    return out
+
+
+def word_rings(n: int, doc: np.ndarray, h: np.ndarray, rings: int) -> np.ndarray:
+    """``rings`` independent 64-bit SimHash fingerprints of the distinct words of every text."""
+    doc, h = _distinct(doc, h)
+    size = np.bincount(doc, minlength=n)[:, None]
+    out = np.zeros((n, rings), dtype=np.uint64)
+    for ring in range(rings):
+        ones = np.zeros((n, 64), dtype=np.int64)
+        for at in range(0, len(doc), 1 << 17):
+            part = slice(at, at + (1 << 17))
+            bits = np.unpackbits(mix(h[part] + np.array([ring], np.uint64) * R).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones += _per_text(n, doc[part], bits)
+        out[:, ring] = np.packbits(ones * 2 > size, axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
+
+
+RINGS, RING_RADIUS, ALL_BITS = 8, 3, 64
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, shingle: int, tenths: int) -> DataFrame:
+    """Those ``pairs(a, b)`` of rows of ``docs(row, text)`` whose shingle sets have a Jaccard similarity of ``tenths`` / 10 or more."""
+
+    def run(batches):
+        for batch in batches:
+            for rows, texts in chunks(iter([batch])):
+                doc, gram = shingle_sets(*_texts_words(texts), shingle)
+                edge = np.searchsorted(doc, np.arange(len(texts) + 1))
+                yield pa.RecordBatch.from_pydict({"row": pa.array(rows, pa.int64()), "grams": pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(gram.view(np.int64)))})
+
+    wanted = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
+    sets = materialize(docs.join(wanted, "row", "left_semi").select("row", "text").mapInArrow(run, "row long, grams array<long>"), "shingles")
+    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("grams").alias("in_a")), "a").join(sets.select(F.col("row").alias("b"), F.col("grams").alias("in_b")), "b")
+    shared = F.size(F.array_intersect("in_a", "in_b"))
+    enough = 10 * shared >= tenths * (F.size("in_a") + F.size("in_b") - shared)
+    found = materialize(both.where(enough).select("a", "b"), "similar")
+    discard(sets)
+    return found
+
+
+def one_of_each(docs: DataFrame, columns: list[str], shingle: int = 5, tenths: int = 8) -> DataFrame:
     """``columns`` of one row of each near-duplicate group: of smallest doc_id (nulls last), whichever of its rows comes first.
 
-    Rows are told apart by a number written beside them, so null and repeated doc_ids link and go like any other.
+    Near duplicates share ``tenths`` / 10 or more of their ``shingle``-word shingles (Jaccard over distinct ones), directly or by a
+    path.  At that similarity a single fingerprint of shingles differs in up to 14 of its 64 bits, too many for any
+    selective chain; so candidates come from ``RINGS`` independent fingerprints of the distinct words, of
+    which one at least has to be within ``RING_RADIUS`` bits (pigeonring search, exact in each ring) and all together within
+    ``ALL_BITS`` of their bits.  Every group of equal fingerprints is searched through its first text, to which the others are
+    compared; the shingles of candidates are then compared exactly.
+
+    Rows are told apart by a number written beside them, so null and repeated doc_ids link and go like any other;
+    texts without a word are alike.
     """
-    carry = tuple(c for c in columns if c != "doc_id")
-    marked = materialize(fingerprints(docs, shingle, carry).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    carry = tuple(dict.fromkeys(["text", *(c for c in columns if c != "doc_id")]))
+    table = with_carried(docs, carry)
+
+    def run(batches):
+        for batch in batches:
+            at = 0
+            for ids, texts in chunks(iter([batch])):
+                doc, h = _texts_words(texts)
+                own, gram = shingle_sets(doc, h, shingle)
+                sets = mix(_per_text(len(texts), own, mix(gram)[:, None])[:, 0] + np.bincount(own, minlength=len(texts)).astype(np.uint64))
+                rings = word_rings(len(texts), doc, h, RINGS)
+                kept = {name: batch.column(name).slice(at, len(ids)) for name in carry}
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "set": pa.array(sets.view(np.int64)), "rings": pa.array(rings.view(np.int64).tolist(), pa.list_(pa.int64())), **kept})
+                at += len(ids)
+
+    scanned = spread(table).mapInArrow(run, "doc_id long, set long, rings array<long>" + carried_schema(table, carry))
+    marked = materialize(scanned.withColumn("row", F.monotonically_increasing_id()), "numbered")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    classes = materialize(marked.groupBy("fp").agg(F.min("row").alias("rep"), first.alias("first")), "classes")
-    per_class = materialize(linked(classes.select("fp", "rep"), radius), "linked")
-    kept = classes.join(per_class, "fp").groupBy("component_id").agg(F.min("first").alias("first")).select("component_id", F.col("first.row").alias("kept"))
-    verdict = per_class.join(kept, "component_id").select("fp", "kept")
-    gone = marked.select("fp", "row").join(verdict, "fp").where("row <> kept").select(F.col("row").alias("gone"))
+    classes = materialize(marked.groupBy("set").agg(F.min("row").alias("v"), F.min_by("rings", "row").alias("rings"), first.alias("first")), "classes")
+    fps = classes.select("v", F.posexplode("rings").alias("number", "fp"))
+    heads = materialize(fps.groupBy("number", "fp").agg(F.min("v").alias("head")), "heads")
+    stars = fps.join(heads, ["number", "fp"]).where("v <> head").select(F.col("head").alias("a"), F.col("v").alias("b"))
+    near = close_pairs(heads, RING_RADIUS, by=("number",))
+    of = lambda side, name: heads.select("number", F.col("fp").alias(side), F.col("head").alias(name))
+    met = near.join(of("fp_a", "x"), ["number", "fp_a"]).join(of("fp_b", "y"), ["number", "fp_b"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    pairs = stars.union(met).distinct()
+    bits = lambda name: classes.select(F.col("v").alias(name), F.col("rings").alias(f"of_{name}"))
+    apart = F.aggregate(F.arrays_zip("of_a", "of_b"), F.lit(0), lambda n, z: n + F.bit_count(z["of_a"].bitwiseXOR(z["of_b"])))
+    pairs = materialize(pairs.join(bits("a"), "a").join(bits("b"), "b").where(apart <= ALL_BITS).select("a", "b"), "pairs")
+    texts = marked.select("row", "text")
+    nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = _similar(nearest, texts, shingle, tenths)
+    group = components(links)
+    label = lambda name: group.select(F.col("v").alias(name), F.col("component").alias(f"of_{name}"))
+    rest = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b").join(nearest, ["a", "b"], "left_anti")
+    group = components(links.union(_similar(materialize(rest, "rest"), texts, shingle, tenths)))
+    verdict = classes.join(group, "v", "left").select("set", F.coalesce("component", "v").alias("component"), "first")
+    kept = verdict.groupBy("component").agg(F.min("first").alias("first")).select("component", F.col("first.row").alias("kept"))
+    kept = materialize(verdict.select("set", "component").join(kept, "component").select("set", "kept"), "kept")
+    gone = marked.select("set", "row").join(kept, "set").where("row <> kept").select(F.col("row").alias("gone"))
     return marked.join(gone, F.col("row") == F.col("gone"), "left_anti").select(*[F.col(n).cast(t) for n, t in docs.select(*columns).dtypes])
 
 

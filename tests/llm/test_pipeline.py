@@ -1,9 +1,9 @@
 import hashlib
+import random
 
 import corpus_pipeline
 import public_tokenizers
 import test_blobledger
-import test_simhash
 import test_winnowing
 
 from gramloom.llm import bpetree, ruleledger
@@ -23,6 +23,39 @@ def masked(text):
     return out + text[at:]
 
 
+def shingles(text, k=5):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
+def similar_groups(rows):
+    """Smallest id linked by 5-word shingles with a Jaccard similarity of 0.8 or more."""
+    sets, label = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+    for a, x in sets.items():
+        for b, y in sets.items():
+            if a < b and 10 * len(x & y) >= 8 * len(x | y) and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = {i: low if g == high else g for i, g in label.items()}
+    return label
+
+
+def test_near_dedup_of_edited_copies(spark):
+    """Copies with words changed here and there: groups by exact shingle similarity, whatever the fingerprints are."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(400):
+        w = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(60, 300))] if i % 4 == 0 else list(w)
+        for _ in range(rng.choice([0, 1, 2, 4, 8]) if i % 4 else 0):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(99999)}"
+        rows.append((i, " ".join(w)))
+    table = spark.createDataFrame([(i, t, "en", "s", len(t), 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, head int")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, table, "").collect()}
+    label = similar_groups(rows)
+    want = {i for i, g in label.items() if g == i}
+    assert want <= kept
+    assert len(kept - want) <= 0.02 * (len(rows) - len(want))
+
+
 def test_run_against_brute_force(spark, rows, tmp_path):
     secret = "password = Abcdefgh123"
     docs = [(i, (t or "") + (f" {secret} {'ab12' * 10}" if i % 7 == 0 else ""), "en", "s", 0, "more") for i, t in rows]
@@ -31,7 +64,8 @@ def test_run_against_brute_force(spark, rows, tmp_path):
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     good = quality(spark, [d[:2] for d in docs])
     left = [d[:2] for d in docs if d[0] in good]
-    label = test_simhash.brute_components({i: test_simhash.brute_fp(t) for i, t in left})
+    label = similar_groups(left)
+    assert any(label[i] != i and t not in [u for j, u in left if j != i] for i, t in left)  # near copies, not exact ones alone
     left = [(i, t) for i, t in left if label[i] == i]
     dirty = test_winnowing.brute(left, bench)
     left = [(i, masked(t)) for i, t in left if not dirty[i][1]]
