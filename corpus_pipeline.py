@@ -1,8 +1,7 @@
 """The corpus pipeline: five stages from raw documents to token digests.
 
 Every stage reads what its predecessor wrote and its decisions take effect:
-quality rules drop rejected documents, SimHash keeps the smallest doc_id of each
-near-duplicate group, decontamination drops documents that hold a benchmark
+quality rules drop rejected documents, SimHash finds near duplicates of which the smallest doc_id stays, decontamination drops documents that hold a benchmark
 window, the secret scan overwrites secrets with a mark of their kind, and the
 last stage encodes the text that is left.  Every row gets its own verdict: a
 null or repeated doc_id is judged by its own text, and one row of a
@@ -27,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group, of the smallest doc_id."""
+    """One row of each group of near duplicates (five-word shingles, similarity 0.8 or more), of the smallest doc_id."""
     return simhash.one_of_each(docs, COLUMNS)
 
 
@@ -51,12 +50,12 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
             texts = [blobledger.redact(t, s) if s else t for t, s in zip(batch.column(at).to_pylist(), batch.column("spans").to_pylist(), strict=True)]
             columns = {name: batch.column(name) for name in COLUMNS}
             columns["text"] = pa.array(texts, pa.string())
-            columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+            columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_pydict(columns)
 
     both = docs.select(*COLUMNS).join(masks, blob == F.col("masked"), "left").select(*COLUMNS, "spans")
     schema = ", ".join(f"{name} {kind}" for name, kind in docs.select(*COLUMNS).dtypes)
-    return both.mapInArrow(redact, schema.replace("n_chars int", "n_chars bigint"))
+    return both.mapInArrow(redact, schema)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
