@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 def ieee_div(a: Column, b: Column) -> Column:
     """a / b with infinities and NaN instead of an error when b is zero; the sign of a zero divisor counts."""
     nan, inf = F.lit(float("nan")), F.lit(float("inf"))
-    negative_zero = b.cast("string") == "-0.0"
+    negative_zero = b.cast("string") == "-0.0"  # asked of zeros only; Spark's arithmetic hides their sign
     by_zero = F.when(F.isnan(a) | (a == 0), nan).when((a > 0) != negative_zero, inf).otherwise(-inf)
     return F.when(b == 0, by_zero).otherwise(a / F.when(b == 0, F.lit(1.0)).otherwise(b))
 

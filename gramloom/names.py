@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from .arguments import check
 from .operators import level1, level2, level3, solve
 from .types import IllegalArgument
 
@@ -33,6 +34,12 @@ def same_letter(a: str, b: str) -> bool:
     return a[:1].upper() == b[:1].upper()
 
 
+def checked(name: str, **given) -> None:
+    """Raise ``IllegalArgument``, with its number, for the first illegal argument of a routine by name."""
+    family = name.removeprefix("cblas_").rstrip("_")
+    check(next(f for f in sorted(FAMILIES, key=len, reverse=True) if family.endswith(f)), **given)
+
+
 def report(routine: str, info: int) -> None:
     """Raise for an illegal argument, numbered from 1."""
     raise IllegalArgument(routine, info)
@@ -55,7 +62,7 @@ def _table() -> dict[str, tuple[Callable, str]]:
             if family in ("dotu", "dotc"):
                 found[f"{kind}{family}_sub_"] = found[f"cblas_{kind}{family}_sub"] = (_routine(family), dtype)
             elif family != "cabs1":
-                found[f"cblas_{kind}{family}"] = (_routine(family), dtype)
+                found[f"cblas_{kind}{family}"] = (level1.iamax_from_zero if family == "amax" else _routine(family), dtype)
     return found | {"lsame_": (same_letter, ""), "xerbla_": (report, ""), "xerbla_array_": (report, "")}
 
 

@@ -123,18 +123,25 @@ def sdsdot(sb: float, x: Vector, y: Vector) -> DataFrame:
     return dsdot(x, y).select((F.lit(float(sb)) + F.col("value")).cast("float").alias("value"))
 
 
+#: Fixed values of the scaled sums of squares: bounds of large and small components and the factors that bring them to range.
+LARGE, SMALL, DOWN, UP = 1.997919072202235e146, 1.4916681462400413e-154, 1.1113793747425387e-162, 4.4989137945431964e161
+
+
 def nrm2(x: Vector) -> DataFrame:
-    """2-norm without overflow or underflow: the largest component first, then the scaled sum of squares.
+    """2-norm without overflow or underflow, in one pass: large, middling and small components are summed apart, each in its own scale.
 
     Any NaN gives NaN, else any infinity gives infinity.
     """
     parts = F.array("v.re", "v.im") if x.s.is_complex else F.array("v")
-    v = x.cells().select(F.explode(parts).alias("v")).select(F.abs("v").alias("v"))
-    top = F.broadcast(v.agg(F.coalesce(F.max("v"), F.lit(0.0)).alias("top")))  # one row
-    scaled = F.when(F.col("top") > 0, F.col("v") / F.col("top")).otherwise(F.lit(0.0))
-    ssq = v.join(top).groupBy("top").agg(F.sum(scaled * scaled).alias("ssq"))
-    value = F.when(F.isnan("top") | (F.col("top") == float("inf")), F.col("top")).otherwise(F.col("top") * F.sqrt("ssq"))
-    return ssq.agg(F.coalesce(F.first(value), F.lit(0.0)).cast(x.s.real_type).alias("value"))
+    v = F.col("v")
+    sums = lambda where, by: F.coalesce(F.sum(F.when(where, (v * by) * (v * by))), F.lit(0.0))
+    cells = x.cells().select(F.explode(parts).alias("v")).select(F.abs("v").alias("v"))
+    found = cells.agg(F.coalesce(F.max("v"), F.lit(0.0)).alias("top"), sums(v > LARGE, DOWN).alias("large"), sums((v <= LARGE) & (v >= SMALL), 1.0).alias("mid"), sums(v < SMALL, UP).alias("small"))
+    large = F.sqrt(F.col("large") + F.col("mid") * DOWN * DOWN) / DOWN
+    mid, little = F.sqrt("mid"), F.sqrt("small") / UP
+    middle = F.when(F.col("small") == 0, mid).when(F.col("mid") == 0, little).otherwise(mid * F.sqrt(F.lit(1.0) + (little / F.when(mid > 0, mid).otherwise(1.0)) * (little / F.when(mid > 0, mid).otherwise(1.0))))
+    value = F.when(F.isnan("top") | (F.col("top") == float("inf")), F.col("top")).when(F.col("large") > 0, large).otherwise(middle)
+    return found.select(value.cast(x.s.real_type).alias("value"))
 
 
 def asum(x: Vector) -> DataFrame:
@@ -146,12 +153,21 @@ def iamax(x: Vector, base: int = 1) -> DataFrame:
     """One row ``idx``: place of the first largest |v| (complex: |re| + |im|).
 
     Counted from ``base`` (1; 0 for the C names); 0 for an empty vector.  A NaN
-    in the first place wins, later ones are passed over.
+    in the first place wins, later ones are passed over; without any larger than
+    zero, cells left out included, it is the first place.
     """
-    size = x.s.abs1(F.col("v"))
-    cells = x.cells().select("i", size.alias("a"))
-    rank = F.struct((~(F.isnan("a") & (F.col("i") == 0))).alias("k"), F.isnan("a").alias("nan"), (-F.col("a")).alias("a"), F.col("i").alias("i"))
-    return cells.agg(F.coalesce(F.min_by(F.col("i"), rank) + base, F.lit(0)).cast("int").alias("idx"))
+    if x.n == 0:
+        return x.spark.range(1).select(F.lit(0).cast("long").alias("idx"))
+    a = F.col("a")
+    cells = x.cells().select("i", x.s.abs1(F.col("v")).alias("a"))
+    first = F.max((F.isnan(a) & (F.col("i") == 0)).cast("int")) == 1
+    place = F.when(first, F.lit(0)).otherwise(F.min_by(F.when(~F.isnan(a) & (a > 0), F.col("i")), F.when(~F.isnan(a) & (a > 0), F.struct((-a).alias("a"), "i"))))
+    return cells.agg((F.coalesce(place, F.lit(0)) + base).cast("long").alias("idx"))
+
+
+def iamax_from_zero(x: Vector) -> DataFrame:
+    """``iamax`` under its C names, which count from 0."""
+    return iamax(x, base=0)
 
 
 def cabs1(v: Column) -> Column:
@@ -203,21 +219,44 @@ def rotg_complex(a: Column, b: Column) -> Column:
     return bind(whole, lambda v: bind(sized(v), lambda w: F.when(w["size"] == 0, none(w)).otherwise(bind(turned(w), told))))
 
 
+def turned(x: Vector, y: Vector, h11: float, h12: float, h21: float, h22: float) -> DataFrame:
+    """``i, x, y`` over the shared prefix: h11 x + h12 y and h21 x + h22 y, from one join.  Zero factors multiply, so NaN stays NaN."""
+    _same_type(x, y)
+    s, n = x.s, min(x.n, y.n)
+    both = x.prefix(n).cells("x").join(y.prefix(n).cells("y"), "i", "full").select("i", s.or_zero(F.col("x")).alias("x"), s.or_zero(F.col("y")).alias("y"))
+    line = lambda a, b: s.narrow(s.add(s.scale(a, F.col("x")), s.scale(b, F.col("y"))))
+    return both.select("i", line(h11, h12).alias("x"), line(h21, h22).alias("y"))
+
+
+def rot_paired(x: Vector, y: Vector, c: float, s: float) -> DataFrame:
+    """Both sides of ``rot`` over the shared prefix, as ``i, x, y``."""
+    return turned(x, y, c, s, -s, c)
+
+
+def _implied(param: list[float]) -> tuple[float, float, float, float] | None:
+    """h11, h12, h21, h22 of a modified rotation; None where the flag leaves everything as it is."""
+    kind, h11, h21, h12, h22 = param
+    return {-2: None, 0: (1.0, h12, h21, 1.0), 1: (h11, 1.0, -1.0, h22)}.get(kind, (h11, h12, h21, h22))
+
+
+def rotm_paired(x: Vector, y: Vector, param: list[float]) -> DataFrame:
+    """Both sides of ``rotm`` over the shared prefix, as ``i, x, y``."""
+    return turned(x, y, *(_implied(param) or (1.0, 0.0, 0.0, 1.0)))
+
+
+def _apart(x: Vector, y: Vector, both: DataFrame) -> tuple[Vector, Vector]:
+    n = min(x.n, y.n)
+    return tuple(_keep_tail(old, both.select("i", F.col(name).alias("v")), n) for name, old in (("x", x), ("y", y)))
+
+
 def rot(x: Vector, y: Vector, c: float, s: float) -> tuple[Vector, Vector]:
     """x' = c x + s y, y' = c y - s x, over the shared prefix."""
-    return axpby(s, y, c, x), axpby(-s, x, c, y)
+    return _apart(x, y, rot_paired(x, y, c, s))
 
 
 def rotm(x: Vector, y: Vector, param: list[float]) -> tuple[Vector, Vector]:
     """Modified rotation; param is flag, h11, h21, h12, h22, of which the flag implies some."""
-    kind, h11, h21, h12, h22 = param
-    if kind == -2:
-        return x, y
-    if kind == 0:
-        h11, h22 = 1.0, 1.0
-    elif kind == 1:
-        h12, h21 = 1.0, -1.0
-    return axpby(h12, y, h11, x), axpby(h21, x, h22, y)
+    return (x, y) if _implied(param) is None else _apart(x, y, rotm_paired(x, y, param))
 
 
 def rotmg(d1: float, d2: float, x1: float, y1: float) -> dict:

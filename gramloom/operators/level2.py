@@ -9,25 +9,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..arguments import check
 from ..plans.strategy import small
 from ..types import DIAG, TRANS, UPLO, DimensionMismatch, Matrix, Vector, flag
 from .level1 import _same_type
-from .level3 import combine, inside
+from .level3 import combine, inside, summed
 
 
 def _finish(alpha, p, beta, y: Vector, m: int) -> Vector:
-    """alpha * p + beta * y below m, y beyond; y is not read where beta is 0."""
+    """alpha * p + beta * y below m, y beyond; y is not read where beta is 0, and cells that neither has stay structural zeros."""
     s = y.s
-    rows = y.spark.range(m).withColumnRenamed("id", "i")
-    value = s.lit(0)
-    if beta != 0:
-        rows = rows.join(y.cells("old"), "i", "left")
-        value = s.scale(beta, s.or_zero(F.col("old")))
-    if p is not None:
-        rows = rows.join(p, "i", "left")
-        term = s.scale(alpha, s.or_zero(F.col("p")))
-        value = term if beta == 0 else s.add(term, value)
-    out = y.made(rows.select("i", value.alias("v")))
+    out = y.made(summed(y, ["i"], None if p is None else p.select("i", s.scale(alpha, F.col("p")).alias("v")), beta, y.prefix(m)))
     return out if m >= y.n else Vector(out.df.unionByName(y.df.where(F.col("i") >= m)), y.n, y.dtype)
 
 
@@ -47,6 +39,7 @@ def gemv(trans: str, alpha, a: Matrix, x: Vector, beta, y: Vector) -> Vector:
 
 
 def gbmv(trans: str, kl: int, ku: int, alpha, a: Matrix, x: Vector, beta, y: Vector) -> Vector:
+    check("gbmv", trans=trans, kl=kl, ku=ku)
     return gemv(trans, alpha, a.band(kl, ku), x, beta, y)
 
 
@@ -59,10 +52,12 @@ def hemv(uplo: str, alpha, a: Matrix, x: Vector, beta, y: Vector) -> Vector:
 
 
 def sbmv(uplo: str, k: int, alpha, a: Matrix, x: Vector, beta, y: Vector) -> Vector:
+    check("sbmv", uplo=uplo, k=k)
     return symv(uplo, alpha, a.band(k, k), x, beta, y)
 
 
 def hbmv(uplo: str, k: int, alpha, a: Matrix, x: Vector, beta, y: Vector) -> Vector:
+    check("hbmv", uplo=uplo, k=k)
     return hemv(uplo, alpha, a.band(k, k), x, beta, y)
 
 
@@ -70,28 +65,33 @@ def spmv(uplo: str, alpha, ap, n: int, x: Vector, beta, y: Vector) -> Vector:
     """``ap``: a packed buffer ``(pos, v)``."""
     from ..sources.layout import from_packed
 
+    check("spmv", uplo=uplo, n=n)
     return symv(uplo, alpha, from_packed(ap, n, uplo, y.dtype), x, beta, y)
 
 
 def hpmv(uplo: str, alpha, ap, n: int, x: Vector, beta, y: Vector) -> Vector:
     from ..sources.layout import from_packed
 
+    check("hpmv", uplo=uplo, n=n)
     return hemv(uplo, alpha, from_packed(ap, n, uplo, y.dtype), x, beta, y)
 
 
 def trmv(uplo: str, trans: str, diag: str, a: Matrix, x: Vector) -> Vector:
     """op(A) x of a triangle; the other triangle and a unit diagonal are never read."""
+    check("trmv", uplo=uplo, trans=trans, diag=diag)
     t = a.triangular(flag(uplo, UPLO, "trmv", 1), flag(diag, DIAG, "trmv", 3))
     return gemv(trans, 1, t, x, 0, x)
 
 
 def tbmv(uplo: str, trans: str, diag: str, k: int, a: Matrix, x: Vector) -> Vector:
-    return x if k < 0 else trmv(uplo, trans, diag, a.band(k, k), x)
+    check("tbmv", uplo=uplo, trans=trans, diag=diag, k=k)
+    return trmv(uplo, trans, diag, a.band(k, k), x)
 
 
 def tpmv(uplo: str, trans: str, diag: str, ap, x: Vector) -> Vector:
     from ..sources.layout import from_packed
 
+    check("tpmv", uplo=uplo, trans=trans, diag=diag)
     return trmv(uplo, trans, diag, from_packed(ap, x.n, uplo, x.dtype), x)
 
 
@@ -127,24 +127,25 @@ def _square(a: Matrix, *vectors: Vector) -> None:
 def syr(uplo: str, alpha, x: Vector, a: Matrix, hermitian: bool = False) -> Matrix:
     """A + alpha * x x^T (or x x^H with real alpha) on one triangle; a Hermitian diagonal comes out real."""
     _square(a, x)
+    uplo, s = flag(uplo, UPLO, "syr", 1), a.s
     if alpha == 0:
         return a
-    uplo, s = flag(uplo, UPLO, "syr", 1), a.s
     right = s.conj(F.col("y")) if hermitian else F.col("y")
     p = _outer(a, x, x, uplo).select("i", "j", s.mul(F.col("x"), right).alias("p"))
     return combine(alpha, p, 1, a, uplo, hermitian)
 
 
 def her(uplo: str, alpha: float, x: Vector, a: Matrix) -> Matrix:
+    check("her", uplo=uplo)
     return syr(uplo, float(alpha), x, a, hermitian=True)
 
 
 def syr2(uplo: str, alpha, x: Vector, y: Vector, a: Matrix, hermitian: bool = False) -> Matrix:
     """A + alpha * (x y^T + y x^T), or alpha * x y^H + conj(alpha) * y x^H, on one triangle."""
     _square(a, x, y)
+    uplo, s = flag(uplo, UPLO, "syr2", 1), a.s
     if alpha == 0:
         return a
-    uplo, s = flag(uplo, UPLO, "syr2", 1), a.s
     both = x.cells("x").join(small(y.cells("y"), a.n), "i", "full").select("i", s.or_zero(F.col("x")).alias("x"), s.or_zero(F.col("y")).alias("y"))
     left = small(both, a.n)
     right = small(both.select(F.col("i").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj")), a.n)
@@ -156,29 +157,30 @@ def syr2(uplo: str, alpha, x: Vector, y: Vector, a: Matrix, hermitian: bool = Fa
 
 
 def her2(uplo: str, alpha, x: Vector, y: Vector, a: Matrix) -> Matrix:
+    check("her2", uplo=uplo)
     return syr2(uplo, complex(alpha), x, y, a, hermitian=True)
 
 
-def _packed(update, uplo: str, ap, n: int, dtype: str):
+def _packed(name: str, update, uplo: str, ap, n: int, dtype: str):
     from ..sources.layout import from_packed, to_packed
 
-    uplo = flag(uplo, UPLO, "spr", 1)
+    uplo = flag(uplo, UPLO, name, 1)
     full = update(from_packed(ap, n, uplo, dtype))
     return to_packed(Matrix(full.df.where(inside(uplo)), n, n, dtype), uplo)
 
 
 def spr(uplo: str, alpha, x: Vector, ap):
     """``syr`` on a packed buffer ``(pos, v)``; so spr2, hpr and hpr2."""
-    return _packed(lambda a: syr(uplo, alpha, x, a), uplo, ap, x.n, x.dtype)
+    return _packed("spr", lambda a: syr(uplo, alpha, x, a), uplo, ap, x.n, x.dtype)
 
 
 def hpr(uplo: str, alpha: float, x: Vector, ap):
-    return _packed(lambda a: her(uplo, alpha, x, a), uplo, ap, x.n, x.dtype)
+    return _packed("hpr", lambda a: her(uplo, alpha, x, a), uplo, ap, x.n, x.dtype)
 
 
 def spr2(uplo: str, alpha, x: Vector, y: Vector, ap):
-    return _packed(lambda a: syr2(uplo, alpha, x, y, a), uplo, ap, x.n, x.dtype)
+    return _packed("spr2", lambda a: syr2(uplo, alpha, x, y, a), uplo, ap, x.n, x.dtype)
 
 
 def hpr2(uplo: str, alpha, x: Vector, y: Vector, ap):
-    return _packed(lambda a: her2(uplo, alpha, x, y, a), uplo, ap, x.n, x.dtype)
+    return _packed("hpr2", lambda a: her2(uplo, alpha, x, y, a), uplo, ap, x.n, x.dtype)

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.strategy import BLOCK, product_plan, small
-from ..types import SIDE, TRANS, UPLO, DimensionMismatch, Matrix, flag
+from ..arguments import check
+from ..types import SIDE, TRANS, UPLO, DimensionMismatch, Matrix, Vector, flag
 from .level1 import _same_type
 
 
@@ -62,36 +63,50 @@ def _block_product(a: Matrix, b: Matrix, uplo: str | None) -> DataFrame:
         pairs = pairs.where("r <= c" if uplo == "U" else "r >= c")
 
     def multiply(frames):
+        """Sums over k of the block products: pairs come in order of (r, c), so one block is held at a time."""
+        at, total = None, None
+        told = lambda: pd.DataFrame({"r": [at[0]], "c": [at[1]], "re": [total.real.ravel()], "im": [total.imag.ravel() if complex_ else None]})
         for f in frames:
             for r, c, x, y in f[["r", "c", "x", "y"]].itertuples(index=False):
-                p = np.frombuffer(x, kind).reshape(BLOCK, BLOCK) @ np.frombuffer(y, kind).reshape(BLOCK, BLOCK)
-                yield pd.DataFrame({"r": [r], "c": [c], "re": [p.real.ravel()], "im": [p.imag.ravel() if complex_ else None]})
-
-    terms = pairs.select("r", "c", "x", "y").mapInPandas(multiply, "r long, c long, re array<double>, im array<double>")
+                if (r, c) != at:
+                    if at is not None:
+                        yield told()
+                    at, total = (r, c), np.zeros((BLOCK, BLOCK), dtype=kind)
+                total += np.frombuffer(x, kind).reshape(BLOCK, BLOCK) @ np.frombuffer(y, kind).reshape(BLOCK, BLOCK)
+        if at is not None:
+            yield told()
+
+    terms = pairs.select("r", "c", "k", "x", "y").repartition("r", "c").sortWithinPartitions("r", "c", "k").mapInPandas(multiply, "r long, c long, re array<double>, im array<double>")
     both = F.arrays_zip("re", "im") if complex_ else F.transform("re", lambda v: F.struct(v.alias("re")))
     cells = terms.select("r", "c", F.posexplode(both).alias("at", "v")).select(F.expr(f"r * {BLOCK} + at div {BLOCK}").alias("i"), F.expr(f"c * {BLOCK} + at % {BLOCK}").alias("j"), "v")
     cells = cells.where((F.col("i") < a.m) & (F.col("j") < b.n))
     if keep is not None:
         cells = cells.where(keep)
     value = F.struct("v.re", "v.im") if complex_ else F.col("v.re")
-    return cells.groupBy("i", "j").agg(a.s.total(value).alias("p"))
+    return cells.select("i", "j", value.alias("p"))
+
+
+def summed(shape: Matrix | Vector, keys: list[str], term: DataFrame | None, beta, old: Matrix | Vector) -> DataFrame:
+    """Cells of ``term`` and of beta * ``old`` in double precision, added where both have one: one union, one aggregate."""
+    s = shape.s
+    kept = None if beta == 0 else old.cells().select(*keys, s.scale(beta, F.col("v")).alias("v"))
+    if term is None or kept is None:
+        found = term if kept is None else kept
+        return old.cells().limit(0) if found is None else found
+    return term.unionByName(kept).groupBy(*keys).agg(s.total(F.col("v")).alias("v"))
 
 
 def combine(alpha, p: DataFrame | None, beta, c: Matrix, uplo: str | None = None, real_diagonal: bool = False) -> Matrix:
-    """alpha * p + beta * C on every cell (of a triangle): C is not read when beta is 0, p absent when alpha is 0; the other triangle is C's."""
-    s = c.s
-    cells = c.grid(uplo)
-    value = s.lit(0)
-    if beta != 0:
-        cells = cells.join(c.cells("old"), ["i", "j"], "left")
-        value = s.scale(beta, s.or_zero(F.col("old")))
-    if p is not None:
-        cells = cells.join(p, ["i", "j"], "left")
-        term = s.scale(alpha, s.or_zero(F.col("p")))
-        value = term if beta == 0 else s.add(term, value)
+    """alpha * p + beta * C (on a triangle): C is not read when beta is 0, p absent when alpha is 0; the other triangle is C's.
+
+    Cells that neither has stay structural zeros, so work follows the cells there are; ``dense`` spells zeros out.
+    """
+    s, value = c.s, F.col("v")
+    half = c if uplo is None else c.triangle(uplo)
     if real_diagonal and s.is_complex:
         value = s.pair(value["re"], F.when(F.col("i") == F.col("j"), F.lit(0.0)).otherwise(value["im"]))
-    out = c.made(cells.select("i", "j", value.alias("v")))
+    term = None if p is None else p.select("i", "j", s.scale(alpha, F.col("p")).alias("v"))
+    out = c.made(summed(c, ["i", "j"], term, beta, half).select("i", "j", value.alias("v")))
     return out if uplo is None else replace(out, df=out.df.unionByName(c.df.where("i > j" if uplo == "U" else "i < j")))
 
 
@@ -117,8 +132,8 @@ def hemm(side: str, uplo: str, alpha, a: Matrix, b: Matrix, beta, c: Matrix) ->
     return _sided(side, alpha, a.mirrored(flag(uplo, UPLO, "hemm", 2), hermitian=True), b, beta, c, "hemm")
 
 
-def _rank_k(uplo, trans, alpha, a: Matrix, beta, c: Matrix, hermitian: bool) -> Matrix:
-    uplo, trans = flag(uplo, UPLO, "syrk", 1), flag(trans, TRANS, "syrk", 2)
+def _rank_k(name, uplo, trans, alpha, a: Matrix, beta, c: Matrix, hermitian: bool) -> Matrix:
+    uplo, trans = flag(uplo, UPLO, name, 1), flag(trans, TRANS, name, 2)
     a = a if trans == "N" else a.op("C" if hermitian else "T")
     if not a.m == c.m == c.n:
         raise DimensionMismatch(f"{a.m} and {c.m} x {c.n}")
@@ -128,15 +143,15 @@ def _rank_k(uplo, trans, alpha, a: Matrix, beta, c: Matrix, hermitian: bool) ->
 
 def syrk(uplo: str, trans: str, alpha, a: Matrix, beta, c: Matrix) -> Matrix:
     """One triangle of alpha * A A^T (or A^T A) + beta * C; the other stays C's."""
-    return _rank_k(uplo, trans, alpha, a, beta, c, False)
+    return _rank_k("syrk", uplo, trans, alpha, a, beta, c, False)
 
 
 def herk(uplo: str, trans: str, alpha: float, a: Matrix, beta: float, c: Matrix) -> Matrix:
-    return _rank_k(uplo, trans, float(alpha), a, float(beta), c, True)
+    return _rank_k("herk", uplo, trans, float(alpha), a, float(beta), c, True)
 
 
-def _rank_2k(uplo, trans, alpha, a: Matrix, b: Matrix, beta, c: Matrix, hermitian: bool) -> Matrix:
-    uplo, trans = flag(uplo, UPLO, "syr2k", 1), flag(trans, TRANS, "syr2k", 2)
+def _rank_2k(name, uplo, trans, alpha, a: Matrix, b: Matrix, beta, c: Matrix, hermitian: bool) -> Matrix:
+    uplo, trans = flag(uplo, UPLO, name, 1), flag(trans, TRANS, name, 2)
     turn = "C" if hermitian else "T"
     a, b = (a, b) if trans == "N" else (a.op(turn), b.op(turn))
     if (a.m, a.n) != (b.m, b.n) or not a.m == c.m == c.n:
@@ -151,16 +166,17 @@ def _rank_2k(uplo, trans, alpha, a: Matrix, b: Matrix, beta, c: Matrix, hermitia
 
 
 def syr2k(uplo: str, trans: str, alpha, a: Matrix, b: Matrix, beta, c: Matrix) -> Matrix:
-    return _rank_2k(uplo, trans, alpha, a, b, beta, c, False)
+    return _rank_2k("syr2k", uplo, trans, alpha, a, b, beta, c, False)
 
 
 def her2k(uplo: str, trans: str, alpha, a: Matrix, b: Matrix, beta: float, c: Matrix) -> Matrix:
-    return _rank_2k(uplo, trans, alpha, a, b, float(beta), c, True)
+    return _rank_2k("her2k", uplo, trans, alpha, a, b, float(beta), c, True)
 
 
 def trmm(side: str, uplo: str, trans: str, diag: str, alpha, a: Matrix, b: Matrix) -> Matrix:
     """alpha * op(A) B, or alpha * B op(A), of a triangle."""
-    t = a.triangular(flag(uplo, UPLO, "trmm", 2), diag[:1].upper()).op(flag(trans, TRANS, "trmm", 3))
+    check("trmm", side=side, uplo=uplo, trans=trans, diag=diag)
+    t = a.triangular(uplo[:1].upper(), diag[:1].upper()).op(trans[:1].upper())
     return _sided(side, alpha, t, b, 0, b, "trmm")
 
 

@@ -3,8 +3,8 @@
 Block rows are taken in order.  The diagonal block (at most BLOCK rows) is
 solved for all right sides at once, each right side an ordered fold in its own
 group; then one product subtracts the block from the rows below.  A solve of at
-most BLOCK rows is a single fold; a larger one writes each step to the shared
-checkpoint folder, so lineage stays short.  Division is IEEE: a zero pivot gives
+most BLOCK rows is a single fold; a larger one writes what each step solved and
+what it leaves to the shared checkpoint folder, so every step plans the same few joins.  Division is IEEE: a zero pivot gives
 infinities and NaN, never an error.
 """
 
@@ -16,6 +16,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..arguments import check
 from ..functions.scalars import bind
 from ..types import DIAG, SIDE, TRANS, UPLO, DimensionMismatch, Matrix, Vector, flag
 from .level1 import _same_type
@@ -58,6 +59,8 @@ def _cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint in the folder the cluster names; in one of our own only where none is set."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir is unset: executors and driver need a folder they share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-gramloom-"))
     return df.checkpoint()
 
@@ -77,7 +80,8 @@ def _left(t: Matrix, b: Matrix, lower: bool, unit: bool) -> DataFrame:
             beyond = (F.col("i") >= at + size) if lower else (F.col("i") < at)
             side = Matrix(t.df.where(here("j") & beyond), t.m, t.n, t.dtype)
             used = product(Matrix(side.df.select("i", "j", "v"), t.m, t.n, t.dtype), Matrix(x, t.n, b.n, "z" if s.is_complex else "d"), plan="join" if t.m * b.n > 1_000_000 else "broadcast")
-            rest = rest.where(beyond).join(used, ["i", "j"], "full").select("i", "j", s.sub(s.or_zero(F.col("v")), s.or_zero(F.col("p"))).alias("v"))
+            left = rest.where(beyond).unionByName(used.select("i", "j", s.scale(-1, F.col("p")).alias("v")))
+            rest = _cut_lineage(left.groupBy("i", "j").agg(s.total(F.col("v")).alias("v")))
         done = x if done is None else done.unionByName(x)
     return done
 
@@ -107,6 +111,7 @@ def trsm(side: str, uplo: str, trans: str, diag: str, alpha, a: Matrix, b: Matri
 
 def trsv(uplo: str, trans: str, diag: str, a: Matrix, b: Vector) -> Vector:
     """x with op(A) x = b."""
+    check("trsv", uplo=uplo, trans=trans, diag=diag)
     column = Matrix(b.prefix(a.n).df.select("i", F.lit(0).cast("long").alias("j"), "v"), min(a.n, b.n), 1, b.dtype)
     x = trsm("L", uplo, trans, diag, 1, a, column)
     tail = b.df.where(F.col("i") >= a.n)
@@ -114,10 +119,12 @@ def trsv(uplo: str, trans: str, diag: str, a: Matrix, b: Vector) -> Vector:
 
 
 def tbsv(uplo: str, trans: str, diag: str, k: int, a: Matrix, b: Vector) -> Vector:
+    check("tbsv", uplo=uplo, trans=trans, diag=diag, k=k)
     return trsv(uplo, trans, diag, a.band(k, k), b)
 
 
 def tpsv(uplo: str, trans: str, diag: str, ap: DataFrame, b: Vector) -> Vector:
     from ..sources.layout import from_packed
 
+    check("tpsv", uplo=uplo, trans=trans, diag=diag)
     return trsv(uplo, trans, diag, from_packed(ap, b.n, uplo, b.dtype), b)

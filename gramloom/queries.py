@@ -20,7 +20,6 @@ from .sources import layout
 from .types import Matrix, Vector
 
 N = 25
-SMALL = 8
 LARGE = 300  # more rows than a block of a solve
 LONG = 1 << 40  # indexes of the long vectors are order keys, below this
 
@@ -80,6 +79,11 @@ class Operands:
         v = F.struct(F.coalesce("a", F.lit(0.0)).alias("re"), F.coalesce("b", F.lit(0.0)).alias("im"))
         return Matrix.of(both.withColumn("v", v), N, N, dtype="z") if kind is Matrix else Vector.of(both.withColumn("v", v), N, dtype="z")
 
+    def typed(self, operand, dtype: str):
+        """The operand in another precision."""
+        cells = operand.cells()
+        return Matrix.of(cells, operand.m, operand.n, dtype=dtype) if isinstance(operand, Matrix) else Vector.of(cells, operand.n, dtype=dtype)
+
     @property
     def za(self) -> Matrix:
         return self.pair(self.a, self.b, Matrix)
@@ -107,18 +111,9 @@ class Operands:
 
     @property
     def t(self) -> Matrix:
-        """Small lower triangle with pivots 4: solutions are exact dyadic fractions."""
-        cells = self.a.cells().where((F.col("i") < SMALL) & (F.col("j") <= F.col("i")))
-        diagonal = self.spark.range(SMALL).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(4.0).alias("v"))
-        return Matrix.of(cells.where("i > j").select("i", "j", (F.col("v") % 3).alias("v")).unionByName(diagonal), SMALL, SMALL)
-
-    @property
-    def tb(self) -> Vector:
-        return Vector.of(self.x.cells().where(F.col("i") < SMALL), SMALL)
-
-    @property
-    def rhs(self) -> Matrix:
-        return Matrix.of(self.b.cells().where(F.col("i") < SMALL), SMALL, N)
+        """Lower triangle of all nations with zeros, ones and pivots 2: solutions are exact dyadic fractions."""
+        diagonal = self.spark.range(N).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(2.0).alias("v"))
+        return Matrix.of(self.a.cells().where("i > j").select("i", "j", (F.col("v") % 2).alias("v")).unionByName(diagonal), N, N)
 
     def whole_t(self, n: int = N) -> Matrix:
         """Lower triangle with pivots 4 over all nations, or over customers by their keys modulo n."""
@@ -149,7 +144,7 @@ zx AS (SELECT i, x.v AS re, y.v AS im FROM x JOIN y USING (i)),
 zy AS (SELECT i, y.v AS re, x.v AS im FROM x JOIN y USING (i)),
 o AS (SELECT o_orderkey AS i, floor(o_totalprice) AS p, (o_custkey % 1000 - 500)::DOUBLE AS q, floor(o_totalprice) AS pr, (o_custkey % 100)::DOUBLE AS pi,
       (o_custkey % 1000 - 500)::DOUBLE AS qr, floor(o_totalprice)::BIGINT % 10 AS qi FROM orders),
-t AS (SELECT i, j, CASE WHEN i = j THEN 4.0::DOUBLE ELSE v % 3 END AS v FROM a WHERE i < 8 AND j <= i),
+t AS (SELECT i, j, CASE WHEN i = j THEN 2.0::DOUBLE ELSE v % 2 END AS v FROM a WHERE j <= i),
 """
 
 L1 = lambda body: SQL.rstrip().rstrip(",") + "\n" + body
@@ -178,6 +173,11 @@ SYM = "SELECT i, j, v FROM a WHERE i <= j UNION ALL SELECT j, i, v FROM a WHERE
 HERM = "SELECT i, j, re, CASE WHEN i = j THEN 0 ELSE im END AS im FROM za WHERE i <= j UNION ALL SELECT j, i, re, -im FROM za WHERE i < j"
 BAND = "SELECT i, j, v FROM a WHERE i - j <= 2 AND j - i <= 3"
 NEAR = "abs(i - j) <= 3"
+HER = """SELECT a.i, a.j, a.re + 2 * (x.re * w.re + x.im * w.im) AS re, CASE WHEN a.i = a.j THEN 0 ELSE a.im + 2 * (x.im * w.re - x.re * w.im) END AS im
+FROM za a JOIN zx x ON x.i = a.i JOIN zx w ON w.i = a.j WHERE a.i <= a.j"""
+HER2 = """SELECT i, j, re + (r1 - 2 * m1) + (r2 + 2 * m2) AS re, CASE WHEN i = j THEN 0 ELSE im + (m1 + 2 * r1) + (m2 - 2 * r2) END AS im FROM (
+SELECT a.*, x.re * v.re + x.im * v.im AS r1, x.im * v.re - x.re * v.im AS m1, y.re * w.re + y.im * w.im AS r2, y.im * w.re - y.re * w.im AS m2
+FROM za a JOIN zx x ON x.i = a.i JOIN zy y ON y.i = a.i JOIN zx w ON w.i = a.j JOIN zy v ON v.i = a.j WHERE a.i <= a.j)"""
 ZT = "SELECT j AS i, i AS j, re, {}im AS im FROM {}"
 
 
@@ -208,7 +208,7 @@ def _two(x: Vector, y: Vector) -> DataFrame:
 
 
 def _only(uplo_filter: str, m: Matrix) -> DataFrame:
-    return m.df.where(uplo_filter)
+    return m.dense().df.where(uplo_filter)
 
 
 def _packed_sql(cells: str, upper: bool = True) -> str:
@@ -238,67 +238,87 @@ Q: dict[str, tuple[Callable[[Operands], DataFrame], str | None]] = {
     "l1_nrm2": (lambda o: l1.nrm2(o.q).select((F.floor(F.col("value") * 1000 + 0.5) / 1000).alias("value")), L1("SELECT floor(sqrt(sum(q * q)) * 1000 + 0.5) / 1000 AS value FROM o")),
     "l1_asum": (lambda o: l1.asum(o.q), L1("SELECT sum(abs(q)) AS value FROM o")),
     "l1_asum_complex": (lambda o: l1.asum(o.zq), L1("SELECT sum(abs(qr) + abs(qi)) AS value FROM o")),
-    "l1_iamax": (lambda o: l1.iamax(o.q), L1("SELECT (arg_min(i, {'a': -abs(q), 'i': i}) + 1)::INTEGER AS idx FROM o")),
-    "l1_iamax_complex": (lambda o: l1.iamax(o.zq), L1("SELECT (arg_min(i, {'a': -(abs(qr) + abs(qi)), 'i': i}) + 1)::INTEGER AS idx FROM o")),
+    "l1_iamax": (lambda o: l1.iamax(o.q).select(F.col("idx").cast("int")), L1("SELECT (arg_min(i, {'a': -abs(q), 'i': i}) + 1)::INTEGER AS idx FROM o")),
+    "l1_iamax_complex": (lambda o: l1.iamax(o.zq).select(F.col("idx").cast("int")), L1("SELECT (arg_min(i, {'a': -(abs(qr) + abs(qi)), 'i': i}) + 1)::INTEGER AS idx FROM o")),
     "l1_cabs1": (lambda o: o.zq.df.select("i", l1.cabs1(F.col("v")).alias("v")), _long("abs(qr) + abs(qi) AS v")),
-    "l1_rot": (lambda o: _two(*l1.rot(o.p, o.q, 2, 3)), _long("2 * p + 3 * q AS x, 2 * q - 3 * p AS y")),
-    "l1_rotm": (lambda o: _two(*l1.rotm(o.p, o.q, [-1, 2, 3, 4, 5])), _long("2 * p + 4 * q AS x, 3 * p + 5 * q AS y")),
+    "l1_rot": (lambda o: l1.rot_paired(o.p, o.q, 2, 3), _long("2 * p + 3 * q AS x, 2 * q - 3 * p AS y")),
+    "l1_rotm": (lambda o: l1.rotm_paired(o.p, o.q, [-1, 2, 3, 4, 5]), _long("2 * p + 4 * q AS x, 3 * p + 5 * q AS y")),
     "l1_rotg": (
         lambda o: _two(o.p, o.q).select("i", l1.rotg(F.col("y"), F.lit(12.0)).alias("g")).select("i", "g.r", "g.z", "g.c", "g.s"),
         L1("""SELECT i, r, CASE WHEN abs(q) > 12 THEN s WHEN q <> 0 THEN r / q ELSE 1 END AS z, c, s FROM (SELECT *, q / r AS c, 12.0 / r AS s FROM (SELECT i, q,
               CASE WHEN CASE WHEN 12 > abs(q) THEN 12 ELSE q END < 0 THEN -n ELSE n END AS r FROM (SELECT i, q, (abs(q) + 12) * sqrt((q / (abs(q) + 12)) * (q / (abs(q) + 12)) + (12.0 / (abs(q) + 12)) * (12.0 / (abs(q) + 12))) AS n FROM o)))"""),
     ),
-    "l1_rotg_complex": (lambda o: o.zq.df.select("i", l1.rotg_complex(F.col("v"), F.struct(F.lit(3.0).alias("re"), F.lit(-4.0).alias("im"))).alias("g")).select("i", "g.c", "g.a.re", "g.a.im"), None),
+    "l1_rotg_complex": (
+        lambda o: o.zq.df.select("i", l1.rotg_complex(F.col("v"), F.struct(F.lit(3.0).alias("re"), F.lit(-4.0).alias("im"))).alias("g")).select("i", "g.c", "g.a.re", "g.a.im"),
+        L1("""SELECT i, size / norm AS c, CASE WHEN size = 0 THEN 3.0::DOUBLE ELSE qr / size * norm - qi / size * 0.0::DOUBLE END AS re, CASE WHEN size = 0 THEN -4.0::DOUBLE ELSE qr / size * 0.0::DOUBLE + qi / size * norm END AS im
+              FROM (SELECT *, scale * sqrt((size / scale) * (size / scale) + (5.0::DOUBLE / scale) * (5.0::DOUBLE / scale)) AS norm FROM (SELECT *, size + 5.0::DOUBLE AS scale FROM (SELECT i, qr, qi::DOUBLE AS qi, sqrt(qr * qr + qi::DOUBLE * qi::DOUBLE) AS size FROM o)))"""),
+    ),
     "l1_rotmg": (lambda o: l1.rotmg_rows(o.table("orders").selectExpr("double(o_custkey % 7) as d1", "double(o_custkey % 5 + 1) as d2", "floor(o_totalprice) * 1.0D as x1", "double(o_custkey % 11) as y1")), None),
     # level 2
-    "l2_gemv": (lambda o: l2.gemv("N", 2, o.a, o.x, 3, o.y).df, _mv("SELECT * FROM a")),
-    "l2_gemv_t": (lambda o: l2.gemv("T", 2, o.a, o.x, 3, o.y).df, _mv(T.format("a"))),
-    "l2_gemv_c": (lambda o: flat(l2.gemv("C", 1, o.za, o.zx, 1, o.zy).df), _zmv(ZT.format("-", "za"))),
-    "l2_gemv_complex": (lambda o: flat(l2.gemv("N", 1, o.za, o.zx, 1, o.zy).df), _zmv("SELECT * FROM za")),
+    "l2_gemv": (lambda o: l2.gemv("N", 2, o.a, o.x, 3, o.y).dense().df, _mv("SELECT * FROM a")),
+    "l2_gemv_t": (lambda o: l2.gemv("T", 2, o.a, o.x, 3, o.y).dense().df, _mv(T.format("a"))),
+    "l2_gemv_c": (lambda o: flat(l2.gemv("C", 1, o.za, o.zx, 1, o.zy).dense().df), _zmv(ZT.format("-", "za"))),
+    "l2_gemv_complex": (lambda o: flat(l2.gemv("N", 1, o.za, o.zx, 1, o.zy).dense().df), _zmv("SELECT * FROM za")),
     "l2_gemv_tall": (
-        lambda o: l2.gemv("T", 1, o.tall, o.q, 0, Vector.from_values(o.spark, [0] * 3)).df,
+        lambda o: l2.gemv("T", 1, o.tall, o.q, 0, Vector.from_values(o.spark, [0] * 3)).dense().df,
         L1("SELECT unnest([0, 1, 2])::BIGINT AS i, unnest([sum(pi * q), sum(floor(p)::BIGINT % 10 * q), sum(q)]) AS v FROM o"),
     ),
-    "l2_gbmv": (lambda o: l2.gbmv("N", 2, 3, 2, o.a, o.x, 3, o.y).df, _mv(BAND)),
-    "l2_symv": (lambda o: l2.symv("U", 2, o.a, o.x, 3, o.y).df, _mv(SYM)),
-    "l2_hemv": (lambda o: flat(l2.hemv("U", 1, o.za, o.zx, 1, o.zy).df), _zmv(HERM)),
-    "l2_sbmv": (lambda o: l2.sbmv("U", 3, 2, o.a, o.x, 3, o.y).df, _mv(f"SELECT * FROM ({SYM}) WHERE {NEAR}")),
-    "l2_hbmv": (lambda o: flat(l2.hbmv("U", 3, 1, o.za, o.zx, 1, o.zy).df), _zmv(f"SELECT * FROM ({HERM}) WHERE {NEAR}")),
-    "l2_spmv": (lambda o: l2.spmv("U", 2, _pack(o.a), N, o.x, 3, o.y).df, _mv(SYM)),
-    "l2_hpmv": (lambda o: flat(l2.hpmv("U", 1, layout.to_packed(o.za, "U"), N, o.zx, 1, o.zy).df), _zmv(HERM)),
-    "l2_trmv": (lambda o: l2.trmv("L", "N", "N", o.a, o.x).df, L1("SELECT a.i, sum(a.v * x.v) AS v FROM a JOIN x ON x.i = a.j WHERE a.i >= a.j GROUP BY a.i")),
-    "l2_trmv_unit": (lambda o: l2.trmv("U", "T", "U", o.a, o.x).df, L1("SELECT a.j AS i, sum(CASE WHEN a.i = a.j THEN 1 ELSE a.v END * x.v) AS v FROM a JOIN x ON x.i = a.i WHERE a.i <= a.j GROUP BY a.j")),
-    "l2_tbmv": (lambda o: l2.tbmv("L", "N", "N", 3, o.a, o.x).df, L1("SELECT a.i, sum(a.v * x.v) AS v FROM a JOIN x ON x.i = a.j WHERE a.i >= a.j AND a.i - a.j <= 3 GROUP BY a.i")),
-    "l2_tpmv": (lambda o: l2.tpmv("U", "N", "N", _pack(o.a), o.x).df, L1("SELECT a.i, sum(a.v * x.v) AS v FROM a JOIN x ON x.i = a.j WHERE a.i <= a.j GROUP BY a.i")),
-    "l2_trsv": (lambda o: solve.trsv("L", "N", "N", o.t, o.tb).df, None),
-    "l2_trsv_t": (lambda o: solve.trsv("L", "T", "N", o.t, o.tb).df, None),
-    "l2_tbsv": (lambda o: solve.tbsv("L", "N", "N", 2, o.t, o.tb).df, None),
-    "l2_tpsv": (lambda o: solve.tpsv("L", "N", "N", layout.to_packed(o.t, "L"), o.tb).df, None),
-    "l2_ger": (lambda o: l2.ger(2, o.x, o.y, o.a).df, L1("SELECT a.i, a.j, a.v + 2 * x.v * y.v AS v FROM a JOIN x ON x.i = a.i JOIN y ON y.i = a.j")),
-    "l2_geru": (lambda o: flat(l2.ger(1, o.zx, o.zy, o.za).df), L1("SELECT a.i, a.j, a.re + x.re * y.re - x.im * y.im AS re, a.im + x.re * y.im + x.im * y.re AS im FROM za a JOIN zx x ON x.i = a.i JOIN zy y ON y.i = a.j")),
-    "l2_gerc": (lambda o: flat(l2.gerc(1, o.zx, o.zy, o.za).df), L1("SELECT a.i, a.j, a.re + x.re * y.re + x.im * y.im AS re, a.im + x.im * y.re - x.re * y.im AS im FROM za a JOIN zx x ON x.i = a.i JOIN zy y ON y.i = a.j")),
+    "l2_gbmv": (lambda o: l2.gbmv("N", 2, 3, 2, o.a, o.x, 3, o.y).dense().df, _mv(BAND)),
+    "l2_symv": (lambda o: l2.symv("U", 2, o.a, o.x, 3, o.y).dense().df, _mv(SYM)),
+    "l2_hemv": (lambda o: flat(l2.hemv("U", 1, o.za, o.zx, 1, o.zy).dense().df), _zmv(HERM)),
+    "l2_sbmv": (lambda o: l2.sbmv("U", 3, 2, o.a, o.x, 3, o.y).dense().df, _mv(f"SELECT * FROM ({SYM}) WHERE {NEAR}")),
+    "l2_hbmv": (lambda o: flat(l2.hbmv("U", 3, 1, o.za, o.zx, 1, o.zy).dense().df), _zmv(f"SELECT * FROM ({HERM}) WHERE {NEAR}")),
+    "l2_spmv": (lambda o: l2.spmv("U", 2, _pack(o.a), N, o.x, 3, o.y).dense().df, _mv(SYM)),
+    "l2_hpmv": (lambda o: flat(l2.hpmv("U", 1, layout.to_packed(o.za, "U"), N, o.zx, 1, o.zy).dense().df), _zmv(HERM)),
+    "l2_trmv": (lambda o: l2.trmv("L", "N", "N", o.a, o.x).dense().df, L1("SELECT a.i, sum(a.v * x.v) AS v FROM a JOIN x ON x.i = a.j WHERE a.i >= a.j GROUP BY a.i")),
+    "l2_trmv_unit": (lambda o: l2.trmv("U", "T", "U", o.a, o.x).dense().df, L1("SELECT a.j AS i, sum(CASE WHEN a.i = a.j THEN 1 ELSE a.v END * x.v) AS v FROM a JOIN x ON x.i = a.i WHERE a.i <= a.j GROUP BY a.j")),
+    "l2_tbmv": (lambda o: l2.tbmv("L", "N", "N", 3, o.a, o.x).dense().df, L1("SELECT a.i, sum(a.v * x.v) AS v FROM a JOIN x ON x.i = a.j WHERE a.i >= a.j AND a.i - a.j <= 3 GROUP BY a.i")),
+    "l2_tpmv": (lambda o: l2.tpmv("U", "N", "N", _pack(o.a), o.x).dense().df, L1("SELECT a.i, sum(a.v * x.v) AS v FROM a JOIN x ON x.i = a.j WHERE a.i <= a.j GROUP BY a.i")),
+    "l2_trsv": (lambda o: solve.trsv("L", "N", "N", o.t, o.x).df, None),
+    "l2_trsv_t": (lambda o: solve.trsv("L", "T", "N", o.t, o.x).df, None),
+    "l2_tbsv": (lambda o: solve.tbsv("L", "N", "N", 2, o.t, o.x).df, None),
+    "l2_tpsv": (lambda o: solve.tpsv("L", "N", "N", layout.to_packed(o.t, "L"), o.x).df, None),
+    "l2_ger": (lambda o: l2.ger(2, o.x, o.y, o.a).dense().df, L1("SELECT a.i, a.j, a.v + 2 * x.v * y.v AS v FROM a JOIN x ON x.i = a.i JOIN y ON y.i = a.j")),
+    "l2_geru": (lambda o: flat(l2.ger(1, o.zx, o.zy, o.za).dense().df), L1("SELECT a.i, a.j, a.re + x.re * y.re - x.im * y.im AS re, a.im + x.re * y.im + x.im * y.re AS im FROM za a JOIN zx x ON x.i = a.i JOIN zy y ON y.i = a.j")),
+    "l2_gerc": (lambda o: flat(l2.gerc(1, o.zx, o.zy, o.za).dense().df), L1("SELECT a.i, a.j, a.re + x.re * y.re + x.im * y.im AS re, a.im + x.im * y.re - x.re * y.im AS im FROM za a JOIN zx x ON x.i = a.i JOIN zy y ON y.i = a.j")),
     "l2_syr": (lambda o: _only("i <= j", l2.syr("U", 2, o.x, o.a)), L1("SELECT a.i, a.j, a.v + 2 * x.v * w.v AS v FROM a JOIN x ON x.i = a.i JOIN x w ON w.i = a.j WHERE a.i <= a.j")),
     "l2_spr": (lambda o: l2.spr("U", 2, o.x, _pack(o.a)), _packed_sql("SELECT a.i, a.j, a.v + 2 * x.v * w.v AS v FROM a JOIN x ON x.i = a.i JOIN x w ON w.i = a.j WHERE a.i <= a.j")),
     "l2_syr2": (lambda o: _only("i <= j", l2.syr2("U", 2, o.x, o.y, o.a)), L1("SELECT a.i, a.j, a.v + 2 * (x.v * y2.v + y.v * w.v) AS v FROM a JOIN x ON x.i = a.i JOIN y ON y.i = a.i JOIN x w ON w.i = a.j JOIN y y2 ON y2.i = a.j WHERE a.i <= a.j")),
     "l2_spr2": (lambda o: l2.spr2("U", 2, o.x, o.y, _pack(o.a)), _packed_sql("SELECT a.i, a.j, a.v + 2 * (x.v * y2.v + y.v * w.v) AS v FROM a JOIN x ON x.i = a.i JOIN y ON y.i = a.i JOIN x w ON w.i = a.j JOIN y y2 ON y2.i = a.j WHERE a.i <= a.j")),
+    "l2_her": (lambda o: flat(_only("i <= j", l2.her("U", 2, o.zx, o.za))), L1(f"SELECT * FROM ({HER})")),
+    "l2_hpr": (lambda o: flat(l2.hpr("U", 2, o.zx, layout.to_packed(o.za, "U"))), L1(f"SELECT (i + j * (j + 1) // 2)::BIGINT AS pos, re, im FROM ({HER})")),
+    "l2_her2": (lambda o: flat(_only("i <= j", l2.her2("U", 1 + 2j, o.zx, o.zy, o.za))), L1(f"SELECT * FROM ({HER2})")),
+    "l2_hpr2": (lambda o: flat(l2.hpr2("U", 1 + 2j, o.zx, o.zy, layout.to_packed(o.za, "U"))), L1(f"SELECT (i + j * (j + 1) // 2)::BIGINT AS pos, re, im FROM ({HER2})")),
+    # single precision
+    "l2_gemv_single": (lambda o: l2.gemv("N", 2, o.typed(o.a, "s"), o.typed(o.x, "s"), 3, o.typed(o.y, "s")).dense().df, f"SELECT i, v::FLOAT AS v FROM ({_mv('SELECT * FROM a')})"),
+    "l2_gemv_csingle": (lambda o: flat(l2.gemv("N", 1, o.typed(o.za, "c"), o.typed(o.zx, "c"), 1, o.typed(o.zy, "c")).dense().df), f"SELECT i, re::FLOAT AS re, im::FLOAT AS im FROM ({_zmv('SELECT * FROM za')})"),
+    "l3_gemm_single": (lambda o: l3.gemm(1, o.typed(o.a, "s"), o.typed(o.b, "s"), 0, o.typed(o.a, "s")).dense().df, L1(f"SELECT i, j, v::FLOAT AS v FROM ({_mm('SELECT * FROM a', 'SELECT * FROM b')})")),
+    "l3_gemm_csingle": (lambda o: flat(l3.gemm(1, o.typed(o.za, "c"), o.typed(o.zb, "c"), 0, o.typed(o.za, "c")).dense().df), L1(f"SELECT i, j, re::FLOAT AS re, im::FLOAT AS im FROM ({_zmm('SELECT * FROM za', 'SELECT * FROM zb')})")),
+    # buffers: increments, leading dimensions, row order, bands
+    "l1_copy_strided": (lambda o: layout.strided(o.table("orders").select((F.col("o_orderkey") * 3).alias("pos"), (F.col("o_custkey") * 1.0).alias("v")), LONG, -3).df, L1(f"SELECT {LONG - 1} - o_orderkey AS i, o_custkey::DOUBLE AS v FROM orders")),
+    "l2_gemv_row_order": (lambda o: l2.gemv("N", 2, layout.from_flat(layout.to_flat(o.a, 30, "row"), N, N, 30, "row"), o.x, 3, o.y).dense().df, _mv("SELECT * FROM a")),
+    "l2_gemv_leading": (lambda o: l2.gemv("T", 2, layout.from_flat(layout.to_flat(o.a, 28), N, N, 28), o.x, 3, o.y).dense().df, _mv(T.format("a"))),
+    "l2_gbmv_buffer": (lambda o: l2.gbmv("N", 2, 3, 2, layout.from_band(layout.to_band(o.a, 2, 3, 8), N, N, 2, 3, 8), o.x, 3, o.y).dense().df, _mv(BAND)),
+    "l2_sbmv_buffer": (lambda o: l2.sbmv("U", 3, 2, layout.from_triangle_band(layout.to_band(o.a, 0, 3, 5), N, 3, "U", 5), o.x, 3, o.y).dense().df, _mv(f"SELECT * FROM ({SYM}) WHERE {NEAR}")),
+    "l2_tpmv_row_order": (lambda o: l2.trmv("U", "N", "N", layout.from_packed(layout.to_packed(o.a, "U", "row"), N, "U", layout="row"), o.x).dense().df, L1("SELECT a.i, sum(a.v * x.v) AS v FROM a JOIN x ON x.i = a.j WHERE a.i <= a.j GROUP BY a.i")),
     # level 3
-    "l3_gemm": (lambda o: l3.gemm(2, o.a, o.b, 3, o.a).df, L1(f"SELECT p.i, p.j, 2 * p.v + 3 * a.v AS v FROM ({_mm('SELECT * FROM a', 'SELECT * FROM b')}) p JOIN a USING (i, j)")),
-    "l3_gemm_nt": (lambda o: l3.gemm(1, o.a, o.b, 0, o.a, "N", "T").df, L1(_mm("SELECT * FROM a", T.format("b")))),
-    "l3_gemm_tn": (lambda o: l3.gemm(1, o.a, o.b, 0, o.a, "T", "N").df, L1(_mm(T.format("a"), "SELECT * FROM b"))),
-    "l3_gemm_tt": (lambda o: l3.gemm(1, o.a, o.b, 0, o.a, "T", "T").df, L1(_mm(T.format("a"), T.format("b")))),
-    "l3_gemm_complex": (lambda o: flat(l3.gemm(1, o.za, o.zb, 0, o.za, "N", "C").df), L1(_zmm("SELECT * FROM za", ZT.format("-", "zb")))),
-    "l3_gemm_block": (lambda o: l3.gemm(1, o.a, o.b, 0, o.a, plan="block").df, L1(_mm("SELECT * FROM a", "SELECT * FROM b"))),
-    "l3_symm": (lambda o: l3.symm("L", "U", 1, o.a, o.b, 0, o.b).df, L1(_mm(SYM, "SELECT * FROM b"))),
-    "l3_symm_right": (lambda o: l3.symm("R", "U", 1, o.a, o.b, 0, o.b).df, L1(_mm("SELECT * FROM b", SYM))),
-    "l3_hemm": (lambda o: flat(l3.hemm("L", "U", 1, o.za, o.zb, 0, o.zb).df), L1(_zmm(HERM, "SELECT * FROM zb"))),
+    "l3_gemm": (lambda o: l3.gemm(2, o.a, o.b, 3, o.a).dense().df, L1(f"SELECT p.i, p.j, 2 * p.v + 3 * a.v AS v FROM ({_mm('SELECT * FROM a', 'SELECT * FROM b')}) p JOIN a USING (i, j)")),
+    "l3_gemm_nt": (lambda o: l3.gemm(1, o.a, o.b, 0, o.a, "N", "T").dense().df, L1(_mm("SELECT * FROM a", T.format("b")))),
+    "l3_gemm_tn": (lambda o: l3.gemm(1, o.a, o.b, 0, o.a, "T", "N").dense().df, L1(_mm(T.format("a"), "SELECT * FROM b"))),
+    "l3_gemm_tt": (lambda o: l3.gemm(1, o.a, o.b, 0, o.a, "T", "T").dense().df, L1(_mm(T.format("a"), T.format("b")))),
+    "l3_gemm_complex": (lambda o: flat(l3.gemm(1, o.za, o.zb, 0, o.za, "N", "C").dense().df), L1(_zmm("SELECT * FROM za", ZT.format("-", "zb")))),
+    "l3_gemm_block": (lambda o: l3.gemm(1, o.a, o.b, 0, o.a, plan="block").dense().df, L1(_mm("SELECT * FROM a", "SELECT * FROM b"))),
+    "l3_symm": (lambda o: l3.symm("L", "U", 1, o.a, o.b, 0, o.b).dense().df, L1(_mm(SYM, "SELECT * FROM b"))),
+    "l3_symm_right": (lambda o: l3.symm("R", "U", 1, o.a, o.b, 0, o.b).dense().df, L1(_mm("SELECT * FROM b", SYM))),
+    "l3_hemm": (lambda o: flat(l3.hemm("L", "U", 1, o.za, o.zb, 0, o.zb).dense().df), L1(_zmm(HERM, "SELECT * FROM zb"))),
     "l3_syrk": (lambda o: l3.tall_gram(o.table("lineitem"), o.features), None),
     "l3_syrk_general": (lambda o: _only("i <= j", l3.syrk("U", "N", 1, o.a, 0, o.a)), L1(_mm("SELECT * FROM a", T.format("a"), "l.i <= q.j"))),
     "l3_herk": (lambda o: flat(_only("i <= j", l3.herk("U", "N", 1, o.za, 0, o.za))), L1(f"SELECT * FROM ({_zmm('SELECT * FROM za', ZT.format('-', 'za'))}) WHERE i <= j")),
     "l3_syr2k": (lambda o: _only("i <= j", l3.syr2k("U", "N", 1, o.a, o.b, 0, o.a)), L1(f"SELECT p.i, p.j, p.v + s.v AS v FROM ({_mm('SELECT * FROM a', T.format('b'))}) p JOIN ({_mm('SELECT * FROM b', T.format('a'))}) s USING (i, j) WHERE i <= j")),
     "l3_her2k": (lambda o: flat(_only("i <= j", l3.her2k("U", "N", 1 + 0j, o.za, o.zb, 0, o.za))), L1(f"SELECT p.i, p.j, p.re + s.re AS re, CASE WHEN i = j THEN 0 ELSE p.im + s.im END AS im FROM ({_zmm('SELECT * FROM za', ZT.format('-', 'zb'))}) p JOIN ({_zmm('SELECT * FROM zb', ZT.format('-', 'za'))}) s USING (i, j) WHERE i <= j")),
-    "l3_trmm": (lambda o: l3.trmm("L", "L", "N", "N", 2, o.a, o.b).df, L1(f"SELECT i, j, 2 * v AS v FROM ({_mm('SELECT * FROM a WHERE i >= j', 'SELECT * FROM b')})")),
-    "l3_trsm": (lambda o: solve.trsm("L", "L", "N", "N", 2, o.t, o.rhs).df, None),
-    "l3_trsm_right": (lambda o: solve.trsm("R", "L", "T", "N", 1, o.t, Matrix(o.rhs.op("T").df, N, SMALL)).df, None),
+    "l3_trmm": (lambda o: l3.trmm("L", "L", "N", "N", 2, o.a, o.b).dense().df, L1(f"SELECT i, j, 2 * v AS v FROM ({_mm('SELECT * FROM a WHERE i >= j', 'SELECT * FROM b')})")),
+    "l3_trsm": (lambda o: solve.trsm("L", "L", "N", "N", 2, o.t, o.b).df, None),
+    "l3_trsm_right": (lambda o: solve.trsm("R", "L", "T", "N", 1, o.t, o.b.op("T")).df, None),
     # solves over the whole triangle of nations, and one of more than a block; no SQL, as sums are not exact: tests multiply back
     "l2_trsv_whole": (lambda o: solve.trsv("L", "N", "N", o.whole_t(), o.x).df, None),
     "l2_trsv_t_whole": (lambda o: solve.trsv("L", "T", "N", o.whole_t(), o.x).df, None),
@@ -310,22 +330,22 @@ Q: dict[str, tuple[Callable[[Operands], DataFrame], str | None]] = {
     "l3_array_gram": (lambda o: l3.array_gram(o.table("embeddings"), "embedding", 64).select("i", "j", ((F.floor(F.col("v") * 1000 + 0.5) + 0) / 1000).alias("v")), None),
 }
 
-#: Full rows of the small triangle, zeros spelled out, and right sides as (i, c, v).
-_T8 = "SELECT g.i, g.j, coalesce(t.v, 0) AS v FROM g LEFT JOIN t USING (i, j) WHERE g.i < 8 AND g.j < 8"
-_FLIP = "SELECT 7 - g.j AS i, 7 - g.i AS j, coalesce(t.v, 0) AS v FROM g LEFT JOIN t USING (i, j) WHERE g.i < 8 AND g.j < 8"
-_X8 = "SELECT i, 0::BIGINT AS c, v FROM x WHERE i < 8"
-_LAST = "SELECT k, c, xs FROM s WHERE k = 8"
-_VECTOR = f" SELECT unnest(range(8))::BIGINT AS i, unnest(xs) AS v FROM ({_LAST})"
-_MATRIX = f" SELECT {{}} FROM (SELECT unnest(range(8))::BIGINT AS r, c, unnest(xs) AS v FROM ({_LAST}))"
-_BAND8 = f"SELECT i, j, CASE WHEN i - j <= 2 THEN v ELSE 0 END AS v FROM ({_T8})"
+#: Full rows of the triangle, zeros spelled out, and right sides as (i, c, v).
+_T = "SELECT g.i, g.j, coalesce(t.v, 0) AS v FROM g LEFT JOIN t USING (i, j)"
+_FLIP = "SELECT 24 - g.j AS i, 24 - g.i AS j, coalesce(t.v, 0) AS v FROM g LEFT JOIN t USING (i, j)"
+_X = "SELECT i, 0::BIGINT AS c, v FROM x"
+_LAST = "SELECT k, c, xs FROM s WHERE k = 25"
+_VECTOR = f" SELECT unnest(range(25))::BIGINT AS i, unnest(xs) AS v FROM ({_LAST})"
+_MATRIX = f" SELECT {{}} FROM (SELECT unnest(range(25))::BIGINT AS r, c, unnest(xs) AS v FROM ({_LAST}))"
+_BANDED = f"SELECT i, j, CASE WHEN i - j <= 2 THEN v ELSE 0 END AS v FROM ({_T})"
 
 SOLVES = {
-    "l2_trsv": _solve(_T8, _X8) + _VECTOR,
-    "l2_trsv_t": _solve(_FLIP, "SELECT 7 - i AS i, 0::BIGINT AS c, v FROM x WHERE i < 8") + f" SELECT (7 - unnest(range(8)))::BIGINT AS i, unnest(xs) AS v FROM ({_LAST})",
-    "l2_tbsv": _solve(_BAND8, _X8) + _VECTOR,
-    "l2_tpsv": _solve(_T8, _X8) + _VECTOR,
-    "l3_trsm": _solve(_T8, "SELECT i, j AS c, 2 * v AS v FROM b WHERE i < 8") + _MATRIX.format("r AS i, c AS j, v"),
-    "l3_trsm_right": _solve(_T8, "SELECT i, j AS c, v FROM b WHERE i < 8") + _MATRIX.format("c AS i, r AS j, v"),
+    "l2_trsv": _solve(_T, _X) + _VECTOR,
+    "l2_trsv_t": _solve(_FLIP, "SELECT 24 - i AS i, 0::BIGINT AS c, v FROM x") + f" SELECT (24 - unnest(range(25)))::BIGINT AS i, unnest(xs) AS v FROM ({_LAST})",
+    "l2_tbsv": _solve(_BANDED, _X) + _VECTOR,
+    "l2_tpsv": _solve(_T, _X) + _VECTOR,
+    "l3_trsm": _solve(_T, "SELECT i, j AS c, 2 * v AS v FROM b") + _MATRIX.format("r AS i, c AS j, v"),
+    "l3_trsm_right": _solve(_T, "SELECT i, j AS c, v FROM b") + _MATRIX.format("c AS i, r AS j, v"),
     "l3_syrk": """WITH f AS (SELECT [l_quantity, round(l_discount * 100), round(l_tax * 100), 1.0::DOUBLE] AS w FROM lineitem),
 p AS (SELECT s.range::BIGINT AS i, t.range::BIGINT AS j FROM range(4) s, range(4) t WHERE s.range <= t.range)
 SELECT i, j, sum(w[i + 1] * w[j + 1]) AS v FROM f, p GROUP BY i, j""",

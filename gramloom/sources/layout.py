@@ -66,15 +66,27 @@ def packed_place(n: int, uplo: str, layout: str = "col") -> Column:
     i, j, upper = F.col("i"), F.col("j"), uplo == "U"
     if layout == "row":
         i, j, upper = j, i, not upper
-    return i + (j * (j + 1) / 2).cast("long") if upper else i - j + (j * (2 * n - j + 1) / 2).cast("long")
+    half = lambda twice: F.shiftright(twice.cast("long"), 1)
+    return i + half(j * (j + 1)) if upper else i - j + half(j * (2 * n - j + 1))
+
+
+def _column_of(place: Column) -> tuple[Column, Column]:
+    """(column, row) of a place in a packed upper triangle in column order."""
+    start = lambda j: F.shiftright(j * (j + 1), 1)
+    near = F.floor((F.sqrt(place.cast("double") * 8 + 1) - 1) / 2)
+    j = F.when(start(near) > place, near - 1).when(start(near + 1) <= place, near + 1).otherwise(near)  # the root is rounded
+    return j, place - start(j)
 
 
 def from_packed(buf: DataFrame, n: int, uplo: str, dtype: str = "d", layout: str = "col") -> Matrix:
     """The given triangle of a packed buffer of n (n + 1) / 2 elements."""
-    uplo = str(uplo)[:1].upper()
-    shape = Matrix(buf.select(F.col("pos").cast("long").alias("i"), F.col("pos").cast("long").alias("j"), "v"), n, n, dtype)
-    cells = shape.grid(uplo).withColumn("pos", packed_place(n, uplo, layout)).join(buf, "pos").select("i", "j", "v")
-    return Matrix.of(cells, n, n, dtype=dtype)
+    upper = (str(uplo)[:1].upper() == "U") == (layout == "col")
+    last = n * (n + 1) // 2 - 1
+    place = F.col("pos").cast("long")
+    j, i = _column_of(place if upper else F.lit(last) - place)
+    j, i = (j, i) if upper else (F.lit(n - 1) - j, F.lit(n - 1) - i)  # the lower triangle reads the upper one backwards
+    cells = buf.where((F.col("pos") >= 0) & (F.col("pos") <= last)).select(i.alias("i"), j.alias("j"), "v")
+    return Matrix.of(cells if layout == "col" else cells.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), n, n, dtype=dtype)
 
 
 def to_packed(a: Matrix, uplo: str, layout: str = "col") -> DataFrame:
