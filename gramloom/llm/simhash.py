@@ -90,26 +90,26 @@ def chain_ok(diff: Column, radius: int) -> Column:
     return ok
 
 
-def close_pairs(fps: DataFrame, radius: int = 3, wide: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs ``fp_a < fp_b`` of distinct ``fps(fp)`` within ``radius`` differing bits, each once; with ``by``, of rows that agree in those columns."""
+def close_pairs(fps: DataFrame, radius: int = 3, wide: int | None = None) -> DataFrame:
+    """Pairs ``fp_a < fp_b`` of distinct ``fps(fp)`` within ``radius`` differing bits, each once."""
     zero = (SEGMENTS - 1) // radius  # chains up to here have budget 0
     if wide is None:
         bits = math.log2(max(2, fps.count())) + 2
         wide = max(0, min(zero, math.ceil((bits - zero * SEGMENT_BITS) / SEGMENT_BITS)))
     key_bits = (zero + wide) * SEGMENT_BITS
     starts = F.explode(F.array(*[F.struct(F.lit(s).alias("start"), _rotated(F.col("fp"), s).alias("ring")) for s in range(SEGMENTS)]))
-    rings = fps.select(*by, "fp", starts.alias("s")).select(*by, "fp", "s.start", "s.ring")
+    rings = fps.select("fp", starts.alias("s")).select("fp", "s.start", "s.ring")
     key = F.shiftrightunsigned("ring", 64 - key_bits)
-    left = rings.select(*by, F.col("fp").alias("fp_a"), "start", F.col("ring").alias("ring_a"), key.alias("key"))
+    left = rings.select(F.col("fp").alias("fp_a"), "start", F.col("ring").alias("ring_a"), key.alias("key"))
     if wide:
         flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(wide * SEGMENT_BITS)])
-        left = left.select(*by, "fp_a", "start", "ring_a", F.explode(F.transform(flips, lambda f: F.col("key").bitwiseXOR(f))).alias("key"))
-    right = rings.select(*by, F.col("fp").alias("fp_b"), "start", F.col("ring").alias("ring_b"), key.alias("key"))
-    on = [*by, "start", "key"]
+        left = left.select("fp_a", "start", "ring_a", F.explode(F.transform(flips, lambda f: F.col("key").bitwiseXOR(f))).alias("key"))
+    right = rings.select(F.col("fp").alias("fp_b"), "start", F.col("ring").alias("ring_b"), key.alias("key"))
+    on = ["start", "key"]
     a, b = left.alias("a"), right.alias("b")
     match = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on]
     differ = F.col("ring_a").bitwiseXOR(F.col("ring_b"))
-    return a.join(b, [*match, F.col("fp_a") < F.col("fp_b"), chain_ok(differ, radius)]).select(*[f"a.{c}" for c in by], "fp_a", "fp_b").distinct()
+    return a.join(b, [*match, F.col("fp_a") < F.col("fp_b"), chain_ok(differ, radius)]).select("fp_a", "fp_b").distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
@@ -156,28 +156,26 @@ def shingle_sets(doc: np.ndarray, h: np.ndarray, shingle: int) -> tuple[np.ndarr
     return _distinct(np.concatenate([doc[: len(grams)][inside], lone[short]]), np.concatenate([grams[inside], np.array(whole, dtype=np.uint64)]))
 
 
-def _per_text(n: int, doc: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Sums of the rows of ``values`` by text; ``doc`` is sorted."""
-    out = np.zeros((n, values.shape[1]), dtype=np.uint64 if values.dtype == np.uint64 else np.int64)
+def _set_sums(n: int, doc: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sum of the values of every text; ``doc`` is sorted."""
+    out = np.zeros(n, dtype=np.uint64)
     head = np.flatnonzero(np.diff(doc, prepend=-1))
     if len(doc):
-        out[doc[head]] = np.add.reduceat(values, head, axis=0, dtype=out.dtype)
+        out[doc[head]] = np.add.reduceat(values, head)
     return out
 
 
 def word_rings(n: int, doc: np.ndarray, h: np.ndarray, rings: int) -> np.ndarray:
     """``rings`` independent 64-bit SimHash fingerprints of the distinct words of every text."""
     doc, h = _distinct(doc, h)
-    size = np.bincount(doc, minlength=n)[:, None]
-    out = np.zeros((n, rings), dtype=np.uint64)
-    for ring in range(rings):
-        ones = np.zeros((n, 64), dtype=np.int64)
-        for at in range(0, len(doc), 1 << 17):
-            part = slice(at, at + (1 << 17))
-            bits = np.unpackbits(mix(h[part] + np.array([ring], np.uint64) * R).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones += _per_text(n, doc[part], bits)
-        out[:, ring] = np.packbits(ones * 2 > size, axis=1, bitorder="little").view("<u8")[:, 0]
-    return out
+    edge = np.searchsorted(doc, np.arange(n + 1))
+    turn = np.arange(rings, dtype=np.uint64) * R
+    ones = np.zeros((n, rings * 64), dtype=np.int64)
+    for k, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+        for at in range(a, b, 1 << 14):
+            own = mix(h[at : min(b, at + (1 << 14)), None] + turn)
+            ones[k] += np.unpackbits(own.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return np.packbits(ones * 2 > np.diff(edge)[:, None], axis=1, bitorder="little").view("<u8")
 
 
 RINGS, RING_RADIUS, ALL_BITS = 8, 3, 64
@@ -225,7 +223,7 @@ def one_of_each(docs: DataFrame, columns: list[str], shingle: int = 5, tenths: i
             for ids, texts in chunks(iter([batch])):
                 doc, h = _texts_words(texts)
                 own, gram = shingle_sets(doc, h, shingle)
-                sets = mix(_per_text(len(texts), own, mix(gram)[:, None])[:, 0] + np.bincount(own, minlength=len(texts)).astype(np.uint64))
+                sets = mix(_set_sums(len(texts), own, mix(gram)) + np.bincount(own, minlength=len(texts)).astype(np.uint64))
                 rings = word_rings(len(texts), doc, h, RINGS)
                 kept = {name: batch.column(name).slice(at, len(ids)) for name in carry}
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "set": pa.array(sets.view(np.int64)), "rings": pa.array(rings.view(np.int64).tolist(), pa.list_(pa.int64())), **kept})
@@ -238,10 +236,13 @@ def one_of_each(docs: DataFrame, columns: list[str], shingle: int = 5, tenths: i
     fps = classes.select("v", F.posexplode("rings").alias("number", "fp"))
     heads = materialize(fps.groupBy("number", "fp").agg(F.min("v").alias("head")), "heads")
     stars = fps.join(heads, ["number", "fp"]).where("v <> head").select(F.col("head").alias("a"), F.col("v").alias("b"))
-    near = close_pairs(heads, RING_RADIUS, by=("number",))
-    of = lambda side, name: heads.select("number", F.col("fp").alias(side), F.col("head").alias(name))
-    met = near.join(of("fp_a", "x"), ["number", "fp_a"]).join(of("fp_b", "y"), ["number", "fp_b"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    pairs = stars.union(met).distinct()
+    pairs = stars
+    for number in range(RINGS):  # one after the other: a constant number of rounds, each with the disk of one ring
+        own = heads.where(F.col("number") == number)
+        of = lambda side, name, own=own: own.select(F.col("fp").alias(side), F.col("head").alias(name))
+        near = close_pairs(own.select("fp"), RING_RADIUS).join(of("fp_a", "x"), "fp_a").join(of("fp_b", "y"), "fp_b")
+        pairs = pairs.union(materialize(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "near"))
+    pairs = pairs.distinct()
     bits = lambda name: classes.select(F.col("v").alias(name), F.col("rings").alias(f"of_{name}"))
     apart = F.aggregate(F.arrays_zip("of_a", "of_b"), F.lit(0), lambda n, z: n + F.bit_count(z["of_a"].bitwiseXOR(z["of_b"])))
     pairs = materialize(pairs.join(bits("a"), "a").join(bits("b"), "b").where(apart <= ALL_BITS).select("a", "b"), "pairs")
