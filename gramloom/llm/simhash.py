@@ -90,24 +90,26 @@ def chain_ok(diff: Column, radius: int) -> Column:
     return ok
 
 
-def close_pairs(fps: DataFrame, radius: int = 3, wide: int | None = None) -> DataFrame:
-    """Pairs ``fp_a < fp_b`` of distinct ``fps(fp)`` within ``radius`` differing bits, each once."""
+def close_pairs(fps: DataFrame, radius: int = 3, wide: int | None = None, apart: bool = False) -> DataFrame:
+    """Pairs ``fp_a < fp_b`` of distinct ``fps(fp)`` within ``radius`` differing bits, each once; if ``apart``, of rows that differ in their column ``known``."""
     zero = (SEGMENTS - 1) // radius  # chains up to here have budget 0
     if wide is None:
         bits = math.log2(max(2, fps.count())) + 2
         wide = max(0, min(zero, math.ceil((bits - zero * SEGMENT_BITS) / SEGMENT_BITS)))
     key_bits = (zero + wide) * SEGMENT_BITS
     starts = F.explode(F.array(*[F.struct(F.lit(s).alias("start"), _rotated(F.col("fp"), s).alias("ring")) for s in range(SEGMENTS)]))
-    rings = fps.select("fp", starts.alias("s")).select("fp", "s.start", "s.ring")
+    more = ["known"] if apart else []
+    rings = fps.select("fp", *more, starts.alias("s")).select("fp", *more, "s.start", "s.ring")
     key = F.shiftrightunsigned("ring", 64 - key_bits)
-    left = rings.select(F.col("fp").alias("fp_a"), "start", F.col("ring").alias("ring_a"), key.alias("key"))
+    left = rings.select(F.col("fp").alias("fp_a"), *more, "start", F.col("ring").alias("ring_a"), key.alias("key"))
     if wide:
         flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(wide * SEGMENT_BITS)])
-        left = left.select("fp_a", "start", "ring_a", F.explode(F.transform(flips, lambda f: F.col("key").bitwiseXOR(f))).alias("key"))
-    right = rings.select(F.col("fp").alias("fp_b"), "start", F.col("ring").alias("ring_b"), key.alias("key"))
+        left = left.select("fp_a", *more, "start", "ring_a", F.explode(F.transform(flips, lambda f: F.col("key").bitwiseXOR(f))).alias("key"))
+    right = rings.select(F.col("fp").alias("fp_b"), *more, "start", F.col("ring").alias("ring_b"), key.alias("key"))
     on = ["start", "key"]
     a, b = left.alias("a"), right.alias("b")
     match = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on]
+    match += [F.col(f"a.{c}") != F.col(f"b.{c}") for c in more]
     differ = F.col("ring_a").bitwiseXOR(F.col("ring_b"))
     return a.join(b, [*match, F.col("fp_a") < F.col("fp_b"), chain_ok(differ, radius)]).select("fp_a", "fp_b").distinct()
 
@@ -209,7 +211,8 @@ def one_of_each(docs: DataFrame, columns: list[str], shingle: int = 5, tenths: i
     selective chain; so candidates come from ``RINGS`` independent fingerprints of the distinct words, of
     which one at least has to be within ``RING_RADIUS`` bits (pigeonring search, exact in each ring) and all together within
     ``ALL_BITS`` of their bits.  Every group of equal fingerprints is searched through its first text, to which the others are
-    compared; the shingles of candidates are then compared exactly.
+    compared first; the search then only pairs texts that are not known to be in one group yet, so a group of copies does not
+    give its square in pairs.  The shingles of candidates are compared exactly.
 
     Rows are told apart by a number written beside them, so null and repeated doc_ids link and go like any other;
     texts without a word are alike.
@@ -236,23 +239,27 @@ def one_of_each(docs: DataFrame, columns: list[str], shingle: int = 5, tenths: i
     fps = classes.select("v", F.posexplode("rings").alias("number", "fp"))
     heads = materialize(fps.groupBy("number", "fp").agg(F.min("v").alias("head")), "heads")
     stars = fps.join(heads, ["number", "fp"]).where("v <> head").select(F.col("head").alias("a"), F.col("v").alias("b"))
-    pairs = stars
-    for number in range(RINGS):  # one after the other: a constant number of rounds, each with the disk of one ring
-        own = heads.where(F.col("number") == number)
-        of = lambda side, name, own=own: own.select(F.col("fp").alias(side), F.col("head").alias(name))
-        near = close_pairs(own.select("fp"), RING_RADIUS).join(of("fp_a", "x"), "fp_a").join(of("fp_b", "y"), "fp_b")
-        pairs = pairs.union(materialize(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "near"))
-    pairs = pairs.distinct()
     bits = lambda name: classes.select(F.col("v").alias(name), F.col("rings").alias(f"of_{name}"))
-    apart = F.aggregate(F.arrays_zip("of_a", "of_b"), F.lit(0), lambda n, z: n + F.bit_count(z["of_a"].bitwiseXOR(z["of_b"])))
-    pairs = materialize(pairs.join(bits("a"), "a").join(bits("b"), "b").where(apart <= ALL_BITS).select("a", "b"), "pairs")
+    distance = F.aggregate(F.arrays_zip("of_a", "of_b"), F.lit(0), lambda n, z: n + F.bit_count(z["of_a"].bitwiseXOR(z["of_b"])))
+    closer = lambda pairs: materialize(pairs.distinct().join(bits("a"), "a").join(bits("b"), "b").where(distance <= ALL_BITS).select("a", "b"), "pairs")
+    label = lambda group, name: group.select(F.col("v").alias(name), F.col("component").alias(f"of_{name}"))
+    open_ = lambda pairs, group: pairs.join(label(group, "a"), "a", "left").join(label(group, "b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
     texts = marked.select("row", "text")
-    nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    stars = closer(stars)
+    nearest = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = _similar(nearest, texts, shingle, tenths)
+    rest = materialize(open_(stars, components(links)).join(nearest, ["a", "b"], "left_anti"), "rest")
+    links = links.union(_similar(rest, texts, shingle, tenths))
     group = components(links)
-    label = lambda name: group.select(F.col("v").alias(name), F.col("component").alias(f"of_{name}"))
-    rest = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b").join(nearest, ["a", "b"], "left_anti")
-    group = components(links.union(_similar(materialize(rest, "rest"), texts, shingle, tenths)))
+    known = materialize(heads.join(label(group, "head"), "head", "left").select("number", "fp", "head", F.coalesce("of_head", "head").alias("known")), "known")
+    near = None
+    for number in range(RINGS):  # one after the other: a constant number of rounds, each with the disk of one ring
+        own = known.where(F.col("number") == number)
+        of = lambda side, name, own=own: own.select(F.col("fp").alias(side), F.col("head").alias(name))
+        met = close_pairs(own.select("fp", "known"), RING_RADIUS, apart=True).join(of("fp_a", "x"), "fp_a").join(of("fp_b", "y"), "fp_b")
+        met = materialize(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "near")
+        near = met if near is None else near.union(met)
+    group = components(links.union(_similar(closer(near), texts, shingle, tenths)))
     verdict = classes.join(group, "v", "left").select("set", F.coalesce("component", "v").alias("component"), "first")
     kept = verdict.groupBy("component").agg(F.min("first").alias("first")).select("component", F.col("first.row").alias("kept"))
     kept = materialize(verdict.select("set", "component").join(kept, "component").select("set", "kept"), "kept")
