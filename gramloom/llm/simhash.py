@@ -238,17 +238,16 @@ def one_of_each(docs: DataFrame, columns: list[str], shingle: int = 5, tenths: i
     classes = materialize(marked.groupBy("set").agg(F.min("row").alias("v"), F.min_by("rings", "row").alias("rings"), first.alias("first")), "classes")
     fps = classes.select("v", F.posexplode("rings").alias("number", "fp"))
     heads = materialize(fps.groupBy("number", "fp").agg(F.min("v").alias("head")), "heads")
-    stars = fps.join(heads, ["number", "fp"]).where("v <> head").select(F.col("head").alias("a"), F.col("v").alias("b"))
+    stars = materialize(fps.join(heads, ["number", "fp"]).select(F.col("head").alias("a"), F.col("v").alias("b")), "stars")
     bits = lambda name: classes.select(F.col("v").alias(name), F.col("rings").alias(f"of_{name}"))
     distance = F.aggregate(F.arrays_zip("of_a", "of_b"), F.lit(0), lambda n, z: n + F.bit_count(z["of_a"].bitwiseXOR(z["of_b"])))
     closer = lambda pairs: materialize(pairs.distinct().join(bits("a"), "a").join(bits("b"), "b").where(distance <= ALL_BITS).select("a", "b"), "pairs")
     label = lambda group, name: group.select(F.col("v").alias(name), F.col("component").alias(f"of_{name}"))
     open_ = lambda pairs, group: pairs.join(label(group, "a"), "a", "left").join(label(group, "b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
     texts = marked.select("row", "text")
-    stars = closer(stars)
-    nearest = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    nearest = closer(stars.where("a <> b").groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     links = _similar(nearest, texts, shingle, tenths)
-    rest = materialize(open_(stars, components(links)).join(nearest, ["a", "b"], "left_anti"), "rest")
+    rest = closer(open_(stars, components(links)).join(nearest, ["a", "b"], "left_anti"))
     links = links.union(_similar(rest, texts, shingle, tenths))
     group = components(links)
     known = materialize(heads.join(label(group, "head"), "head", "left").select("number", "fp", "head", F.coalesce("of_head", "head").alias("known")), "known")
