@@ -6,7 +6,8 @@ start segment from which every chain of ``l`` consecutive segments holds at
 most ``l * t / 16`` differing bits.  For t = 3 the first five segments of that
 chain are therefore equal: these 20 bits with their start are the join key.
 The join itself checks the budgets of the longer chains and then the full
-Hamming distance, so a bucket emits surviving pairs only.  ``wide`` lengthens
+Hamming distance, so a bucket emits surviving pairs only, and of the starts
+that give a pair only the first one emits it.  ``wide`` lengthens
 the key: the next ``wide`` segments (at most five) may hold one differing bit
 in all, so one side spells out the single-bit variants; keys of up to 40 bits
 keep buckets small for billions of fingerprints.  Either way no pair within
@@ -90,6 +91,14 @@ def chain_ok(diff: Column, radius: int) -> Column:
     return ok
 
 
+def first_start(diff: Column, start: Column, radius: int) -> Column:
+    """Whether no earlier start gives the pair of a difference that is rotated to ``start``."""
+    ok = F.lit(True)
+    for back in range(1, SEGMENTS):
+        ok = ok & ((start < back) | ~chain_ok(_rotated(diff, SEGMENTS - back), radius))
+    return ok
+
+
 def close_pairs(fps: DataFrame, radius: int = 3, wide: int | None = None, apart: bool = False) -> DataFrame:
     """Pairs ``fp_a < fp_b`` of distinct ``fps(fp)`` within ``radius`` differing bits, each once; if ``apart``, of rows that differ in their column ``known``."""
     zero = (SEGMENTS - 1) // radius  # chains up to here have budget 0
@@ -111,7 +120,8 @@ def close_pairs(fps: DataFrame, radius: int = 3, wide: int | None = None, apart:
     match = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on]
     match += [F.col(f"a.{c}") != F.col(f"b.{c}") for c in more]
     differ = F.col("ring_a").bitwiseXOR(F.col("ring_b"))
-    return a.join(b, [*match, F.col("fp_a") < F.col("fp_b"), chain_ok(differ, radius)]).select("fp_a", "fp_b").distinct()
+    found = [F.col("fp_a") < F.col("fp_b"), chain_ok(differ, radius), first_start(differ, F.col("a.start"), radius)]
+    return a.join(b, [*match, *found]).select("fp_a", "fp_b")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:

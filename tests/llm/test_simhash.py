@@ -49,7 +49,9 @@ def test_close_pairs_lose_none(spark, wide, radius):
             fps.add(x)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    got = {(r.fp_a, r.fp_b) for r in simhash.close_pairs(df, radius, wide).collect()}
+    found = [(r.fp_a, r.fp_b) for r in simhash.close_pairs(df, radius, wide).collect()]
+    got = set(found)
+    assert len(found) == len(got)
     want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) % (1 << 64)).bit_count() <= radius}
     assert got == want
 
