@@ -81,13 +81,20 @@ def _rotated(fp: Column, start: int) -> Column:
     return fp if by == 0 else F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, 64 - by))
 
 
-def chain_ok(diff: Column, radius: int) -> Column:
-    """Pigeonring condition on a rotated difference: each prefix chain within its share, then the whole distance."""
+def _segments(start: int, length: int) -> int:
+    """The bits of ``length`` consecutive segments of the ring, as a signed 64-bit mask."""
+    mask = sum(15 << 60 - 4 * (k % SEGMENTS) for k in range(start, start + length))
+    return mask - (mask >> 63 << 64)
+
+
+def chain_ok(diff: Column, radius: int, start: int = 0) -> Column:
+    """Pigeonring condition on a difference, read from segment ``start`` on: each prefix chain within its share, the last one being the whole distance."""
     ok = F.lit(True)
     for length in range(1, SEGMENTS + 1):
         budget = length * radius // SEGMENTS
         if length == SEGMENTS or (length + 1) * radius // SEGMENTS > budget:  # the last chain of each budget implies the shorter ones
-            ok = ok & (F.bit_count(F.shiftrightunsigned(diff, 64 - length * SEGMENT_BITS)) <= budget)
+            chain = diff.bitwiseAND(F.lit(_segments(start, length)))
+            ok = ok & (F.bit_count(chain) <= budget if budget else chain == 0)
     return ok
 
 
@@ -95,7 +102,7 @@ def first_start(diff: Column, start: Column, radius: int) -> Column:
     """Whether no earlier start gives the pair of a difference that is rotated to ``start``."""
     ok = F.lit(True)
     for back in range(1, SEGMENTS):
-        ok = ok & ((start < back) | ~chain_ok(_rotated(diff, SEGMENTS - back), radius))
+        ok = ok & ((start < back) | ~chain_ok(diff, radius, SEGMENTS - back))
     return ok
 
 
