@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import perspectives, ruleledger, seedextend, winnowing
+from . import lexical, mixing, perspectives, ruleledger, seedextend, winnowing
 from .blobledger import op7_blobledger
 from .bpetree import op3_bpetree
 from .bwtmerge import op2_bwtmerge
+from .importance import op12_importance
+from .lexical import op13_lexical
+from .mixing import op11_mixing
 from .perspectives import op9_perspectives
 from .pitmanyor import op4_pitmanyor
 from .puquality import op10_puquality
@@ -16,7 +19,8 @@ from .winnowing import op6_winnowing
 
 
 def queries() -> dict:
-    found = [op1_ruleledger, op2_bwtmerge, op3_bpetree, op4_pitmanyor, op5_seedextend, op6_winnowing, op7_blobledger, op8_simhash, op9_perspectives, op10_puquality]
+    found = [op1_ruleledger, op2_bwtmerge, op3_bpetree, op4_pitmanyor, op5_seedextend, op6_winnowing, op7_blobledger, op8_simhash, op9_perspectives, op10_puquality,
+             op11_mixing, op12_importance, op13_lexical]
     return {f.__name__: f for f in found}
 
 
@@ -26,4 +30,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_seedextend": seedextend.ORACLE_SQL,
         "op6_winnowing": winnowing.ORACLE_SQL,
         "op9_perspectives": perspectives.ORACLE_SQL,
+        "op11_mixing": mixing.ORACLE_SQL,
+        "op13_lexical": lexical.ORACLE_SQL,
     }
