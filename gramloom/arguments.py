@@ -6,10 +6,21 @@ first one that is wrong.
 
 from __future__ import annotations
 
-from .types import DIAG, SIDE, TRANS, UPLO, IllegalArgument
+from .types import DIAG, SIDE, TRANS, UPLO, DimensionMismatch, IllegalArgument
 
 #: Argument lists of the routine families, in order.
 LISTS: dict[str, str] = {
+    "swap copy dot dotu dotc dsdot": "n x incx y incy",
+    "sdsdot": "n sb x incx y incy",
+    "axpy": "n alpha x incx y incy",
+    "axpby": "n alpha x incx beta y incy",
+    "scal": "n alpha x incx",
+    "nrm2 asum amax": "n x incx",
+    "rot": "n x incx y incy c s",
+    "rotm": "n x incx y incy param",
+    "rotg": "a b c s",
+    "rotmg": "d1 d2 x1 y1 param",
+    "cabs1": "z",
     "gemv": "trans m n alpha a lda x incx beta y incy",
     "gbmv": "trans m n kl ku alpha a lda x incx beta y incy",
     "symv hemv": "uplo n alpha a lda x incx beta y incy",
@@ -29,6 +40,8 @@ LISTS: dict[str, str] = {
     "syr2k her2k": "uplo trans n k alpha a lda b ldb beta c ldc",
     "trmm trsm": "side uplo trans diag m n alpha a lda b ldb",
 }
+#: Vector routines take any n and increment: nothing below is illegal for them.
+_ANY = set("swap copy dot dotu dotc dsdot sdsdot axpy axpby scal nrm2 asum amax rot rotm".split())
 PLACES = {family: names.split() for families, names in LISTS.items() for family in families.split()}
 _FLAGS = {"trans": TRANS, "transa": TRANS, "transb": TRANS, "uplo": UPLO, "diag": DIAG, "side": SIDE}
 
@@ -57,6 +70,8 @@ def _rows(routine: str, name: str, given: dict) -> int:
 
 def check(routine: str, **given) -> None:
     """Check the arguments that are given, in the order of the routine's list."""
+    if routine in _ANY:
+        return
     for number, name in enumerate(PLACES[routine], 1):
         if name not in given:
             continue
@@ -69,3 +84,10 @@ def check(routine: str, **given) -> None:
         )
         if wrong:
             raise IllegalArgument(routine, number, f"{name} = {value!r}")
+
+
+def fits(routine: str, **found: tuple[int, int]) -> None:
+    """Raise ``DimensionMismatch`` with the number of the first argument whose size (given, wanted) is another."""
+    for name, (given, wanted) in found.items():
+        if given != wanted:
+            raise DimensionMismatch(f"{name} has {given}, not {wanted}", routine, place(routine, name))

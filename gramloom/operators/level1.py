@@ -2,17 +2,21 @@
 
 In-place forms of two vectors act on their shared prefix: indexes below the
 shorter length.  Updates of one table are projections; of two, one equi-join on
-the index.  Reductions are one partial and one final aggregate.
+the index.  Vectors that are columns of one table (``Vector.of`` of the same
+DataFrame and index) meet in a projection of it, so nothing is joined.
+Reductions are one partial and one final aggregate.
 """
 
 from __future__ import annotations
 
+from math import isfinite
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import Scalars, bind
 from ..plans.strategy import small
-from ..types import DimensionMismatch, Vector
+from ..types import Base, DimensionMismatch, Vector
 
 #: Fixed values of the modified rotation: gamma, its square and the inverse of that.
 GAMMA, GAMMA2 = 4096.0, 16777216.0
@@ -24,9 +28,18 @@ def _same_type(*parts) -> None:
 
 
 def zipped(x: Vector, y: Vector, how: str = "left") -> DataFrame:
-    """``i, y, x`` for every cell of y below the shared length (``left``), x null where it has no cell."""
+    """``i, y, x`` for every cell of y below the shared length (``left``), x null where it has no cell; of one table by projection."""
     n = min(x.n, y.n)
-    return y.prefix(n).cells("y").join(small(x.prefix(n).cells("x"), n), "i", how)
+    if x.shares(y):
+        both = y.base.df.select(y.base.index.alias("i"), y.s.wide(y.base.value).alias("y"), x.s.wide(x.base.value).alias("x"))
+        return both if x.n == y.n else both.where(F.col("i") < n)
+    right = x.prefix(n).cells("x")
+    return y.prefix(n).cells("y").join(right if how == "full" else small(right, n), "i", how)
+
+
+def _both(x: Vector, y: Vector) -> DataFrame:
+    """``i, x, y`` of all cells below the shared length, zeros where one has none."""
+    return zipped(x, y, "full").select("i", x.s.or_zero(F.col("x")).alias("x"), y.s.or_zero(F.col("y")).alias("y"))
 
 
 def _keep_tail(y: Vector, changed: DataFrame, n: int) -> Vector:
@@ -35,9 +48,18 @@ def _keep_tail(y: Vector, changed: DataFrame, n: int) -> Vector:
     return out if n >= y.n else Vector(out.df.unionByName(y.df.where(F.col("i") >= n)), y.n, y.dtype)
 
 
+def _given(x: Vector, y: Vector, keep: Vector, value: Column) -> Vector:
+    """``keep`` with ``value`` (in double precision, of the two bases' columns) below the shared length: a projection of their table."""
+    n, s = min(x.n, y.n), keep.s
+    new = s.narrow(value)
+    return Vector.on(Base(keep.base.df, keep.base.index, new if n >= keep.n else F.when(keep.base.index < n, new).otherwise(keep.base.value)), keep.n, keep.dtype)
+
+
 def swap(x: Vector, y: Vector) -> tuple[Vector, Vector]:
     _same_type(x, y)
     n = min(x.n, y.n)
+    if x.shares(y):
+        return _given(x, y, x, y.base.value), _given(x, y, y, x.base.value)
     give = lambda a, b: Vector(b.prefix(n).df.unionByName(a.df.where(F.col("i") >= n)) if n < a.n else b.prefix(n).df, a.n, a.dtype)
     return give(x, y), give(y, x)
 
@@ -69,9 +91,10 @@ def axpby(alpha, x: Vector, beta, y: Vector) -> Vector:
         return _keep_tail(y, scal(beta, y.prefix(n)).cells(), n)
     if alpha == 1 and beta == 0:
         return copy(x, y)
-    both = x.prefix(n).cells("x").join(y.prefix(n).cells("y"), "i", "full")
-    value = s.add(s.scale(alpha, s.or_zero(F.col("x"))), s.scale(beta, s.or_zero(F.col("y"))))
-    return _keep_tail(y, both.select("i", value.alias("v")), n)
+    line = lambda a, b: s.add(s.scale(alpha, a), s.scale(beta, b))
+    if x.shares(y):
+        return _given(x, y, y, line(s.wide(x.base.value), s.wide(y.base.value)))
+    return _keep_tail(y, _both(x, y).select("i", line(F.col("x"), F.col("y")).alias("v")), n)
 
 
 def axpy(alpha, x: Vector, y: Vector) -> Vector:
@@ -220,10 +243,9 @@ def rotg_complex(a: Column, b: Column) -> Column:
 
 
 def turned(x: Vector, y: Vector, h11: float, h12: float, h21: float, h22: float) -> DataFrame:
-    """``i, x, y`` over the shared prefix: h11 x + h12 y and h21 x + h22 y, from one join.  Zero factors multiply, so NaN stays NaN."""
+    """``i, x, y`` over the shared prefix: h11 x + h12 y and h21 x + h22 y, from one join, or none if both are of one table.  Zero factors multiply, so NaN stays NaN."""
     _same_type(x, y)
-    s, n = x.s, min(x.n, y.n)
-    both = x.prefix(n).cells("x").join(y.prefix(n).cells("y"), "i", "full").select("i", s.or_zero(F.col("x")).alias("x"), s.or_zero(F.col("y")).alias("y"))
+    s, both = x.s, _both(x, y)
     line = lambda a, b: s.narrow(s.add(s.scale(a, F.col("x")), s.scale(b, F.col("y"))))
     return both.select("i", line(h11, h12).alias("x"), line(h21, h22).alias("y"))
 
@@ -245,7 +267,10 @@ def rotm_paired(x: Vector, y: Vector, param: list[float]) -> DataFrame:
 
 
 def _apart(x: Vector, y: Vector, both: DataFrame) -> tuple[Vector, Vector]:
+    """Both results as vectors of one table, ``both``, where their lengths are equal."""
     n = min(x.n, y.n)
+    if x.n == y.n:
+        return tuple(Vector.on(Base(both, F.col("i"), F.col(name)), n, x.dtype) for name in ("x", "y"))
     return tuple(_keep_tail(old, both.select("i", F.col(name).alias("v")), n) for name, old in (("x", x), ("y", y)))
 
 
@@ -280,9 +305,10 @@ def rotmg(d1: float, d2: float, x1: float, y1: float) -> dict:
             kind, d1, d2, x1 = 1, d2 / u, d1 / u, y1 * u
     if kind == -1:
         d1 = d2 = x1 = 0.0
+        h = dict.fromkeys(h, 0.0)
     for first in (True, False):
         d = d1 if first else d2
-        while d != 0 and not 1 / GAMMA2 < abs(d) < GAMMA2:
+        while d != 0 and isfinite(d) and not 1 / GAMMA2 < abs(d) < GAMMA2:
             if kind >= 0:
                 h |= {"11": 1.0, "22": 1.0} if kind == 0 else {"21": -1.0, "12": 1.0}
                 kind = -1
@@ -297,13 +323,72 @@ def rotmg(d1: float, d2: float, x1: float, y1: float) -> dict:
     return {"d1": d1, "d2": d2, "x1": x1, "param": [float(kind), *(h[k] if k in told else None for k in ("11", "21", "12", "22"))]}
 
 
-def rotmg_rows(df: DataFrame) -> DataFrame:
-    """``rotmg`` of every row of ``df(d1, d2, x1, y1)``, in Arrow batches: ``d1, d2, x1, flag, h11, h21, h12, h22``."""
-    import pandas as pd
+#: Rescalings that bring any finite number between 1 / GAMMA2 and GAMMA2.
+MOST_STEPS = 46
+
+
+def rotmg_columns(d1: Column, d2: Column, x1: Column, y1: Column) -> Column:
+    """``rotmg`` of columns: struct d1, d2, x1, flag, h11, h21, h12, h22, null where the flag implies an h.
 
-    def run(frames):
-        for f in frames:
-            found = [rotmg(*row) for row in f[["d1", "d2", "x1", "y1"]].itertuples(index=False)]
-            yield pd.DataFrame([[r["d1"], r["d2"], r["x1"], *r["param"]] for r in found], columns=["d1", "d2", "x1", "flag", "h11", "h21", "h12", "h22"], dtype=float)
+    The two rescaling loops are a fold of at most ``MOST_STEPS`` steps, entered by rows that need one; numbers that are not finite are left alone.
+    """
+    zero, one = F.lit(0.0), F.lit(1.0)
+    names = ("d1", "d2", "x1", "flag", "h11", "h21", "h12", "h22")
+    state = lambda *v: F.struct(*[F.coalesce(c, zero).alias(n) for c, n in zip(v, names, strict=True)])
+    over = lambda a, b: a / F.when(b == 0, one).otherwise(b)  # noqa: E731  only where b is not 0
 
-    return df.mapInPandas(run, "d1 double, d2 double, x1 double, flag double, h11 double, h21 double, h12 double, h22 double")
+    def begun(v):
+        d1, d2, x1, y1 = (v[n] for n in ("d1", "d2", "x1", "y1"))
+        p1, p2 = d1 * x1, d2 * y1
+        q1, q2 = p1 * x1, p2 * y1
+
+        def first(w):
+            return state(over(d1, w["u"]), over(d2, w["u"]), x1 * w["u"], zero, zero, w["a"], w["b"], zero)
+
+        def second(w):
+            return state(over(d2, w["u"]), over(d1, w["u"]), y1 * w["u"], one, w["a"], zero, zero, w["b"])
+
+        halves = lambda a, b, sign: bind(F.struct(a.alias("a"), b.alias("b")), lambda h: F.struct(h["a"].alias("a"), h["b"].alias("b"), (one + F.lit(sign) * h["a"] * h["b"]).alias("u")))
+        none = state(zero, zero, zero, -one, zero, zero, zero, zero)
+        lead = bind(halves(over(-y1, x1), over(p2, p1), -1.0), lambda w: F.when(w["u"] > 0, first(w)).otherwise(none))
+        swapped = bind(halves(over(p1, p2), over(x1, y1), 1.0), second)
+        return F.when(F.abs(q1) > F.abs(q2), lead).when(q2 >= 0, swapped).otherwise(none)
+
+    def outside(d):
+        return (d != 0) & ~F.isnan(d) & (F.abs(d) != float("inf")) & ~((F.abs(d) > 1 / GAMMA2) & (F.abs(d) < GAMMA2))
+
+    def step(v, which):
+        """One rescaling of d1 or d2; the first one spells out what the flag implied."""
+        kind = v["flag"]
+        spelled = {"h11": F.when(kind == 0, one).otherwise(v["h11"]), "h22": F.when(kind == 0, one).otherwise(v["h22"]), "h21": F.when(kind == 1, -one).otherwise(v["h21"]), "h12": F.when(kind == 1, one).otherwise(v["h12"])}
+        small_ = F.abs(v[which]) <= 1 / GAMMA2
+        grown, shrunk = F.when(small_, F.lit(GAMMA2)).otherwise(1 / GAMMA2), F.when(small_, F.lit(1 / GAMMA)).otherwise(GAMMA)
+        new = {"d1": v["d1"], "d2": v["d2"], "x1": v["x1"], "flag": -one} | spelled
+        new[which] = v[which] * grown
+        for h in ("h11", "h12") if which == "d1" else ("h21", "h22"):
+            new[h] = spelled[h] * shrunk
+        if which == "d1":
+            new["x1"] = v["x1"] * shrunk
+        return state(*[new[n] for n in names])
+
+    def rescaled(v, which):
+        fold = F.aggregate(F.sequence(F.lit(1), F.lit(MOST_STEPS)), v, lambda acc, _: F.when(outside(acc[which]), step(acc, which)).otherwise(acc))
+        return F.when(outside(v[which]), fold).otherwise(v)
+
+    def told(v):
+        kind = v["flag"]
+        return F.struct(v["d1"].alias("d1"), v["d2"].alias("d2"), v["x1"].alias("x1"), kind.alias("flag"), F.when(kind != 0, v["h11"]).alias("h11"), F.when(kind != 1, v["h21"]).alias("h21"), F.when(kind != 1, v["h12"]).alias("h12"), F.when(kind != 0, v["h22"]).alias("h22"))
+
+    def run(v):
+        nothing = F.lit(None).cast("double")
+        same = F.struct(v["d1"].alias("d1"), v["d2"].alias("d2"), v["x1"].alias("x1"), F.lit(-2.0).alias("flag"), *[nothing.alias(h) for h in ("h11", "h21", "h12", "h22")])
+        lost = told(state(zero, zero, zero, -one, zero, zero, zero, zero))
+        turned = bind(bind(bind(begun(v), lambda w: rescaled(w, "d1")), lambda w: rescaled(w, "d2")), told)
+        return F.when(v["d1"] < 0, lost).when(v["d2"] * v["y1"] == 0, same).otherwise(turned)
+
+    return bind(F.struct(*[c.cast("double").alias(n) for n, c in (("d1", d1), ("d2", d2), ("x1", x1), ("y1", y1))]), run)
+
+
+def rotmg_rows(df: DataFrame) -> DataFrame:
+    """``rotmg`` of every row of ``df(d1, d2, x1, y1)``: ``d1, d2, x1, flag, h11, h21, h12, h22``."""
+    return df.select(rotmg_columns(*[F.col(n) for n in ("d1", "d2", "x1", "y1")]).alias("g")).select("g.*")

@@ -2,17 +2,21 @@
 
 Storage forms are decoded by ``sources.layout``; a band or triangle is a filter
 below the join, a symmetric operand one generated mirror, and every product is
-one equi-join against the vector and one sum.
+one equi-join against the vector and one sum.  Bands over vectors too long to
+broadcast go by halo exchange.  Rank updates make the cells that both vectors
+have: an element meets the other vector in strips of a fixed width.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..arguments import check
-from ..plans.strategy import small
+from ..arguments import check, place
+from ..functions.scalars import Scalars
+from ..plans.strategy import BROADCAST_CELLS, small
 from ..types import DIAG, TRANS, UPLO, DimensionMismatch, Matrix, Vector, flag
-from .level1 import _same_type
+from . import banded
+from .level1 import _both, _same_type
 from .level3 import combine, inside, summed
 
 
@@ -28,7 +32,7 @@ def gemv(trans: str, alpha, a: Matrix, x: Vector, beta, y: Vector) -> Vector:
     _same_type(a, x, y)
     a = a.op(flag(trans, TRANS, "gemv", 1))
     if x.n < a.n or y.n < a.m:
-        raise DimensionMismatch(f"{a.m} x {a.n} by {x.n} into {y.n}")
+        raise DimensionMismatch(f"{a.m} x {a.n} by {x.n} into {y.n}", "gemv", place("gemv", "x" if x.n < a.n else "y"))
     if a.m == 0 or a.n == 0:
         return y
     s, p = a.s, None
@@ -38,9 +42,19 @@ def gemv(trans: str, alpha, a: Matrix, x: Vector, beta, y: Vector) -> Vector:
     return _finish(alpha, p, beta, y, a.m)
 
 
-def gbmv(trans: str, kl: int, ku: int, alpha, a: Matrix, x: Vector, beta, y: Vector) -> Vector:
+def _banded(kl: int, ku: int, alpha, a: Matrix, x: Vector, beta, y: Vector, plan: str | None) -> Vector:
+    """A band times a vector: ``halo`` by chunks of rows, ``join`` by ``gemv``; by the length of x if no plan is given."""
+    _same_type(a, x, y)
+    if plan == "halo" or (plan is None and a.n > BROADCAST_CELLS):
+        return banded.multiply(kl, ku, alpha, a, x, beta, y)
+    return gemv("N", alpha, a.band(kl, ku), x, beta, y)
+
+
+def gbmv(trans: str, kl: int, ku: int, alpha, a: Matrix, x: Vector, beta, y: Vector, plan: str | None = None) -> Vector:
     check("gbmv", trans=trans, kl=kl, ku=ku)
-    return gemv(trans, alpha, a.band(kl, ku), x, beta, y)
+    trans = flag(trans, TRANS, "gbmv", 1)
+    below, above = (kl, ku) if trans == "N" else (ku, kl)
+    return _banded(below, above, alpha, a.op(trans), x, beta, y, plan)
 
 
 def symv(uplo: str, alpha, a: Matrix, x: Vector, beta, y: Vector) -> Vector:
@@ -51,14 +65,14 @@ def hemv(uplo: str, alpha, a: Matrix, x: Vector, beta, y: Vector) -> Vector:
     return gemv("N", alpha, a.mirrored(flag(uplo, UPLO, "hemv", 1), hermitian=True), x, beta, y)
 
 
-def sbmv(uplo: str, k: int, alpha, a: Matrix, x: Vector, beta, y: Vector) -> Vector:
+def sbmv(uplo: str, k: int, alpha, a: Matrix, x: Vector, beta, y: Vector, plan: str | None = None) -> Vector:
     check("sbmv", uplo=uplo, k=k)
-    return symv(uplo, alpha, a.band(k, k), x, beta, y)
+    return _banded(k, k, alpha, a.band(k, k).mirrored(flag(uplo, UPLO, "sbmv", 1)), x, beta, y, plan)
 
 
-def hbmv(uplo: str, k: int, alpha, a: Matrix, x: Vector, beta, y: Vector) -> Vector:
+def hbmv(uplo: str, k: int, alpha, a: Matrix, x: Vector, beta, y: Vector, plan: str | None = None) -> Vector:
     check("hbmv", uplo=uplo, k=k)
-    return hemv(uplo, alpha, a.band(k, k), x, beta, y)
+    return _banded(k, k, alpha, a.band(k, k).mirrored(flag(uplo, UPLO, "hbmv", 1), hermitian=True), x, beta, y, plan)
 
 
 def spmv(uplo: str, alpha, ap, n: int, x: Vector, beta, y: Vector) -> Vector:
@@ -83,9 +97,16 @@ def trmv(uplo: str, trans: str, diag: str, a: Matrix, x: Vector) -> Vector:
     return gemv(trans, 1, t, x, 0, x)
 
 
-def tbmv(uplo: str, trans: str, diag: str, k: int, a: Matrix, x: Vector) -> Vector:
+def tbmv(uplo: str, trans: str, diag: str, k: int, a: Matrix, x: Vector, plan: str | None = None) -> Vector:
     check("tbmv", uplo=uplo, trans=trans, diag=diag, k=k)
-    return trmv(uplo, trans, diag, a.band(k, k), x)
+    if plan != "halo" and (plan is not None or a.n <= BROADCAST_CELLS):
+        return trmv(uplo, trans, diag, a.band(k, k), x)
+    uplo, trans, unit = uplo[:1].upper(), trans[:1].upper(), diag[:1].upper() == "U"
+    t = a.triangle(uplo)
+    if unit:  # its diagonal is x itself, not read
+        t = Matrix(t.df.where("i <> j"), a.m, a.n, a.dtype)
+    lower = (uplo == "L") == (trans == "N")
+    return banded.multiply(k if lower else 0, 0 if lower else k, 1, t.op(trans), x, 1 if unit else 0, x)
 
 
 def tpmv(uplo: str, trans: str, diag: str, ap, x: Vector) -> Vector:
@@ -95,24 +116,35 @@ def tpmv(uplo: str, trans: str, diag: str, ap, x: Vector) -> Vector:
     return trmv(uplo, trans, diag, from_packed(ap, x.n, uplo, x.dtype), x)
 
 
-def _outer(a: Matrix, x: Vector, y: Vector, uplo: str | None):
-    """``i, j, x, y`` for every cell of a triangle or the whole: two equi-joins on the indexes, no cross join."""
-    cells = a.spark.range(0).select(F.col("id").alias("i"), F.col("id").alias("j")) if a.m * a.n == 0 else a.grid(uplo)
-    left = small(x.prefix(a.m).cells("x"), a.m)
-    right = small(y.prefix(a.n).cells("y").withColumnRenamed("i", "j"), a.n)
-    return cells.join(left, "i").join(right, "j")
+#: Elements of a strip of a rank update.
+STRIP = 1024
+
+
+def _outer(left, right, n: int, uplo: str | None, values: list[str]):
+    """``i, j`` and the values of every cell of a triangle, or of the whole, whose row is in ``left(i, ...)`` and column in ``right(j, ...)``.
+
+    Columns come in strips; an element of the left side meets each strip there is once, so nothing is made that neither vector has.
+    """
+    strips = right.groupBy(F.expr(f"j div {STRIP}").alias("strip")).agg(F.collect_list(F.struct("j", *values)).alias("other"))
+    own = F.expr(f"i div {STRIP}")
+    first, last = F.lit(0).cast("long"), F.lit(max(0, n - 1) // STRIP).cast("long")
+    first, last = (own, last) if uplo == "U" else (first, F.least(own, last)) if uplo == "L" else (first, last)
+    met = left.withColumn("strip", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")))).join(small(strips, n), "strip")
+    cells = met.select("i", *[c for c in left.columns if c != "i"], F.explode("other").alias("o")).select("i", *[c for c in left.columns if c != "i"], "o.*")
+    keep = inside(uplo)
+    return cells if keep is None else cells.where(keep)
 
 
 def ger(alpha, x: Vector, y: Vector, a: Matrix, conjugated: bool = False) -> Matrix:
     """A + alpha * x y^T (geru), or x y^H (gerc)."""
     _same_type(a, x, y)
     if x.n < a.m or y.n < a.n:
-        raise DimensionMismatch(f"{x.n} by {y.n} into {a.m} x {a.n}")
+        raise DimensionMismatch(f"{x.n} by {y.n} into {a.m} x {a.n}", "ger", place("ger", "x" if x.n < a.m else "y"))
     if alpha == 0:
         return a
     s, right = a.s, F.col("y")
-    p = _outer(a, x, y, None).select("i", "j", s.mul(F.col("x"), s.conj(right) if conjugated else right).alias("p"))
-    return combine(alpha, p, 1, a)
+    cells = _outer(x.prefix(a.m).cells("x"), y.prefix(a.n).cells("y").withColumnRenamed("i", "j"), a.n, None, ["y"])
+    return combine(alpha, cells.select("i", "j", s.mul(F.col("x"), s.conj(right) if conjugated else right).alias("p")), 1, a)
 
 
 def gerc(alpha, x: Vector, y: Vector, a: Matrix) -> Matrix:
@@ -131,8 +163,8 @@ def syr(uplo: str, alpha, x: Vector, a: Matrix, hermitian: bool = False) -> Matr
     if alpha == 0:
         return a
     right = s.conj(F.col("y")) if hermitian else F.col("y")
-    p = _outer(a, x, x, uplo).select("i", "j", s.mul(F.col("x"), right).alias("p"))
-    return combine(alpha, p, 1, a, uplo, hermitian)
+    cells = _outer(x.prefix(a.n).cells("x"), x.prefix(a.n).cells("y").withColumnRenamed("i", "j"), a.n, uplo, ["y"])
+    return combine(alpha, cells.select("i", "j", s.mul(F.col("x"), right).alias("p")), 1, a, uplo, hermitian)
 
 
 def her(uplo: str, alpha: float, x: Vector, a: Matrix) -> Matrix:
@@ -146,41 +178,66 @@ def syr2(uplo: str, alpha, x: Vector, y: Vector, a: Matrix, hermitian: bool = Fa
     uplo, s = flag(uplo, UPLO, "syr2", 1), a.s
     if alpha == 0:
         return a
-    both = x.cells("x").join(small(y.cells("y"), a.n), "i", "full").select("i", s.or_zero(F.col("x")).alias("x"), s.or_zero(F.col("y")).alias("y"))
-    left = small(both, a.n)
-    right = small(both.select(F.col("i").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj")), a.n)
-    turn = s.conj if hermitian else lambda v: v
-    one = s.scale(alpha, s.mul(F.col("x"), turn(F.col("yj"))))
-    two = s.scale(alpha.conjugate() if hermitian else alpha, s.mul(F.col("y"), turn(F.col("xj"))))
-    p = a.grid(uplo).join(left, "i").join(right, "j").select("i", "j", s.add(one, two).alias("p"))
+    both = _both(x.prefix(a.n), y.prefix(a.n))
+    right = both.select(F.col("i").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"))
+    cells = _outer(both, right, a.n, uplo, ["xj", "yj"])
+    p = cells.select("i", "j", _two_terms(s, alpha, hermitian, F.col("x"), F.col("y"), F.col("xj"), F.col("yj")).alias("p"))
     return combine(1, p, 1, a, uplo, hermitian)
 
 
+def _two_terms(s, alpha, hermitian: bool, x, y, xj, yj):
+    turn = s.conj if hermitian else lambda v: v
+    return s.add(s.scale(alpha, s.mul(x, turn(yj))), s.scale(alpha.conjugate() if hermitian else alpha, s.mul(y, turn(xj))))
+
+
 def her2(uplo: str, alpha, x: Vector, y: Vector, a: Matrix) -> Matrix:
     check("her2", uplo=uplo)
     return syr2(uplo, complex(alpha), x, y, a, hermitian=True)
 
 
-def _packed(name: str, update, uplo: str, ap, n: int, dtype: str):
-    from ..sources.layout import from_packed, to_packed
+def _packed(name: str, uplo: str, ap, n: int, dtype: str, vectors, term, hermitian: bool = False):
+    """A packed buffer with ``term`` of the vectors' elements at its row and column added, place by place: a projection of the buffer.
+
+    ``vectors`` has the cells ``(i, ...)``; ``term(here, there)`` gets their columns by name at the row and at the column.  Places that
+    the buffer lacks stay absent.
+    """
+    from ..sources.layout import packed_cells
 
-    uplo = flag(uplo, UPLO, name, 1)
-    full = update(from_packed(ap, n, uplo, dtype))
-    return to_packed(Matrix(full.df.where(inside(uplo)), n, n, dtype), uplo)
+    s = Scalars(dtype)
+    names = [c for c in vectors.columns if c != "i"]
+    side = lambda key, mark: small(vectors.select(F.col("i").alias(key), *[F.col(c).alias(f"{c}_{mark}") for c in names]), n)
+    cells = packed_cells(ap, n, flag(uplo, UPLO, name, 1)).join(side("i", "here"), "i", "left").join(side("j", "there"), "j", "left")
+    here, there = ({c: F.col(f"{c}_{mark}") for c in names} for mark in ("here", "there"))
+    met = here[names[0]].isNotNull() & there[names[0]].isNotNull()
+    old = s.wide(F.col("v"))
+    value = F.when(met, s.add(old, term(here, there))).otherwise(old)
+    if hermitian and s.is_complex:
+        value = s.pair(value["re"], F.when(F.col("i") == F.col("j"), F.lit(0.0)).otherwise(value["im"]))
+    return cells.select("pos", s.narrow(value).alias("v"))
 
 
-def spr(uplo: str, alpha, x: Vector, ap):
+def spr(uplo: str, alpha, x: Vector, ap, hermitian: bool = False):
     """``syr`` on a packed buffer ``(pos, v)``; so spr2, hpr and hpr2."""
-    return _packed("spr", lambda a: syr(uplo, alpha, x, a), uplo, ap, x.n, x.dtype)
+    s = x.s
+    if alpha == 0:
+        return ap
+    turn = s.conj if hermitian else lambda v: v
+    return _packed("hpr" if hermitian else "spr", uplo, ap, x.n, x.dtype, x.cells("x"), lambda a, b: s.scale(alpha, s.mul(a["x"], turn(b["x"]))), hermitian)
 
 
 def hpr(uplo: str, alpha: float, x: Vector, ap):
-    return _packed("hpr", lambda a: her(uplo, alpha, x, a), uplo, ap, x.n, x.dtype)
+    return spr(uplo, float(alpha), x, ap, hermitian=True)
 
 
-def spr2(uplo: str, alpha, x: Vector, y: Vector, ap):
-    return _packed("spr2", lambda a: syr2(uplo, alpha, x, y, a), uplo, ap, x.n, x.dtype)
+def spr2(uplo: str, alpha, x: Vector, y: Vector, ap, hermitian: bool = False):
+    _same_type(x, y)
+    if alpha == 0:
+        return ap
+    both = _both(x, y.prefix(x.n)) if y.n >= x.n else None
+    if both is None:
+        raise DimensionMismatch(f"{x.n} and {y.n}")
+    return _packed("hpr2" if hermitian else "spr2", uplo, ap, x.n, x.dtype, both, lambda a, b: _two_terms(x.s, alpha, hermitian, a["x"], a["y"], b["x"], b["y"]), hermitian)
 
 
 def hpr2(uplo: str, alpha, x: Vector, y: Vector, ap):
-    return _packed("hpr2", lambda a: her2(uplo, alpha, x, y, a), uplo, ap, x.n, x.dtype)
+    return spr2(uplo, complex(alpha), x, y, ap, hermitian=True)

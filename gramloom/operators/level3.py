@@ -2,8 +2,9 @@
 
 A product is an equi-join on the contraction index and a sum by (i, j); what
 may be skipped (alpha = 0, beta = 0, an unread triangle) is decided while the
-plan is built.  Large dense products go by blocks, so the join moves blocks and
-no row is made per scalar multiplication.
+plan is built.  Large products of cells go by tiles, so no row is made per
+scalar multiplication; operands that are relations of tiles (``Blocks``) stay so.
+A term exists where both cells do, in every plan.
 """
 
 from __future__ import annotations
@@ -11,13 +12,14 @@ from __future__ import annotations
 from dataclasses import replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.strategy import BLOCK, product_plan, small
-from ..arguments import check
+from ..plans.strategy import product_plan, small
+from ..arguments import check, place
 from ..types import SIDE, TRANS, UPLO, DimensionMismatch, Matrix, Vector, flag
+from .blocked import Blocks, as_blocks, rows_of, update
 from .level1 import _same_type
 
 
@@ -31,7 +33,8 @@ def product(a: Matrix, b: Matrix, uplo: str | None = None, plan: str | None = No
         raise DimensionMismatch(f"{a.m} x {a.n} by {b.m} x {b.n}")
     s, plan = a.s, plan or product_plan(a.m, a.n, b.n)
     if plan == "block":
-        return _block_product(a, b, uplo)
+        wide = lambda x: Blocks.of(replace(x.made(x.cells()), df=x.cells(), dtype="z" if s.is_complex else "d"))  # noqa: E731  sums are rounded by the caller
+        return update(1, wide(a), wide(b), 0, None, uplo).cells("p")
     left, right = a.cells("x").withColumnRenamed("j", "k"), b.cells("y").withColumnRenamed("i", "k")
     if plan == "broadcast":
         left, right = (left, small(right, b.m * b.n)) if b.m * b.n <= a.m * a.n else (small(left, a.m * a.n), right)
@@ -41,51 +44,6 @@ def product(a: Matrix, b: Matrix, uplo: str | None = None, plan: str | None = No
     return terms.groupBy("i", "j").agg(s.total(s.mul(F.col("x"), F.col("y"))).alias("p"))
 
 
-def _blocks(x: Matrix, name: str) -> DataFrame:
-    """``r, c, name``: dense blocks of BLOCK x BLOCK doubles (re, then im if complex) as binary; a block is a bounded group."""
-    wide, complex_ = x.cells(), x.s.is_complex
-    parts = ["v.re", "v.im"] if complex_ else ["v"]
-    keyed = wide.select(F.expr(f"i div {BLOCK}").alias("r"), F.expr(f"j div {BLOCK}").alias("c"), F.expr(f"int(i % {BLOCK} * {BLOCK} + j % {BLOCK})").alias("at"), *[F.col(p).alias(f"v{k}") for k, p in enumerate(parts)])
-
-    def fill(key, frame):
-        out = np.zeros(BLOCK * BLOCK, dtype=complex if complex_ else float)
-        out[frame["at"]] = frame["v0"] + 1j * frame["v1"] if complex_ else frame["v0"]
-        return pd.DataFrame({"r": [key[0]], "c": [key[1]], name: [out.tobytes()]})
-
-    return keyed.groupBy("r", "c").applyInPandas(fill, f"r long, c long, {name} binary")
-
-
-def _block_product(a: Matrix, b: Matrix, uplo: str | None) -> DataFrame:
-    complex_ = a.s.is_complex
-    kind = complex if complex_ else float
-    pairs = _blocks(a, "x").select("r", F.col("c").alias("k"), "x").join(_blocks(b, "y").select(F.col("r").alias("k"), "c", "y"), "k")
-    if (keep := inside(uplo)) is not None:  # whole blocks beyond the triangle
-        pairs = pairs.where("r <= c" if uplo == "U" else "r >= c")
-
-    def multiply(frames):
-        """Sums over k of the block products: pairs come in order of (r, c), so one block is held at a time."""
-        at, total = None, None
-        told = lambda: pd.DataFrame({"r": [at[0]], "c": [at[1]], "re": [total.real.ravel()], "im": [total.imag.ravel() if complex_ else None]})
-        for f in frames:
-            for r, c, x, y in f[["r", "c", "x", "y"]].itertuples(index=False):
-                if (r, c) != at:
-                    if at is not None:
-                        yield told()
-                    at, total = (r, c), np.zeros((BLOCK, BLOCK), dtype=kind)
-                total += np.frombuffer(x, kind).reshape(BLOCK, BLOCK) @ np.frombuffer(y, kind).reshape(BLOCK, BLOCK)
-        if at is not None:
-            yield told()
-
-    terms = pairs.select("r", "c", "k", "x", "y").repartition("r", "c").sortWithinPartitions("r", "c", "k").mapInPandas(multiply, "r long, c long, re array<double>, im array<double>")
-    both = F.arrays_zip("re", "im") if complex_ else F.transform("re", lambda v: F.struct(v.alias("re")))
-    cells = terms.select("r", "c", F.posexplode(both).alias("at", "v")).select(F.expr(f"r * {BLOCK} + at div {BLOCK}").alias("i"), F.expr(f"c * {BLOCK} + at % {BLOCK}").alias("j"), "v")
-    cells = cells.where((F.col("i") < a.m) & (F.col("j") < b.n))
-    if keep is not None:
-        cells = cells.where(keep)
-    value = F.struct("v.re", "v.im") if complex_ else F.col("v.re")
-    return cells.select("i", "j", value.alias("p"))
-
-
 def summed(shape: Matrix | Vector, keys: list[str], term: DataFrame | None, beta, old: Matrix | Vector) -> DataFrame:
     """Cells of ``term`` and of beta * ``old`` in double precision, added where both have one: one union, one aggregate."""
     s = shape.s
@@ -110,13 +68,20 @@ def combine(alpha, p: DataFrame | None, beta, c: Matrix, uplo: str | None = None
     return out if uplo is None else replace(out, df=out.df.unionByName(c.df.where("i > j" if uplo == "U" else "i < j")))
 
 
+def _update(alpha, a, b, beta, c, uplo: str | None = None, real_diagonal: bool = False, plan: str | None = None):
+    """alpha * A B + beta * C (on a triangle): in tiles if any operand is, else in cells."""
+    if any(isinstance(x, Blocks) for x in (a, b, c)):
+        return update(alpha, as_blocks(a), as_blocks(b), beta, as_blocks(c), uplo, real_diagonal)
+    return combine(alpha, None if alpha == 0 or a.n == 0 else product(a, b, uplo, plan), beta, c, uplo, real_diagonal)
+
+
 def gemm(alpha, a: Matrix, b: Matrix, beta, c: Matrix, trans_a: str = "N", trans_b: str = "N", plan: str | None = None) -> Matrix:
-    """alpha * op(A) op(B) + beta * C, any of the nine pairs of transposes."""
+    """alpha * op(A) op(B) + beta * C, any of the nine pairs of transposes; of relations of tiles if one operand is one."""
     _same_type(a, b, c)
     a, b = a.op(flag(trans_a, TRANS, "gemm", 1)), b.op(flag(trans_b, TRANS, "gemm", 2))
     if (a.m, a.n, b.n) != (c.m, b.m, c.n):
-        raise DimensionMismatch(f"{a.m} x {a.n} by {b.m} x {b.n} into {c.m} x {c.n}")
-    return combine(alpha, None if alpha == 0 or a.n == 0 else product(a, b, plan=plan), beta, c)
+        raise DimensionMismatch(f"{a.m} x {a.n} by {b.m} x {b.n} into {c.m} x {c.n}", "gemm", place("gemm", "m" if a.m != c.m else "k" if a.n != b.m else "n"))
+    return _update(alpha, a, b, beta, c, plan=plan)
 
 
 def _sided(side: str, alpha, a: Matrix, b: Matrix, beta, c: Matrix, name: str) -> Matrix:
@@ -137,8 +102,7 @@ def _rank_k(name, uplo, trans, alpha, a: Matrix, beta, c: Matrix, hermitian: boo
     a = a if trans == "N" else a.op("C" if hermitian else "T")
     if not a.m == c.m == c.n:
         raise DimensionMismatch(f"{a.m} and {c.m} x {c.n}")
-    p = None if alpha == 0 or a.n == 0 else product(a, a.op("C" if hermitian else "T"), uplo)
-    return combine(alpha, p, beta, c, uplo, hermitian)
+    return _update(alpha, a, a.op("C" if hermitian else "T"), beta, c, uplo, hermitian)
 
 
 def syrk(uplo: str, trans: str, alpha, a: Matrix, beta, c: Matrix) -> Matrix:
@@ -157,8 +121,10 @@ def _rank_2k(name, uplo, trans, alpha, a: Matrix, b: Matrix, beta, c: Matrix, he
     if (a.m, a.n) != (b.m, b.n) or not a.m == c.m == c.n:
         raise DimensionMismatch(f"{a.m} x {a.n}, {b.m} x {b.n} and {c.m} x {c.n}")
     if alpha == 0 or a.n == 0:
-        return combine(alpha, None, beta, c, uplo, hermitian)
+        return _update(0, a, b.op(turn), beta, c, uplo, hermitian)
     s, back = c.s, alpha.conjugate() if hermitian else alpha
+    if any(isinstance(x, Blocks) for x in (a, b, c)):
+        return _update(back, b, a.op(turn), 1, _update(alpha, a, b.op(turn), beta, c, uplo, hermitian), uplo, hermitian)
     one = product(a, b.op(turn), uplo).select("i", "j", s.scale(alpha, F.col("p")).alias("p"))
     two = product(b, a.op(turn), uplo).select("i", "j", s.scale(back, F.col("p")).alias("p"))
     p = one.unionByName(two).groupBy("i", "j").agg(s.total(F.col("p")).alias("p"))
@@ -193,15 +159,16 @@ def tall_gram(df: DataFrame, columns: list[str | Column]) -> DataFrame:
 
 
 def array_gram(df: DataFrame, array: str, n: int) -> DataFrame:
-    """``i, j, v``, i <= j: the Gram matrix of an array column of n numbers; NumPy partial sums, one small matrix per batch."""
+    """``i, j, v``, i <= j: the Gram matrix of an array column of n numbers; one small matrix of partial sums from each task."""
 
-    def run(frames):
+    def run(batches):
         total = np.zeros((n, n))
-        for f in frames:
-            if len(f):
-                x = np.stack(f[array].to_numpy()).astype(float)
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                x = rows_of(batch.column(0), n)
                 total += x.T @ x
         i, j = np.triu_indices(n)
-        yield pd.DataFrame({"i": i, "j": j, "v": total[i, j]})
+        yield pa.RecordBatch.from_pydict({"i": pa.array(i), "j": pa.array(j), "v": pa.array(total[i, j])})
 
-    return df.select(array).mapInPandas(run, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    rows = df.select(F.col(array).cast("array<double>").alias("row"))
+    return rows.mapInArrow(run, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))

@@ -1,11 +1,11 @@
-"""Triangular solves by blocked substitution.
-
-Block rows are taken in order.  The diagonal block (at most BLOCK rows) is
-solved for all right sides at once, each right side an ordered fold in its own
-group; then one product subtracts the block from the rows below.  A solve of at
-most BLOCK rows is a single fold; a larger one writes what each step solved and
-what it leaves to the shared checkpoint folder, so every step plans the same few joins.  Division is IEEE: a zero pivot gives
-infinities and NaN, never an error.
+"""Triangular solves.
+
+A triangle of at most BLOCK rows is solved for all right sides at once, each an
+ordered fold in its own group.  A larger one is inverted by halves in tiles
+(``blocked.inverse``), so dependent rounds are the logarithm of its tiles, and
+multiplied.  A band over a long vector goes by chunks and their interfaces
+(``banded.solve``).  Rounds write what they found to the shared checkpoint
+folder.  Division is IEEE: a zero pivot gives infinities and NaN, never an error.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from ..arguments import check
 from ..functions.scalars import bind
 from ..types import DIAG, SIDE, TRANS, UPLO, DimensionMismatch, Matrix, Vector, flag
+from . import banded
+from .blocked import Blocks, as_blocks, inverse, update
 from .level1 import _same_type
-from .level3 import product
 
 BLOCK = 128
 
@@ -65,29 +66,14 @@ def _cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _left(t: Matrix, b: Matrix, lower: bool, unit: bool) -> DataFrame:
-    """``i, j, v`` of X with T X = B."""
-    s, n = b.s, t.m
-    starts = list(range(0, n, BLOCK))
-    rest, done = b.cells(), None
-    for at in starts if lower else reversed(starts):
-        size = min(BLOCK, n - at)
-        here = lambda c, at=at, size=size: (F.col(c) >= at) & (F.col(c) < at + size)
-        block = t.cells().where(here("i") & here("j")).select(F.col("i") - at, F.col("j") - at, "v").toDF("i", "j", "v")
-        x = _fold(block, rest.where(here("i")).select((F.col("i") - at).alias("i"), "j", "v"), lower, unit, size, s).select((F.col("i") + at).alias("i"), "j", "v")
-        if len(starts) > 1:
-            x = _cut_lineage(x)
-            beyond = (F.col("i") >= at + size) if lower else (F.col("i") < at)
-            side = Matrix(t.df.where(here("j") & beyond), t.m, t.n, t.dtype)
-            used = product(Matrix(side.df.select("i", "j", "v"), t.m, t.n, t.dtype), Matrix(x, t.n, b.n, "z" if s.is_complex else "d"), plan="join" if t.m * b.n > 1_000_000 else "broadcast")
-            left = rest.where(beyond).unionByName(used.select("i", "j", s.scale(-1, F.col("p")).alias("v")))
-            rest = _cut_lineage(left.groupBy("i", "j").agg(s.total(F.col("v")).alias("v")))
-        done = x if done is None else done.unionByName(x)
-    return done
+def _by_inverse(side: str, uplo: str, trans: str, diag: str, alpha, a: Matrix | Blocks, b: Matrix | Blocks) -> Blocks:
+    """alpha * op(A)^-1 B, or alpha * B op(A)^-1, in tiles; the other triangle is never read."""
+    t = inverse(a if isinstance(a, Blocks) else as_blocks(a.triangle(uplo)), uplo, diag, _cut_lineage).op(trans)
+    return update(alpha, t, as_blocks(b), 0, None) if side == "L" else update(alpha, as_blocks(b), t, 0, None)
 
 
 def trsm(side: str, uplo: str, trans: str, diag: str, alpha, a: Matrix, b: Matrix) -> Matrix:
-    """X with op(A) X = alpha * B (left), or X op(A) = alpha * B (right)."""
+    """X with op(A) X = alpha * B (left), or X op(A) = alpha * B (right); of relations of tiles if one operand is one."""
     _same_type(a, b)
     side, uplo, trans, diag = flag(side, SIDE, "trsm", 1), flag(uplo, UPLO, "trsm", 2), flag(trans, TRANS, "trsm", 3), flag(diag, DIAG, "trsm", 4)
     if a.m != a.n or a.n != (b.m if side == "L" else b.n):
@@ -95,17 +81,22 @@ def trsm(side: str, uplo: str, trans: str, diag: str, alpha, a: Matrix, b: Matri
     if b.m == 0 or b.n == 0:
         return b
     s = b.s
+    if isinstance(a, Blocks) or isinstance(b, Blocks):
+        b = as_blocks(b)
+        return b.tiled(lambda r, c, x, there: [(r, c, 0 * x.real, None)]) if alpha == 0 else _by_inverse(side, uplo, trans, diag, alpha, a, b)
     if alpha == 0:
         return b.made(b.grid().select("i", "j", s.lit(0).alias("v")))
+    if a.n > BLOCK:
+        return _by_inverse(side, uplo, trans, diag, alpha, a, b).matrix()
     scaled = b if alpha == 1 else b.made(b.cells().select("i", "j", s.scale(alpha, F.col("v")).alias("v")))
     scaled = scaled.dense()
     t = a.triangle(uplo) if diag == "N" else replace(a, df=a.df.where("i < j" if uplo == "U" else "i > j"))
     t = t.op(trans)
     lower = (uplo == "L") == (trans == "N")
     if side == "R":
-        x = _left(t.op("T"), scaled.op("T"), not lower, diag == "U").select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
+        x = _fold(t.op("T").cells(), scaled.op("T").cells(), not lower, diag == "U", a.n, s).select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
     else:
-        x = _left(t, scaled, lower, diag == "U")
+        x = _fold(t.cells(), scaled.cells(), lower, diag == "U", a.n, s)
     return b.made(x)
 
 
@@ -119,8 +110,14 @@ def trsv(uplo: str, trans: str, diag: str, a: Matrix, b: Vector) -> Vector:
 
 
 def tbsv(uplo: str, trans: str, diag: str, k: int, a: Matrix, b: Vector) -> Vector:
+    """``trsv`` of a band of k diagonals: by chunks if it has more rows than one fold, so the vector may be long."""
     check("tbsv", uplo=uplo, trans=trans, diag=diag, k=k)
-    return trsv(uplo, trans, diag, a.band(k, k), b)
+    _same_type(a, b)
+    if a.n <= BLOCK or a.m != a.n or b.n < a.n:
+        return trsv(uplo, trans, diag, a.band(k, k), b)
+    uplo, trans, diag = uplo[:1].upper(), trans[:1].upper(), diag[:1].upper()
+    x = banded.solve((uplo == "L") == (trans == "N"), diag == "U", k, a.triangle(uplo).op(trans), b.prefix(a.n), settle=_cut_lineage)
+    return x if b.n == a.n else Vector(x.df.unionByName(b.df.where(F.col("i") >= a.n)), b.n, b.dtype)
 
 
 def tpsv(uplo: str, trans: str, diag: str, ap: DataFrame, b: Vector) -> Vector:

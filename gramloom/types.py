@@ -8,7 +8,7 @@ given, and checks run on the driver.  NULL cells raise when a job reads them.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,15 +18,18 @@ from .functions.scalars import Scalars
 
 
 class BlasError(ValueError):
-    """Base of all argument errors."""
+    """Base of all argument errors; ``info`` is the number of the argument (from 1) in the list of ``routine``, 0 where neither is known."""
+
+    def __init__(self, why: str = "", routine: str = "", info: int = 0):
+        super().__init__(f"{routine}: parameter {info} has an illegal value: {why}" if routine else why)
+        self.routine, self.info = routine, info
 
 
 class IllegalArgument(BlasError):
-    """A routine's argument number ``info`` (from 1) is illegal."""
+    """A routine's argument number ``info`` is illegal."""
 
     def __init__(self, routine: str, info: int, why: str = ""):
-        super().__init__(f"{routine}: parameter {info} has an illegal value" + (f": {why}" if why else ""))
-        self.routine, self.info = routine, info
+        super().__init__(why or "not allowed", routine, info)
 
 
 class DimensionMismatch(BlasError):
@@ -79,11 +82,23 @@ def _local(spark: SparkSession, index: dict, values: list, s: Scalars) -> DataFr
     return spark.createDataFrame(pa.table({**{k: pa.array(list(x), pa.int64()) for k, x in index.items()}, "v": v}))
 
 
+@dataclass(frozen=True)
+class Base:
+    """The table a vector is a projection of: its index and its value, in the vector's type."""
+
+    df: DataFrame
+    index: Column
+    value: Column
+
+
 @dataclass(frozen=True)
 class Vector:
+    """``df(i, v)``; one made from a table's columns knows the table (``base``), so vectors of one table meet in a projection."""
+
     df: DataFrame
     n: int
     dtype: str = "d"
+    base: Base | None = field(default=None, compare=False, repr=False)
 
     def __post_init__(self):
         if self.n < 0:
@@ -102,7 +117,24 @@ class Vector:
         """From any table: an index column and a value column or expression."""
         v = F.col(value) if isinstance(value, str) else value
         s = Scalars(dtype)
-        return cls(df.select(F.col(index).cast("long").alias("i"), s.narrow(_checked(v, s)).alias("v")), n, dtype)
+        return cls.on(Base(df, F.col(index).cast("long"), s.narrow(_checked(v, s))), n, dtype)
+
+    @classmethod
+    def on(cls, base: Base, n: int, dtype: str = "d") -> Vector:
+        """A projection of a table; the index tells its rows apart."""
+        return cls(base.df.select(base.index.alias("i"), base.value.alias("v")), n, dtype, base)
+
+    def shares(self, other: Vector) -> bool:
+        """Whether both are projections of one table, element by element."""
+        return self.base is not None and other.base is not None and self.base.df is other.base.df and str(self.base.index) == str(other.base.index)
+
+    def check(self) -> Vector:
+        """Raise where a cell is NULL, lies outside 0 .. n - 1 or occurs twice: one job, for buffers of unknown origin."""
+        if self.df.where(F.col("i").isNull() | (F.col("i") < 0) | (F.col("i") >= self.n) | self.df.v.isNull()).limit(1).count():
+            raise InvalidLength(f"a cell is NULL or outside 0 .. {self.n - 1}")
+        if self.df.groupBy("i").count().where("count > 1").limit(1).count():
+            raise InvalidLength("an index occurs twice")
+        return self
 
     @classmethod
     def from_values(cls, spark: SparkSession, values: Iterable, dtype: str = "d") -> Vector:
@@ -118,10 +150,10 @@ class Vector:
         return Vector(df.select("i", self.s.narrow(F.col("v")).alias("v")), self.n if n is None else n, self.dtype)
 
     def prefix(self, n: int) -> Vector:
-        return self if n >= self.n else replace(self, df=self.df.where(F.col("i") < n), n=n)
+        return self if n >= self.n else replace(self, df=self.df.where(F.col("i") < n), n=n, base=None)
 
     def conj(self) -> Vector:
-        return replace(self, df=self.df.select("i", self.s.conj(F.col("v")).alias("v")))
+        return replace(self, df=self.df.select("i", self.s.conj(F.col("v")).alias("v")), base=None)
 
     def dense(self) -> Vector:
         """Every index present, structural zeros spelled out."""
@@ -198,6 +230,24 @@ class Matrix:
     def adjoint(self) -> Matrix:
         return self.op("C")
 
+    @property
+    def effective_row_count(self) -> int:
+        """Rows after ``op``: operands carry their turned shape."""
+        return self.m
+
+    @property
+    def effective_column_count(self) -> int:
+        return self.n
+
+    def check(self) -> Matrix:
+        """Raise where a cell is NULL, lies outside the shape or occurs twice: one job, for buffers of unknown origin."""
+        i, j = F.col("i"), F.col("j")
+        if self.df.where(i.isNull() | j.isNull() | (i < 0) | (i >= self.m) | (j < 0) | (j >= self.n) | self.df.v.isNull()).limit(1).count():
+            raise InvalidLength(f"a cell is NULL or outside {self.m} x {self.n}")
+        if self.df.groupBy("i", "j").count().where("count > 1").limit(1).count():
+            raise InvalidLength("a cell occurs twice")
+        return self
+
     def triangle(self, uplo: str) -> Matrix:
         return replace(self, df=self.df.where("i <= j" if uplo == "U" else "i >= j"))
 
