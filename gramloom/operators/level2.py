@@ -16,7 +16,7 @@ from ..functions.scalars import Scalars
 from ..plans.strategy import BROADCAST_CELLS, small
 from ..types import DIAG, TRANS, UPLO, DimensionMismatch, Matrix, Vector, flag
 from . import banded
-from .level1 import _both, _same_type
+from .level1 import _same_type, zipped
 from .level3 import combine, inside, summed
 
 
@@ -178,16 +178,10 @@ def syr2(uplo: str, alpha, x: Vector, y: Vector, a: Matrix, hermitian: bool = Fa
     uplo, s = flag(uplo, UPLO, "syr2", 1), a.s
     if alpha == 0:
         return a
-    both = _both(x.prefix(a.n), y.prefix(a.n))
-    right = both.select(F.col("i").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"))
-    cells = _outer(both, right, a.n, uplo, ["xj", "yj"])
-    p = cells.select("i", "j", _two_terms(s, alpha, hermitian, F.col("x"), F.col("y"), F.col("xj"), F.col("yj")).alias("p"))
-    return combine(1, p, 1, a, uplo, hermitian)
-
-
-def _two_terms(s, alpha, hermitian: bool, x, y, xj, yj):
-    turn = s.conj if hermitian else lambda v: v
-    return s.add(s.scale(alpha, s.mul(x, turn(yj))), s.scale(alpha.conjugate() if hermitian else alpha, s.mul(y, turn(xj))))
+    x, y = x.prefix(a.n), y.prefix(a.n)
+    turn, back = s.conj if hermitian else lambda v: v, alpha.conjugate() if hermitian else alpha
+    outer = lambda left, right, f: _outer(left.cells("x"), right.cells("y").withColumnRenamed("i", "j"), a.n, uplo, ["y"]).select("i", "j", s.scale(f, s.mul(F.col("x"), turn(F.col("y")))).alias("p"))
+    return combine(1, outer(x, y, alpha).unionByName(outer(y, x, back)), 1, a, uplo, hermitian)  # summed with A
 
 
 def her2(uplo: str, alpha, x: Vector, y: Vector, a: Matrix) -> Matrix:
@@ -195,11 +189,11 @@ def her2(uplo: str, alpha, x: Vector, y: Vector, a: Matrix) -> Matrix:
     return syr2(uplo, complex(alpha), x, y, a, hermitian=True)
 
 
-def _packed(name: str, uplo: str, ap, n: int, dtype: str, vectors, term, hermitian: bool = False):
-    """A packed buffer with ``term`` of the vectors' elements at its row and column added, place by place: a projection of the buffer.
+def _packed(name: str, uplo: str, ap, n: int, dtype: str, vectors, terms, hermitian: bool = False):
+    """A packed buffer with terms of vectors added, place by place: a projection of the buffer.
 
-    ``vectors`` has the cells ``(i, ...)``; ``term(here, there)`` gets their columns by name at the row and at the column.  Places that
-    the buffer lacks stay absent.
+    ``vectors`` has the cells ``(i, ...)``; a term is the names of its column at the row and at the column, and its value of both.  It
+    counts where both are there.  Places that the buffer lacks stay absent.
     """
     from ..sources.layout import packed_cells
 
@@ -207,10 +201,10 @@ def _packed(name: str, uplo: str, ap, n: int, dtype: str, vectors, term, hermiti
     names = [c for c in vectors.columns if c != "i"]
     side = lambda key, mark: small(vectors.select(F.col("i").alias(key), *[F.col(c).alias(f"{c}_{mark}") for c in names]), n)
     cells = packed_cells(ap, n, flag(uplo, UPLO, name, 1)).join(side("i", "here"), "i", "left").join(side("j", "there"), "j", "left")
-    here, there = ({c: F.col(f"{c}_{mark}") for c in names} for mark in ("here", "there"))
-    met = here[names[0]].isNotNull() & there[names[0]].isNotNull()
-    old = s.wide(F.col("v"))
-    value = F.when(met, s.add(old, term(here, there))).otherwise(old)
+    value = s.wide(F.col("v"))
+    for here, there, term in terms:
+        here, there = F.col(f"{here}_here"), F.col(f"{there}_there")
+        value = s.add(value, F.when(here.isNotNull() & there.isNotNull(), term(here, there)).otherwise(s.lit(0)))
     if hermitian and s.is_complex:
         value = s.pair(value["re"], F.when(F.col("i") == F.col("j"), F.lit(0.0)).otherwise(value["im"]))
     return cells.select("pos", s.narrow(value).alias("v"))
@@ -222,7 +216,7 @@ def spr(uplo: str, alpha, x: Vector, ap, hermitian: bool = False):
     if alpha == 0:
         return ap
     turn = s.conj if hermitian else lambda v: v
-    return _packed("hpr" if hermitian else "spr", uplo, ap, x.n, x.dtype, x.cells("x"), lambda a, b: s.scale(alpha, s.mul(a["x"], turn(b["x"]))), hermitian)
+    return _packed("hpr" if hermitian else "spr", uplo, ap, x.n, x.dtype, x.cells("x"), [("x", "x", lambda a, b: s.scale(alpha, s.mul(a, turn(b))))], hermitian)
 
 
 def hpr(uplo: str, alpha: float, x: Vector, ap):
@@ -233,10 +227,12 @@ def spr2(uplo: str, alpha, x: Vector, y: Vector, ap, hermitian: bool = False):
     _same_type(x, y)
     if alpha == 0:
         return ap
-    both = _both(x, y.prefix(x.n)) if y.n >= x.n else None
-    if both is None:
-        raise DimensionMismatch(f"{x.n} and {y.n}")
-    return _packed("hpr2" if hermitian else "spr2", uplo, ap, x.n, x.dtype, both, lambda a, b: _two_terms(x.s, alpha, hermitian, a["x"], a["y"], b["x"], b["y"]), hermitian)
+    if y.n < x.n:
+        raise DimensionMismatch(f"{x.n} and {y.n}", "spr2", place("spr2", "y"))
+    s, back = x.s, alpha.conjugate() if hermitian else alpha
+    turn = s.conj if hermitian else lambda v: v
+    terms = [("x", "y", lambda a, b: s.scale(alpha, s.mul(a, turn(b)))), ("y", "x", lambda a, b: s.scale(back, s.mul(a, turn(b))))]
+    return _packed("hpr2" if hermitian else "spr2", uplo, ap, x.n, x.dtype, zipped(x, y.prefix(x.n), "full"), terms, hermitian)
 
 
 def hpr2(uplo: str, alpha, x: Vector, y: Vector, ap):
