@@ -186,64 +186,206 @@ def _set_sums(n: int, doc: np.ndarray, values: np.ndarray) -> np.ndarray:
     return out
 
 
-def set_rings(n: int, doc: np.ndarray, h: np.ndarray, rings: int) -> np.ndarray:
-    """``rings`` independent 64-bit SimHash fingerprints of the set of hashes of every text; ``doc`` is sorted, a hash occurs once in a text."""
+def set_fingerprints(n: int, doc: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """64-bit SimHash of the set of hashes of every text; ``doc`` is sorted, a hash occurs once in a text."""
     edge = np.searchsorted(doc, np.arange(n + 1))
-    turn = np.arange(rings, dtype=np.uint64) * R
-    ones = np.zeros((n, rings * 64), dtype=np.int64)
+    ones = np.zeros((n, 64), dtype=np.int64)
     for k, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
-        for at in range(a, b, 1 << 14):
-            own = mix(h[at : min(b, at + (1 << 14)), None] + turn)
-            ones[k] += np.unpackbits(own.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return np.packbits(ones * 2 > np.diff(edge)[:, None], axis=1, bitorder="little").view("<u8")
+        for at in range(a, b, 1 << 16):
+            own = mix(h[at : min(b, at + (1 << 16))])
+            ones[k] += np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return np.packbits(ones * 2 > np.diff(edge)[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-RINGS, RING_RADIUS = 8, 3
-#: Columns of the sketch of a text's shingles (64 bits each), and the differing bits up to which two texts may be similar.
-SKETCH, SKETCH_RADIUS = ("sketch_0", "sketch_1", "sketch_2", "sketch_3"), 58
+#: Prefix search: one in so many texts tells which shingles are frequent, the list's length (1 MB), and rows of ids that may be broadcast (8 bytes each).
+ORDER_SAMPLE, FREQUENT, BROADCAST_ROWS = 16, 1 << 17, 1_000_000
+RADIUS = 3
 
 
-def sketch_near(a, b) -> Column:
-    """Whether the sketches of two rows, read by ``a(name)`` and ``b(name)``, are within ``SKETCH_RADIUS`` bits."""
-    return sum((F.bit_count(a(s).bitwiseXOR(b(s))) for s in SKETCH), F.lit(0)) <= SKETCH_RADIUS
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs(row, ...)`` whose number is in ``ids(row)``; few ids are broadcast, so that no text is shuffled for them."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "row", "left_semi")
+
+
+def _shingled(batches, shingle: int):
+    """(rows, edges, shingles) of chunks of texts: row k has the shingles edges[k] .. edges[k + 1]."""
+    for batch in batches:
+        for rows, texts in chunks(iter([batch])):
+            doc, gram = shingle_sets(*_texts_words(texts), shingle)
+            yield rows, np.searchsorted(doc, np.arange(len(texts) + 1)), gram
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, shingle: int, tenths: int) -> DataFrame:
     """Those ``pairs(a, b)`` of rows of ``docs(row, text)`` whose shingle sets have a Jaccard similarity of ``tenths`` / 10 or more."""
 
     def run(batches):
-        for batch in batches:
-            for rows, texts in chunks(iter([batch])):
-                doc, gram = shingle_sets(*_texts_words(texts), shingle)
-                edge = np.searchsorted(doc, np.arange(len(texts) + 1))
-                yield pa.RecordBatch.from_pydict({"row": pa.array(rows, pa.int64()), "grams": pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(gram.view(np.int64)))})
+        for rows, edge, gram in _shingled(batches, shingle):
+            yield pa.RecordBatch.from_pydict({"row": pa.array(rows, pa.int64()), "grams": pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(gram.view(np.int64)))})
 
-    wanted = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
-    sets = materialize(docs.join(wanted, "row", "left_semi").select("row", "text").mapInArrow(run, "row long, grams array<long>"), "shingles")
+    wanted = materialize(pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct(), "wanted")
+    sets = materialize(_only(docs, wanted).select("row", "text").mapInArrow(run, "row long, grams array<long>"), "shingles")
     both = pairs.join(sets.select(F.col("row").alias("a"), F.col("grams").alias("in_a")), "a").join(sets.select(F.col("row").alias("b"), F.col("grams").alias("in_b")), "b")
     shared = F.size(F.array_intersect("in_a", "in_b"))
     enough = 10 * shared >= tenths * (F.size("in_a") + F.size("in_b") - shared)
     found = materialize(both.where(enough).select("a", "b"), "similar")
-    discard(sets)
+    discard(sets, wanted)
+    return found
+
+
+def frequent(texts: DataFrame, shingle: int) -> np.ndarray:
+    """The most frequent shingles of a sample of ``texts(row, text)``, rarest first.
+
+    They only decide which shingles a search looks at last: any order gives the same pairs.
+    """
+
+    def run(batches):
+        for _, _, gram in _shingled(batches, shingle):
+            yield pa.RecordBatch.from_pydict({"token": pa.array(gram.view(np.int64))})
+
+    some = texts.where(F.pmod(F.xxhash64("row"), F.lit(ORDER_SAMPLE)) == 0)
+    counts = some.mapInArrow(run, "token long").groupBy("token").count().where("count > 3")
+    return counts.orderBy(F.desc("count"), "token").limit(FREQUENT).orderBy("count", "token").select("token").toArrow().column(0).to_numpy()
+
+
+def prefixes(texts: DataFrame, shingle: int, tenths: int, last: np.ndarray) -> DataFrame:
+    """``token, v, at, n``: the first n - ceil(n tenths / 10) + 1 of the n shingles of every row of ``texts(row, text)``.
+
+    Shingles are in one order for all texts: by hash, those of ``last`` at the end.  Two sets of the similarity share one of these.
+    """
+    place = np.argsort(last)
+    known = last[place]
+
+    def run(batches):
+        for rows, edge, gram in _shingled(batches, shingle):
+            gram = gram.view(np.int64)
+            at = np.searchsorted(known, gram)
+            late = np.zeros(len(gram), np.int64)
+            if len(known):
+                hit = known[np.minimum(at, len(known) - 1)] == gram
+                late[hit] = place[at[hit]] + 1
+            size = np.diff(edge)
+            doc = np.repeat(np.arange(len(rows)), size)
+            order = np.lexsort((gram, late, doc))
+            nth = np.arange(len(gram)) - np.repeat(edge[:-1], size)
+            n = np.repeat(size, size)
+            keep = nth < n + (-tenths * n // 10) + 1
+            ids = np.array(rows, np.int64)[doc]
+            yield pa.RecordBatch.from_pydict({"token": pa.array(gram[order][keep]), "v": pa.array(ids[keep]), "at": pa.array(nth[keep].astype(np.int32)), "n": pa.array(n[keep].astype(np.int32))})
+
+    return texts.mapInArrow(run, "token long, v long, at int, n int")
+
+
+def may_agree(a: Column, b: Column, tenths: int) -> Column:
+    """Whether two sets whose first common shingle is at ``a.at`` and ``b.at`` can have the similarity: sizes, and what is left of either."""
+    size = 10 * F.least(a["n"], b["n"]) >= tenths * F.greatest(a["n"], b["n"])
+    return size & ((10 + tenths) * F.least(a["n"] - a["at"], b["n"] - b["at"]) >= tenths * (a["n"] + b["n"]))
+
+
+#: Columns of the parity bitmap of a set, 512 bits: each shingle flips one.
+BITS = tuple(f"bits_{k}" for k in range(8))
+
+
+def parities(n: int, doc: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Parity bitmaps of the sets of ``n`` texts.  Two bitmaps differ in no more bits than the sets in elements."""
+    width = 64 * len(BITS)
+    flips = np.bincount(doc * width + (mix(h ^ R) % U(width)).astype(np.int64), minlength=n * width).reshape(n, width)
+    return np.packbits(flips & 1, axis=1, bitorder="little").view("<i8")
+
+
+def near_enough(a, b, tenths: int) -> Column:
+    """Whether the bitmaps of two rows leave the similarity open: sets of sizes m and n have it if at most (10 - t) (m + n) / (10 + t) elements differ."""
+    differ = sum((F.bit_count(a(c).bitwiseXOR(b(c))) for c in BITS), F.lit(0))
+    return (10 + tenths) * differ <= (10 - tenths) * (a("n") + b("n"))
+
+
+def similar_links(classes: DataFrame, texts: DataFrame, shingle: int, tenths: int) -> DataFrame:
+    """Links ``a, b`` between the vertices of ``classes(v, fp, *BITS)`` that join the same groups as all pairs of the similarity do.
+
+    Pairs come from three searches, each compared exactly before the next, which only looks across the groups known by then: texts
+    of one fingerprint and of one prefix shingle against the first of them; fingerprints within ``RADIUS`` bits (pigeonring); texts
+    of one prefix shingle against others of them in turn, while that finds links and many pairs across groups are left; and at last
+    all pairs that share a prefix shingle and whose sizes, places and bitmaps leave the similarity open.  The last loses none, so the groups are exact; the others keep large groups of copies
+    from giving their square in pairs.
+    """
+    found = materialize(prefixes(texts, shingle, tenths, frequent(texts, shingle)), "prefixes")
+    one = F.struct("v", "at", "n")
+    heads = found.groupBy("token").agg(F.min(one).alias("head"), F.max("v").alias("most")).where("head.v <> most")
+    met = materialize(found.join(heads.select("token", "head"), "token"), "met")
+    discard(found)
+    same = classes.groupBy("fp").agg(F.min("v").alias("a"))
+    stars = classes.join(same, "fp").where("a <> v").select("a", F.col("v").alias("b"))
+    near = met.where(F.col("head.v") != F.col("v")).where(may_agree(F.col("head"), one, tenths)).select(F.col("head.v").alias("a"), F.col("v").alias("b"))
+    links = _similar(materialize(near.union(stars).distinct(), "pairs"), texts, shingle, tenths)
+
+    label = components(links)
+    known = materialize(classes.join(label, "v", "left").select("v", "fp", F.coalesce("component", "v").alias("known")), "known")
+    firsts = materialize(known.groupBy("fp").agg(F.min(F.struct("v", "known")).alias("h")).select("fp", "h.v", "h.known"), "heads")
+    met_fp = close_pairs(firsts.select("fp", "known"), RADIUS, more=("known",), also=lambda a, b: a("known") != b("known"))
+    side = lambda x, y: firsts.select(F.col("fp").alias(x), F.col("v").alias(y))
+    close = met_fp.join(side("fp_a", "a"), "fp_a").join(side("fp_b", "b"), "fp_b").select("a", "b")
+    links = links.union(_similar(materialize(close, "close"), texts, shingle, tenths))
+
+    rows = _mixed(met.select("token", "v", "at", "n").join(classes.select("v", *BITS), "v"), components(links))
+    discard(met)
+    turn, worth = 0, True
+    while worth and _crossing(rows) > CROSSING * rows.count():
+        turn += 1
+        tried = materialize(_star(rows, turn, tenths), "turn")
+        more = _similar(tried, texts, shingle, tenths)
+        n, worth = more.count(), False
+        if n:
+            before, links = rows, links.union(more)
+            rows, worth = _mixed(before, components(links)), WORTH * n >= before.count()
+            discard(before)
+    a, b = rows.alias("a"), rows.alias("b")
+    cell = lambda t: {n: F.col(f"{t}.{n}") for n in ("at", "n")}
+    open_ = may_agree(cell("a"), cell("b"), tenths) & near_enough(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"), tenths)
+    rest = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.v") < F.col("b.v")) & (F.col("a.of") != F.col("b.of")) & open_)
+    rest = materialize(rest.select(F.col("a.v").alias("a"), F.col("b.v").alias("b")).distinct(), "rest")
+    links = links.union(_similar(rest, texts, shingle, tenths))
+    discard(rows)
+    return links
+
+
+#: Pairs across groups that buckets may hold a row before all are compared; above, stars go first, while they find a link for each WORTH rows.
+CROSSING, WORTH = 2, 100
+
+
+def _mixed(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """``rows`` with the groups ``of`` ``label(v, component)``, those of buckets that hold more than one group."""
+    named = rows.drop("of").join(label, "v", "left").select("token", "v", "at", "n", *BITS, F.coalesce("component", "v").alias("of"))
+    named = materialize(named, "named")
+    mixed = named.groupBy("token").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high").select("token")
+    found = materialize(named.join(mixed, "token", "left_semi"), "mixed")
+    discard(named)
     return found
 
 
+def _crossing(rows: DataFrame) -> int:
+    """Pairs of rows of one bucket and two groups, counted without making any."""
+    each = rows.groupBy("token", "of").count().groupBy("token").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"))
+    return each.agg(F.sum(F.col("n") * F.col("n") - F.col("own"))).first()[0] or 0
+
+
+def _star(rows: DataFrame, turn: int, tenths: int) -> DataFrame:
+    """Pairs ``a, b`` of each bucket's rows and one of them, another in every turn, that lie in two groups."""
+    one = F.struct("v", "at", "n", "of", *BITS)
+    heads = rows.groupBy("token").agg(F.min_by(one, F.xxhash64("v", F.lit(turn))).alias("head"))
+    met = rows.join(heads, "token").where(F.col("of") != F.col("head.of")).where(may_agree(F.col("head"), F.struct("at", "n"), tenths))
+    met = met.where(near_enough(F.col, lambda c: F.col(f"head.{c}"), tenths))
+    return met.select(F.least("v", "head.v").alias("a"), F.greatest("v", "head.v").alias("b")).distinct()
+
+
 def one_of_each(docs: DataFrame, columns: list[str], shingle: int = 5, tenths: int = 8) -> DataFrame:
     """``columns`` of one row of each near-duplicate group: of smallest doc_id (nulls last), whichever of its rows comes first.
 
     Near duplicates share ``tenths`` / 10 or more of their ``shingle``-word shingles (Jaccard over distinct ones), directly or by a
-    path.  At that similarity a single fingerprint of shingles differs in up to 14 of its 64 bits, too many for any
-    selective chain; so candidates come from ``RINGS`` independent fingerprints of the distinct words, of
-    which one at least has to be within ``RING_RADIUS`` bits (pigeonring search, exact in each ring).  Texts of the same words in
-    another order, or with many scattered edits, are close in their words and not in their shingles; so the join also compares a
-    sketch, four fingerprints of the shingles, and emits only pairs within ``SKETCH_RADIUS`` of its 256 bits (at a similarity
-    of 0.8 texts of many shingles differ in 39 of them on average, with a standard deviation of 6; in texts of under ten words
-    in up to 48).  Every group of equal fingerprints is searched through its first text, to which the others are compared
-    first; the search then only pairs texts that are not known to be in one group yet, so a group of copies does not
-    give its square in pairs.  The shingles of candidates are compared exactly.
+    path.  At that similarity a fingerprint of shingles differs in up to 14 of its 64 bits, too many for a selective chain, so the
+    fingerprints' pigeonring search finds near ones first and a prefix search over the shingles finds what is left; see
+    ``similar_links``.  Texts of the same shingle set are one vertex.
 
     Rows are told apart by a number written beside them, so null and repeated doc_ids link and go like any other;
-    texts without a word are alike.
+    texts without a word are alike; a text of any length is read whole, a shingle set at a time.
     """
     carry = tuple(dict.fromkeys(["text", *(c for c in columns if c != "doc_id")]))
     table = with_carried(docs, carry)
@@ -252,50 +394,21 @@ def one_of_each(docs: DataFrame, columns: list[str], shingle: int = 5, tenths: i
         for batch in batches:
             at = 0
             for ids, texts in chunks(iter([batch])):
-                doc, h = _texts_words(texts)
-                own, gram = shingle_sets(doc, h, shingle)
+                own, gram = shingle_sets(*_texts_words(texts), shingle)
                 sets = mix(_set_sums(len(texts), own, mix(gram)) + np.bincount(own, minlength=len(texts)).astype(np.uint64))
-                rings = set_rings(len(texts), *_distinct(doc, h), RINGS)
-                sketch = set_rings(len(texts), own, gram, len(SKETCH)).view(np.int64)
+                bits = parities(len(texts), own, gram)
                 kept = {name: batch.column(name).slice(at, len(ids)) for name in carry}
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "set": pa.array(sets.view(np.int64)), "rings": pa.array(rings.view(np.int64).tolist(), pa.list_(pa.int64())), **{s: pa.array(sketch[:, k]) for k, s in enumerate(SKETCH)}, **kept})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "set": pa.array(sets.view(np.int64)), "fp": pa.array(set_fingerprints(len(texts), own, gram).view(np.int64)), **{c: pa.array(bits[:, k]) for k, c in enumerate(BITS)}, **kept})
                 at += len(ids)
 
-    scanned = spread(table).mapInArrow(run, "doc_id long, set long, rings array<long>" + "".join(f", {s} long" for s in SKETCH) + carried_schema(table, carry))
+    scanned = spread(table).mapInArrow(run, "doc_id long, set long, fp long" + "".join(f", {c} long" for c in BITS) + carried_schema(table, carry))
     marked = materialize(scanned.withColumn("row", F.monotonically_increasing_id()), "numbered")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    own = F.min_by(F.struct("rings", *SKETCH), "row")
-    classes = materialize(marked.groupBy("set").agg(F.min("row").alias("v"), own.alias("own"), first.alias("first")).select("set", "v", "own.*", "first"), "classes")
-    fps = classes.select("v", F.posexplode("rings").alias("number", "fp"))
-    heads = materialize(fps.groupBy("number", "fp").agg(F.min("v").alias("head")), "heads")
-    stars = materialize(fps.join(heads, ["number", "fp"]).select(F.col("head").alias("a"), F.col("v").alias("b")), "stars")
-    side = lambda name: classes.select("v", *SKETCH).withColumnRenamed("v", name).alias(f"side_{name}")
-    near_sides = sketch_near(lambda s: F.col(f"side_a.{s}"), lambda s: F.col(f"side_b.{s}"))
-    closer = lambda pairs: materialize(pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(near_sides).select("a", "b"), "pairs")
-    label = lambda group, name: group.select(F.col("v").alias(name), F.col("component").alias(f"of_{name}"))
-    open_ = lambda pairs, group: pairs.join(label(group, "a"), "a", "left").join(label(group, "b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-    texts = marked.select("row", "text")
-    nearest = closer(stars.where("a <> b").groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = _similar(nearest, texts, shingle, tenths)
-    rest = closer(open_(stars, components(links)).join(nearest, ["a", "b"], "left_anti"))
-    links = links.union(_similar(rest, texts, shingle, tenths))
-    group = components(links)
-    known = materialize(heads.join(label(group, "head"), "head", "left").select("number", "fp", "head", F.coalesce("of_head", "head").alias("known")), "known")
-    worth = lambda a, b: (a("known") != b("known")) & sketch_near(a, b)
-    near = None
-    for number in range(RINGS):  # one after the other: a constant number of rounds, each with the disk of one ring
-        own = known.where(F.col("number") == number)
-        of = lambda side, name, own=own: own.select(F.col("fp").alias(side), F.col("head").alias(name))
-        with_sketch = own.join(classes.select(F.col("v").alias("head"), *SKETCH), "head").select("fp", "known", *SKETCH)
-        met = close_pairs(with_sketch, RING_RADIUS, more=("known", *SKETCH), also=worth).join(of("fp_a", "x"), "fp_a").join(of("fp_b", "y"), "fp_b")
-        met = materialize(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "near")
-        near = met if near is None else near.union(met)
-    group = components(links.union(_similar(materialize(near.distinct(), "pairs"), texts, shingle, tenths)))
-    verdict = classes.join(group, "v", "left").select("set", F.coalesce("component", "v").alias("component"), "first")
-    kept = verdict.groupBy("component").agg(F.min("first").alias("first")).select("component", F.col("first.row").alias("kept"))
-    kept = materialize(verdict.select("set", "component").join(kept, "component").select("set", "kept"), "kept")
-    gone = marked.select("set", "row").join(kept, "set").where("row <> kept").select(F.col("row").alias("gone"))
-    return marked.join(gone, F.col("row") == F.col("gone"), "left_anti").select(*[F.col(n).cast(t) for n, t in docs.select(*columns).dtypes])
+    classes = materialize(marked.groupBy("set").agg(F.min("row").alias("v"), F.min("fp").alias("fp"), *[F.min(c).alias(c) for c in BITS], first.alias("first")), "classes")
+    links = similar_links(classes.select("v", "fp", *BITS), _only(marked.select("row", "text"), classes.select(F.col("v").alias("row"))), shingle, tenths)
+    verdict = classes.join(components(links), "v", "left").select("set", F.coalesce("component", "v").alias("component"), "first")
+    kept = verdict.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    return _only(marked, materialize(kept, "kept")).select(*[F.col(n).cast(t) for n, t in docs.select(*columns).dtypes])
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
