@@ -293,9 +293,18 @@ def _band_sql(value: str, where: str, row: str, column: str, both: bool = False,
     return L1(f"SELECT y.i, {value} AS v FROM ox y LEFT JOIN ({terms}) ON {row} = y.i GROUP BY y.i" if outer else f"SELECT {row} AS i, {value} AS v FROM {terms} JOIN ox y ON y.i = {row} GROUP BY 1")
 
 
-ROUNDED = ((F.floor(F.col("v") * 1e6 + 0.5) + 0) / 1e6).alias("v")
-_ODD = F.isnan("v") | (F.abs("v") == float("inf"))
-NANS = [F.when(_ODD, 0.0).otherwise(F.col("v")).alias("v"), F.when(F.isnan("v"), "nan").when(F.col("v") == float("inf"), "inf").when(F.col("v") == float("-inf"), "-inf").otherwise("").alias("kind")]
+def _six():
+    """The value rounded to six places."""
+    return ((F.floor(F.col("v") * 1e6 + 0.5) + 0) / 1e6).alias("v")
+
+
+def _kinds() -> list:
+    """Finite values, and the names of the others."""
+    v = F.col("v")
+    kind = F.when(F.isnan(v), "nan").when(v == float("inf"), "inf").when(v == float("-inf"), "-inf").otherwise("")
+    return [F.when(F.isnan(v) | (F.abs(v) == float("inf")), 0.0).otherwise(v).alias("v"), kind.alias("kind")]
+
+
 NAN_SQL = "CASE WHEN isnan(v) OR isinf(v) THEN 0 ELSE v END AS v, CASE WHEN isnan(v) THEN 'nan' WHEN v = 'inf'::DOUBLE THEN 'inf' WHEN v = '-inf'::DOUBLE THEN '-inf' ELSE '' END AS kind"
 #: Arguments of the modified rotation, of many magnitudes.
 ROTMG = ["(o_custkey % 7) * pow(2.0D, (o_orderkey % 9 - 4) * 10)", "(o_custkey % 5 + 1) * pow(2.0D, (o_orderkey % 5 - 2) * 20)", "floor(o_totalprice) * 1.0D", "double(o_custkey % 11)"]
@@ -405,7 +414,7 @@ Q: dict[str, tuple[Callable[[Operands], DataFrame], str | None]] = {
     "l2_sbmv_long": (lambda o: l2.sbmv("U", 3, 1, o.band(0, 3), o.order_vector("o_custkey % 10"), 0, o.order_vector("o_custkey % 7"), plan="halo").df, _band_sql("sum(m.v * x.v)", "m.d BETWEEN 0 AND 3", "m.i", "m.j", both=True)),
     "l2_tbmv_long": (lambda o: l2.tbmv("L", "N", "U", 3, o.band(3, 0), o.order_vector("o_custkey % 10"), plan="halo").df, _band_sql("coalesce(sum(m.v * x.v), 0) + any_value(y.v)", "m.d BETWEEN -3 AND -1", "m.i", "m.j", outer=True)),
     "l2_tbsv_long": (
-        lambda o: l2.tbmv("L", "N", "N", K, o.band(K, 0, 40.0), solve.tbsv("L", "N", "N", K, o.band(K, 0, 40.0), o.order_vector("o_custkey % 10")), plan="halo").df.select("i", ROUNDED),
+        lambda o: l2.tbmv("L", "N", "N", K, o.band(K, 0, 40.0), solve.tbsv("L", "N", "N", K, o.band(K, 0, 40.0), o.order_vector("o_custkey % 10")), plan="halo").df.select("i", _six()),
         L1("SELECT i, v FROM ox"),
     ),
     # level 3
@@ -415,8 +424,8 @@ Q: dict[str, tuple[Callable[[Operands], DataFrame], str | None]] = {
     "l3_gemm_tt": (lambda o: l3.gemm(1, o.a, o.b, 0, o.a, "T", "T").dense().df, L1(_mm(T.format("a"), T.format("b")))),
     "l3_gemm_complex": (lambda o: flat(l3.gemm(1, o.za, o.zb, 0, o.za, "N", "C").dense().df), L1(_zmm("SELECT * FROM za", ZT.format("-", "zb")))),
     "l3_gemm_block": (lambda o: l3.gemm(1, o.a, o.b, 0, o.a, plan="block").dense().df, L1(_mm("SELECT * FROM a", "SELECT * FROM b"))),
-    "l3_gemm_nan": (lambda o: l3.gemm(1, o.nan, o.b, 0, o.b, plan="block").df.select("i", "j", *NANS), L1(f"SELECT i, j, {NAN_SQL} FROM ({_mm('SELECT * FROM na', 'SELECT * FROM bc')})")),
-    "l3_gemm_nan_join": (lambda o: l3.gemm(1, o.nan, o.b, 0, o.b, plan="join").df.select("i", "j", *NANS), L1(f"SELECT i, j, {NAN_SQL} FROM ({_mm('SELECT * FROM na', 'SELECT * FROM bc')})")),
+    "l3_gemm_nan": (lambda o: l3.gemm(1, o.nan, o.b, 0, o.b, plan="block").df.select("i", "j", *_kinds()), L1(f"SELECT i, j, {NAN_SQL} FROM ({_mm('SELECT * FROM na', 'SELECT * FROM bc')})")),
+    "l3_gemm_nan_join": (lambda o: l3.gemm(1, o.nan, o.b, 0, o.b, plan="join").df.select("i", "j", *_kinds()), L1(f"SELECT i, j, {NAN_SQL} FROM ({_mm('SELECT * FROM na', 'SELECT * FROM bc')})")),
     "l3_gemm_512": (lambda o: l3.gemm(2, o.wa, o.wb, 3, o.wa, plan="block").df, L1(f"SELECT i, j, sum(v) AS v FROM (SELECT i, j, 2 * v AS v FROM ({_mm('SELECT * FROM wa', 'SELECT * FROM wb')}) UNION ALL SELECT i, j, 3 * v FROM wa) GROUP BY i, j")),
     "l3_gemm_chain": (lambda o: l3.gemm(1, l3.gemm(1, Blocks.of(o.wa), Blocks.of(o.wb), 0, Blocks.of(o.wa)), Blocks.of(o.wa), 1, Blocks.of(o.wb), "N", "T").matrix().df,
                       L1(f"SELECT i, j, sum(v) AS v FROM (SELECT * FROM ({_mm(_mm('SELECT * FROM wa', 'SELECT * FROM wb'), T.format('wa'))}) UNION ALL SELECT i, j, v FROM wb) GROUP BY i, j")),
@@ -437,13 +446,13 @@ Q: dict[str, tuple[Callable[[Operands], DataFrame], str | None]] = {
     "l3_trsm": (lambda o: solve.trsm("L", "L", "N", "N", 2, o.t, o.b).df, None),
     "l3_trsm_right": (lambda o: solve.trsm("R", "L", "T", "N", 1, o.t, o.b.op("T")).df, None),
     # pivots 4: quotients are not exact, so results are rounded; 300 rows go by halves in tiles
-    "l2_trsv_whole": (lambda o: solve.trsv("L", "N", "N", o.whole_t(), o.x).df.select("i", ROUNDED), None),
-    "l2_trsv_t_whole": (lambda o: solve.trsv("L", "T", "N", o.whole_t(), o.x).df.select("i", ROUNDED), None),
-    "l2_tbsv_whole": (lambda o: solve.tbsv("L", "N", "N", 2, o.whole_t(), o.x).df.select("i", ROUNDED), None),
-    "l2_tpsv_whole": (lambda o: solve.tpsv("L", "N", "N", layout.to_packed(o.whole_t(), "L"), o.x).df.select("i", ROUNDED), None),
-    "l3_trsm_whole": (lambda o: solve.trsm("L", "L", "N", "N", 2, o.whole_t(), o.b).df.select("i", "j", ROUNDED), None),
-    "l3_trsm_right_whole": (lambda o: solve.trsm("R", "L", "T", "N", 1, o.whole_t(), o.b.op("T")).df.select("i", "j", ROUNDED), None),
-    "l2_trsv_blocks": (lambda o: solve.trsv("L", "N", "N", o.whole_t(LARGE), o.large_x).dense().df.select("i", ROUNDED), None),
+    "l2_trsv_whole": (lambda o: solve.trsv("L", "N", "N", o.whole_t(), o.x).df.select("i", _six()), None),
+    "l2_trsv_t_whole": (lambda o: solve.trsv("L", "T", "N", o.whole_t(), o.x).df.select("i", _six()), None),
+    "l2_tbsv_whole": (lambda o: solve.tbsv("L", "N", "N", 2, o.whole_t(), o.x).df.select("i", _six()), None),
+    "l2_tpsv_whole": (lambda o: solve.tpsv("L", "N", "N", layout.to_packed(o.whole_t(), "L"), o.x).df.select("i", _six()), None),
+    "l3_trsm_whole": (lambda o: solve.trsm("L", "L", "N", "N", 2, o.whole_t(), o.b).df.select("i", "j", _six()), None),
+    "l3_trsm_right_whole": (lambda o: solve.trsm("R", "L", "T", "N", 1, o.whole_t(), o.b.op("T")).df.select("i", "j", _six()), None),
+    "l2_trsv_blocks": (lambda o: solve.trsv("L", "N", "N", o.whole_t(LARGE), o.large_x).dense().df.select("i", _six()), None),
     # typed functions and table functions
     "api_matrix_multiply": (lambda o: api.matrix_multiply(api.matrix(layout.to_flat(o.a, 30), N, N, 30).check(), o.b.adjoint(), o.a, 2, 3).dense().df, L1(f"SELECT p.i, p.j, 2 * p.v + 3 * a.v AS v FROM ({_mm('SELECT * FROM a', T.format('b'))}) p JOIN a USING (i, j)")),
     "api_combine_vectors": (lambda o: api.combine_vectors(o.p, o.q, 2, 3).df, _long("2 * p + 3 * q AS v")),

@@ -1,6 +1,9 @@
 """Vectors of one table, rank updates over present cells, buffers written back, rotations as columns, table functions."""
 
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
@@ -156,3 +159,9 @@ def test_table_functions(spark):
         sql.create(spark, "dot", "t_bad", x="tx")
     with pytest.raises(ValueError, match="letters"):
         sql.create(spark, "nrm2", "t; DROP", x="tx")
+
+
+def test_entry_imports_without_a_session():
+    """No column is built at import."""
+    code = "import __spark_entry__ as e; assert len(e.queries()) >= len(e.oracle_sql()) > 90"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True, timeout=120)
