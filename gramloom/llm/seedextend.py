@@ -6,14 +6,17 @@ grams, so two equal windows share an anchor, their smallest.  Around an anchor,
 match extends over the windows of which it is the smallest, at most 12 words to
 the left and to the right; anchors of one seed whose full extensions agree match
 in every such window, so only the first of them goes on.  Where the extensions
-of a seed differ, each of its windows is joined with the earliest holder of the
-same window.  Runs of windows that also start
+of a seed differ, each of its windows is ranked among the holders of the same
+window.  Runs of windows that also start
 earlier form the maximal repeats and are removed; the earliest copy stays.
 
 Scale: a fixed-size bitmap of anchor hashes met twice drops unique anchors
 before the shuffle; each task sends only its first holder of a seed and full
-extension, so a group of copies costs a row per task, not a row per copy; a
-second bitmap of affected documents keeps other texts out of the last join.
+extension, and then of a window, so a group of copies or a passage in a third of
+the texts costs a row per task, not a row per copy; no step groups by seed, so a
+hot seed is spread by its surroundings; a second bitmap finds the seeds with
+several surroundings, a third of affected documents keeps other texts out of the
+last join.
 Bitmaps only thin the work: results are exact when they are full.  No pairs
 are formed: every occurrence is compared with the earliest one by ordering.
 
@@ -21,8 +24,8 @@ Seeds, whole extensions and windows are compared by 64-bit hashes, each whole.
 
 Defined results: null text has no words; rows with a null doc_id are returned
 unchanged and are nobody's partner; doc_id is the identity of a document (rows
-repeating one are each cut by what is found for that id); extra columns are
-ignored.
+repeating one are each cut by what is found for that id); a long text is one
+row, whole, and a task holds it with its word hashes; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,6 +46,7 @@ GRAM = 8
 REACH = WINDOW - GRAM
 SPAN_BYTES = 8
 BITS = 29
+SPANS = 1 << 20
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -148,22 +152,60 @@ def repeats(docs: DataFrame, spark) -> DataFrame:
 
     found = docs.mapInArrow(seeds, "seed long, code long, doc_id long, place long, spans binary")
     settled = F.col("spans").isNull()
-    ranked = (
-        found.withColumn("n", F.rank().over(Window.partitionBy("seed", "code").orderBy("doc_id", "place")))
-        .withColumn("mixed", F.min("code").over(Window.partitionBy("seed")) < F.max("code").over(Window.partitionBy("seed")))
-        .where(settled | (F.col("n") > 1) | F.col("mixed"))
-        .select("seed", "doc_id", F.when(settled, F.col("place")).alias("start"), F.when(settled, F.col("code")).alias("stop"), (settled | (F.col("n") > 1)).alias("later"), F.when(F.col("n") == 1, F.col("spans")).alias("spans"),
-                F.expr("place div 4096").alias("pos"), F.expr("place div 64 % 64").alias("l"), F.expr("place % 64").alias("r"))
-    )
+    ranked = found.withColumn("n", F.rank().over(Window.partitionBy("seed", "code").orderBy("doc_id", "place"))).select(
+        "seed", "doc_id", F.when(settled, F.col("place")).alias("start"), F.when(settled, F.col("code")).alias("stop"), (settled | (F.col("n") > 1)).alias("later"), F.when(F.col("n") == 1, F.col("spans")).alias("spans"),
+        F.expr("place div 4096").alias("pos"), F.expr("place div 64 % 64").alias("l"), F.expr("place % 64").alias("r"))
     ranked = materialize(ranked, "seeds")
     whole = ranked.where("later").select("doc_id", F.coalesce("start", F.col("pos") - F.col("l")).alias("start"), F.coalesce("stop", F.col("pos") + GRAM + F.col("r")).alias("stop"))
-    back = F.explode(F.sequence(F.lit(0), F.lit(REACH))).alias("back")
-    spans = ranked.where("not later").select("seed", "spans", "doc_id", "pos", "l", "r", back).where((F.col("back") <= F.col("l")) & (REACH - F.col("back") <= F.col("r")))
-    own = F.col("spans").substr((F.col("back") + F.col("r") - REACH) * SPAN_BYTES + 1, F.lit(SPAN_BYTES))
-    spans = spans.select(F.xxhash64("seed", "back", own).alias("span"), "doc_id", (F.col("pos") - F.col("back")).alias("start"))
-    earliest = Window.partitionBy("span").orderBy("doc_id", "start")
-    part = spans.withColumn("n", F.rank().over(earliest)).where("n > 1").select("doc_id", "start", (F.col("start") + WINDOW).alias("stop"))
-    return whole.union(part)
+    return whole.union(window_repeats(ranked.where("not later").select("seed", "doc_id", "pos", "l", "r", "spans"), spark))
+
+
+def window_repeats(firsts: DataFrame, spark) -> DataFrame:
+    """``doc_id, start, stop`` of windows that an earlier holder also has, from the first holders of each seed and full extension.
+
+    A second bitmap finds the seeds with several extensions; only their windows go on.  Tasks settle the
+    windows of ``SPANS`` together and send one holder of each, so a hot window costs a row per task and a
+    hot seed is spread by its windows: neither is ever one key.
+    """
+
+    def seeds(batches):
+        for batch in batches:
+            yield slots_of(batch.column(0).to_numpy().view(np.uint64), BITS)
+
+    mixed = spark.sparkContext.broadcast(bitmap(firsts.select("seed"), seeds, BITS, twice=True))
+
+    def windows(batches):
+        held, size = [], 0
+        for batch in batches:
+            seed = batch.column(0).to_numpy().view(np.uint64)
+            keep = is_set(mixed.value, slots_of(seed, BITS))
+            doc, pos, left, right = (batch.column(k).to_numpy()[keep] for k in range(1, 5))
+            n = left + right - REACH + 1
+            back = np.repeat(REACH - right, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            span = np.frombuffer(b"".join(batch.column(5).filter(pa.array(keep)).to_pylist()), dtype=np.uint64)
+            code = mix(mix(np.repeat(seed[keep], n) * R + back.astype(np.uint64)) * R + span)
+            held.append((code, np.repeat(doc, n), np.repeat(pos, n) - back))
+            size += len(code)
+            if size >= SPANS:
+                yield from sent(held)
+                held, size = [], 0
+        if size:
+            yield from sent(held)
+
+    def sent(held):
+        code, doc, start = (np.concatenate(x) for x in zip(*held, strict=True))
+        later = Earliest().later(code, doc, start)
+        order = np.flatnonzero(later)[np.lexsort((start[later], doc[later]))]
+        number, index = np.unique(doc[order], return_inverse=True)
+        owner, a, b = joined_ranges(number, index, start[order], start[order] + WINDOW)
+        key = mix(owner.view(np.uint64) * R + a.astype(np.uint64)).view(np.int64)  # settled ranges have keys of their own
+        first = ~later
+        columns = (np.concatenate(x) for x in ((code[first].view(np.int64), key), (doc[first], owner), (start[first], a), (start[first] + WINDOW, b), (np.zeros(first.sum(), bool), np.ones(len(a), bool))))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["span", "doc_id", "start", "stop", "settled"])
+
+    found = firsts.mapInArrow(windows, "span long, doc_id long, start long, stop long, settled boolean")
+    ranked = found.withColumn("n", F.rank().over(Window.partitionBy("span").orderBy("doc_id", "start")))
+    return ranked.where("settled or n > 1").select("doc_id", "start", "stop")
 
 
 def cut(raw: bytes, ranges: list | None) -> tuple[int, int, str]:
