@@ -10,32 +10,37 @@ Document fingerprints that the benchmark also has are seeds; a seed is extended
 to the ten-word windows around it, and each window is looked up in the item
 windows.  Hit words and items follow from the windows found.
 
-Two ways bring the benchmark to the documents.  Its windows are counted first:
-up to ``BROADCAST_WINDOWS`` they are broadcast (a proven bound in bytes) and
-documents are scanned where they are, without a shuffle.  Beyond, documents
-send their fingerprints to a join and only documents with seeds are looked up,
-against the windows of the items they share seeds with.
+Two ways bring the benchmark to the documents, with the same results.  The bytes
+of its windows and names are summed first: up to ``BROADCAST_BYTES`` they are
+broadcast, items as numbers into one list of names, and documents are scanned
+where they are, without a shuffle.  Beyond, a bitmap of fixed size of all item
+seeds is broadcast instead; documents send the places and hashes of the windows
+that it lets through to a join with the item windows.  No step groups by seed or
+window, a join's hot window has one row on the items' side until items are named,
+and texts stay where they are.
 
 Defined results: null or word-less texts are not contaminated and null or
 word-less items match nothing; ids are labels (null doc_ids pass through, null
-item_ids are ignored); repeated items count once by id.
+item_ids are ignored); repeated items count once by id; repeated rows each get
+their own result; a long text is one row, whole; other columns are ignored unless
+named in ``carry``.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import carried_schema, spread, with_carried
-from .textscan import ALNUM, U, chunks, kgrams, sliding, winnow, words
+from .scratch import carried_schema, materialize, spread, with_carried
+from .textscan import ALNUM, U, bitmap, chunks, is_set, kgrams, sliding, slots_of, winnow, words
 
 WINDOW = 10
 GRAM = 5
-BROADCAST_WINDOWS = 2_000_000
+BROADCAST_BYTES = 64 << 20
+BITS = 29
 RESULT = "doc_id long, n_words long, n_hit long, items array<string>"
 
 
@@ -66,60 +71,67 @@ def item_rows(benchmark: DataFrame) -> DataFrame:
 
 
 class Windows:
-    """Item windows as sorted arrays, for lookups from documents."""
+    """Item windows as sorted arrays, for lookups from documents; items are numbers into ``names``."""
 
-    def __init__(self, item_id, length, window, seed):
-        length, window, seed = (np.asarray(x) for x in (length, window, seed))
-        window, seed = window.astype(np.int64).view(np.uint64), seed.astype(np.int64).view(np.uint64)
+    def __init__(self, rows: pa.Table):
+        rows = rows.combine_chunks()
+        length, window, seed = (rows.column(c).to_numpy() for c in ("length", "window", "seed"))
+        window, seed = window.view(np.uint64), seed.view(np.uint64)
         order = np.argsort(window, kind="stable")
         self.window = window[order]
-        self.items = np.asarray(item_id, dtype=object)[order]
-        self.seeds = np.unique(seed[length == WINDOW])
-        self.short = {int(n): np.unique(window[length == n]) for n in np.unique(length) if n < WINDOW}
+        items = rows.column("item_id").combine_chunks().dictionary_encode()
+        items = items.combine_chunks() if isinstance(items, pa.ChunkedArray) else items
+        self.items, self.names = items.indices.to_numpy()[order], items.dictionary.to_pylist()
+        self.seeds = {int(n): np.unique((seed if n == WINDOW else window)[length == n]) for n in np.unique(length)}
 
     @staticmethod
     def has(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-        if not len(table):
-            return np.zeros(len(h), dtype=bool)
         return table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h
 
 
-def hits(texts: list[bytes], known: Windows) -> list[tuple[int, int, list[str]]]:
-    """(words, hit words, items) of every text."""
+def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of texts laid end to end, the text of each, and every text's first word."""
     starts, _, h = words(b"\n".join(t.lower() for t in texts), ALNUM)
     first = np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]))
-    doc = np.repeat(np.arange(len(texts)), np.diff(first))
+    return h, np.repeat(np.arange(len(texts)), np.diff(first)), first
+
+
+def candidates(h: np.ndarray, doc: np.ndarray, lengths, is_seed):
+    """(starts, hashes, length) of the document windows that may be item windows: those around a seed, and short ones that are seeds."""
+    for n in lengths:
+        if n < WINDOW:
+            found = window_hash(h, n)
+            at = np.flatnonzero(is_seed(found, n))
+            at = at[doc[at] == doc[at + n - 1]]
+            yield at, found[at], n
+        elif len(h) >= WINDOW:
+            grams = kgrams(h, GRAM)
+            valid = doc[: len(h) - WINDOW + 1] == doc[WINDOW - 1 :]
+            seeds = winnow(grams, valid, WINDOW - GRAM + 1)
+            seeds = seeds[is_seed(grams[seeds], n)]
+            at = np.unique((seeds[:, None] - np.arange(WINDOW - GRAM + 1)[None, :]).ravel())
+            at = at[(at >= 0) & (at + WINDOW <= len(h))]
+            at = at[doc[at] == doc[at + WINDOW - 1]]
+            if len(at):
+                yield at, window_rows(h[at[:, None] + np.arange(WINDOW)[None, :]] + U(WINDOW)), n
+
+
+def hits(texts: list[bytes], known: Windows) -> list[tuple[int, int, list[str]]]:
+    """(words, hit words, items) of every text."""
+    h, doc, first = laid_out(texts)
     cover = np.zeros(len(h) + 1, dtype=np.int64)
     items: list[set] = [set() for _ in texts]
-
-    def mark(at, found, n):
+    for at, found, n in candidates(h, doc, known.seeds, lambda x, n: Windows.has(known.seeds[n], x)):
+        good = Windows.has(known.window, found)
+        at, found = at[good], found[good]
         np.add.at(cover, at, 1)
         np.add.at(cover, at + n, -1)
         lo, hi = np.searchsorted(known.window, found, "left"), np.searchsorted(known.window, found, "right")
         for d, a, b in zip(doc[at].tolist(), lo.tolist(), hi.tolist(), strict=True):
-            items[d].update(known.items[a:b])
-
-    within = lambda at, n: at[(at >= 0) & (at + n <= len(h))]
-    if len(known.seeds) and len(h) >= WINDOW:
-        grams = kgrams(h, GRAM)
-        valid = doc[: len(h) - WINDOW + 1] == doc[WINDOW - 1 :]
-        seeds = winnow(grams, valid, WINDOW - GRAM + 1)
-        seeds = seeds[Windows.has(known.seeds, grams[seeds])]
-        around = within(np.unique((seeds[:, None] - np.arange(WINDOW - GRAM + 1)[None, :]).ravel()), WINDOW)
-        around = around[doc[around] == doc[around + WINDOW - 1]]
-        if len(around):
-            span = h[around[:, None] + np.arange(WINDOW)[None, :]] + U(WINDOW)
-            found = window_rows(span)
-            good = Windows.has(known.window, found)
-            mark(around[good], found[good], WINDOW)
-    for n, table in known.short.items():
-        found = window_hash(h, n)
-        at = np.flatnonzero(Windows.has(table, found))
-        at = at[doc[at] == doc[at + n - 1]]
-        mark(at, found[at], n)
+            items[d].update(known.items[a:b].tolist())
     hit = (np.cumsum(cover)[:-1] > 0).astype(np.int64)
     total = np.concatenate([[0], np.cumsum(hit)])
-    return [(int(first[d + 1] - first[d]), int(total[first[d + 1]] - total[first[d]]), sorted(items[d])) for d in range(len(texts))]
+    return [(int(first[d + 1] - first[d]), int(total[first[d + 1]] - total[first[d]]), sorted(known.names[i] for i in items[d])) for d in range(len(texts))]
 
 
 def window_rows(span: np.ndarray) -> np.ndarray:
@@ -133,15 +145,13 @@ def _result(ids, found, own):
     return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(a, pa.int64()), "n_hit": pa.array(b, pa.int64()), "items": pa.array(c, pa.list_(pa.string())), **own})
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS, carry: tuple[str, ...] = ()) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, n_words, n_hit, items`` of every row of ``docs(doc_id, text)``, and the row's columns named in ``carry``."""
     docs = spread(with_carried(docs, carry))
-    schema = RESULT + carried_schema(docs, carry)
     rows = item_rows(benchmark)
-    if rows.limit(broadcast_windows + 1).count() > broadcast_windows:
-        return _joined(docs, rows, carry, schema)
-    table = rows.toPandas()
-    known = docs.sparkSession.sparkContext.broadcast(Windows(table.item_id, table.length, table.window, table.seed))
+    if (rows.agg(F.sum(F.octet_length("item_id") + 24)).first()[0] or 0) > broadcast_bytes:  # three numbers a window, and its item's name
+        return _joined(docs, rows, carry)
+    known = docs.sparkSession.sparkContext.broadcast(Windows(rows.toArrow()))
 
     def run(batches):
         for batch in batches:
@@ -150,43 +160,55 @@ def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int
                 yield _result(ids, hits(texts, known.value), {name: batch.column(name).slice(at, len(ids)) for name in carry})
                 at += len(ids)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, RESULT + carried_schema(docs, carry))
 
 
-def _joined(docs: DataFrame, rows: DataFrame, carry: tuple[str, ...], schema: str) -> DataFrame:
-    """The way for benchmarks beyond the broadcast bound: fingerprints meet in a join, then each document gets the windows it shares seeds with."""
-    docs = docs.withColumn("row", F.monotonically_increasing_id())
+def _joined(docs: DataFrame, rows: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """The way for benchmarks beyond the broadcast bound: windows that a bitmap of all item seeds lets through meet the item windows in a join."""
+    rows = materialize(rows, "item-windows")
     lengths = [r.length for r in rows.select("length").distinct().collect()]  # ten values at most
 
     def seeds(batches):
         for batch in batches:
-            at = 0
-            numbers = batch.column(2).to_pylist()
-            for ids, texts in chunks(iter([batch])):
-                for k, t in enumerate(texts):
-                    _, _, h = words(t.lower(), ALNUM)
-                    found = []
-                    if len(h) >= WINDOW:
-                        grams = kgrams(h, GRAM)
-                        found.append(grams[winnow(grams, np.ones(len(h) - WINDOW + 1, dtype=bool), WINDOW - GRAM + 1)])
-                    found += [window_hash(h, n) for n in lengths if n < WINDOW]
-                    s = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-                    yield pa.RecordBatch.from_pydict({"row": pa.array([numbers[at + k]] * len(s), pa.int64()), "seed": pa.array(s.view(np.int64))})
-                at += len(ids)
+            yield slots_of(batch.column(0).to_numpy().view(np.uint64), BITS)
 
-    def run(batches):
+    seen = docs.sparkSession.sparkContext.broadcast(bitmap(rows.select("seed"), seeds, BITS, twice=False))  # a short window is its own seed
+
+    def scan(batches):
+        row = TaskContext.get().partitionId() << 40  # written with its row, so a lost task changes no number in use
         for batch in batches:
-            found, ids = [], batch.column(0).to_pylist()
-            for t, known in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                cols = list(zip(*((w["item_id"], w["length"], w["window"], w["seed"]) for w in known or ()), strict=True)) or [[], [], [], []]
-                found += hits([t.as_buffer().to_pybytes() if t.is_valid else b""], Windows(*cols))
-            if ids:
-                yield _result(ids, found, {name: batch.column(name) for name in carry})
-
-    shared = docs.select("doc_id", "text", "row").mapInArrow(seeds, "row long, seed long").join(rows, "seed").select("row", "item_id", "length", "window", "seed").distinct()
-    known = shared.groupBy("row").agg(F.collect_list(F.struct("item_id", "length", "window", "seed")).alias("known"))
-    others = [c for c in carry if c not in ("doc_id", "text")]
-    return docs.join(known, "row", "left").select("doc_id", "text", "known", *others).mapInArrow(run, schema)
+            at = 0
+            for ids, texts in chunks(iter([batch])):
+                h, doc, first = laid_out(texts)
+                start, window, length = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                for places, hashes, n in candidates(h, doc, lengths, lambda x, n: is_set(seen.value, slots_of(x, BITS))):
+                    start.append(places)
+                    window.append(hashes)
+                    length.append(np.full(len(places), n, dtype=np.int64))
+                start, window, length = map(np.concatenate, (start, window, length))
+                order = np.argsort(start, kind="stable")
+                start, window, length = start[order], window[order], length[order]
+                offsets = np.searchsorted(start, first).astype(np.int32)
+                place = start - np.repeat(first[:-1], np.diff(offsets))
+                places = pa.StructArray.from_arrays([pa.array(place), pa.array(place + length), pa.array(window.view(np.int64))], names=["start", "stop", "window"])
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(np.diff(first).astype(np.int64)), "row": pa.array(np.arange(row, row + len(ids))),
+                    "found": pa.ListArray.from_arrays(pa.array(offsets), places), **{f"own_{name}": batch.column(name).slice(at, len(ids)) for name in carry},
+                })
+                at, row = at + len(ids), row + len(ids)
+
+    kinds = dict(docs.dtypes)
+    own = "".join(f", own_{name} {kinds[name]}" for name in carry)
+    table = materialize(docs.mapInArrow(scan, "doc_id long, n_words long, row long, found array<struct<start: long, stop: long, window: long>>" + own), "scanned")
+    found = table.select("row", F.inline("found"))
+    found = materialize(found.join(rows.select("window").distinct(), "window", "left_semi").select("row", "start", "stop", "window"), "benchmark-hits")
+    before = F.max("stop").over(Window.partitionBy("row").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.greatest(F.lit(0), F.col("stop") - F.greatest(F.col("start"), F.coalesce(before, F.lit(0))))
+    covered = found.select("row", fresh.alias("fresh")).groupBy("row").agg(F.sum("fresh").alias("n_hit"))
+    named = found.select("row", "window").distinct().join(rows.select("window", "item_id").distinct(), "window").select("row", "item_id").distinct()
+    items = named.groupBy("row").agg(F.sort_array(F.collect_list("item_id")).alias("items"))
+    out = table.drop("found").join(covered.join(items, "row"), "row", "left")
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), *[F.col(f"own_{name}").alias(name) for name in carry])
 
 
 def op6_winnowing(spark, sf_dir: str) -> DataFrame:
