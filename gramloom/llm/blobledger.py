@@ -12,18 +12,20 @@ hashes only; on a hot blob it is an ordinary skewed equi-join that adaptive
 execution splits, and the ledger side has one row per blob.
 
 Defined results: null text is the empty blob; null paths are kept and get their
-findings; repeated rows are paths of the same blob.
+findings; repeated rows are paths of the same blob; a long text is one blob,
+scanned whole; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import spread
+from .scratch import materialize, spread
 from .textscan import chunks
 
 #: Kinds in the order of reports.
@@ -106,3 +108,35 @@ def op7_blobledger(spark, sf_dir: str) -> DataFrame:
     paths = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("path"), "text")
     found = report(paths, scan(paths))
     return found.select(F.col("path").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
+
+
+def blobledger_history(spark, sf_dir: str) -> DataFrame:
+    """A ledger kept over four loads of whole tables: ``load, n_paths, n_scanned, n_flagged``.
+
+    Load 1 is ``benchmark`` and ``conversations``, load 2 adds ``documents``, load 3 brings all of them again, load 4 is load 3
+    under the next rule version.  ``n_scanned`` counts the blobs that the ledger lacked, ``n_flagged`` the paths with findings.
+    Each load's new ledger rows are written, so a later load reads them and no text is scanned twice.
+    """
+    texts = lambda *names: reduce(DataFrame.union, [spark.read.parquet(f"{sf_dir}/{t}.parquet").select(F.concat(F.lit(f"{t}/"), *k).alias("path"), "text") for t, k in names])
+    first = texts(("benchmark", ["item_id"]), ("conversations", ["conv_id", F.lit("/"), "turn"]))
+    every = first.union(texts(("documents", ["doc_id"])))
+    kept, out = None, []
+    for load, (paths, rules) in enumerate([(first, 1), (every, 1), (every, 1), (every, 2)], 1):
+        new = materialize(scan(paths, kept, rules), f"ledger-{load}")
+        kept = new if kept is None else kept.union(new)
+        one, zero = F.lit(1).alias("one"), F.lit(0)
+        of_paths = report(paths, kept, rules).select(one, zero.alias("scanned"), (F.col("spans") != "").cast("int").alias("flagged"))
+        counted = of_paths.union(new.select(F.lit(0), F.lit(1), F.lit(0)))
+        sums = [F.coalesce(F.sum(c), zero).cast("long").alias(n) for c, n in (("one", "n_paths"), ("scanned", "n_scanned"), ("flagged", "n_flagged"))]
+        out.append(counted.agg(*sums).select(F.lit(load).cast("long").alias("load"), "n_paths", "n_scanned", "n_flagged"))
+    return reduce(DataFrame.union, out)
+
+
+HISTORY_SQL = r"""
+WITH t AS (SELECT 1 AS l, coalesce(text, '') AS text FROM benchmark UNION ALL SELECT 1, coalesce(text, '') FROM conversations UNION ALL SELECT 2, coalesce(text, '') FROM documents),
+f AS (SELECT l, text, regexp_matches(text, '[0-9a-f]{32}') OR regexp_matches(text, 'AKIA[A-Z0-9]{12}') OR len(list_filter(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([a-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 8)) > 0 AS flagged FROM t),
+b AS (SELECT text, min(l) AS l FROM t GROUP BY text)
+SELECT 1::BIGINT AS load, count(*) AS n_paths, (SELECT count(*) FROM b WHERE l = 1) AS n_scanned, count(*) FILTER (flagged) AS n_flagged FROM f WHERE l = 1
+UNION ALL SELECT x.load, count(*), CASE x.load WHEN 2 THEN (SELECT count(*) FROM b WHERE l = 2) WHEN 3 THEN 0 ELSE (SELECT count(*) FROM b) END, count(*) FILTER (flagged) FROM f, (VALUES (2::BIGINT), (3), (4)) AS x(load) GROUP BY x.load
+"""

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import lexical, mixing, perspectives, ruleledger, seedextend, winnowing
-from .blobledger import op7_blobledger
+from . import blobledger, lexical, mixing, perspectives, ruleledger, seedextend, winnowing
+from .blobledger import blobledger_history, op7_blobledger
 from .bpetree import op3_bpetree
 from .bwtmerge import op2_bwtmerge
 from .importance import op12_importance
@@ -12,7 +12,7 @@ from .mixing import op11_mixing
 from .perspectives import op9_perspectives
 from .pitmanyor import op4_pitmanyor
 from .puquality import op10_puquality
-from .ruleledger import op1_ruleledger
+from .ruleledger import op1_ruleledger, ruleledger_ablation
 from .seedextend import op5_seedextend
 from .simhash import op8_simhash
 from .winnowing import op6_winnowing
@@ -20,7 +20,7 @@ from .winnowing import op6_winnowing
 
 def queries() -> dict:
     found = [op1_ruleledger, op2_bwtmerge, op3_bpetree, op4_pitmanyor, op5_seedextend, op6_winnowing, op7_blobledger, op8_simhash, op9_perspectives, op10_puquality,
-             op11_mixing, op12_importance, op13_lexical]
+             op11_mixing, op12_importance, op13_lexical, ruleledger_ablation, blobledger_history]
     return {f.__name__: f for f in found}
 
 
@@ -32,4 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op9_perspectives": perspectives.ORACLE_SQL,
         "op11_mixing": mixing.ORACLE_SQL,
         "op13_lexical": lexical.ORACLE_SQL,
+        "ruleledger_ablation": ruleledger.ABLATION_SQL,
+        "blobledger_history": blobledger.HISTORY_SQL,
     }

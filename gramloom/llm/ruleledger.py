@@ -10,7 +10,8 @@ Arrays are bound once by ``let`` (a one-element ``transform``), so Catalyst
 does not evaluate an array again for each of its elements.
 
 Defined results: null text has no words, fails the length rule and is not kept;
-null ids and repeated rows pass through, one ledger row each.
+null ids and repeated rows pass through, one ledger row each; a long text is one
+row, measured whole inside it.
 """
 
 from __future__ import annotations
@@ -97,9 +98,10 @@ def failures(m) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), bits).cast("long")
 
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """``doc_id``, the measurements, and ``failed``: one bit for each rule."""
-    measured = docs.select("doc_id", measures(F.col("text").cast("string")).alias("m")).select("doc_id", *[F.col(f"m.{c}").alias(c) for c in MEASURES])
+def ledger(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, the columns named in ``carry``, the measurements, and ``failed``: one bit for each rule."""
+    own = ["doc_id", *carry]
+    measured = docs.select(*own, measures(F.col("text").cast("string")).alias("m")).select(*own, *[F.col(f"m.{c}").alias(c) for c in MEASURES])
     return measured.withColumn("failed", failures({c: F.col(c) for c in MEASURES}))
 
 
@@ -135,6 +137,23 @@ def op1_ruleledger(spark, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed")
 
 
+def ruleledger_ablation(spark, sf_dir: str) -> DataFrame:
+    """``source, policy, rule, n_docs, n_failed, n_only, n_kept``: both policies taken apart over the whole ``documents`` table, source by source, from one ledger.
+
+    No text is read again for a policy or a rule: the ledger is grouped by source and bits with a partial
+    count first, so a source with a third of all rows is a few counts a task.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = ledger(docs, carry=("source",)).groupBy("source", "failed").agg(F.count("*").alias("n"))
+    used = F.array(*[F.struct(F.lit(policy).alias("policy"), F.lit(name).alias("rule"), F.lit(mask).alias("mask"), F.lit(BIT[name]).alias("bit"))
+                     for policy, mask in POLICIES.items() for name in BIT if mask & BIT[name]])
+    within = F.col("failed").bitwiseAND(F.col("mask"))
+    n = lambda when: F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0)).cast("long")
+    each = rows.select("source", "failed", "n", F.inline(used))
+    return each.groupBy("source", "policy", "rule").agg(
+        F.sum("n").alias("n_docs"), n(within.bitwiseAND(F.col("bit")) != 0).alias("n_failed"), n(within == F.col("bit")).alias("n_only"), n(within == 0).alias("n_kept"))
+
+
 ORACLE_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT k, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
@@ -153,3 +172,10 @@ f AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_re
   + CASE WHEN 100 * n_same_next > 20 * n_words THEN 64 ELSE 0 END)::BIGINT AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM f
 """
+
+ABLATION_SQL = ORACLE_SQL[: ORACLE_SQL.rindex("SELECT doc_id")].replace("SELECT row_number() OVER () AS k, doc_id", "SELECT row_number() OVER () AS k, source AS doc_id") + r"""
+, p AS (SELECT * FROM (VALUES ('base', 'too_few_words', 3, 1), ('base', 'repeated_words', 3, 2), ('v1', 'too_few_words', 127, 1), ('v1', 'repeated_words', 127, 2), ('v1', 'symbols', 127, 4),
+  ('v1', 'word_length', 127, 8), ('v1', 'repeated_lines', 127, 16), ('v1', 'upper_case', 127, 32), ('v1', 'same_neighbours', 127, 64)) AS x(policy, rule, mask, bit))
+SELECT doc_id AS source, policy, rule, count(*) AS n_docs, count(*) FILTER (failed & mask & bit <> 0) AS n_failed, count(*) FILTER (failed & mask = bit) AS n_only, count(*) FILTER (failed & mask = 0) AS n_kept
+FROM f, p GROUP BY ALL
+"""

@@ -44,3 +44,20 @@ def test_scans_only_unseen_blobs_and_versions(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "path long, text string")
     assert blobledger.report(none, blobledger.scan(none)).count() == 0
+
+
+def test_null_paths_clashing_columns_and_long_texts(spark):
+    long = "x " * 200_000 + SAMPLES[0] + " é" * 100_000
+    rows = [(None, SAMPLES[0]), (None, None), ("a", long), ("a", long), ("b", SAMPLES[0])]
+    paths = spark.createDataFrame([(p, t, "blob", 7, "spans") for p, t in rows], "path string, text string, blob string, rules int, spans string")
+    ledger = blobledger.scan(paths)
+    assert ledger.count() == 3
+    got = sorted(((r.path, r.spans) for r in blobledger.report(paths, ledger).collect()), key=str)
+    assert got == sorted(((p, brute(t)) for p, t in rows), key=str)
+
+
+def test_history_with_nulls_and_copies(spark, tmp_path):
+    for name, rows, schema in (("benchmark", [(1, SAMPLES[0]), (2, None)], "item_id long, text string"), ("conversations", [(1, 0, "x"), (None, 1, "x")], "conv_id long, turn long, text string"),
+                               ("documents", [(1, "x"), (2, SAMPLES[4]), (3, SAMPLES[4]), (4, "")], "doc_id long, text string")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert [tuple(r) for r in blobledger.blobledger_history(spark, str(tmp_path)).orderBy("load").collect()] == [(1, 4, 3, 1), (2, 8, 1, 2 + (brute(SAMPLES[4]) != "")), (3, 8, 0, 3), (4, 8, 4, 3)]

@@ -28,3 +28,15 @@ def test_no_python_in_the_plan(spark):
 
 def test_empty(spark):
     assert ruleledger.ledger(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_ablation_by_source_with_nulls(spark, rows, same_as_sql, tmp_path):
+    table = spark.createDataFrame([(i, t, [None, "a", "b", "a"][k % 4]) for k, (i, t) in enumerate([*rows, *ODD, (900, "w " * 400)])], "doc_id long, text string, source string")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    assert same_as_sql(ruleledger.ruleledger_ablation(spark, str(tmp_path)), ruleledger.ABLATION_SQL, documents=table) == 3 * 9
+
+
+def test_a_long_text_is_measured_whole(spark):
+    text = " ".join(f"w{k % 30_000}" for k in range(60_000)) + "\n# end\n# end"
+    r = ruleledger.ledger(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r.n_words, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.n_lines) == (60_004, 2, 1, 60_000, 3)
