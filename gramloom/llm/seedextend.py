@@ -156,6 +156,7 @@ def repeats(docs: DataFrame, spark) -> DataFrame:
         "seed", "doc_id", F.when(settled, F.col("place")).alias("start"), F.when(settled, F.col("code")).alias("stop"), (settled | (F.col("n") > 1)).alias("later"), F.when(F.col("n") == 1, F.col("spans")).alias("spans"),
         F.expr("place div 4096").alias("pos"), F.expr("place div 64 % 64").alias("l"), F.expr("place % 64").alias("r"))
     ranked = materialize(ranked, "seeds")
+    seen.destroy()  # the written table needs it no more
     whole = ranked.where("later").select("doc_id", F.coalesce("start", F.col("pos") - F.col("l")).alias("start"), F.coalesce("stop", F.col("pos") + GRAM + F.col("r")).alias("stop"))
     return whole.union(window_repeats(ranked.where("not later").select("seed", "doc_id", "pos", "l", "r", "spans"), spark))
 
@@ -163,22 +164,24 @@ def repeats(docs: DataFrame, spark) -> DataFrame:
 def window_repeats(firsts: DataFrame, spark) -> DataFrame:
     """``doc_id, start, stop`` of windows that an earlier holder also has, from the first holders of each seed and full extension.
 
-    A second bitmap finds the seeds with several extensions; only their windows go on.  Tasks settle the
+    A second bitmap, sized by the number of these rows up to ``BITS``, finds the seeds with several extensions; only their windows go on.  Tasks settle the
     windows of ``SPANS`` together and send one holder of each, so a hot window costs a row per task and a
     hot seed is spread by its windows: neither is ever one key.
     """
 
+    bits = min(BITS, max(16, (8 * firsts.count()).bit_length()))
+
     def seeds(batches):
         for batch in batches:
-            yield slots_of(batch.column(0).to_numpy().view(np.uint64), BITS)
+            yield slots_of(batch.column(0).to_numpy().view(np.uint64), bits)
 
-    mixed = spark.sparkContext.broadcast(bitmap(firsts.select("seed"), seeds, BITS, twice=True))
+    mixed = spark.sparkContext.broadcast(bitmap(firsts.select("seed"), seeds, bits, twice=True))
 
     def windows(batches):
         held, size = [], 0
         for batch in batches:
             seed = batch.column(0).to_numpy().view(np.uint64)
-            keep = is_set(mixed.value, slots_of(seed, BITS))
+            keep = is_set(mixed.value, slots_of(seed, bits))
             doc, pos, left, right = (batch.column(k).to_numpy()[keep] for k in range(1, 5))
             n = left + right - REACH + 1
             back = np.repeat(REACH - right, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
