@@ -62,6 +62,11 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return doc[at], at, grams[at], h, first, low
 
 
+def seed_slots(seed: np.ndarray, bits: int) -> np.ndarray:
+    """Slots of seeds, mixed once more: a seed is the least of 13 hashes, so its own upper bits crowd a thirteenth of the bitmap."""
+    return slots_of(mix(seed), bits)
+
+
 def reach(at: np.ndarray, seed: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words to the left and right of each anchor's gram that its own windows take: those of which it is the minimum, a run of starts."""
     start = at[:, None] - np.arange(REACH + 1)[None, :]
@@ -109,7 +114,7 @@ def repeats(docs: DataFrame, spark) -> DataFrame:
     def slots(batches):
         for ids, texts in chunks(batches):
             kept = [t for i, t in zip(ids, texts, strict=True) if i is not None]
-            yield slots_of(anchors(kept)[2], BITS)
+            yield seed_slots(anchors(kept)[2], BITS)
 
     seen = spark.sparkContext.broadcast(bitmap(docs, slots, BITS, twice=True))
 
@@ -121,7 +126,7 @@ def repeats(docs: DataFrame, spark) -> DataFrame:
                 continue
             number = np.array([i for i, _ in pairs], dtype=np.int64)
             doc, at, seed, h, first, low = anchors([t for _, t in pairs])
-            hit = is_set(seen.value, slots_of(seed, BITS))
+            hit = is_set(seen.value, seed_slots(seed, BITS))
             doc, at, seed = doc[hit], at[hit], seed[hit]
             if not len(at):
                 continue
@@ -173,7 +178,7 @@ def window_repeats(firsts: DataFrame, spark) -> DataFrame:
 
     def seeds(batches):
         for batch in batches:
-            yield slots_of(batch.column(0).to_numpy().view(np.uint64), bits)
+            yield seed_slots(batch.column(0).to_numpy().view(np.uint64), bits)
 
     mixed = spark.sparkContext.broadcast(bitmap(firsts.select("seed"), seeds, bits, twice=True))
 
@@ -181,7 +186,7 @@ def window_repeats(firsts: DataFrame, spark) -> DataFrame:
         held, size = [], 0
         for batch in batches:
             seed = batch.column(0).to_numpy().view(np.uint64)
-            keep = is_set(mixed.value, slots_of(seed, bits))
+            keep = is_set(mixed.value, seed_slots(seed, bits))
             doc, pos, left, right = (batch.column(k).to_numpy()[keep] for k in range(1, 5))
             n = left + right - REACH + 1
             back = np.repeat(REACH - right, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -203,12 +208,13 @@ def window_repeats(firsts: DataFrame, spark) -> DataFrame:
         owner, a, b = joined_ranges(number, index, start[order], start[order] + WINDOW)
         key = mix(owner.view(np.uint64) * R + a.astype(np.uint64)).view(np.int64)  # settled ranges have keys of their own
         first = ~later
-        columns = (np.concatenate(x) for x in ((code[first].view(np.int64), key), (doc[first], owner), (start[first], a), (start[first] + WINDOW, b), (np.zeros(first.sum(), bool), np.ones(len(a), bool))))
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["span", "doc_id", "start", "stop", "settled"])
+        columns = [pa.array(np.concatenate(x)) for x in ((code[first].view(np.int64), key), (doc[first], owner), (start[first], a))]
+        stop = pa.concat_arrays([pa.nulls(int(first.sum()), pa.int64()), pa.array(b)])
+        yield pa.RecordBatch.from_arrays([*columns, stop], names=["span", "doc_id", "start", "stop"])
 
-    found = firsts.mapInArrow(windows, "span long, doc_id long, start long, stop long, settled boolean")
+    found = firsts.mapInArrow(windows, "span long, doc_id long, start long, stop long")
     ranked = found.withColumn("n", F.rank().over(Window.partitionBy("span").orderBy("doc_id", "start")))
-    return ranked.where("settled or n > 1").select("doc_id", "start", "stop")
+    return ranked.where("stop is not null or n > 1").select("doc_id", "start", F.coalesce("stop", F.col("start") + WINDOW).alias("stop"))
 
 
 def cut(raw: bytes, ranges: list | None) -> tuple[int, int, str]:
