@@ -22,6 +22,7 @@ from .textscan import U
 BLOCK_BYTES = 6 << 20
 OWNER_BYTES = 8 << 20
 ROW_GROUP = 16 << 20
+PIECE = 64 << 20
 
 
 def blocks(docs: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
@@ -91,5 +92,58 @@ def arrays(column, dtype) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), dtype=dtype) if x.is_valid else np.zeros(0, dtype) for x in column]
 
 
+def _edges(chunk) -> np.ndarray:
+    """Byte offsets of the rows of a binary array."""
+    wide = np.int64 if pa.types.is_large_binary(chunk.type) else np.int32
+    return np.frombuffer(chunk.buffers()[1], dtype=wide)[chunk.offset : chunk.offset + len(chunk) + 1] if len(chunk) else np.zeros(1, wide)
+
+
+def _chunks(column) -> list:
+    return column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+
+
 def joined(column, dtype) -> np.ndarray:
-    return np.concatenate([np.zeros(0, dtype), *arrays(column, dtype)])
+    """The arrays of a binary column as one array; nulls have no elements."""
+    parts = [np.zeros(0, np.uint8)]
+    for chunk in _chunks(column):
+        edge, data = _edges(chunk), chunk.buffers()[2]
+        if data is not None:
+            parts.append(np.frombuffer(data, dtype=np.uint8)[edge[0] : edge[-1]])
+    return np.concatenate(parts).view(dtype)
+
+
+def sizes_of(column, dtype) -> np.ndarray:
+    """Elements of each array of a binary column."""
+    return np.concatenate([np.zeros(0, np.int64), *(np.diff(_edges(chunk)).astype(np.int64) // np.dtype(dtype).itemsize for chunk in _chunks(column))])
+
+
+def grouped(to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places in order of ``to``, distinct values of ``to``, places of each); places of one value keep their order."""
+    order = np.argsort(to, kind="stable")
+    head = np.flatnonzero(np.diff(to[order], prepend=-1))
+    return order, to[order[head]], np.diff(np.append(head, len(to)))
+
+
+def cut(schema: str, sizes: np.ndarray, **columns: np.ndarray) -> pa.Table:
+    """Rows of a schema of longs and binaries, absent columns null.
+
+    Row k holds the next ``sizes[k]`` elements of the array of every binary
+    column and element k of every other.  A column is one buffer for every
+    ``PIECE`` bytes or so, however many rows they are.
+    """
+    fields = [f.split() for f in schema.split(", ")]
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    edge = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    width = {name: columns[name].nbytes // max(1, len(columns[name])) for name, kind in fields if kind == "binary" and name in columns}
+    head = np.flatnonzero(np.diff(edge[1:] * max(width.values()) // PIECE, prepend=-1))
+
+    def column(name: str, kind: str, a: int, b: int) -> pa.Array:
+        if name not in columns:
+            return pa.nulls(b - a, kinds[kind])
+        if kind == "long":
+            return pa.array(columns[name][a:b], pa.int64())
+        at = ((edge[a : b + 1] - edge[a]) * width[name]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(columns[name][edge[a] : edge[b]]))])
+
+    batches = [pa.RecordBatch.from_arrays([column(name, kind, a, b) for name, kind in fields], names=[name for name, _ in fields]) for a, b in zip(head, np.append(head[1:], len(sizes))[: len(head)], strict=True)]
+    return pa.Table.from_batches(batches, pa.schema([(name, kinds[kind]) for name, kind in fields]))

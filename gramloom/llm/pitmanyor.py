@@ -13,11 +13,11 @@ burn-in.  A context that training never met has no customers and gives the
 root's probability.  Discounts follow from the counts of counts, n1 / (n1 + 2 n2),
 of pairs and of words.
 
-Seating is sampled by blocked Gibbs in the table-indicator form: a quarter of a
-dish's customers leaves (which of them head tables is hypergeometric) and
-returns in blocks, each customer opening a table with the Chinese-restaurant
-odds of that moment.  Restaurants sample in parallel against their parent's
-last state; the root then samples against the tables they sent.  A pair met once
+Seating is sampled by Gibbs over numbers of tables: a dish's tables are drawn
+given all other tables of its restaurant and its parent's probability, which is
+one block of its customers' seats.  Restaurants sample in parallel against
+their parent's last state and the other dishes' last tables; the root, whose
+customers are the tables they sent, then moves in the same way.  A pair met once
 always has one table, so a context's tables and a word's customers at the root
 are its count less what its repeated pairs save: only pairs met twice are kept.
 
@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import BLOCK_BYTES, OWNER_BYTES, arrays, blocks, dealt, joined, owner, owners_of, packed, unpacked
+from .exchange import BLOCK_BYTES, OWNER_BYTES, arrays, blocks, cut, grouped, joined, owner, owners_of, packed, sizes_of, unpacked
 from .scratch import discard, materialize, spread
 from .textscan import NOT_SPACE, R, U, mix, words
 
@@ -106,15 +106,15 @@ def _read(batches):
 
 
 def _send(schema: str, to: np.ndarray, **columns: np.ndarray):
-    rows = [{"owner": o, **{k: x[part] for k, x in columns.items()}} for o, part in dealt(to)]
-    return packed(schema, rows).to_batches() if rows else []
+    order, owners, sizes = grouped(to)
+    return cut(schema, sizes, owner=owners, **{k: x[order] for k, x in columns.items()}).to_batches()
 
 
 def _learns(ids: list) -> np.ndarray:
     return np.array([not held_out(i) for i in ids], dtype=np.int64)
 
 
-WORDS = "owner long, x binary, c binary, opened binary, kept binary"
+WORDS = "owner long, x binary, c binary, opened binary, kept binary, t binary"
 PAIRS = "owner long, u binary, w binary, c binary, t binary, told binary"
 _TOTALS = ", n long, types long, once long, twice long"
 
@@ -136,7 +136,7 @@ def _word_owners(texts: DataFrame, owners: int) -> DataFrame:
         x = x[first]
         real = c[x != BEGIN]
         none = np.zeros(0)
-        return packed(WORDS + _TOTALS, [{"owner": key[0].as_py(), "x": x, "c": c, "opened": none, "kept": none, "n": int(real.sum()), "types": len(real), "once": int((real == 1).sum()), "twice": int((real == 2).sum())}])
+        return packed(WORDS + _TOTALS, [{"owner": key[0].as_py(), "x": x, "c": c, "opened": none, "kept": none, "t": none, "n": int(real.sum()), "types": len(real), "once": int((real == 1).sum()), "twice": int((real == 2).sum())}])
 
     return materialize(texts.mapInArrow(run, "owner long, x binary, c binary").groupBy("owner").applyInArrow(own, WORDS + _TOTALS), "words")
 
@@ -162,43 +162,114 @@ def _pair_owners(texts: DataFrame, owners: int, turn: int) -> DataFrame:
     return materialize(texts.mapInArrow(run, "owner long, u binary, w binary, c binary").groupBy("owner").applyInArrow(own, PAIRS + _TOTALS), "pairs")
 
 
-SINGLY, BLOCKS = 24, 24
+EXACT, POINTS, DEPTH, TERMS = 48, 64, 14.0, 32
 
 
-def add(rng, c: np.ndarray, t: np.ndarray, m: np.ndarray, odds: np.ndarray, discount: float) -> np.ndarray:
-    """Tables after m more customers; odds: (strength + discount * tables) * parent probability.
+def log_ways(n: int, discount: float) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers: weights of c customers at t tables, for c and t up to n."""
+    found = np.full((n + 1, n + 1), -np.inf)
+    found[0, 0] = 0
+    t = np.arange(n + 1)
+    for c in range(n):
+        with np.errstate(divide="ignore"):
+            found[c + 1] = np.logaddexp(np.append(-np.inf, found[c, :-1]), found[c] + np.log(np.maximum(c - discount * t, 0)))
+    return found
+
+
+def _one_of(rng, weight: np.ndarray) -> np.ndarray:
+    """A column of each row, drawn by the logarithms of its weights."""
+    return np.argmax(weight + rng.gumbel(size=weight.shape), axis=1)
+
+
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    """Stirling's series, for x of 1 or more; wrong by less than 0.001."""
+    return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3)
+
+
+class _Wide:
+    """The law of the tables of dishes with more than ``EXACT`` customers, up to a factor.
+
+    The weight of c customers at t tables is c! / (discount^t t!) times the
+    coefficient of z^c in (1 - (1 - z)^discount)^t.  Where t is below about
+    c^discount, one table holds most customers, and the binomial series of the
+    power is summed; above, the coefficient is taken at its saddle point, which
+    depends on c / t alone.  With z = 1 - exp(-s).
+    """
 
-    The first SINGLY sit down one by one, the rest in BLOCKS blocks of equal
-    growth, whose new tables are binomial at the odds of the block's middle.
+    def __init__(self, discount: float):
+        self.d, self.log_s = discount, np.linspace(np.log(1e-8), np.log(200.0), 1 << 14)
+        self.log_r = self.at(np.exp(self.log_s))[2]
+
+    def at(self, s):
+        """log z, log of the base of the power, log of the ratio c / t that has its saddle here, and the curvature over t."""
+        d, z, f = self.d, -np.expm1(-s), -np.expm1(-self.d * s)
+        log_r = np.log(z) + np.log(d) + (1 - d) * s - np.log(f)
+        return np.log(z), np.log(f), log_r, np.exp(log_r) * (1 + z * np.exp(s) * ((1 - d) - d * np.exp(-d * s) / f))
+
+    def __call__(self, t, c, rest, log_p):
+        log_z, log_f, _, bend = self.at(np.exp(np.interp(np.log(c / t), self.log_r, self.log_s)))
+        saddle = t * log_f - c * log_z - 0.5 * np.log(2 * np.pi * t * np.maximum(bend, 1e-12))
+        few = np.log(t) - self.d * np.log(c) + self.d * np.log(self.d) < 0
+        a = (STRENGTH + self.d * rest) / self.d
+        return np.where(few, self.series(np.where(few, t, 1.0), c), saddle) + t * log_p + _lgamma(a + t) - _lgamma(t + 1.0)
+
+    def series(self, t, c):
+        total, chosen = np.zeros(np.broadcast(t, c).shape), 1.0
+        for j in range(1, TERMS + 1):
+            chosen = chosen * ((t - j + 1) / j)
+            x = self.d * j
+            total += chosen * ((1 if j % 2 else -1) * np.sin(np.pi * x) / np.pi * np.exp(_lgamma(1 + x) + _lgamma(c - x) - _lgamma(c)))
+        return np.log(np.maximum(total, 1e-300)) - np.log(c)
+
+
+def _of_many(rng, c: np.ndarray, rest: np.ndarray, p: np.ndarray, discount: float) -> np.ndarray:
+    """Tables drawn from the law of ``_Wide`` by ``POINTS`` cells between the places where it has fallen by exp(-DEPTH)."""
+    law, most = _Wide(discount), c - 1
+    of = (c[:, None].astype(float), rest[:, None].astype(float), np.log(p)[:, None])
+    low, high = np.ones(len(c)), most.astype(float)
+    for _ in range(4):  # the mode, between neighbours of the best point of ever finer grids
+        grid = low[:, None] * (high / low)[:, None] ** np.linspace(0, 1, 24)
+        best = np.argmax(law(grid, *of), axis=1)
+        low, high = (np.take_along_axis(grid, np.clip(best + side, 0, 23)[:, None], 1)[:, 0] for side in (-1, 1))
+    mode = np.clip(np.rint((low + high) / 2), 1, most)
+    floor = law(mode[:, None], *of)[:, 0] - DEPTH
+
+    def edge(inside, outside):
+        """The last place towards ``outside`` where the law is above the floor."""
+        for _ in range(64):
+            middle = np.rint((inside + outside) / 2)
+            above = law(middle[:, None], *of)[:, 0] >= floor
+            inside, outside = np.where(above, middle, inside), np.where(above, outside, middle)
+            if (np.abs(inside - outside) <= 1).all():
+                break
+        return inside
+
+    low, high = edge(mode, np.ones(len(c))), edge(mode, most.astype(float))
+    low, high = np.maximum(1, low - 1), np.minimum(most, high + 1)
+    cell = np.ceil((high - low + 1) / POINTS)
+    start = low[:, None] + cell[:, None] * np.arange(POINTS)
+    weight = np.where(start <= high[:, None], law(np.minimum(start + (cell[:, None] - 1) / 2, most[:, None]), *of), -np.inf)
+    chosen = low + cell * _one_of(rng, weight)
+    return np.minimum(chosen + np.floor(rng.random(len(c)) * cell), most).astype(np.int64)
+
+
+def seat(rng, c: np.ndarray, rest: np.ndarray, p: np.ndarray, discount: float) -> np.ndarray:
+    """One Gibbs draw of every dish's tables, given the ``rest`` of its restaurant's tables and the parent's probability p.
+
+    t tables of c customers have the weight of their seatings times the odds
+    (strength + discount * tables so far) * p of each: drawn from that law up to
+    ``EXACT`` customers, by the saddle point of its generating function beyond.
     """
-    out, live = t.astype(float), np.flatnonzero(m > 0)
-    now, left = c[live].astype(float), m[live].astype(float)
-    out[live] += now == 0
-    left, now = left - (now == 0), np.where(now == 0, 1, now)
-    growth = 1.0
-    for step in range(SINGLY + BLOCKS):
-        on = left > 0
-        live, now, left = live[on], now[on], left[on]
-        if not len(live):
-            break
-        if step == SINGLY:
-            growth = ((now + left) / now) ** (1 / BLOCKS)
-        elif step > SINGLY:
-            growth = growth[on]
-        block = np.ones(len(live)) if step < SINGLY else left if step == SINGLY + BLOCKS - 1 else np.minimum(left, np.ceil(now * (growth - 1)))
-        o, tables = odds[live], out[live]
-        chance = o / np.maximum(o + now + (block - 1) / 2 - discount * tables, 1e-12)
-        out[live] = tables + rng.binomial(block.astype(np.int64), np.clip(chance, 0, 1))
-        now, left = now + block, left - block
-    return out.astype(np.int64)
-
-
-def resample(rng, c: np.ndarray, t: np.ndarray, odds: np.ndarray, discount: float) -> np.ndarray:
-    """One blocked Gibbs move per dish: a quarter of its customers leaves and returns."""
-    m = -(-c // 4)
-    heads = rng.hypergeometric(np.maximum(t, 0), np.maximum(c - t, 0), m)
-    stay = np.where(c > m, np.maximum(t - heads, 1), 0)
-    return np.minimum(add(rng, c - m, stay, m, odds, discount), c)
+    out, ways = np.zeros(len(c), np.int64), log_ways(EXACT, discount)
+    for n in np.unique(c[(c > 0) & (c <= EXACT)]).tolist():
+        all_ = np.flatnonzero(c == n)
+        for at in np.split(all_, range(1 << 16, len(all_), 1 << 16)):
+            odds = np.log(STRENGTH + discount * (rest[at, None] + np.arange(n))) + np.log(p[at, None])
+            out[at] = 1 + _one_of(rng, ways[n, 1 : n + 1] + np.cumsum(odds, axis=1)) if n > 1 else 1
+    many = np.flatnonzero(c > EXACT)
+    for at in np.split(many, range(1 << 16, len(many), 1 << 16)):
+        out[at] = _of_many(rng, c[at], rest[at], p[at], discount)
+    return out
 
 
 SEATED = PAIRS + ", src long, x binary, less_u binary, less_w binary"
@@ -247,42 +318,39 @@ class Model:
             for number, u, w, c, t, told in zip(mine.column("owner").to_pylist(), *(arrays(mine.column(k), d) for k, d in (("u", np.uint64), ("w", np.uint64), ("c", np.int64), ("t", np.int64), ("told", np.int64))), strict=True):
                 x, back = np.unique(np.concatenate([u, w]), return_inverse=True)
                 at_u, at_w = back[: len(u)], back[len(u) :]
-                to = dealt(owner(x, owners))
+                order, to, sizes = grouped(owner(x, owners))
                 opened, p = np.zeros(len(x)), np.full(len(x), base)
-                if told_by is not None:
-                    places, kept = dict(to), np.zeros(len(x))
-                    for src, o, k in zip(told_by.column("src").to_pylist(), arrays(told_by.column("opened"), float), arrays(told_by.column("kept"), float), strict=True):
-                        opened[places[src]], kept[places[src]] = o, k
-                    p = (kept + base) / (STRENGTH + sent)
-                rng, odds = np.random.default_rng([SEED, sweep, number]), (STRENGTH + discount * opened[at_u]) * p[at_w]
-                t = add(rng, np.zeros_like(c), np.zeros_like(c), c, odds, discount) if told_by is None else resample(rng, c, t, odds, discount)
-                rows.append({"owner": number, "u": u, "w": w, "c": c, "t": t, "told": told + t * (sweep >= BURN_IN)})
-                less_u, less_w = (np.bincount(at, weights=c - t, minlength=len(x)).astype(np.int64) for at in (at_u, at_w))
-                rows += [{"owner": o, "src": number, "x": x[part], "less_u": less_u[part], "less_w": less_w[part]} for o, part in to]
-            return packed(SEATED, rows)
+                if told_by is not None:  # the owners answer each key, in the order in which they were asked
+                    told_by = told_by.sort_by("src")
+                    opened[order] = joined(told_by.column("opened"), float)
+                    p[order] = (joined(told_by.column("kept"), float) + base) / (STRENGTH + sent)
+                t = seat(np.random.default_rng([SEED, sweep, number]), c, np.maximum(opened[at_u] - t, 0), p[at_w], discount)
+                less_u, less_w = (np.bincount(at, weights=c - t, minlength=len(x)).astype(np.int64)[order] for at in (at_u, at_w))
+                rows.append(packed(SEATED, [{"owner": number, "u": u, "w": w, "c": c, "t": t, "told": told + t * (sweep >= BURN_IN)}]))
+                rows.append(cut(SEATED, sizes, owner=to, src=np.full(len(to), number), x=x[order], less_u=less_u, less_w=less_w))
+            return pa.concat_tables([packed(SEATED, []), *rows])
 
         mine = self.pairs.groupBy("owner")
         return mine.applyInArrow(lambda key, own: run(key, own, None), SEATED) if first else mine.cogroup(answers.groupBy("owner")).applyInArrow(run, SEATED)
 
     def _root(self, sweep: int, messages: DataFrame, tables: int) -> DataFrame:
-        """Seats of the root for the customers sent to it, and the answers to the owners of pairs."""
-        odds, discount = self.base(tables), self.root_discount
+        """A Gibbs move of the root's seats over the customers sent to it by now, and the answers to the owners of pairs."""
+        p, discount = 1 / (self.types + 1), self.root_discount
 
         def run(key, mine, told):
             rows = []
-            for number, x, c, old_opened, old_kept in zip(mine.column("owner").to_pylist(), *(arrays(mine.column(k), d) for k, d in (("x", np.uint64), ("c", np.int64), ("opened", float), ("kept", float))), strict=True):
-                opened, sent, places = np.where(x == END, 0, c), np.where(x == BEGIN, 0, c), []
-                for asked, less_u, less_w in zip(*(arrays(told.column(k), d) for k, d in (("x", np.uint64), ("less_u", np.int64), ("less_w", np.int64))), strict=True):
-                    places.append(np.searchsorted(x, asked))  # every training word is here
-                    opened[places[-1]] -= less_u
-                    sent[places[-1]] -= less_w
-                zero = np.zeros_like(sent)
-                t = add(np.random.default_rng([SEED, sweep, number, 1]), zero, zero, sent, np.full(len(sent), odds), discount)
+            asked, sizes = joined(told.column("x"), np.uint64), sizes_of(told.column("x"), np.uint64)
+            for number, x, c, old_opened, old_kept, t in zip(mine.column("owner").to_pylist(), *(arrays(mine.column(k), d) for k, d in (("x", np.uint64), ("c", np.int64), ("opened", float), ("kept", float), ("t", np.int64))), strict=True):
+                at = np.searchsorted(x, asked)  # every training word is here
+                less = lambda k: np.bincount(at, weights=joined(told.column(k), np.int64), minlength=len(x)).astype(np.int64)  # noqa: B023, E731
+                opened, sent = np.where(x == END, 0, c) - less("less_u"), np.where(x == BEGIN, 0, c) - less("less_w")
+                rest = tables - (t if len(t) else np.zeros_like(c))
+                t = seat(np.random.default_rng([SEED, sweep, number, 1]), sent, rest, np.full(len(sent), p), discount)
                 kept = sent - discount * t
                 now = (np.concatenate([old_opened, opened]), np.concatenate([old_kept, kept])) if sweep >= BURN_IN else (old_opened, old_kept)
-                rows.append({"owner": number, "x": x, "c": c, "opened": now[0].astype(float), "kept": now[1], "sent": int(sent.sum()), "tables": int(t.sum())})
-                rows += [{"owner": src, "src": number, "opened": opened[at].astype(float), "kept": kept[at]} for src, at in zip(told.column("src").to_pylist(), places, strict=True)]
-            return packed(ANSWERED, rows)
+                rows.append(packed(ANSWERED, [{"owner": number, "x": x, "c": c, "opened": now[0].astype(float), "kept": now[1], "t": t, "sent": int(sent.sum()), "tables": int(t.sum())}]))
+                rows.append(cut(ANSWERED, sizes, owner=told.column("src").to_numpy(), src=np.full(len(sizes), number), opened=opened[at].astype(float), kept=kept[at]))
+            return pa.concat_tables([packed(ANSWERED, []), *rows])
 
         return self.words.groupBy("owner").cogroup(messages.groupBy("owner")).applyInArrow(run, ANSWERED)
 
@@ -320,34 +388,30 @@ def _scored(texts: DataFrame, shelves: DataFrame, model: Model) -> DataFrame:
         at_u = np.where(u == BEGIN, len(x), np.concatenate([[0], at_w[:-1]])[: len(u)])  # a context is the word before
         x = np.append(x, BEGIN)
         code, at = np.unique(pair_code(u, w), return_inverse=True)
-        return x, at_u, at_w, code, at, dealt(owner(code, owners)), dealt(owner(x, owners))
+        return x, at_u, at_w, code, at, grouped(owner(code, owners)), grouped(owner(x, owners))
 
     def ask(batches):
         for block, _, _, u, w in _read(batches):
-            x, _, _, code, _, pairs, words_ = asked(u, w)
-            rows = [{"owner": o, "block": block, "code": code[part]} for o, part in pairs] + [{"owner": o + owners, "block": block, "code": x[part]} for o, part in words_]
-            yield from packed("owner long, block long, code binary", rows).to_batches()
+            x, _, _, code, _, (by_pair, of_pairs, n_pairs), (by_word, of_words, n_words) = asked(u, w)
+            to = np.concatenate([of_pairs, of_words + owners])
+            yield from cut("owner long, block long, code binary", np.concatenate([n_pairs, n_words]), owner=to, block=np.full(len(to), block), code=np.concatenate([code[by_pair], x[by_word]])).to_batches()
 
     def answer(key, questions, shelf):
         width = 1 if key[0].as_py() < owners else 1 + 2 * SAMPLES
         code = joined(shelf.column("code"), np.uint64)
         value = np.concatenate([joined(shelf.column("value"), float).reshape(-1, width), np.full((1, width), np.nan)])
-        rows = []
-        for block, wanted in zip(questions.column("block").to_pylist(), arrays(questions.column("code"), np.uint64), strict=True):
-            at = np.searchsorted(code, wanted)
-            at[at < len(code)] = np.where(code[at[at < len(code)]] == wanted[at < len(code)], at[at < len(code)], len(code))
-            rows.append({"owner": key[0].as_py(), "block": block, "value": value[at]})
-        return packed("owner long, block long, value binary", rows)
+        wanted, sizes = joined(questions.column("code"), np.uint64), sizes_of(questions.column("code"), np.uint64)
+        at = np.searchsorted(code, wanted)
+        at[at < len(code)] = np.where(code[at[at < len(code)]] == wanted[at < len(code)], at[at < len(code)], len(code))
+        return cut("owner long, block long, value binary", sizes, owner=np.full(len(sizes), key[0].as_py()), block=questions.column("block").to_numpy(), value=value[at])
 
     def score_block(key, mine, answers):
         for _, ids, where, u, w in _read([mine]):
-            x, at_u, at_w, code, at, pairs, words_ = asked(u, w)
-            found = dict(zip(answers.column("owner").to_pylist(), arrays(answers.column("value"), float), strict=True))
-            seats, stat = np.full(len(code), np.nan), np.zeros((len(x), 1 + 2 * SAMPLES))
-            for o, part in pairs:
-                seats[part] = found[o]
-            for o, part in words_:
-                stat[part] = np.nan_to_num(found[o + owners].reshape(-1, 1 + 2 * SAMPLES))
+            x, at_u, at_w, code, at, (by_pair, *_), (by_word, *_) = asked(u, w)
+            found = joined(answers.sort_by("owner").column("value"), float)  # owners of pairs come first
+            seats, stat = np.empty(len(code)), np.empty((len(x), 1 + 2 * SAMPLES))
+            seats[by_pair] = found[: len(code)]
+            stat[by_word] = np.nan_to_num(found[len(code) :].reshape(-1, 1 + 2 * SAMPLES))
             c = np.where(x == BEGIN, 0, stat[:, 0])[at_w]
             customers = np.where(x == END, 0, stat[:, 0])[at_u]
             opened, root = stat[:, 1 : 1 + SAMPLES], (stat[:, 1 + SAMPLES :] + base) / scale

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from gramloom.llm import pitmanyor
+from gramloom.llm import exchange, pitmanyor
 
 pytestmark = pytest.mark.usefixtures("few_partitions")
 
@@ -146,19 +146,30 @@ def test_same_scores_under_any_number_of_partitions(spark, docs):
         spark.conf.set("spark.sql.shuffle.partitions", 8)
 
 
-def test_tables_follow_the_restaurant_law():
-    rng = np.random.default_rng(0)
-    c = np.full(4000, 50)
-    t = pitmanyor.add(rng, np.zeros_like(c), np.zeros_like(c), c, np.full(len(c), 2.0), 0.5)
-    plain = []
-    for _ in range(1500):
-        k = 1
-        for j in range(1, 50):
-            k += rng.random() < 2.0 / (2.0 + j - 0.5 * k)
-        plain.append(k)
-    assert abs(t.mean() - np.mean(plain)) < 0.35
-    r = pitmanyor.resample(rng, c, t, np.full(len(c), 2.0), 0.5)
-    assert (r >= 1).all() and (r <= c).all()
+def law(c, rest, p, d):
+    """Chances of 1 .. c tables, in plain arithmetic: every customer joins a table or opens one at its odds."""
+    ways = {0: 1.0}
+    for n in range(c):
+        more = {}
+        for t, x in ways.items():
+            more[t + 1] = more.get(t + 1, 0) + x * (pitmanyor.STRENGTH + d * (rest + t)) * p
+            if t:
+                more[t] = more.get(t, 0) + x * (n - d * t)
+        total = sum(more.values())
+        ways = {t: x / total for t, x in more.items()}
+    return np.array([ways.get(t, 0) for t in range(1, c + 1)])
+
+
+@pytest.mark.parametrize("c, rest, p, d", [(1, 0, 0.1, 0.5), (2, 3, 0.2, 0.7), (12, 40, 0.05, 0.8), (40, 4, 0.9, 0.5), (200, 9, 0.4, 0.6), (3000, 5000, 0.001, 0.5), (900, 0, 0.0001, 0.8), (3000, 300, 0.05, 0.9)])
+def test_tables_follow_the_restaurant_law(c, rest, p, d):
+    n = 20_000 if c <= pitmanyor.EXACT else 3000
+    t = pitmanyor.seat(np.random.default_rng(c), np.full(n, c), np.full(n, rest), np.full(n, p), d)
+    want = law(c, rest, p, d)
+    mean = want @ np.arange(1, c + 1)
+    assert (t >= 1).all() and (t <= c).all()
+    if c <= pitmanyor.EXACT:
+        assert abs(np.bincount(t, minlength=c + 1)[1:] / n - want).max() < 0.015
+    assert abs(t.mean() - mean) < 0.02 * mean + 0.05
 
 
 def test_odd_tables(spark):
@@ -172,3 +183,20 @@ def test_rare_words_have_context_restaurants_of_their_own(spark):
     got = pitmanyor.score(spark.createDataFrame(texts, "doc_id long, text string")).collect()
     # b follows a for certain: about a sixth of the tokens gains log10(60) over a model that lumps rare contexts
     assert sum(r.score - r.base_score for r in got) / sum(r.n_tokens for r in got) > 0.7
+
+
+def test_messages_of_many_owners(monkeypatch):
+    monkeypatch.setattr(exchange, "PIECE", 4096)  # several buffers
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 1 << 63, 30_000).astype(np.uint64)
+    to = exchange.owner(keys, 20_000)
+    order, owners, sizes = exchange.grouped(to)
+    table = exchange.cut("owner long, src long, x binary, v binary, none binary", sizes, owner=owners, src=np.arange(len(owners)), x=keys[order], v=np.stack([keys[order]] * 3, axis=1).astype(float))
+    assert len(table.column("x").chunks) > 10 and table.column("none").null_count == len(owners) == len(set(to.tolist()))
+    assert exchange.joined(table.column("x"), np.uint64).tolist() == keys[order].tolist()
+    assert exchange.sizes_of(table.column("x"), np.uint64).tolist() == sizes.tolist()
+    part = table.slice(7, 50)
+    for o, x, v in zip(part.column("owner").to_pylist(), exchange.arrays(part.column("x"), np.uint64), exchange.arrays(part.column("v"), float), strict=True):
+        assert x.tolist() == keys[to == o].tolist() and v.tolist() == np.repeat(x, 3).astype(float).tolist()
+    assert exchange.joined(part.column("x"), np.uint64).tolist() == keys[order][sizes[:7].sum() :][: sizes[7:57].sum()].tolist()
+    assert exchange.cut("owner long, x binary", np.zeros(0, np.int64), owner=np.zeros(0, np.int64), x=keys[:0]).num_rows == 0
