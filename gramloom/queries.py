@@ -457,6 +457,21 @@ Q: dict[str, tuple[Callable[[Operands], DataFrame], str | None]] = {
     "api_matrix_multiply": (lambda o: api.matrix_multiply(api.matrix(layout.to_flat(o.a, 30), N, N, 30).check(), o.b.adjoint(), o.a, 2, 3).dense().df, L1(f"SELECT p.i, p.j, 2 * p.v + 3 * a.v AS v FROM ({_mm('SELECT * FROM a', T.format('b'))}) p JOIN a USING (i, j)")),
     "api_combine_vectors": (lambda o: api.combine_vectors(o.p, o.q, 2, 3).df, _long("2 * p + 3 * q AS v")),
     "api_dot_product": (lambda o: api.dot_product(o.p, o.q), L1("SELECT sum(p * q) AS value FROM o")),
+    "api_swap_vectors": (lambda o: _two(*api.swap_vectors(o.p, o.q)), _long("q AS x, p AS y")),
+    "api_copy_vector": (lambda o: api.copy_vector(o.p, o.q).df, _long("p AS v")),
+    "api_scale_vector": (lambda o: api.scale_vector(o.p, 3).df, _long("3 * p AS v")),
+    "api_scale_vector_into": (lambda o: flat(api.scale_vector_into(o.zp, o.zq, 2 - 1j).df), _long("2 * pr + pi AS re, 2 * pi - pr AS im")),
+    "api_add_scaled_vector": (lambda o: api.add_scaled_vector(o.p, o.q, 2).df, _long("q + 2 * p AS v")),
+    "api_add_scaled_vector_into": (lambda o: api.add_scaled_vector_into(o.p, o.q, o.p, -3).df, _long("q - 3 * p AS v")),
+    "api_combine_vectors_into": (lambda o: flat(api.combine_vectors_into(o.zp, o.zq, o.zp, 2, 3).df), _long("2 * pr + 3 * qr AS re, 2 * pi + 3 * qi AS im")),
+    "api_conjugated_dot_product": (lambda o: api.conjugated_dot_product(o.zp, o.zq).select("value.re", "value.im"), L1("SELECT sum(pr * qr + pi * qi) AS re, sum(pr * qi - pi * qr) AS im FROM o")),
+    "api_euclidean_norm": (lambda o: api.euclidean_norm(o.q).select((F.floor(F.col("value") * 1000 + 0.5) / 1000).alias("value")), L1("SELECT floor(sqrt(sum(q * q)) * 1000 + 0.5) / 1000 AS value FROM o")),
+    "api_const_vector": (lambda o: api.const_vector(o.table("orders").select((F.col("o_orderkey") * 2).alias("pos"), (F.col("o_custkey") * 1.0).alias("v")), LONG, 2).check().df, L1("SELECT o_orderkey AS i, o_custkey::DOUBLE AS v FROM orders")),
+    "api_matrix_vector_multiply": (lambda o: api.matrix_vector_multiply(api.const_matrix(layout.to_flat(o.a, 27, "row"), N, N, 27, "row").transposed(), o.x, o.y, 2, 3).dense().df, _mv(T.format("a"))),
+    "api_matrix_vector_multiply_adjoint": (lambda o: flat(api.matrix_vector_multiply_with_workspace(api.matrix(layout.to_flat(o.za, 26, "row"), N, N, 26, "row", "z").adjoint(), o.zx, o.zy, None, 1, 1).dense().df), _zmv(ZT.format("-", "za"))),
+    "api_matrix_multiply_adjoint": (lambda o: flat(api.matrix_multiply_with_workspace(o.za.adjoint(), api.matrix(layout.to_flat(o.zb, 31, "row"), N, N, 31, "row", "z").transposed(), o.za).dense().df), L1(_zmm(ZT.format("-", "za"), ZT.format("", "zb")))),
+    "l2_hemv_row_order": (lambda o: flat(l2.hemv("U", 1, layout.from_flat(layout.to_flat(o.za, 29, "row"), N, N, 29, "row", "z"), o.zx, 1, o.zy).dense().df), _zmv(HERM)),
+    "l2_tbmv_row_order": (lambda o: l2.tbmv("U", "T", "N", 3, layout.from_triangle_band(layout.to_band(o.a, 0, 3, 6, "row"), N, 3, "U", 6, layout="row"), o.x).dense().df, L1(f"SELECT r.i, coalesce(sum(m.v * x.v), 0) AS v FROM r LEFT JOIN (SELECT * FROM a WHERE i <= j AND {NEAR}) m ON m.j = r.i LEFT JOIN x ON x.i = m.i GROUP BY r.i")),
     "sql_dot": (lambda o: _called(o, "dot", "value", x=o.p, y=o.q), L1("SELECT sum(p * q) AS value FROM o")),
     "sql_asum": (lambda o: _called(o, "asum", "value", x=o.q), L1("SELECT sum(abs(q)) AS value FROM o")),
     "sql_nrm2": (lambda o: _called(o, "nrm2", "floor(value * 1000 + 0.5) / 1000 AS value", x=o.q), L1("SELECT floor(sqrt(sum(q * q)) * 1000 + 0.5) / 1000 AS value FROM o")),
