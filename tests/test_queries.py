@@ -24,11 +24,7 @@ def rows(table):
     return sorted(tuple(x) for x in zip(*(table.column(n).to_pylist() for n in names), strict=True)), names, [str(table.schema.field(n).type) for n in names]
 
 
-def names():
-    return sorted(entry.oracle_sql())
-
-
-@pytest.mark.parametrize("name", [n for n in names() if n[0] == "l"])
+@pytest.mark.parametrize("name", sorted(linear.oracle_sql()))
 def test_query_equals_sql(spark, duck, name):
     got, got_names, got_types = rows(entry.queries()[name](spark, SF).toArrow())
     want, want_names, want_types = rows(duck.execute(entry.oracle_sql()[name]).to_arrow_table())
