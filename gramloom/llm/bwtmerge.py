@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from .exchange import BLOCK_BYTES, OWNER_BYTES, arrays, blocks, dealt, joined, owner, owners_of, packed, unpacked
 from .scratch import discard, materialize, spread
-from .textscan import BYTE_HASH, R, R_INV, U, mix, powers
+from .textscan import BYTE_HASH, R, R_INV, SEGMENT, U, mix, power, powers
 
 LENGTH = 400
 HASHED, GAP, SPACING = 32, 16, 32
@@ -59,12 +59,18 @@ PARTS = 2
 
 
 def span_hashes(total: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    return mix((total[hi] - total[lo]) * powers(len(total), R_INV, "down")[lo] + (hi - lo).astype(np.uint64))
+    return mix((total[hi] - total[lo]) * power(lo, R_INV, "down") + (hi - lo).astype(np.uint64))
 
 
-def running(h: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(h) + 1, dtype=np.uint64)
-    np.cumsum(h * powers(len(h), R, "up"), out=out[1:])
+def segments(n: int) -> list[tuple[int, int]]:
+    return [(a, min(n, a + SEGMENT)) for a in range(0, n, SEGMENT)]
+
+
+def running(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(raw) + 1, dtype=np.uint64)
+    for a, b in segments(len(raw)):
+        np.cumsum(BYTE_HASH[raw[a:b]] * powers(b - a, R, "up") * power(np.array([a]), R, "up"), out=out[a + 1 : b + 1])
+        out[a + 1 : b + 1] += out[a]
     return out
 
 
@@ -78,10 +84,13 @@ class Parse:
         self.edge = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         raw = self.raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
         n = len(raw)
-        self.total = running(BYTE_HASH[raw])
+        self.total = running(raw)
         doc_at = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(self.edge))
-        grams = (self.total[HASHED:] - self.total[: max(0, n + 1 - HASHED)]) * powers(max(0, n + 1 - HASHED), R_INV, "down")
-        candidate = np.flatnonzero(grams < U((1 << 64) // SPACING))
+        candidate = [np.zeros(0, np.int64)]
+        for a, b in segments(max(0, n + 1 - HASHED)):
+            grams = (self.total[a + HASHED : b + HASHED] - self.total[a:b]) * powers(b - a, R_INV, "down") * power(np.array([a]), R_INV, "down")
+            candidate.append(a + np.flatnonzero(grams < U((1 << 64) // SPACING)))
+        candidate = np.concatenate(candidate)
         at = candidate[np.diff(candidate, prepend=-GAP - 1) > GAP] - GAP
         at = at[at >= 0]
         at = at[at + GRAM <= self.edge[doc_at[at] + 1]]  # at and its gram in one text
@@ -107,12 +116,14 @@ class Parse:
         self.need = np.zeros(len(self.symbol), dtype=np.int64)  # symbols that some window needs
         self.need[self.node] = reach
         np.maximum.at(self.need, self.node - 1, reach + 2)
-        count = np.zeros(n + 1, dtype=np.int32)
-        count[at + 1] = 1
-        count = np.cumsum(count, dtype=np.int32)
-        m = max(0, n - LENGTH + 1)  # starts
-        inside = doc_at[:m] == doc_at[LENGTH - 1 : LENGTH - 1 + m]
-        self.bare = np.flatnonzero(inside & (count[REST + 1 : REST + 1 + m] - count[:m] <= 1))
+        bare = [np.zeros(0, np.int64)]
+        for a, b in segments(max(0, n - LENGTH + 1)):  # starts
+            count = np.zeros(b - a + REST + 1, dtype=np.int32)
+            count[at[np.searchsorted(at, a) : np.searchsorted(at, b + REST)] + 1 - a] = 1
+            count = np.cumsum(count, dtype=np.int32)
+            inside = doc_at[a:b] == doc_at[LENGTH - 1 + a : LENGTH - 1 + b]
+            bare.append(a + np.flatnonzero(inside & (count[REST + 1 :] - count[: b - a] <= 1)))
+        self.bare = np.concatenate(bare)
 
     def windows(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hash and four bytes of every window."""
@@ -338,6 +349,17 @@ def compared(key, asks):
     return packed(STARTS, [r | {"n": np.ones(len(r["start"]), np.int64)} for r in rows if len(r["start"])])
 
 
+def covered(start: np.ndarray, stop: np.ndarray, n: int) -> np.ndarray:
+    """Whether some range start .. stop holds a byte, for each of ``n`` bytes."""
+    order = np.argsort(start)
+    start, reach = start[order], np.maximum.accumulate(stop[order])
+    head = np.concatenate([[True], start[1:] > reach[:-1]]) if len(start) else np.zeros(0, bool)
+    turn = np.zeros(n + 1, np.int8)  # ranges that meet are one, so no place turns twice
+    turn[start[head]] = 1
+    turn[reach[np.append(head[1:], True)] if len(start) else reach] = -1
+    return np.cumsum(turn[:-1], dtype=np.int8) > 0
+
+
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, shared_bytes long"
 
 
@@ -349,8 +371,7 @@ def cut(key, mine, found):
         start, n = joined(found.column("start"), np.int64), joined(found.column("n"), np.int64)
         shared = joined(found.column("shared"), np.int64)
         shared = shared if len(shared) else np.zeros(len(ids), np.int64)
-        turn = np.bincount(start, minlength=edge[-1] + 1) - np.bincount(start + n - 1 + LENGTH, minlength=edge[-1] + 1)
-        gone = np.cumsum(turn[:-1]) > 0
+        gone = covered(start, start + n - 1 + LENGTH, int(edge[-1]))
         for k, (i, t) in enumerate(zip(ids, raw, strict=True)):
             own = gone[edge[k] : edge[k + 1]]
             if not own.any():

@@ -43,6 +43,13 @@ def powers(n: int, base: np.uint64, name: str) -> np.ndarray:
     return have[:n]
 
 
+def power(at: np.ndarray, base: np.uint64, name: str) -> np.ndarray:
+    """``base`` to the powers ``at``; the tables kept for it follow the segments of the largest, not its size."""
+    far = at // SEGMENT
+    strides = powers(int(far.max()) + 1 if len(at) else 1, U(pow(int(base), SEGMENT, 1 << 64)), f"{name}, segments")
+    return powers(SEGMENT, base, name)[at % SEGMENT] * strides[far]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every bit of a 64-bit hash."""
     h = h ^ (h >> U(33))

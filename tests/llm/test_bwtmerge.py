@@ -1,12 +1,13 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gramloom.llm import bwtmerge
+from gramloom.llm import bwtmerge, textscan
 
 pytestmark = pytest.mark.usefixtures("few_partitions")
 
@@ -101,3 +102,35 @@ def test_empty_and_null_ids(spark):
     assert bwtmerge.drop_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     df = spark.createDataFrame([(None, "ab c" * 200), (5, "xyz " * 30), (9, "xyz " * 30)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.n_removed) for r in bwtmerge.drop_repeats(df).collect()) == [(0, 0), (5, 0), (9, 0)]
+
+
+@pytest.mark.parametrize("size", [0, 300, 399, 400, 401, 431, 432, 5000])
+def test_segments_change_no_parse(monkeypatch, size):
+    rng = np.random.default_rng(size)
+    raw = [rng.integers(97, 105, k, dtype=np.uint8).tobytes() for k in (size, 0, 37, size // 2, 1200)] + [b"ab" * size]
+    whole = bwtmerge.Parse(raw)
+    monkeypatch.setattr(bwtmerge, "SEGMENT", 101)
+    for name, found in vars(bwtmerge.Parse(raw)).items():
+        assert np.array_equal(found, vars(whole)[name]), name
+
+
+def test_covered_bytes():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 50):
+        for many in (0, 1, 4, 30):
+            start = rng.integers(0, n + 1, many if n else 0)
+            stop = np.minimum(n, start + rng.integers(1, 9, len(start)))
+            start = np.minimum(start, stop - 1)
+            want = [any(a <= k < b for a, b in zip(start, stop, strict=True)) for k in range(n)]
+            assert bwtmerge.covered(start, stop, n).tolist() == want
+
+
+def test_memory_of_a_block():
+    raw = [np.random.default_rng(1).integers(97, 123, 1 << 16, dtype=np.uint8).tobytes()] * 48
+    textscan._powers.clear()
+    tracemalloc.start()
+    p = bwtmerge.Parse(raw)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * len(p.raw)  # 54 before, and powers of 16 bytes a byte stayed in the worker
+    assert sum(x.nbytes for x in textscan._powers.values()) < 10 << 20
