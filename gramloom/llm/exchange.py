@@ -25,8 +25,15 @@ ROW_GROUP = 16 << 20
 PIECE = 64 << 20
 
 
-def blocks(docs: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
-    """Written table ``block, n_bytes, ids, sizes, texts``: the rows of ``docs(doc_id, text)`` laid end to end, about ``limit`` bytes together.
+def laid(block: int, ids: list, texts: list[bytes]) -> dict:
+    return {"sizes": list(map(len, texts)), "texts": b"".join(texts)}
+
+
+LAID = {"sizes": pa.list_(pa.int64()), "texts": pa.binary()}
+
+
+def blocks(docs: DataFrame, limit: int = BLOCK_BYTES, lay=laid, kinds: dict = LAID) -> DataFrame:
+    """Written table ``block, n_bytes, ids`` and the columns ``kinds`` of ``lay``: the rows of ``docs(doc_id, text)``, about ``limit`` bytes together, as they are laid end to end if not told otherwise.
 
     The number of a block is written with it, so a lost task changes no number that a later stage relies on.
     """
@@ -35,10 +42,9 @@ def blocks(docs: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
         number, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
 
         def row():
-            sizes = list(map(len, texts))
-            columns = {"block": pa.array([number], pa.int64()), "n_bytes": pa.array([sum(sizes)], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64())),
-                       "sizes": pa.array([sizes], pa.list_(pa.int64())), "texts": pa.array([b"".join(texts)], pa.binary())}
-            return pa.RecordBatch.from_pydict(columns)
+            columns = {"block": pa.array([number], pa.int64()), "n_bytes": pa.array([size], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64()))}
+            own = lay(number, ids, texts)
+            return pa.RecordBatch.from_pydict(columns | {name: pa.array([own[name]], kind) for name, kind in kinds.items()})
 
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -51,7 +57,8 @@ def blocks(docs: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
         if ids:
             yield row()
 
-    found = docs.mapInArrow(run, "block long, n_bytes long, ids array<long>, sizes array<long>, texts binary")
+    more = "".join(f", {name} {'binary' if kind == pa.binary() else 'array<long>'}" for name, kind in kinds.items())
+    found = docs.mapInArrow(run, "block long, n_bytes long, ids array<long>" + more)
     return materialize(found, "blocks", **{"parquet.block.size": ROW_GROUP, "compression": "zstd"})
 
 

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import BLOCK_BYTES, OWNER_BYTES, arrays, blocks, cut, grouped, joined, owner, owners_of, packed, sizes_of, unpacked
+from .exchange import BLOCK_BYTES, OWNER_BYTES, arrays, blocks, cut, grouped, joined, owner, owners_of, packed, sizes_of
 from .scratch import discard, materialize, spread
 from .textscan import NOT_SPACE, R, U, mix, words
 
@@ -99,10 +99,25 @@ def _summed(codes: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     return order[head], *(np.add.reduceat(c[order], head) if len(head) else c[:0] for c in counts)
 
 
+def tokenised(block: int, ids: list, texts: list[bytes]) -> dict:
+    """A block's texts as tokens, read once for all steps: its distinct words, END and BEGIN among them, and the place of each token's."""
+    where, _, w = sequence(len(texts), *tokens(texts))
+    x, at = np.unique(np.append(w, [END, BEGIN]), return_inverse=True)
+    return {"tokens": np.bincount(where, minlength=len(texts)).tolist(), "x": x.tobytes(), "at": at[:-2].astype(np.int32).tobytes()}
+
+
+TOKENS = {"tokens": pa.list_(pa.int64()), "x": pa.binary(), "at": pa.binary()}
+
+
 def _read(batches):
-    """(ids, text index, word before, word) of every block."""
-    for block, ids, texts in unpacked(batches):
-        yield (block, ids, *sequence(len(texts), *tokens(texts)))
+    """(block, ids, text index, distinct words, place of the word before, place of the word) of every block; text ends with END, and BEGIN comes before."""
+    for batch in batches:
+        for block, ids, sizes, x, at in zip(*(batch.column(c) for c in ("block", "ids", "tokens", "x", "at")), strict=True):
+            x, at_w = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(at.as_buffer(), np.int32)
+            sizes = sizes.values.to_numpy(zero_copy_only=False)
+            at_u = np.concatenate([at_w[:1], at_w[:-1]])
+            at_u[np.cumsum(sizes) - sizes] = np.searchsorted(x, BEGIN)
+            yield block.as_py(), ids.as_py(), np.repeat(np.arange(len(sizes)), sizes), x, at_u, at_w
 
 
 def _send(schema: str, to: np.ndarray, **columns: np.ndarray):
@@ -123,10 +138,10 @@ def _word_owners(texts: DataFrame, owners: int) -> DataFrame:
     """``WORDS`` and totals: every training word, and the beginning of texts, with its count."""
 
     def run(batches):
-        for _, ids, where, _, w in _read(batches):
+        for _, ids, where, x, at_u, at_w in _read(batches):
             learn = _learns(ids)
-            first, c = _summed(w, learn[where])
-            x, c = np.append(w[first], BEGIN), np.append(c, learn.sum())
+            c = np.bincount(at_w[learn[where] > 0], minlength=len(x))
+            c[x == BEGIN] = learn.sum()
             x, c = x[c > 0], c[c > 0]
             yield from _send("owner long, x binary, c binary", owner(x, owners), x=x, c=c)
 
@@ -145,12 +160,13 @@ def _pair_owners(texts: DataFrame, owners: int, turn: int) -> DataFrame:
     """``PAIRS`` and totals for the owners of one round: training pairs met twice, held-out texts included."""
 
     def run(batches):
-        for _, ids, where, u, w in _read(batches):
-            code = pair_code(u, w)
+        for _, ids, where, x, at_u, at_w in _read(batches):
+            code = pair_code(x[at_u], x[at_w])
             mine = owner(code, owners) % ROUNDS == turn
-            code, u, w, learn = code[mine], u[mine], w[mine], _learns(ids)[where[mine]]
+            code, learn = code[mine], _learns(ids)[where[mine]]
             first, c, n = _summed(code, learn, np.ones_like(learn))
-            yield from _send("owner long, u binary, w binary, c binary", owner(code[first], owners), u=u[first], w=w[first], c=c * 2 + (n > c))
+            u, w = x[at_u[mine][first]], x[at_w[mine][first]]
+            yield from _send("owner long, u binary, w binary, c binary", owner(code[first], owners), u=u, w=w, c=c * 2 + (n > c))
 
     def own(key, table):
         u, w, c = joined(table.column("u"), np.uint64), joined(table.column("w"), np.uint64), joined(table.column("c"), np.int64)
@@ -183,7 +199,7 @@ def _one_of(rng, weight: np.ndarray) -> np.ndarray:
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
     """Stirling's series, for x of 1 or more; wrong by less than 0.001."""
-    return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3)
+    return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x * x * x)
 
 
 class _Wide:
@@ -193,12 +209,18 @@ class _Wide:
     coefficient of z^c in (1 - (1 - z)^discount)^t.  Where t is below about
     c^discount, one table holds most customers, and the binomial series of the
     power is summed; above, the coefficient is taken at its saddle point, which
-    depends on c / t alone.  With z = 1 - exp(-s).
+    depends on c / t alone.  With z = 1 - exp(-s).  A place pays for the one of
+    the two that it takes, and what depends on c alone is computed once.
     """
 
-    def __init__(self, discount: float):
+    def __init__(self, discount: float, c: np.ndarray, rest: np.ndarray, p: np.ndarray):
         self.d, self.log_s = discount, np.linspace(np.log(1e-8), np.log(200.0), 1 << 14)
         self.log_r = self.at(np.exp(self.log_s))[2]
+        self.c, self.log_p, self.a = c.astype(float), np.log(p), (STRENGTH + discount * rest.astype(float)) / discount
+        self.log_c = np.log(self.c)
+        x, lg_c = discount * np.arange(1, TERMS + 1)[:, None], _lgamma(self.c)
+        sign = np.where(np.arange(1, TERMS + 1) % 2, 1, -1)[:, None]
+        self.terms = sign * np.sin(np.pi * x) / np.pi * np.exp(_lgamma(1 + x) + _lgamma(self.c - x) - lg_c)
 
     def at(self, s):
         """log z, log of the base of the power, log of the ratio c / t that has its saddle here, and the curvature over t."""
@@ -206,39 +228,46 @@ class _Wide:
         log_r = np.log(z) + np.log(d) + (1 - d) * s - np.log(f)
         return np.log(z), np.log(f), log_r, np.exp(log_r) * (1 + z * np.exp(s) * ((1 - d) - d * np.exp(-d * s) / f))
 
-    def __call__(self, t, c, rest, log_p):
+    def __call__(self, t, where=None):
+        """The law at the places ``t``, a row of them for each dish; beyond ``where`` there is none."""
+        out = np.full(t.shape, -np.inf)
+        dish, at = np.nonzero(np.ones(t.shape, bool) if where is None else where)
+        t = t[dish, at]
+        few = np.log(t) - self.d * self.log_c[dish] + self.d * np.log(self.d) < 0
+        ways = np.empty(len(t))
+        ways[few] = self.series(t[few], dish[few])
+        ways[~few] = self.saddle(t[~few], self.c[dish[~few]])
+        out[dish, at] = ways + t * self.log_p[dish] + _lgamma(self.a[dish] + t) - _lgamma(t + 1.0)
+        return out
+
+    def saddle(self, t, c):
         log_z, log_f, _, bend = self.at(np.exp(np.interp(np.log(c / t), self.log_r, self.log_s)))
-        saddle = t * log_f - c * log_z - 0.5 * np.log(2 * np.pi * t * np.maximum(bend, 1e-12))
-        few = np.log(t) - self.d * np.log(c) + self.d * np.log(self.d) < 0
-        a = (STRENGTH + self.d * rest) / self.d
-        return np.where(few, self.series(np.where(few, t, 1.0), c), saddle) + t * log_p + _lgamma(a + t) - _lgamma(t + 1.0)
+        return t * log_f - c * log_z - 0.5 * np.log(2 * np.pi * t * np.maximum(bend, 1e-12))
 
-    def series(self, t, c):
-        total, chosen = np.zeros(np.broadcast(t, c).shape), 1.0
-        for j in range(1, TERMS + 1):
-            chosen = chosen * ((t - j + 1) / j)
-            x = self.d * j
-            total += chosen * ((1 if j % 2 else -1) * np.sin(np.pi * x) / np.pi * np.exp(_lgamma(1 + x) + _lgamma(c - x) - _lgamma(c)))
-        return np.log(np.maximum(total, 1e-300)) - np.log(c)
+    def series(self, t, dish):
+        total, chosen = np.zeros(len(t)), np.ones(len(t))
+        for j, term in enumerate(self.terms, 1):
+            chosen *= (t - j + 1) / j
+            total += chosen * term[dish]
+        return np.log(np.maximum(total, 1e-300)) - self.log_c[dish]
 
 
 def _of_many(rng, c: np.ndarray, rest: np.ndarray, p: np.ndarray, discount: float) -> np.ndarray:
     """Tables drawn from the law of ``_Wide`` by ``POINTS`` cells between the places where it has fallen by exp(-DEPTH)."""
-    law, most = _Wide(discount), c - 1
-    of = (c[:, None].astype(float), rest[:, None].astype(float), np.log(p)[:, None])
+    law, most = _Wide(discount, c, rest, p), c - 1
     low, high = np.ones(len(c)), most.astype(float)
     for _ in range(4):  # the mode, between neighbours of the best point of ever finer grids
         grid = low[:, None] * (high / low)[:, None] ** np.linspace(0, 1, 24)
-        best = np.argmax(law(grid, *of), axis=1)
+        best = np.argmax(law(grid), axis=1)
         low, high = (np.take_along_axis(grid, np.clip(best + side, 0, 23)[:, None], 1)[:, 0] for side in (-1, 1))
     mode = np.clip(np.rint((low + high) / 2), 1, most)
-    floor = law(mode[:, None], *of)[:, 0] - DEPTH
+    floor = law(mode[:, None])[:, 0] - DEPTH
 
     def edge(inside, outside):
         """The last place towards ``outside`` where the law is above the floor."""
         for _ in range(64):
             middle = np.rint((inside + outside) / 2)
-            above = law(middle[:, None], *of)[:, 0] >= floor
+            above = law(middle[:, None])[:, 0] >= floor
             inside, outside = np.where(above, middle, inside), np.where(above, outside, middle)
             if (np.abs(inside - outside) <= 1).all():
                 break
@@ -248,7 +277,7 @@ def _of_many(rng, c: np.ndarray, rest: np.ndarray, p: np.ndarray, discount: floa
     low, high = np.maximum(1, low - 1), np.minimum(most, high + 1)
     cell = np.ceil((high - low + 1) / POINTS)
     start = low[:, None] + cell[:, None] * np.arange(POINTS)
-    weight = np.where(start <= high[:, None], law(np.minimum(start + (cell[:, None] - 1) / 2, most[:, None]), *of), -np.inf)
+    weight = law(np.minimum(start + (cell[:, None] - 1) / 2, most[:, None]), start <= high[:, None])
     chosen = low + cell * _one_of(rng, weight)
     return np.minimum(chosen + np.floor(rng.random(len(c)) * cell), most).astype(np.int64)
 
@@ -382,17 +411,14 @@ def _scored(texts: DataFrame, shelves: DataFrame, model: Model) -> DataFrame:
     scale = np.array([STRENGTH + n for n, _ in model.totals])
     log_base = lambda c: np.log10((c + ADDED) / (total + ADDED * (types + 1)))
 
-    def asked(u, w):
-        """Distinct words and pairs with the place of each token's, and the owners asked."""
-        x, at_w = np.unique(w, return_inverse=True)
-        at_u = np.where(u == BEGIN, len(x), np.concatenate([[0], at_w[:-1]])[: len(u)])  # a context is the word before
-        x = np.append(x, BEGIN)
-        code, at = np.unique(pair_code(u, w), return_inverse=True)
-        return x, at_u, at_w, code, at, grouped(owner(code, owners)), grouped(owner(x, owners))
+    def asked(x, at_u, at_w):
+        """Distinct pairs with the place of each token's, and the owners asked for pairs and words."""
+        code, at = np.unique(pair_code(x[at_u], x[at_w]), return_inverse=True)
+        return code, at, grouped(owner(code, owners)), grouped(owner(x, owners))
 
     def ask(batches):
-        for block, _, _, u, w in _read(batches):
-            x, _, _, code, _, (by_pair, of_pairs, n_pairs), (by_word, of_words, n_words) = asked(u, w)
+        for block, _, _, x, at_u, at_w in _read(batches):
+            code, _, (by_pair, of_pairs, n_pairs), (by_word, of_words, n_words) = asked(x, at_u, at_w)
             to = np.concatenate([of_pairs, of_words + owners])
             yield from cut("owner long, block long, code binary", np.concatenate([n_pairs, n_words]), owner=to, block=np.full(len(to), block), code=np.concatenate([code[by_pair], x[by_word]])).to_batches()
 
@@ -406,8 +432,8 @@ def _scored(texts: DataFrame, shelves: DataFrame, model: Model) -> DataFrame:
         return cut("owner long, block long, value binary", sizes, owner=np.full(len(sizes), key[0].as_py()), block=questions.column("block").to_numpy(), value=value[at])
 
     def score_block(key, mine, answers):
-        for _, ids, where, u, w in _read([mine]):
-            x, at_u, at_w, code, at, (by_pair, *_), (by_word, *_) = asked(u, w)
+        for _, ids, where, x, at_u, at_w in _read([mine]):
+            code, at, (by_pair, *_), (by_word, *_) = asked(x, at_u, at_w)
             found = joined(answers.sort_by("owner").column("value"), float)  # owners of pairs come first
             seats, stat = np.empty(len(code)), np.empty((len(x), 1 + 2 * SAMPLES))
             seats[by_pair] = found[: len(code)]
@@ -435,7 +461,7 @@ def score(docs: DataFrame, each: int = OWNER_BYTES, block: int = BLOCK_BYTES) ->
 
     ``block``: bytes of text in a block; ``each``: bytes for which there is an owner of words and of pairs.
     """
-    texts = blocks(spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))), block)
+    texts = blocks(spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))), block, tokenised, TOKENS)
     owners = owners_of(texts, each)
     counted = [_word_owners(texts, owners), *[_pair_owners(texts, owners, turn) for turn in range(ROUNDS)]]
     pairs = counted[1]

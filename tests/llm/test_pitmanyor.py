@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gramloom.llm import exchange, pitmanyor
@@ -200,3 +201,22 @@ def test_messages_of_many_owners(monkeypatch):
         assert x.tolist() == keys[to == o].tolist() and v.tolist() == np.repeat(x, 3).astype(float).tolist()
     assert exchange.joined(part.column("x"), np.uint64).tolist() == keys[order][sizes[:7].sum() :][: sizes[7:57].sum()].tolist()
     assert exchange.cut("owner long, x binary", np.zeros(0, np.int64), owner=np.zeros(0, np.int64), x=keys[:0]).num_rows == 0
+
+
+def test_blocks_hold_tokens_read_once(spark, monkeypatch):
+    texts, ids = [b"A b a", b"", b"b \n c", b"a"], [3, None, 5, 5]
+    where, u, w = pitmanyor.sequence(len(texts), *pitmanyor.tokens(texts))
+    row = pitmanyor.tokenised(7, ids, texts)
+    batch = pa.RecordBatch.from_pydict({"block": pa.array([7]), "ids": pa.array([ids], pa.list_(pa.int64())), **{n: pa.array([row[n]], k) for n, k in pitmanyor.TOKENS.items()}})
+    monkeypatch.setattr(pitmanyor, "tokens", None)  # no step after the first tokenises
+    ((block, found, at, x, at_u, at_w),) = pitmanyor._read([batch])
+    assert (block, found) == (7, ids)
+    assert np.array_equal(at, where) and np.array_equal(x[at_u], u) and np.array_equal(x[at_w], w)
+    assert len(np.unique(x)) == len(x) == len({*w.tolist(), int(pitmanyor.END), int(pitmanyor.BEGIN)})
+
+
+def test_law_at_chosen_places():
+    c, rest, p = np.array([60, 900, 5000]), np.array([5, 70, 900]), np.array([1e-2, 1e-4, 1e-5])
+    law, t = pitmanyor._Wide(0.7, c, rest, p), np.array([[1.0, 3, 59]] * 3) * np.array([[1], [4], [20]])
+    whole, some = law(t), np.array([[True, False, True], [False, False, False], [True, True, True]])
+    assert np.array_equal(law(t, some), np.where(some, whole, -np.inf)) and np.isfinite(whole).all()
