@@ -24,14 +24,15 @@ from ..functions.scalars import Scalars
 from ..types import DimensionMismatch, Matrix, Vector
 from .blocked import divided
 
-#: Cells of a band that one chunk may hold: some 32 bytes each.
-CHUNK_CELLS = 1 << 20
+#: Cells of a band that one chunk may hold, and how many so that it has four times the band's width of rows: some 32 bytes each, many times over in transit.
+CHUNK_CELLS, WIDE_CELLS = 1 << 17, 1 << 20
 _LONG = "long"
 
 
 def chunk_rows(n: int, width: int, cores: int) -> int:
     """Rows of a chunk: a few chunks a core, as many cells as memory allows, not much less than the band's width."""
-    return max(1, width, min(max(1, CHUNK_CELLS // (width + 1)), max(4 * width, 1024, -(-n // (2 * cores)))))
+    fit = max(1, CHUNK_CELLS // (width + 1), min(4 * width, WIDE_CELLS // (width + 1)))
+    return max(1, width, min(fit, max(4 * width, 1024, -(-n // (2 * cores)))))
 
 
 def _values(v, s: Scalars) -> list:

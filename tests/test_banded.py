@@ -81,3 +81,9 @@ def test_long_solve_leaves_a_small_residual(spark):
     back = level2.tbmv("L", "N", "N", k, a, x, plan="halo")
     gap = back.df.withColumnRenamed("v", "w").join(b.df, "i").selectExpr("max(abs(v - w)) AS gap", "count(*) AS n").first()
     assert gap.n == n and gap.gap < 1e-9
+
+
+def test_chunks_stay_as_large_while_the_vector_grows():
+    sizes = [banded.chunk_rows(n, 8, 12) for n in (900_000, 9_000_000, 54_000_000)]
+    assert len(set(sizes)) == 1 and sizes[0] * 9 <= 1 << 17
+    assert all(banded.chunk_rows(10**8, k, 12) >= min(4 * k, (1 << 20) // (k + 1)) for k in (0, 1, 100, 300, 1000))  # no narrower beside wide bands
