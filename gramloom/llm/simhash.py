@@ -22,6 +22,7 @@ null component; repeated rows with one doc_id are one document each time.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -199,6 +200,8 @@ def set_fingerprints(n: int, doc: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 #: Prefix search: one in so many texts tells which shingles are frequent, the list's length (1 MB), and rows of ids that may be broadcast (8 bytes each).
 ORDER_SAMPLE, FREQUENT, BROADCAST_ROWS = 16, 1 << 17, 1_000_000
+#: Pairs are compared in so many parts, one after the other, from so many texts a part on: it bounds the shuffled shingle sets on disk, not the work.
+COMPARED_PARTS, PART_TEXTS = 4, 4096
 RADIUS = 3
 
 
@@ -224,12 +227,19 @@ def _similar(pairs: DataFrame, docs: DataFrame, shingle: int, tenths: int) -> Da
 
     wanted = materialize(pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct(), "wanted")
     sets = materialize(_only(docs, wanted).select("row", "text").mapInArrow(run, "row long, grams array<long>"), "shingles")
-    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("grams").alias("in_a")), "a").join(sets.select(F.col("row").alias("b"), F.col("grams").alias("in_b")), "b")
     shared = F.size(F.array_intersect("in_a", "in_b"))
     enough = 10 * shared >= tenths * (F.size("in_a") + F.size("in_b") - shared)
-    found = materialize(both.where(enough).select("a", "b"), "similar")
+    parts, found = min(COMPARED_PARTS, 1 + wanted.count() // PART_TEXTS), []
+    for k in range(parts):
+        own, left, right = pairs, sets, sets
+        if parts > 1:
+            within = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)) == k  # noqa: B023, E731
+            own, right = pairs.where(within("b")), sets.where(within("row"))
+            left = _only(sets, own.select(F.col("a").alias("row")).distinct())
+        both = own.join(left.select(F.col("row").alias("a"), F.col("grams").alias("in_a")), "a").join(right.select(F.col("row").alias("b"), F.col("grams").alias("in_b")), "b")
+        found.append(materialize(both.where(enough).select("a", "b"), "similar"))
     discard(sets, wanted)
-    return found
+    return functools.reduce(DataFrame.union, found)
 
 
 def frequent(texts: DataFrame, shingle: int) -> np.ndarray:

@@ -3,6 +3,8 @@ import random
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from gramloom.llm import simhash
 
 
@@ -60,3 +62,16 @@ def test_empty_and_null_ids(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     df = spark.createDataFrame([(None, "a b c"), (2, "a b c"), (2, "a b c"), (1, "a b c")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in simhash.near_duplicates(df).collect()) == [(0, 0), (1, 1), (2, 1), (2, 1)]
+
+
+def test_similar_pairs_in_parts(spark, monkeypatch):
+    words = [f"w{k}" for k in range(60)]
+    texts = [(k, " ".join(words[2 * k : 2 * k + 40])) for k in range(11)]
+    docs = spark.createDataFrame(texts, "row long, text string")
+    pairs = docs.select(F.col("row").alias("a")).crossJoin(docs.select(F.col("row").alias("b"))).where("a < b").cache()
+    whole = sorted(simhash._similar(pairs, docs, 5, 8).collect())
+    monkeypatch.setattr(simhash, "PART_TEXTS", 1)
+    written, keep = [], simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, name, **k: written.append(name) or keep(df, name, **k))
+    assert sorted(simhash._similar(pairs, docs, 5, 8).collect()) == whole and len(whole) == 10 + 9  # moved by two or four words
+    assert written.count("similar") == simhash.COMPARED_PARTS
