@@ -79,6 +79,18 @@ def owner(keys: np.ndarray, owners: int) -> np.ndarray:
     return (keys % U(owners)).astype(np.int64)
 
 
+def range_owner(keys: np.ndarray, owners: int) -> np.ndarray:
+    """Owners of equal ranges of mixed keys: keys in order are in order of owner too."""
+    return (((keys >> U(32)) * U(owners)) >> U(32)).astype(np.int64)
+
+
+def shares(keys: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, keys of it) of every ``range_owner`` of keys in order."""
+    size = np.bincount(range_owner(keys, owners), minlength=1)
+    to = np.flatnonzero(size)
+    return to, size[to]
+
+
 def dealt(to: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """(owner, places) of every owner that occurs in ``to``; places keep their order."""
     order = np.argsort(to, kind="stable")
@@ -124,6 +136,24 @@ def sizes_of(column, dtype) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int64), *(np.diff(_edges(chunk)).astype(np.int64) // np.dtype(dtype).itemsize for chunk in _chunks(column))])
 
 
+def narrow(counts: np.ndarray, least: int = 1) -> np.ndarray:
+    """Counts, none below 0, in the fewest bytes that hold each of them, ``least`` or more."""
+    kind = np.min_scalar_type(int(counts.max()) if len(counts) else 0)
+    return counts.astype(kind if kind.itemsize >= least else f"u{least}")
+
+
+def widened(raw: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` counts that ``narrow`` left as the bytes ``raw``; no bytes are counts of 0."""
+    return raw.view(f"u{len(raw) // n}").astype(np.int64) if len(raw) else np.zeros(n, np.int64)
+
+
+def counts_of(column, sizes: np.ndarray) -> np.ndarray:
+    """The counts of a binary column as one array; row k has ``sizes[k]``, each row as narrow as it was sent."""
+    if np.array_equal(sizes_of(column, np.uint8), 4 * sizes):
+        return joined(column, np.uint32).astype(np.int64)
+    return np.concatenate([np.zeros(0, np.int64), *(widened(raw, n) for raw, n in zip(arrays(column, np.uint8), sizes.tolist(), strict=True))])
+
+
 def grouped(to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places in order of ``to``, distinct values of ``to``, places of each); places of one value keep their order."""
     order = np.argsort(to, kind="stable")
@@ -131,16 +161,18 @@ def grouped(to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, to[order[head]], np.diff(np.append(head, len(to)))
 
 
-def cut(schema: str, sizes: np.ndarray, **columns: np.ndarray) -> pa.Table:
+def cut(schema: str, sizes: np.ndarray, fewer: dict[str, np.ndarray] | None = None, **columns: np.ndarray) -> pa.Table:
     """Rows of a schema of longs and binaries, absent columns null.
 
     Row k holds the next ``sizes[k]`` elements of the array of every binary
-    column and element k of every other.  A column is one buffer for every
+    column and element k of every other; a column of ``fewer`` has sizes of its
+    own there, none above ``sizes``.  A column is one buffer for every
     ``PIECE`` bytes or so, however many rows they are.
     """
     fields = [f.split() for f in schema.split(", ")]
     kinds = {"long": pa.int64(), "binary": pa.binary()}
-    edge = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    edges = {name: np.concatenate([[0], np.cumsum(n)]).astype(np.int64) for name, n in {"": sizes, **(fewer or {})}.items()}
+    edge = edges[""]
     width = {name: columns[name].nbytes // max(1, len(columns[name])) for name, kind in fields if kind == "binary" and name in columns}
     head = np.flatnonzero(np.diff(edge[1:] * max(width.values()) // PIECE, prepend=-1))
 
@@ -149,6 +181,7 @@ def cut(schema: str, sizes: np.ndarray, **columns: np.ndarray) -> pa.Table:
             return pa.nulls(b - a, kinds[kind])
         if kind == "long":
             return pa.array(columns[name][a:b], pa.int64())
+        edge = edges.get(name, edges[""])
         at = ((edge[a : b + 1] - edge[a]) * width[name]).astype(np.int32)
         return pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(columns[name][edge[a] : edge[b]]))])
 

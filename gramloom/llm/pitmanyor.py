@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import BLOCK_BYTES, OWNER_BYTES, arrays, blocks, cut, grouped, joined, owner, owners_of, packed, sizes_of
+from .exchange import BLOCK_BYTES, OWNER_BYTES, arrays, blocks, counts_of, cut, joined, narrow, owners_of, packed, range_owner, shares, sizes_of, widened
 from .scratch import discard, materialize, spread
 from .textscan import NOT_SPACE, R, U, mix, words
 
@@ -120,9 +120,10 @@ def _read(batches):
             yield block.as_py(), ids.as_py(), np.repeat(np.arange(len(sizes)), sizes), x, at_u, at_w
 
 
-def _send(schema: str, to: np.ndarray, **columns: np.ndarray):
-    order, owners, sizes = grouped(to)
-    return cut(schema, sizes, owner=owners, **{k: x[order] for k, x in columns.items()}).to_batches()
+def _send(schema: str, keys: np.ndarray, owners: int, **columns: np.ndarray):
+    """Messages to the owners of ``keys``, which are in order, as their columns are."""
+    to, sizes = shares(keys, owners)
+    return cut(schema, sizes, owner=to, n=sizes, **columns).to_batches()
 
 
 def _learns(ids: list) -> np.ndarray:
@@ -131,11 +132,13 @@ def _learns(ids: list) -> np.ndarray:
 
 WORDS = "owner long, x binary, c binary, opened binary, kept binary, t binary"
 PAIRS = "owner long, u binary, w binary, c binary, t binary, told binary"
+PLACED = "owner long, x binary, u binary, w binary, c binary, t binary, told binary"
 _TOTALS = ", n long, types long, once long, twice long"
 
 
 def _word_owners(texts: DataFrame, owners: int) -> DataFrame:
     """``WORDS`` and totals: every training word, and the beginning of texts, with its count."""
+    sent = "owner long, n long, x binary, c binary"
 
     def run(batches):
         for _, ids, where, x, at_u, at_w in _read(batches):
@@ -143,42 +146,44 @@ def _word_owners(texts: DataFrame, owners: int) -> DataFrame:
             c = np.bincount(at_w[learn[where] > 0], minlength=len(x))
             c[x == BEGIN] = learn.sum()
             x, c = x[c > 0], c[c > 0]
-            yield from _send("owner long, x binary, c binary", owner(x, owners), x=x, c=c)
+            yield from _send(sent, x, owners, x=x, c=narrow(c, 4))
 
     def own(key, table):
         x = joined(table.column("x"), np.uint64)
-        first, c = _summed(x, joined(table.column("c"), np.int64))
+        first, c = _summed(x, counts_of(table.column("c"), table.column("n").to_numpy()))
         x = x[first]
         real = c[x != BEGIN]
         none = np.zeros(0)
         return packed(WORDS + _TOTALS, [{"owner": key[0].as_py(), "x": x, "c": c, "opened": none, "kept": none, "t": none, "n": int(real.sum()), "types": len(real), "once": int((real == 1).sum()), "twice": int((real == 2).sum())}])
 
-    return materialize(texts.mapInArrow(run, "owner long, x binary, c binary").groupBy("owner").applyInArrow(own, WORDS + _TOTALS), "words")
+    return materialize(texts.mapInArrow(run, sent).groupBy("owner").applyInArrow(own, WORDS + _TOTALS), "words")
 
 
 def _pair_owners(texts: DataFrame, owners: int, turn: int) -> DataFrame:
-    """``PAIRS`` and totals for the owners of one round: training pairs met twice, held-out texts included."""
+    """``PLACED`` and totals for the owners of one round: training pairs met twice, held-out texts included."""
+    sent = "owner long, n long, u binary, w binary, c binary"
 
     def run(batches):
         for _, ids, where, x, at_u, at_w in _read(batches):
             code = pair_code(x[at_u], x[at_w])
-            mine = owner(code, owners) % ROUNDS == turn
+            mine = range_owner(code, owners) % ROUNDS == turn
             code, learn = code[mine], _learns(ids)[where[mine]]
             first, c, n = _summed(code, learn, np.ones_like(learn))
             u, w = x[at_u[mine][first]], x[at_w[mine][first]]
-            yield from _send("owner long, u binary, w binary, c binary", owner(code[first], owners), u=u, w=w, c=c * 2 + (n > c))
+            yield from _send(sent, code[first], owners, u=u, w=w, c=narrow(c * 2 + (n > c), 4))
 
     def own(key, table):
-        u, w, c = joined(table.column("u"), np.uint64), joined(table.column("w"), np.uint64), joined(table.column("c"), np.int64)
+        u, w, c = joined(table.column("u"), np.uint64), joined(table.column("w"), np.uint64), counts_of(table.column("c"), table.column("n").to_numpy())
         first, c, held = _summed(pair_code(u, w), c >> 1, c & 1)
         kept = (c > 0) & (c + held > 1)
-        zero = np.zeros(int(kept.sum()), np.int64)
-        return packed(PAIRS + _TOTALS, [{"owner": key[0].as_py(), "u": u[first[kept]], "w": w[first[kept]], "c": c[kept], "t": zero, "told": zero, "once": int((c == 1).sum()), "twice": int((c == 2).sum())}])
+        x, at = np.unique(np.concatenate([u[first[kept]], w[first[kept]]]), return_inverse=True)
+        at_u, at_w = np.split(at.astype(np.uint32), 2)
+        return packed(PLACED + _TOTALS, [{"owner": key[0].as_py(), "x": x, "u": at_u, "w": at_w, "c": narrow(c[kept]), "once": int((c == 1).sum()), "twice": int((c == 2).sum())}])
 
-    return materialize(texts.mapInArrow(run, "owner long, u binary, w binary, c binary").groupBy("owner").applyInArrow(own, PAIRS + _TOTALS), "pairs")
+    return materialize(texts.mapInArrow(run, sent).groupBy("owner").applyInArrow(own, PLACED + _TOTALS), "pairs")
 
 
-EXACT, POINTS, DEPTH, TERMS = 48, 64, 14.0, 32
+EXACT, NEAR, GRID, POINTS, DEPTH, TERMS = 48, 8, 12, 64, 14.0, 32
 
 
 def log_ways(n: int, discount: float) -> np.ndarray:
@@ -194,7 +199,8 @@ def log_ways(n: int, discount: float) -> np.ndarray:
 
 def _one_of(rng, weight: np.ndarray) -> np.ndarray:
     """A column of each row, drawn by the logarithms of its weights."""
-    return np.argmax(weight + rng.gumbel(size=weight.shape), axis=1)
+    up_to = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+    return (up_to[:, :-1] <= rng.random((len(weight), 1)) * up_to[:, -1:]).sum(axis=1)
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -245,10 +251,13 @@ class _Wide:
         return t * log_f - c * log_z - 0.5 * np.log(2 * np.pi * t * np.maximum(bend, 1e-12))
 
     def series(self, t, dish):
-        total, chosen = np.zeros(len(t)), np.ones(len(t))
-        for j, term in enumerate(self.terms, 1):
-            chosen *= (t - j + 1) / j
-            total += chosen * term[dish]
+        """Term j has t over j; summed from the last, each takes its factor (t - j + 1) / j of what follows."""
+        total, left = np.zeros(len(t)), t - TERMS
+        for j in range(TERMS, 0, -1):
+            left += 1
+            total += self.terms[j - 1][dish]
+            total *= left
+            total *= 1 / j
         return np.log(np.maximum(total, 1e-300)) - self.log_c[dish]
 
 
@@ -257,9 +266,9 @@ def _of_many(rng, c: np.ndarray, rest: np.ndarray, p: np.ndarray, discount: floa
     law, most = _Wide(discount, c, rest, p), c - 1
     low, high = np.ones(len(c)), most.astype(float)
     for _ in range(4):  # the mode, between neighbours of the best point of ever finer grids
-        grid = low[:, None] * (high / low)[:, None] ** np.linspace(0, 1, 24)
+        grid = low[:, None] * (high / low)[:, None] ** np.linspace(0, 1, GRID)
         best = np.argmax(law(grid), axis=1)
-        low, high = (np.take_along_axis(grid, np.clip(best + side, 0, 23)[:, None], 1)[:, 0] for side in (-1, 1))
+        low, high = (np.take_along_axis(grid, np.clip(best + side, 0, GRID - 1)[:, None], 1)[:, 0] for side in (-1, 1))
     mode = np.clip(np.rint((low + high) / 2), 1, most)
     floor = law(mode[:, None])[:, 0] - DEPTH
 
@@ -290,24 +299,36 @@ def seat(rng, c: np.ndarray, rest: np.ndarray, p: np.ndarray, discount: float) -
     ``EXACT`` customers, by the saddle point of its generating function beyond.
     """
     out, ways = np.zeros(len(c), np.int64), log_ways(EXACT, discount)
-    for n in np.unique(c[(c > 0) & (c <= EXACT)]).tolist():
-        all_ = np.flatnonzero(c == n)
+    out[c == 1] = 1
+    few = np.flatnonzero((c > 1) & (c <= EXACT))
+    few = few[np.argsort(c[few].astype(np.uint8), kind="stable")]
+    for all_ in np.split(few, np.flatnonzero(np.diff(c[few])) + 1) if len(few) else []:
         for at in np.split(all_, range(1 << 16, len(all_), 1 << 16)):
-            odds = np.log(STRENGTH + discount * (rest[at, None] + np.arange(n))) + np.log(p[at, None])
-            out[at] = 1 + _one_of(rng, ways[n, 1 : n + 1] + np.cumsum(odds, axis=1)) if n > 1 else 1
+            n = int(c[at[0]])
+            odds = (STRENGTH + discount * (rest[at] + np.arange(n)[:, None])) * p[at]
+            if n <= NEAR:  # their product is in the range of doubles
+                up_to = np.cumsum(np.exp(ways[n, 1 : n + 1, None]) * np.cumprod(odds, axis=0), axis=0)
+                out[at] = 1 + (up_to[:-1] <= rng.random(len(at)) * up_to[-1]).sum(axis=0)
+            else:
+                out[at] = 1 + _one_of(rng, (ways[n, 1 : n + 1, None] + np.cumsum(np.log(odds), axis=0)).T)
     many = np.flatnonzero(c > EXACT)
     for at in np.split(many, range(1 << 16, len(many), 1 << 16)):
         out[at] = _of_many(rng, c[at], rest[at], p[at], discount)
     return out
 
 
-SEATED = PAIRS + ", src long, x binary, less_u binary, less_w binary"
-ANSWERED = WORDS + ", src long, sent long, tables long"
+SEATED = PLACED + ", src long, n long, less_u binary, less_w binary"
+ANSWERED = WORDS + ", at binary, src long, sent long, tables long"
 
 
 class Model:
     """Seating of all restaurants: ``pairs`` (PAIRS) and ``words`` (WORDS, a row of ``opened`` and ``kept`` per sample).
 
+    Between sweeps an owner of pairs holds its distinct words in order and the
+    places of its pairs' (PLACED, counts in few bytes); an owner of words holds
+    the places of all words it was asked for (``at``).  So words are told apart
+    in the first sweep alone, and later messages are counts.
+
     ``totals`` has the root's customers and tables of each sample.
     """
 
@@ -317,68 +338,82 @@ class Model:
         self.tokens, self.types, once, twice = count(words_)
         discount = lambda once, twice: (once + 0.5) / (once + 2 * twice + 1)
         self.root_discount, self.discount = discount(once, twice), discount(*count(pairs)[2:])
-        self.pairs, self.words = pairs.select(*[f.split()[0] for f in PAIRS.split(", ")]), words_.select(*[f.split()[0] for f in WORDS.split(", ")])
+        self.pairs, self.words = pairs.select(*[f.split()[0] for f in PLACED.split(", ")]), words_.select(*[f.split()[0] for f in WORDS.split(", ")])
 
     def base(self, tables: int) -> float:
         """What the root gives any type from its own base."""
         return (STRENGTH + self.root_discount * tables) / (self.types + 1)
 
-    def sample(self) -> None:
-        answers, sent, tables, old = None, 0, 0, []
+    def sample(self, counted: list[DataFrame]) -> None:
+        """All sweeps; the ``counted`` tables go with the first."""
+        answers, sent, tables, old = None, 0, 0, counted
         for sweep in range(BURN_IN + SAMPLES):
-            seated = materialize(self._seat(sweep, answers, sent, tables), "seated")
-            pairs, messages = seated.where("src is null").select(*self.pairs.columns), seated.where("src is not null").select("owner", "src", "x", "less_u", "less_w")
-            rooted = materialize(self._root(sweep, messages, tables), "rooted")
+            last = sweep == BURN_IN + SAMPLES - 1
+            seated = materialize(self._seat(sweep, last, answers, sent, tables), "seated")
+            if sweep:  # the first sweep's words are counted yet
+                discard(old.pop(0))
+            messages = seated.where("src is not null").select("owner", "src", "n", "x", "less_u", "less_w")
+            rooted = materialize(self._root(sweep, last, messages, tables), "rooted")
             discard(*old)
             old = [seated, rooted]
             sent, tables = rooted.agg(F.coalesce(F.sum("sent"), F.lit(0)), F.coalesce(F.sum("tables"), F.lit(0))).first()
-            self.pairs, self.words = pairs, rooted.where("src is null").select(*self.words.columns)
+            mine = lambda table, schema: table.where("src is null").select(*[f.split()[0] for f in schema.split(", ")])
+            self.pairs, self.words = mine(seated, PAIRS if last else PLACED), mine(rooted, WORDS if last else WORDS + ", at binary")
             answers = rooted.where("src is not null").select("owner", "src", "opened", "kept")
             if sweep >= BURN_IN:
                 self.totals.append((sent, tables))
         self.last = old
 
-    def _seat(self, sweep: int, answers: DataFrame | None, sent: int, tables: int) -> DataFrame:
+    def _seat(self, sweep: int, last: bool, answers: DataFrame | None, sent: int, tables: int) -> DataFrame:
         """One Gibbs sweep over the pairs of context restaurants, and what they tell the owners of words."""
         owners, discount, base, first = self.owners, self.discount, self.base(tables), answers is None
 
         def run(key, mine, told_by):
             rows = []
-            for number, u, w, c, t, told in zip(mine.column("owner").to_pylist(), *(arrays(mine.column(k), d) for k, d in (("u", np.uint64), ("w", np.uint64), ("c", np.int64), ("t", np.int64), ("told", np.int64))), strict=True):
-                x, back = np.unique(np.concatenate([u, w]), return_inverse=True)
-                at_u, at_w = back[: len(u)], back[len(u) :]
-                order, to, sizes = grouped(owner(x, owners))
+            for number, x, u, w, *counts in zip(mine.column("owner").to_pylist(), *(arrays(mine.column(k), d) for k, d in (("x", np.uint64), ("u", np.uint32), ("w", np.uint32), ("c", np.uint8), ("t", np.uint8), ("told", np.uint8))), strict=True):
+                u, w, (c, t, told) = u.astype(np.int64), w.astype(np.int64), (widened(raw, len(u)) for raw in counts)
+                to, sizes = shares(x, owners)
                 opened, p = np.zeros(len(x)), np.full(len(x), base)
                 if told_by is not None:  # the owners answer each key, in the order in which they were asked
                     told_by = told_by.sort_by("src")
-                    opened[order] = joined(told_by.column("opened"), float)
-                    p[order] = (joined(told_by.column("kept"), float) + base) / (STRENGTH + sent)
-                t = seat(np.random.default_rng([SEED, sweep, number]), c, np.maximum(opened[at_u] - t, 0), p[at_w], discount)
-                less_u, less_w = (np.bincount(at, weights=c - t, minlength=len(x)).astype(np.int64)[order] for at in (at_u, at_w))
-                rows.append(packed(SEATED, [{"owner": number, "u": u, "w": w, "c": c, "t": t, "told": told + t * (sweep >= BURN_IN)}]))
-                rows.append(cut(SEATED, sizes, owner=to, src=np.full(len(to), number), x=x[order], less_u=less_u, less_w=less_w))
+                    opened = counts_of(told_by.column("opened"), sizes)
+                    p = (joined(told_by.column("kept"), float) + base) / (STRENGTH + sent)
+                t = seat(np.random.default_rng([SEED, sweep, number]), c, np.maximum(opened[u] - t, 0), p[w], discount)
+                told = told + t * (sweep >= BURN_IN)
+                less_u, less_w = (narrow(np.bincount(at, weights=c - t, minlength=len(x)).astype(np.int64), 4) for at in (u, w))
+                if last:
+                    rows.append(packed(SEATED, [{"owner": number, "u": x[u], "w": x[w], "c": c, "t": t, "told": told}]))
+                else:
+                    rows.append(packed(SEATED, [{"owner": number, "x": x, "u": u.astype(np.uint32), "w": w.astype(np.uint32), "c": narrow(c), "t": narrow(t), "told": narrow(told)}]))
+                asked = {"x": x} if first else {}
+                rows.append(cut(SEATED, sizes, owner=to, src=np.full(len(to), number), n=sizes, less_u=less_u, less_w=less_w, **asked))
             return pa.concat_tables([packed(SEATED, []), *rows])
 
         mine = self.pairs.groupBy("owner")
         return mine.applyInArrow(lambda key, own: run(key, own, None), SEATED) if first else mine.cogroup(answers.groupBy("owner")).applyInArrow(run, SEATED)
 
-    def _root(self, sweep: int, messages: DataFrame, tables: int) -> DataFrame:
+    def _root(self, sweep: int, last: bool, messages: DataFrame, tables: int) -> DataFrame:
         """A Gibbs move of the root's seats over the customers sent to it by now, and the answers to the owners of pairs."""
-        p, discount = 1 / (self.types + 1), self.root_discount
+        p, discount, first = 1 / (self.types + 1), self.root_discount, sweep == 0
 
         def run(key, mine, told):
             rows = []
-            asked, sizes = joined(told.column("x"), np.uint64), sizes_of(told.column("x"), np.uint64)
-            for number, x, c, old_opened, old_kept, t in zip(mine.column("owner").to_pylist(), *(arrays(mine.column(k), d) for k, d in (("x", np.uint64), ("c", np.int64), ("opened", float), ("kept", float), ("t", np.int64))), strict=True):
-                at = np.searchsorted(x, asked)  # every training word is here
-                less = lambda k: np.bincount(at, weights=joined(told.column(k), np.int64), minlength=len(x)).astype(np.int64)  # noqa: B023, E731
-                opened, sent = np.where(x == END, 0, c) - less("less_u"), np.where(x == BEGIN, 0, c) - less("less_w")
+            told = told.sort_by("src")
+            sizes = told.column("n").to_numpy()
+            less = [counts_of(told.column(k), sizes) for k in ("less_u", "less_w")]
+            places = [None] * mine.num_rows if first else arrays(mine.column("at"), np.uint32)
+            for number, x, c, old_opened, old_kept, t, at in zip(mine.column("owner").to_pylist(), *(arrays(mine.column(k), d) for k, d in (("x", np.uint64), ("c", np.int64), ("opened", float), ("kept", float), ("t", np.int64))), places, strict=True):
+                at = (np.searchsorted(x, joined(told.column("x"), np.uint64)) if first else at).astype(np.int64)  # every training word is here
+                of_u, of_w = (np.bincount(at, weights=k, minlength=len(x)).astype(np.int64) for k in less)
+                opened, sent = np.where(x == END, 0, c) - of_u, np.where(x == BEGIN, 0, c) - of_w
                 rest = tables - (t if len(t) else np.zeros_like(c))
                 t = seat(np.random.default_rng([SEED, sweep, number, 1]), sent, rest, np.full(len(sent), p), discount)
                 kept = sent - discount * t
                 now = (np.concatenate([old_opened, opened]), np.concatenate([old_kept, kept])) if sweep >= BURN_IN else (old_opened, old_kept)
-                rows.append(packed(ANSWERED, [{"owner": number, "x": x, "c": c, "opened": now[0].astype(float), "kept": now[1], "t": t, "sent": int(sent.sum()), "tables": int(t.sum())}]))
-                rows.append(cut(ANSWERED, sizes, owner=told.column("src").to_numpy(), src=np.full(len(sizes), number), opened=opened[at].astype(float), kept=kept[at]))
+                own = {"owner": number, "x": x, "c": c, "opened": now[0].astype(float), "kept": now[1], "t": t, "sent": int(sent.sum()), "tables": int(t.sum())}
+                rows.append(packed(ANSWERED, [own if last else own | {"at": at.astype(np.uint32)}]))
+                if not last:  # after which nobody asks
+                    rows.append(cut(ANSWERED, sizes, owner=told.column("src").to_numpy(), src=np.full(len(sizes), number), opened=narrow(opened, 4)[at], kept=kept[at]))
             return pa.concat_tables([packed(ANSWERED, []), *rows])
 
         return self.words.groupBy("owner").cogroup(messages.groupBy("owner")).applyInArrow(run, ANSWERED)
@@ -407,52 +442,55 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def _scored(texts: DataFrame, shelves: DataFrame, model: Model) -> DataFrame:
     """Rows of ``RESULT`` for the texts of some blocks."""
     owners, discount, total, types = model.owners, model.discount, model.tokens, model.types
+    answered = "owner long, block long, known binary, value binary"
     base = np.array([model.base(t) for _, t in model.totals])
     scale = np.array([STRENGTH + n for n, _ in model.totals])
     log_base = lambda c: np.log10((c + ADDED) / (total + ADDED * (types + 1)))
 
-    def asked(x, at_u, at_w):
-        """Distinct pairs with the place of each token's, and the owners asked for pairs and words."""
-        code, at = np.unique(pair_code(x[at_u], x[at_w]), return_inverse=True)
-        return code, at, grouped(owner(code, owners)), grouped(owner(x, owners))
-
     def ask(batches):
         for block, _, _, x, at_u, at_w in _read(batches):
-            code, _, (by_pair, of_pairs, n_pairs), (by_word, of_words, n_words) = asked(x, at_u, at_w)
+            code = np.sort(pair_code(x[at_u], x[at_w]))
+            code = code[_heads(code)]
+            (of_pairs, n_pairs), (of_words, n_words) = shares(code, owners), shares(x, owners)
             to = np.concatenate([of_pairs, of_words + owners])
-            yield from cut("owner long, block long, code binary", np.concatenate([n_pairs, n_words]), owner=to, block=np.full(len(to), block), code=np.concatenate([code[by_pair], x[by_word]])).to_batches()
+            yield from cut("owner long, block long, code binary", np.concatenate([n_pairs, n_words]), owner=to, block=np.full(len(to), block), code=np.concatenate([code, x])).to_batches()
 
     def answer(key, questions, shelf):
+        """A byte for every question, whether it is known, and the values of those that are."""
         width = 1 if key[0].as_py() < owners else 1 + 2 * SAMPLES
-        code = joined(shelf.column("code"), np.uint64)
-        value = np.concatenate([joined(shelf.column("value"), float).reshape(-1, width), np.full((1, width), np.nan)])
+        code, value = joined(shelf.column("code"), np.uint64), joined(shelf.column("value"), float).reshape(-1, width)
         wanted, sizes = joined(questions.column("code"), np.uint64), sizes_of(questions.column("code"), np.uint64)
         at = np.searchsorted(code, wanted)
-        at[at < len(code)] = np.where(code[at[at < len(code)]] == wanted[at < len(code)], at[at < len(code)], len(code))
-        return cut("owner long, block long, value binary", sizes, owner=np.full(len(sizes), key[0].as_py()), block=questions.column("block").to_numpy(), value=value[at])
+        known = at < len(code)
+        known[known] = code[at[known]] == wanted[known]
+        edge = np.concatenate([[0], np.cumsum(known)])[np.concatenate([[0], np.cumsum(sizes)])]
+        return cut(answered, sizes, {"value": np.diff(edge)}, owner=np.full(len(sizes), key[0].as_py()), block=questions.column("block").to_numpy(), known=known.view(np.uint8), value=value[at[known]])
 
     def score_block(key, mine, answers):
         for _, ids, where, x, at_u, at_w in _read([mine]):
-            code, at, (by_pair, *_), (by_word, *_) = asked(x, at_u, at_w)
-            found = joined(answers.sort_by("owner").column("value"), float)  # owners of pairs come first
-            seats, stat = np.empty(len(code)), np.empty((len(x), 1 + 2 * SAMPLES))
-            seats[by_pair] = found[: len(code)]
-            stat[by_word] = np.nan_to_num(found[len(code) :].reshape(-1, 1 + 2 * SAMPLES))
-            c = np.where(x == BEGIN, 0, stat[:, 0])[at_w]
-            customers = np.where(x == END, 0, stat[:, 0])[at_u]
-            opened, root = stat[:, 1 : 1 + SAMPLES], (stat[:, 1 + SAMPLES :] + base) / scale
-            back = ((STRENGTH + discount * opened[at_u]) * root[at_w]).mean(axis=1)
+            code, at = np.unique(pair_code(x[at_u], x[at_w]), return_inverse=True)
+            answers = answers.sort_by("owner")  # owners of pairs come first, and keys in order
+            known, found = joined(answers.column("known"), bool), joined(answers.column("value"), float)
+            of_pairs, of_words = known[: len(code)], known[len(code) :]
             learn = _learns(ids)
-            own = np.where(np.isnan(seats[at]), (1 - discount) * learn[where], seats[at])  # a training pair that no owner keeps is met once, here
-            p = np.log10((own + back) / (STRENGTH + customers))
+            once, seats = np.zeros(len(code)), np.zeros(len(code))
+            once[~of_pairs], seats[of_pairs] = 1 - discount, found[: of_pairs.sum()]  # a training pair that no owner keeps is met once, here
+            stat = np.zeros((1 + 2 * SAMPLES, len(x)))
+            stat[:, of_words] = found[of_pairs.sum() :].reshape(-1, 1 + 2 * SAMPLES).T
+            customers = np.where(x == END, 0, stat[0])
+            c = np.where(x == BEGIN, 0, stat[0])
+            back = np.zeros(len(at))
+            for opened, kept, b, n in zip(stat[1 : 1 + SAMPLES], stat[1 + SAMPLES :], base, scale, strict=True):
+                back += (STRENGTH + discount * opened)[at_u] * ((kept + b) / n)[at_w]
+            p = np.log10((seats[at] + once[at] * learn[where] + back / SAMPLES) / (STRENGTH + customers)[at_u])
             sums = lambda v: pa.array(np.bincount(where, weights=v, minlength=len(ids)))
             whole = lambda v: sums(v).cast(pa.int64())
-            columns = [pa.array(ids, pa.int64()), pa.array(learn == 0), whole(np.ones(len(where))), whole(c > 0), pa.array([total] * len(ids), pa.int64()), sums(log_base(c)), sums(p)]
+            columns = [pa.array(ids, pa.int64()), pa.array(learn == 0), whole(np.ones(len(where))), whole((c > 0)[at_w]), pa.array([total] * len(ids), pa.int64()), sums(log_base(c)[at_w]), sums(p)]
             return pa.table(columns, names=[f.split()[0] for f in RESULT.split(", ")])
         return pa.table({f.split()[0]: pa.array([], {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}[f.split()[1]]) for f in RESULT.split(", ")})
 
     questions = texts.mapInArrow(ask, "owner long, block long, code binary")
-    answers = questions.groupBy("owner").cogroup(shelves.groupBy("owner")).applyInArrow(answer, "owner long, block long, value binary")
+    answers = questions.groupBy("owner").cogroup(shelves.groupBy("owner")).applyInArrow(answer, answered)
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score_block, RESULT)
 
 
@@ -468,8 +506,7 @@ def score(docs: DataFrame, each: int = OWNER_BYTES, block: int = BLOCK_BYTES) ->
     for more in counted[2:]:
         pairs = pairs.union(more)
     model = Model(counted[0], pairs, owners)
-    model.sample()
-    discard(*counted)
+    model.sample(counted)
     shelves = materialize(model.shelves(), "shelves")
     discard(*model.last)
     part = F.pmod(F.xxhash64("block"), F.lit(PARTS))

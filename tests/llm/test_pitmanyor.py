@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from gramloom.llm import exchange, pitmanyor
+from gramloom.llm import exchange, pitmanyor, scratch
 
 pytestmark = pytest.mark.usefixtures("few_partitions")
 
@@ -220,3 +220,48 @@ def test_law_at_chosen_places():
     law, t = pitmanyor._Wide(0.7, c, rest, p), np.array([[1.0, 3, 59]] * 3) * np.array([[1], [4], [20]])
     whole, some = law(t), np.array([[True, False, True], [False, False, False], [True, True, True]])
     assert np.array_equal(law(t, some), np.where(some, whole, -np.inf)) and np.isfinite(whole).all()
+
+
+def test_sweeps_after_the_first_send_counts_alone(docs, monkeypatch):
+    seen, write = [], pitmanyor.materialize
+
+    def keep(df, name, **options):
+        table = write(df, name, **options)
+        if name in ("seated", "rooted"):
+            seen.append((name, table.where("src is not null").toArrow(), sum("/gramloom-pairs-" in x or "/gramloom-words-" in x for x in scratch._written)))
+        return table
+
+    monkeypatch.setattr(pitmanyor, "materialize", keep)
+    before = sum("/gramloom-pairs-" in x or "/gramloom-words-" in x for x in scratch._written)
+    pitmanyor.score(docs, 4000, 9000).count()
+    told, answered = ([(rows, counted) for name, rows, counted in seen if name == kind] for kind in ("seated", "rooted"))
+    assert len(told) == len(answered) == pitmanyor.BURN_IN + pitmanyor.SAMPLES
+    asked = told[0][0].column("n").to_numpy().sum()
+    assert exchange.joined(told[0][0].column("x"), np.uint64).size == asked > 0
+    for rows, counted in told[1:]:
+        assert rows.column("x").null_count == len(rows) and counted == before  # the counted tables are gone
+        assert exchange.sizes_of(rows.column("less_u"), np.uint8).sum() == exchange.sizes_of(rows.column("less_w"), np.uint8).sum() == 4 * asked
+    assert [len(rows) > 0 for rows, _ in answered] == [True] * (len(answered) - 1) + [False]  # nobody reads the last
+
+
+def test_counts_in_few_bytes():
+    for counts in ([], [0, 0], [1, 255], [0, 256, 65_535], [7, 1 << 31], [3, (1 << 40) + 5]):
+        a = np.array(counts, np.int64)
+        assert exchange.widened(np.frombuffer(exchange.narrow(a).tobytes(), np.uint8), len(a)).tolist() == counts
+    assert exchange.widened(np.zeros(0, np.uint8), 3).tolist() == [0, 0, 0]
+    few, far = np.array([1, 2, 3]), np.array([4, 1 << 33])  # two senders, one of counts beyond 4 bytes
+    column = pa.chunked_array([pa.array([exchange.narrow(a, 4).tobytes() for a in part], pa.binary()) for part in ([few], [far, few])])
+    assert exchange.counts_of(column, np.array([3, 2, 3])).tolist() == [1, 2, 3, 4, 1 << 33, 1, 2, 3]
+    assert exchange.counts_of(column.slice(0, 1), np.array([3])).tolist() == [1, 2, 3]
+    table = exchange.cut("owner long, known binary, value binary", np.array([2, 3]), {"value": np.array([0, 2])}, owner=np.array([5, 6]), known=np.array([0, 0, 1, 0, 1], np.uint8), value=np.array([0.5, 1.5]))
+    assert [x.tolist() for x in exchange.arrays(table.column("value"), float)] == [[], [0.5, 1.5]]
+
+
+@pytest.mark.parametrize("owners", [1, 7, 3750])
+def test_keys_in_order_are_in_order_of_owner(owners):
+    keys = np.sort(np.random.default_rng(2).integers(0, 1 << 64, 20_000, dtype=np.uint64))
+    keys = np.concatenate([keys, [np.uint64((1 << 64) - 1)]])
+    of = exchange.range_owner(keys, owners)
+    to, sizes = exchange.shares(keys, owners)
+    assert (np.diff(of) >= 0).all() and of.min() >= 0 and of.max() == owners - 1
+    assert np.repeat(to, sizes).tolist() == of.tolist() and sizes.max() < 3 * len(keys) / owners + 20
