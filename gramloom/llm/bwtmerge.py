@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import BLOCK_BYTES, OWNER_BYTES, arrays, blocks, dealt, joined, owner, owners_of, packed, unpacked
+from .exchange import BLOCK_BYTES, OWNER_BYTES, WIDE, arrays, blocks, dealt, joined, owner, owners_of, packed, unpacked
 from .scratch import discard, materialize, spread
 from .textscan import BYTE_HASH, R, R_INV, SEGMENT, U, mix, power, powers
 
@@ -259,16 +259,16 @@ def refined(depth: int, owners: int):
 
 def merge(texts: DataFrame, owners: int) -> list[DataFrame]:
     """Tables of ``FOUND``, one a pass: sizes of the intervals of all suffixes that share their first ``depth`` symbols (the first of an interval has it positive)."""
-    state, sizes, depth = materialize(shards(texts, owners), "shards"), [], 0
+    state, sizes, depth = materialize(shards(texts, owners), "shards", **WIDE), [], 0
     while not state.where("symbol is not null").isEmpty():
         depth += 1
         asks = state.where("src is not null").select("owner", "src", "symbol", "rest", "n")
         mine = state.where("src is null and found is null")
         answers = asks.groupBy("owner").applyInArrow(placed, ANSWER)
-        after = materialize(mine.groupBy("owner").cogroup(answers.groupBy("owner")).applyInArrow(refined(depth, owners), SHARD), "shards")
+        after = materialize(mine.groupBy("owner").cogroup(answers.groupBy("owner")).applyInArrow(refined(depth, owners), SHARD), "shards", **WIDE)
         discard(state)
         state = after
-        sizes.append(materialize(state.where("found is not null").select("owner", F.col("found").alias("depth"), "node", F.col("n").alias("size")), "sizes"))
+        sizes.append(materialize(state.where("found is not null").select("owner", F.col("found").alias("depth"), "node", F.col("n").alias("size")), "sizes", **WIDE))
     discard(state)
     return sizes
 
@@ -398,12 +398,12 @@ def drop_repeats(docs: DataFrame, block: int = BLOCK_BYTES, each: int = OWNER_BY
         found = found.union(more)
     part = F.pmod(F.xxhash64("block"), F.lit(PARTS))
     owned = F.pmod(F.xxhash64("owner"), F.lit(PARTS))
-    starts = [materialize(texts.where(part == k).groupBy("block").cogroup(found.where(owned == k).groupBy("owner")).applyInArrow(classified(owners), STARTS), "starts") for k in range(PARTS)]
+    starts = [materialize(texts.where(part == k).groupBy("block").cogroup(found.where(owned == k).groupBy("owner")).applyInArrow(classified(owners), STARTS), "starts", **WIDE) for k in range(PARTS)]
     discard(*sizes)
     asks = starts[0].where("src is not null")
     for more in starts[1:]:
         asks = asks.union(more.where("src is not null"))
-    told = materialize(asks.groupBy("owner").applyInArrow(compared, STARTS), "told")
+    told = materialize(asks.groupBy("owner").applyInArrow(compared, STARTS), "told", **WIDE)
     done = [materialize(texts.where(part == k).groupBy("block").cogroup(starts[k].where("src is null").union(told.where(owned == k)).groupBy("owner")).applyInArrow(cut, RESULT), "cut") for k in range(PARTS)]
     discard(texts, told, *starts)
     result = done[0]

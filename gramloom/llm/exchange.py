@@ -22,11 +22,14 @@ from .textscan import U
 BLOCK_BYTES = 6 << 20
 OWNER_BYTES = 8 << 20
 ROW_GROUP = 16 << 20
+#: For tables with rows of megabytes: by default Parquet first looks at the size of a page or row group after 100 rows, which may be hundreds of MB.
+WIDE = {"parquet.block.size": ROW_GROUP, "parquet.page.size.row.check.min": 1}
 PIECE = 64 << 20
 
 
 def laid(block: int, ids: list, texts: list[bytes]) -> dict:
-    return {"sizes": list(map(len, texts)), "texts": b"".join(texts)}
+    """Texts end to end, compressed: the JVM sorts, sends and holds rows of a block several times over."""
+    return {"sizes": list(map(len, texts)), "texts": pa.compress(b"".join(texts), "zstd", asbytes=True)}
 
 
 LAID = {"sizes": pa.list_(pa.int64()), "texts": pa.binary()}
@@ -59,7 +62,7 @@ def blocks(docs: DataFrame, limit: int = BLOCK_BYTES, lay=laid, kinds: dict = LA
 
     more = "".join(f", {name} {'binary' if kind == pa.binary() else 'array<long>'}" for name, kind in kinds.items())
     found = docs.mapInArrow(run, "block long, n_bytes long, ids array<long>" + more)
-    return materialize(found, "blocks", **{"parquet.block.size": ROW_GROUP, "compression": "zstd"})
+    return materialize(found, "blocks", compression="zstd", **WIDE)
 
 
 def owners_of(table: DataFrame, each: int = OWNER_BYTES) -> int:
@@ -71,7 +74,8 @@ def unpacked(batches: Iterable) -> Iterator[tuple[int, list, list[bytes]]]:
     """(block, ids, texts) of every row of a table of blocks."""
     for batch in batches:
         for block, ids, sizes, raw in zip(*(batch.column(c) for c in ("block", "ids", "sizes", "texts")), strict=True):
-            raw, edge = raw.as_buffer(), np.concatenate([[0], np.cumsum(sizes.values.to_numpy(zero_copy_only=False))]).astype(np.int64).tolist()
+            edge = np.concatenate([[0], np.cumsum(sizes.values.to_numpy(zero_copy_only=False))]).astype(np.int64).tolist()
+            raw = pa.decompress(raw.as_buffer(), edge[-1], "zstd")
             yield block.as_py(), ids.as_py(), [raw[a:b].to_pybytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 

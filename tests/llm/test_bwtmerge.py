@@ -1,13 +1,15 @@
 import hashlib
+import pathlib
 import random
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from gramloom.llm import bwtmerge, textscan
+from gramloom.llm import bwtmerge, exchange, textscan
 
 pytestmark = pytest.mark.usefixtures("few_partitions")
 
@@ -134,3 +136,24 @@ def test_memory_of_a_block():
     tracemalloc.stop()
     assert peak < 30 * len(p.raw)  # 54 before, and powers of 16 bytes a byte stayed in the worker
     assert sum(x.nbytes for x in textscan._powers.values()) < 10 << 20
+
+
+def test_row_groups_of_a_task_with_many_blocks(spark, monkeypatch):
+    """What one task writes is cut by bytes; it was one row group up to 100 rows (blocks) or 128 MB (shards), held whole by writer and reader."""
+    rng, groups = np.random.default_rng(2), {}
+
+    def sizes(table, name, **options):
+        t = materialize(table, name, **options)
+        files = [pq.ParquetFile(f).metadata for f in pathlib.Path(t.written_to.removeprefix("file://")).glob("*.parquet")]
+        written = [sum(m.row_group(k).column(c).total_compressed_size for c in range(m.num_columns)) for m in files for k in range(m.num_row_groups)]
+        groups[name] = max([groups.get(name, 0), *written])
+        return t
+
+    materialize = exchange.materialize
+    monkeypatch.setattr(exchange, "materialize", sizes)
+    monkeypatch.setattr(bwtmerge, "materialize", sizes)
+    raw = [rng.integers(48, 112, 1 << 20, dtype=np.uint8).tobytes().decode() for _ in range(48)]
+    texts = exchange.blocks(spark.createDataFrame(list(enumerate(raw)), "doc_id long, text string").coalesce(1), 1 << 20)
+    assert [t.decode() for _, _, found in exchange.unpacked(texts.orderBy("block").toArrow().to_batches()) for t in found] == raw
+    bwtmerge.merge(texts.coalesce(1), exchange.owners_of(texts))
+    assert all(n < exchange.ROW_GROUP + (1 << 20) for n in groups.values()), groups
